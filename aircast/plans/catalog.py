@@ -1,3 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
 from . import readings  # noqa: F401
+from . import daily_tables  # noqa: F401,E402
