@@ -29,6 +29,14 @@ def round_half_even(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits)
 
 
+def round_ieee(x: Column, digits: int) -> Column:
+    """Round half up in binary floating point: floor(x * 10^d + 0.5) / 10^d.
+    The result depends only on the double itself, so every engine gives
+    the same digits (decimal ``round`` implementations break ties apart)."""
+    k = float(10**digits)
+    return F.floor(x * F.lit(k) + F.lit(0.5)).cast("double") / F.lit(k)
+
+
 def int_text(x: Column) -> Column:
     """Text of round(x) as Python prints an int."""
     return F.bround(x, 0).cast("bigint").cast("string")

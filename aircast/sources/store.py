@@ -28,3 +28,108 @@ def scan_desc(df: DataFrame, *, by: str = "text") -> DataFrame:
     exchange, so it scales out."""
     key = F.col("ts_raw") if by == "text" else F.try_to_timestamp(F.col("ts_raw"))
     return conform(df).orderBy(key.desc(), F.col("id").desc())
+
+
+def dense_number(df: DataFrame, order: list[str], *, out: str = "_n") -> DataFrame:
+    """1..n in ``order`` without a single-partition window.
+
+    Range-partition and sort by ``order``, count rows per partition, turn the
+    counts into offsets (a table with one row per partition: a proven
+    bound, broadcast), then number inside each partition.  The sorted batch
+    is checkpointed first so a recomputed task sees the same rows in the
+    same place (lineage is cut in the cluster's checkpoint folder)."""
+    from pyspark.sql import Window
+
+    s = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    s = s.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
+    s = s.checkpoint(eager=True)
+    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mono").alias("_m0"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", "_m0", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    out_df = s.join(F.broadcast(offs), "_pid")
+    return out_df.withColumn(out, F.col("_off") + F.col("_mono") - F.col("_m0") + 1).drop("_pid", "_mono", "_m0", "_off")
+
+
+def append_with_id(store: DataFrame, batch: DataFrame, *, order: tuple[str, ...] = ("ts_raw", "id")) -> DataFrame:
+    """A3: new rows get ids max(id)+1 ... in ingest ``order`` (autoincrement).
+    Returns the store with the batch appended; ``write_append`` persists it."""
+    top = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
+    numbered = dense_number(batch, list(order))
+    new = numbered.withColumn("id", top + F.col("_n")).drop("_n")
+    return conform(store).unionByName(conform(new))
+
+
+def write_append(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ()) -> None:
+    w = df.write.mode("append")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+
+
+def add_column_default(old: DataFrame, new: DataFrame, *, column: str = "presence", default=False) -> DataFrame:
+    """A4: rows stored before the column existed read with its default."""
+    return old.unionByName(new, allowMissingColumns=True).withColumn(
+        column, F.coalesce(F.col(column), F.lit(default))
+    )
+
+
+CORRUPT = "_corrupt_record"
+
+
+def validate_payload(raw: DataFrame, *, text: str = "payload", schema=schemas.PAYLOAD) -> DataFrame:
+    """A5: parse JSON payloads with the fixed schema; every field required.
+
+    Returns all rows with ``status`` ``ok`` / ``quarantine`` and a
+    ``reason`` (malformed JSON or the first missing field)."""
+    from pyspark.sql import types as T
+
+    full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+    p = raw.withColumn(
+        "_p",
+        F.from_json(F.col(text), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}),
+    )
+    reason = F.when(F.col(f"_p.{CORRUPT}").isNotNull() | F.col("_p").isNull(), F.lit("malformed"))
+    for f in schema.fields:
+        reason = reason.when(F.col(f"_p.{f.name}").isNull(), F.lit(f"missing {f.name}"))
+    p = p.withColumn("reason", reason)
+    return p.select(
+        *[c for c in raw.columns if c != text],
+        *[F.col(f"_p.{f.name}").alias(f.name) for f in schema.fields],
+        F.when(F.col("reason").isNull(), "ok").otherwise("quarantine").alias("status"),
+        "reason",
+    )
+
+
+def delete_by_id(store: DataFrame, deletes: DataFrame) -> DataFrame:
+    """``DELETE WHERE id = ?``; a missing id is a no-op (left anti)."""
+    return store.join(deletes.select("id").distinct(), "id", "left_anti")
+
+
+def update_presence(store: DataFrame, updates: DataFrame) -> DataFrame:
+    """``UPDATE SET presence = ? WHERE id = ?``, the latest update per
+    id wins; a missing id is a no-op.  Updates are reduced to one row per
+    id before the join."""
+    u = updates.groupBy("id").agg(F.max_by("presence", "seq").alias("_new"))
+    return store.join(u, "id", "left").withColumn("presence", F.coalesce("_new", "presence")).drop("_new")
+
+
+def apply_changes(changes: DataFrame) -> DataFrame:
+    """Ordered change feed (seq, op, id, presence, co2) -> current rows.
+
+    A row lives if it was inserted and no delete of its id came later; its
+    presence is the last ``set_presence`` after the insert.  An update after
+    a delete stays a no-op (the row is gone).  Each side is reduced to one
+    row per id before the joins."""
+    ins = changes.where(F.col("op") == "insert").groupBy("id").agg(
+        F.max_by(F.struct("seq", "presence", "co2"), "seq").alias("i")
+    ).select("id", F.col("i.seq").alias("ins_seq"), F.col("i.presence").alias("presence"), F.col("i.co2").alias("co2"))
+    dels = changes.where(F.col("op") == "delete").groupBy("id").agg(F.max("seq").alias("del_seq"))
+    upd = changes.where(F.col("op") == "set_presence").groupBy("id").agg(
+        F.max("seq").alias("upd_seq"), F.max_by("presence", "seq").alias("upd_presence")
+    )
+    live = ins.join(dels, "id", "left").where(F.col("del_seq").isNull() | (F.col("del_seq") < F.col("ins_seq")))
+    out = live.join(upd, "id", "left")
+    newer = F.col("upd_seq") > F.col("ins_seq")
+    return out.select(
+        "id", F.when(newer, F.col("upd_presence")).otherwise(F.col("presence")).alias("presence"), "co2"
+    )
