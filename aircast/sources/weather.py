@@ -18,6 +18,10 @@ RESPONSE_FIELDS = [
 ]
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def weather_responses(weather: DataFrame, *, days: int = 7, start: str = "2024-01-01") -> DataFrame:
     """Render weather rows as API responses, one JSON body per ``days``-day
     request window (the landing-folder form of the HTTP pull).  Each group
@@ -27,7 +31,7 @@ def weather_responses(weather: DataFrame, *, days: int = 7, start: str = "2024-0
     g = rows.groupBy("request").agg(F.sort_array(F.collect_list("r")).alias("rs"))
     daily = F.struct(
         F.transform("rs", lambda x: F.date_format(x["ds"], "yyyy-MM-dd")).alias("time"),
-        *[F.transform("rs", lambda x, c=c: x[c]).alias(f) for f, c in RESPONSE_FIELDS],
+        *[F.transform("rs", _field(c)).alias(f) for f, c in RESPONSE_FIELDS],
     )
     return g.select("request", F.to_json(F.struct(daily.alias("daily"))).alias("body"))
 
