@@ -37,6 +37,22 @@ def round_ieee(x: Column, digits: int) -> Column:
     return F.floor(x * F.lit(k) + F.lit(0.5)).cast("double") / F.lit(k)
 
 
+def half_even(x: Column, digits: int = 0) -> Column:
+    """Python's round(x, d): half to even, evaluated on x * 10^d in binary
+    floating point (identical in every IEEE engine)."""
+    k = F.lit(float(10**digits))
+    r = x * k
+    f = F.floor(r)
+    diff = r - f
+    up = (diff > 0.5) | ((diff == 0.5) & (F.abs(f % 2) == 1))
+    return (f + F.when(up, 1).otherwise(0)).cast("double") / k
+
+
+def py_text(x: Column) -> Column:
+    """str() of a Python number or None."""
+    return F.coalesce(x.cast("string"), F.lit("None"))
+
+
 def int_text(x: Column) -> Column:
     """Text of round(x) as Python prints an int."""
     return F.bround(x, 0).cast("bigint").cast("string")

@@ -4,3 +4,4 @@ from . import readings  # noqa: F401
 from . import daily_tables  # noqa: F401,E402
 from . import trend_tables  # noqa: F401,E402
 from . import store_tables  # noqa: F401,E402
+from . import prompt_tables  # noqa: F401,E402

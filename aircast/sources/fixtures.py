@@ -120,15 +120,17 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One prompt per user turn of ``conversations``."""
+    """One prompt per user turn of ``conversations``; the asking room is
+    conv_id % 10."""
     c = _read(spark, sf_dir, "conversations").where(F.col("role") == "user")
     t = spark.createDataFrame(PROMPT_TEMPLATES, "n int, prompt string")
     c = c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"),
+        (F.col("conv_id") % 10).alias("room_id"),
         ((F.col("conv_id") * 7 + F.col("turn") * 3) % 24).cast("int").alias("n"),
     )
     # the template table has 24 rows: a fixed, proven size
-    return c.join(F.broadcast(t), "n").select("prompt_id", "prompt")
+    return c.join(F.broadcast(t), "n").select("prompt_id", "room_id", "prompt")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +180,7 @@ SELECT event_id AS seq,
        CASE WHEN event_id % 10 IN (3, 5, 6) THEN NULL ELSE 400 + CAST(floor(value * 10) AS INT) END AS co2
 FROM events""",
     "prompts": """
-SELECT c.conv_id * 1000 + c.turn AS prompt_id, t.prompt
+SELECT c.conv_id * 1000 + c.turn AS prompt_id, c.conv_id %% 10 AS room_id, t.prompt
 FROM conversations c
 JOIN (VALUES
   %s
