@@ -78,7 +78,7 @@ def cte(name: str, body: str, *deps: str) -> None:
     CTE[name] = (body.strip(), deps)
 
 
-def with_(body: str, *names: str) -> str:
+def with_(body: str, *names: str, recursive: bool = False) -> str:
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -91,7 +91,8 @@ def with_(body: str, *names: str) -> str:
     for n in names:
         visit(n)
     parts = [f"{n} AS (\n{CTE[n][0]}\n)" for n in order]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return (head + ",\n".join(parts) + "\n" if parts else "") + body.strip()
 
 
 def r6(expr: str, alias: str | None = None) -> str:
