@@ -6,3 +6,4 @@ from . import trend_tables  # noqa: F401,E402
 from . import store_tables  # noqa: F401,E402
 from . import prompt_tables  # noqa: F401,E402
 from . import model_tables  # noqa: F401,E402
+from . import stream_tables  # noqa: F401,E402

@@ -44,9 +44,24 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def events_stream(spark: SparkSession, sf_dir: str, *, max_files: int | None = None) -> DataFrame:
+    """The events table as a file stream (the landing folder of the feed)."""
+    r = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(sf_dir)
+
+
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored readings: bad timestamps and outliers are injected on purpose."""
-    ev = _read(spark, sf_dir, "events")
+    return measurements_of(_read(spark, sf_dir, "events"))
+
+
+def measurements_of(ev: DataFrame) -> DataFrame:
+    """The measurement projection of an events frame (batch or stream)."""
     eid = F.col("event_id")
     k = F.expr("CAST(substr(props, 7, length(props) - 7) AS INT)")
     return ev.select(
@@ -83,7 +98,11 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence-radar lines; ``ts`` is the instant (TIMESTAMP, UTC)."""
-    ev = _read(spark, sf_dir, "events").where(F.col("event_type").isin("view", "error", "signup"))
+    return pings_of(_read(spark, sf_dir, "events"))
+
+
+def pings_of(ev: DataFrame) -> DataFrame:
+    ev = ev.where(F.col("event_type").isin("view", "error", "signup"))
     return ev.select(
         F.col("event_id").alias("ping_id"),
         (F.col("user_id") % 10).alias("room_id"),
