@@ -12,7 +12,7 @@ from . import history as H
 from . import prompts as P
 from .daily_tables import weather_of
 from .readings import daily_table
-from .registry import cte, query, with_
+from .registry import cte, query, r6, with_
 from .trend_tables import _LINE_SQL, hourly_latest, runs_table
 
 AS_OF = "2024-01-30"
@@ -210,8 +210,8 @@ def lookup_of(spark, sf):
 @query(
     "forecast_lookup",
     with_("SELECT prompt_id, room_id, target_date, round(pred_co2, 6) AS pred_co2, round(pred_temp, 6) AS pred_temp, advies FROM lookup", "lookup")
-    .replace("round(pred_co2, 6) AS pred_co2", "(floor(CAST(pred_co2 AS DOUBLE) * 1e6 + 0.5) / 1e6) AS pred_co2")
-    .replace("round(pred_temp, 6) AS pred_temp", "(floor(CAST(pred_temp AS DOUBLE) * 1e6 + 0.5) / 1e6) AS pred_temp"),
+    .replace("round(pred_co2, 6) AS pred_co2", r6("pred_co2", "pred_co2"))
+    .replace("round(pred_temp, 6) AS pred_temp", r6("pred_temp", "pred_temp")),
 )
 def forecast_lookup(spark, sf):
     """A forecast-day prompt matched to its room's latest forecast."""

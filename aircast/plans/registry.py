@@ -19,10 +19,17 @@ ORACLE: dict[str, str] = {}
 DIGITS = 6
 
 
+# Canonical output rounding to 6 digits uses the threshold 1/sqrt(3)
+# instead of 1/2: results of fixed-point data are often exact short decimals
+# that sit exactly on a half-way point, where two engines' float sums (added
+# in different orders) fall on different sides.  No short decimal lies on an
+# irrational threshold, so identical-up-to-noise values round identically.
+THRESHOLD = 0.5773502691896258
+
+
 def round6(c):
-    """IEEE-only rounding, ties up: identical in Spark and DuckDB for the
-    same double (the engines' own ``round`` break decimal ties differently)."""
-    scaled = c * F.lit(10.0**DIGITS) + F.lit(0.5)
+    """IEEE-only canonical rounding, identical in Spark and DuckDB."""
+    scaled = c * F.lit(10.0**DIGITS) + F.lit(THRESHOLD)
     return F.when(F.abs(c) < F.lit(1e12), F.floor(scaled).cast("double") / F.lit(10.0**DIGITS)).otherwise(c)
 
 
@@ -98,7 +105,7 @@ def with_(body: str, *names: str, recursive: bool = False) -> str:
 def r6(expr: str, alias: str | None = None) -> str:
     """Oracle twin of ``round6``."""
     x = f"CAST({expr} AS DOUBLE)"
-    s = f"(CASE WHEN abs({x}) < 1e12 THEN floor({x} * 1e6 + 0.5) / 1e6 ELSE {x} END)"
+    s = f"(CASE WHEN abs({x}) < 1e12 THEN floor({x} * 1e6 + {THRESHOLD}) / 1e6 ELSE {x} END)"
     return f"{s} AS {alias}" if alias else s
 
 
