@@ -42,7 +42,9 @@ def features(daily: DataFrame, weather: DataFrame, holidays: DataFrame | None =
     df = W.rapid_rise(df, threshold=rise)
     df = cal.calendar_flags(df)
     if holidays is None:
-        holidays = cal.holiday_dim(cal.years_of(daily))
+        # every feature day is a weather day (inner join), so the weather
+        # table's years cover them; it is tiny, the daily table is not
+        holidays = cal.holiday_dim(cal.years_of(weather))
     df = cal.with_holiday(df, holidays)
     df = cal.day_cyclic(df)
     if sleep_ratio:

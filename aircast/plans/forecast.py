@@ -144,8 +144,12 @@ def forecast_table(scaffold: DataFrame, temp_fc: DataFrame, co2_fc: DataFrame, *
 
 def run_forecast(feats: DataFrame, weather: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, horizon: int = 7,
                  lam: float = 1.0, leak_free: bool = False) -> DataFrame:
-    """Flagship plan: features -> both models -> scaffold -> folds -> table."""
+    """Flagship plan: features -> both models -> scaffold -> folds -> table.
+    The feature table feeds six branches, so it is checkpointed once."""
+    from ..session import materialize
+
     keys = list(keys)
+    feats = materialize(feats)
     sc = future_scaffold(feats, weather, keys=keys, horizon=horizon)
     tm = M.fit_temp(feats, keys=keys, lam=lam)
     cm, _ = M.fit_co2(feats, keys=keys, leak_free=leak_free)

@@ -89,9 +89,7 @@ def write_forecast(runs: DataFrame, path: str, *, keys: Sequence[str] = DEFAULT_
 def history_append(runs: DataFrame, path: str) -> None:
     """Append runs to the history, partitioned by run_id; a rerun of
     the same run replaces only its own partition (dynamic overwrite)."""
-    spark = runs.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    runs.write.mode("overwrite").partitionBy("run_id").parquet(path)
+    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def read_history(spark, path: str) -> DataFrame:

@@ -8,6 +8,13 @@ from . import forecast as FC
 from . import models as M
 from .daily_tables import feature_table, weather_of
 from .registry import cte, query, r6, with_
+from ..session import materialize
+
+
+def shared_features(spark, sf):
+    """The feature table, checkpointed: the model queries read it in
+    several branches (gate, sums, seeds, scaffold, folds)."""
+    return materialize(feature_table(spark, sf))
 
 # ---------------------------------------------------------------- oracle CTEs
 cte(
@@ -254,7 +261,7 @@ def expanding_slices(spark, sf):
 )
 def temp_forecast_fixed(spark, sf):
     """K16 fold with fixed coefficients against a recursive CTE."""
-    f = feature_table(spark, sf)
+    f = shared_features(spark, sf)
     return FC.temp_forecast_fixed(FC.future_scaffold(f, weather_of(spark, sf)), f)
 
 
@@ -271,7 +278,7 @@ _XB_SC = (
 )
 def co2_forecast_fixed(spark, sf):
     """K15 fold with fixed coefficients against a recursive CTE."""
-    f = feature_table(spark, sf)
+    f = shared_features(spark, sf)
     return FC.co2_forecast_fixed(FC.future_scaffold(f, weather_of(spark, sf)), f)
 
 
@@ -279,34 +286,34 @@ def co2_forecast_fixed(spark, sf):
 @query("temp_model")
 def temp_model(spark, sf):
     """K4: ridge coefficients per series (raw units, x . beta)."""
-    return M.fit_temp(feature_table(spark, sf))
+    return M.fit_temp(shared_features(spark, sf))
 
 
 @query("co2_model")
 def co2_model(spark, sf):
     """K6"""
-    m, _ = M.fit_co2(feature_table(spark, sf))
+    m, _ = M.fit_co2(shared_features(spark, sf))
     return m
 
 
 @query("co2_coefficients")
 def co2_coefficients(spark, sf):
     """K7"""
-    m, _ = M.fit_co2(feature_table(spark, sf))
+    m, _ = M.fit_co2(shared_features(spark, sf))
     return M.co2_coefficients(m)
 
 
 @query("model_aic")
 def model_aic(spark, sf):
     """K8"""
-    _, rows = M.fit_co2(feature_table(spark, sf))
+    _, rows = M.fit_co2(shared_features(spark, sf))
     return M.model_aic(rows)
 
 
 @query("fitted_values")
 def fitted_values(spark, sf):
     """K9: in-sample predictions of both models."""
-    f = feature_table(spark, sf)
+    f = shared_features(spark, sf)
     t = M.temp_fitted(f, M.fit_temp(f)).withColumn("model", F.lit("temp"))
     _, rows = M.fit_co2(f)
     c = rows.select("room_id", "ds", "y", "yhat").withColumn("model", F.lit("co2"))
@@ -325,31 +332,31 @@ def residuals(spark, sf):
 @query("holdout_eval")
 def holdout_eval(spark, sf):
     """K11"""
-    return M.holdout_eval(feature_table(spark, sf))
+    return M.holdout_eval(shared_features(spark, sf))
 
 
 @query("rolling_cv")
 def rolling_cv(spark, sf):
     """K12 rows (one per cutoff)"""
-    return M.rolling_cv(feature_table(spark, sf))
+    return M.rolling_cv(shared_features(spark, sf))
 
 
 @query("cv_vs_persistence")
 def cv_vs_persistence(spark, sf):
     """K12 metrics + K13 flag"""
-    return M.cv_metrics(M.rolling_cv(feature_table(spark, sf)))
+    return M.cv_metrics(M.rolling_cv(shared_features(spark, sf)))
 
 
 @query("walk_forward")
 def walk_forward(spark, sf):
     """K14 (CO2, cumulative sums)"""
-    return M.walk_forward(feature_table(spark, sf))
+    return M.walk_forward(shared_features(spark, sf))
 
 
 @query("co2_forecast")
 def co2_forecast(spark, sf):
     """K15"""
-    f = feature_table(spark, sf)
+    f = shared_features(spark, sf)
     m, _ = M.fit_co2(f)
     return FC.co2_forecast(FC.future_scaffold(f, weather_of(spark, sf)), m)
 
@@ -357,7 +364,7 @@ def co2_forecast(spark, sf):
 @query("temp_forecast")
 def temp_forecast(spark, sf):
     """K16"""
-    f = feature_table(spark, sf)
+    f = shared_features(spark, sf)
     return FC.temp_forecast(FC.future_scaffold(f, weather_of(spark, sf)), M.fit_temp(f), f)
 
 
@@ -370,4 +377,4 @@ def forecast_table(spark, sf):
 @query("small_data_eval")
 def small_data_eval(spark, sf):
     """K19"""
-    return M.small_data_eval(feature_table(spark, sf))
+    return M.small_data_eval(shared_features(spark, sf))

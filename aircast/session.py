@@ -37,6 +37,7 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "ai
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("AIRCAST_DRIVER_MEM", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config(
@@ -52,6 +53,14 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "ai
     return spark
 
 
+def materialize(df):
+    """Cut lineage for a table that several plans reuse (the feature table):
+    a reliable ``checkpoint`` in the shared checkpoint folder, so a lost
+    executor does not replay the whole upstream plan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
