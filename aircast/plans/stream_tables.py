@@ -98,3 +98,14 @@ def stream_append_store(spark, sf):
     base = ST.stream_dir(spark, "store")
     ST.append_store(m, f"{base}/store", f"{base}/_checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/store").select("id", "room_id", "ts_raw", "co2")
+
+
+@query("stream_presence_latch_rows", with_(
+    """SELECT c.id, c.room_id, c.ts, coalesce(c.ts >= f.first_on, false) AS presence_latched
+FROM clean c LEFT JOIN first_on f ON f.room_id = c.room_id AND f.blk = date_trunc('hour', c.ts - INTERVAL 2 MINUTE)""",
+    "clean", "first_on"))
+def stream_presence_latch_rows(spark, sf):
+    """J5 per reading (keyed state) == C6."""
+    p = fx.pings_of(fx.events_stream(spark, sf))
+    s = ST.presence_latch_rows(stream_readings(spark, sf), p)
+    return ST.run_available_now(s, "presence_latch_rows")

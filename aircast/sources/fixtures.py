@@ -47,9 +47,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def events_stream(spark: SparkSession, sf_dir: str, *, max_files: int | None = None) -> DataFrame:
+def events_stream(spark: SparkSession, sf_dir: str, *, max_files: int | None = None, glob: str = "events.parquet") -> DataFrame:
     """The events table as a file stream (the landing folder of the feed)."""
-    r = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
+    r = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     return r.parquet(sf_dir)
