@@ -337,3 +337,18 @@ def comfort_bands(spark, sf):
     """H12"""
     df = daily_table(spark, sf)
     return df.select("room_id", "ds", *S.comfort_flags(F.col("temp_mean") + 4, F.col("co2_mean") + 300))
+
+
+@query(
+    "select_rename",
+    with_(
+        "SELECT ds, {}, {}, {}, {} FROM feats".format(
+            r6("temp_mean", "y"), r6("outside_temp_max", "outside_temp_max"), r6("outside_temp_min", "outside_temp_min"),
+            r6("temp_lag1", "temp_lag1"),
+        ).replace("SELECT ds,", "SELECT room_id, ds,"),
+        "feats",
+    ),
+)
+def select_rename(spark, sf):
+    """The model frame of one model: projection with rename (temp_mean -> y)."""
+    return feature_table(spark, sf).select("room_id", "ds", F.col("temp_mean").alias("y"), "outside_temp_max", "outside_temp_min", "temp_lag1")

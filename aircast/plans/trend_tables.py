@@ -19,6 +19,7 @@ from . import history as H
 from .daily_tables import advice_sql, feature_table, warning_sql, weather_of
 from .readings import AS_OF, MCOLS, OFFICE_DAYS, cleaned, daily_table
 from .registry import cte, query, r6, with_
+from ..functions import calendar as cal  # noqa: F811
 
 SEASON_LIST = "['Winter', 'Spring', 'Summer', 'Autumn']"
 
@@ -585,3 +586,60 @@ def residual_histogram(spark, sf):
     maximum in the last bin, empty bins listed with n = 0."""
     f = feature_table(spark, sf)
     return EV.histogram(f.withColumn("r", F.col("co2_mean") - F.col("co2_lag1")), "r", bins=15)
+
+
+@query(
+    "season_reindex",
+    with_(
+        f"""SELECT k.room_id, k.season, {r6('a.co2_mean', 'co2_mean')} FROM
+(SELECT DISTINCT room_id, unnest({SEASON_LIST}) AS season FROM clean) k
+LEFT JOIN (SELECT room_id, list_extract({SEASON_LIST}, CAST(month(local_ts) % 12 // 3 + 1 AS INT)) AS season, avg(co2) AS co2_mean
+           FROM clean GROUP BY ALL) a ON a.room_id = k.room_id AND a.season = k.season""",
+        "clean",
+    ),
+)
+def season_reindex(spark, sf):
+    """C4: mean CO2 by season over all readings, aligned to the four
+    seasons (missing ones NULL)."""
+    c = cleaned(spark, sf).withColumn("season", cal.season_of(F.col("local_ts")))
+    return TR.season_profile(c, metrics=("co2",))
+
+
+@query(
+    "history_append",
+    with_(f"SELECT {RUN_OUT} FROM runs", "runs"),
+)
+def history_append(spark, sf):
+    """Runs appended to a history folder partitioned by run_id (in the
+    shared checkpoint folder); the last run is written again, which replaces
+    only its own partition.  Returns the history as read back."""
+    from ..streaming.streams import stream_dir
+
+    runs = runs_table(spark, sf)
+    path = stream_dir(spark, "history") + "/history"
+    H.history_append(runs, path)
+    H.history_append(H.latest_run(runs), path)
+    return spark.read.schema(runs.schema).parquet(path).select(*runs.columns)
+
+
+@query(
+    "history_flatten",
+    with_(
+        f"""SELECT {RUN_OUT.replace('room_id, run_id,', 'room_id, wk, run_id,')},
+       CAST(dense_rank() OVER (PARTITION BY room_id, wk ORDER BY run_id) - 1 AS BIGINT) AS run_pos,
+       CAST(row_number() OVER (PARTITION BY room_id, run_id ORDER BY ds) - 1 AS BIGINT) AS day_pos
+FROM (SELECT *, date_trunc('week', run_id)::DATE AS wk FROM runs)""",
+        "runs",
+    ),
+)
+def history_flatten(spark, sf):
+    """Runs nested as (room, week) -> runs -> days (at most 7 x 7 per
+    group), then flattened back with run and day positions."""
+    runs = runs_table(spark, sf).withColumn("wk", F.to_date(F.date_trunc("week", "run_id")))
+    per_run = runs.groupBy("room_id", "wk", "run_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("ds", F.struct(*[c for c in runs.columns if c not in ("room_id", "wk")]).alias("r")))), lambda x: x["r"]).alias("days")
+    )
+    nested = per_run.groupBy("room_id", "wk").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("run_id", "days"))), lambda x: x["days"]).alias("history")
+    )
+    return H.flatten_history(nested)
