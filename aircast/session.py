@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     # broadcast only what is proven small; 32 MB is the ceiling for the
     # dimension tables (weather, holidays, coefficients, bounds rows)
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # keyed state of the stream operators (transformWithStateInPandas needs RocksDB)
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
