@@ -64,23 +64,31 @@ MUSIC_COMMANDS = {
 WAKE_PHRASE = "hey luna"
 
 
-def _any(text: Column, words) -> Column:
+def has(text: Column, word: str, mode: str = "reference") -> Column:
+    """Substring test (``reference``) or whole-word test (``strict``: 'air'
+    no longer hits 'fair', 'on' no longer hits 'one')."""
+    if mode == "strict":
+        return text.rlike(r"\b" + word + r"\b")
+    return text.contains(word)
+
+
+def _any(text: Column, words, mode: str = "reference") -> Column:
     out = F.lit(False)
     for w in words:
-        out = out | text.contains(w)
+        out = out | has(text, w, mode)
     return out
 
 
-def is_climate(prompt: Column) -> Column:
-    return _any(F.lower(prompt), CLIMATE_WORDS)
+def is_climate(prompt: Column, mode: str = "reference") -> Column:
+    return _any(F.lower(prompt), CLIMATE_WORDS, mode)
 
 
-def is_forecast(prompt: Column) -> Column:
-    return _any(F.lower(prompt), FORECAST_WORDS)
+def is_forecast(prompt: Column, mode: str = "reference") -> Column:
+    return _any(F.lower(prompt), FORECAST_WORDS, mode)
 
 
-def is_weather(prompt: Column) -> Column:
-    return _any(F.lower(prompt), WEATHER_WORDS)
+def is_weather(prompt: Column, mode: str = "reference") -> Column:
+    return _any(F.lower(prompt), WEATHER_WORDS, mode)
 
 
 def _month_number(m: Column) -> Column:
@@ -110,34 +118,41 @@ def forecast_date(prompt: Column, as_of: Column) -> Column:
     return F.coalesce(*cands)
 
 
-def route(prompt: Column, as_of: Column) -> Column:
+def route(prompt: Column, as_of: Column, mode: str = "reference") -> Column:
     """Intent label, first hit wins; the first nine tests are
-    case-sensitive on the raw prompt."""
+    case-sensitive on the raw prompt.  ``mode="strict"`` matches whole words
+    and lets weather / forecast questions through the music tests (so
+    'weather next week' is weather, not skip)."""
     p = prompt
-    fc = is_forecast(p)
+    h = lambda w: has(p, w, mode)
+    fc = is_forecast(p, mode)
+    topical = (is_weather(p, mode) | fc) if mode == "strict" else F.lit(False)
     return (
         F.when(p.startswith("play "), "play")
-        .when(p.contains("pause"), "pause")
-        .when(p.contains("resume") | p.contains("continue"), "resume")
-        .when(p.contains("skip") | p.contains("next"), "skip")
-        .when(p.contains("stop music") | p.contains("stop song"), "stop_music")
-        .when(p.contains("light") & p.contains("on"), "light_on")
-        .when(p.contains("light") & p.contains("off"), "light_off")
-        .when(p.contains("measure") & p.contains("now"), "measure")
-        .when(p.contains("forecast") & p.contains("run"), "run_forecast")
-        .when(is_weather(p), "weather")
+        .when(~topical & h("pause"), "pause")
+        .when(~topical & (h("resume") | h("continue")), "resume")
+        .when(~topical & (h("skip") | h("next")), "skip")
+        .when(h("stop music") | h("stop song"), "stop_music")
+        .when(h("light") & h("on"), "light_on")
+        .when(h("light") & h("off"), "light_off")
+        .when(h("measure") & h("now"), "measure")
+        .when(h("forecast") & h("run"), "run_forecast")
+        .when(is_weather(p, mode), "weather")
         .when(fc & forecast_date(p, as_of).isNotNull(), "forecast_day")
         .when(fc, "forecast")
-        .when(is_climate(p), "climate")
+        .when(is_climate(p, mode), "climate")
         .otherwise("general")
     )
 
 
-def relative_offset(prompt: Column) -> Column:
-    """Day offset of the first relative phrase in test order, or NULL."""
+def relative_offset(prompt: Column, mode: str = "reference") -> Column:
+    """Day offset of the first relative phrase in test order, or NULL.
+    ``mode="strict"`` tests the longest phrase first ('day after tomorrow'
+    is +2, not +1)."""
     p = F.lower(prompt)
     out = None
-    for phrase, off in RELATIVE_DATES:
+    phrases = RELATIVE_DATES if mode == "reference" else sorted(RELATIVE_DATES, key=lambda x: -len(x[0]))
+    for phrase, off in phrases:
         out = F.when(p.contains(phrase), F.lit(off)) if out is None else out.when(p.contains(phrase), F.lit(off))
     return out
 
@@ -159,10 +174,10 @@ def absolute_date(prompt: Column, as_of: Column) -> tuple[Column, Column]:
     return d, matched
 
 
-def weather_target(prompt: Column, as_of: Column, *, horizon: int = 15) -> tuple[Column, Column]:
+def weather_target(prompt: Column, as_of: Column, *, horizon: int = 15, mode: str = "reference") -> tuple[Column, Column]:
     """I3 + I4 + I5: (target date, status) for a weather question.
     status: ok / invalid / too_far."""
-    off = relative_offset(prompt)
+    off = relative_offset(prompt, mode)
     ad, matched = absolute_date(prompt, as_of)
     target = F.when(off.isNotNull(), F.date_add(as_of, off)).when(matched, ad).otherwise(as_of)
     status = (

@@ -101,9 +101,10 @@ def co2_fold(rows: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAUL
     return j.select(*keys, F.inline(expr)).select(*keys, "h", "ds", "pred_co2")
 
 
-def co2_forecast(scaffold: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
+def co2_forecast(scaffold: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS,
+                 exog: Sequence[str] = tuple(M.CO2_EXOG)) -> DataFrame:
     """7 steps ahead with the scaffold's exogenous columns."""
-    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in M.CO2_EXOG])
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in exog])
     return co2_fold(scaffold.withColumn("x", x), models, keys=keys)
 
 

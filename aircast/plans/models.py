@@ -111,9 +111,14 @@ def temp_fitted(feats: DataFrame, models: DataFrame, *, keys: Sequence[str] = DE
 # -------------------------------------------------------------------- CO2
 CO2_EXOG = ["presence_ratio", "hum_mean", "is_weekend", "is_holiday", "co2_diff1", "rapid_rise"]
 CO2_TERMS = ["const", *CO2_EXOG]
+# the older variant's nine exogenous columns (adds temp_diff, cloudcover,
+# day_cos, sleep_time_ratio; drops is_weekend)
+CO2_EXOG_OLD = ["presence_ratio", "hum_mean", "is_holiday", "co2_diff1", "rapid_rise", "temp_diff", "cloudcover",
+                "day_cos", "sleep_time_ratio"]
 
 
-def co2_exog(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_free: bool = False) -> DataFrame:
+def co2_exog(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_free: bool = False,
+             exog: Sequence[str] = tuple(CO2_EXOG)) -> DataFrame:
     """x = the six exogenous columns as doubles; ``leak_free`` replaces the
     two that contain the target by their one-day lags (0 on the first day)."""
     d = feats
@@ -122,7 +127,7 @@ def co2_exog(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_free:
         d = d.withColumn("co2_diff1", F.coalesce(F.lag("co2_diff1").over(w), F.lit(0.0))).withColumn(
             "rapid_rise", F.coalesce(F.lag("rapid_rise").over(w), F.lit(False))
         )
-    return d.withColumn("x", F.array(F.lit(1.0), *[F.col(c).cast("double") for c in CO2_EXOG])).withColumn(
+    return d.withColumn("x", F.array(F.lit(1.0), *[F.col(c).cast("double") for c in exog])).withColumn(
         "y", F.col("co2_mean").cast("double")
     )
 
@@ -133,7 +138,7 @@ def _solve_pass(df: DataFrame, keys, x: Column, y: Column, p: int, use, lam: flo
 
 
 def fit_co2(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_free: bool = False, lam: float = 1e-6,
-            ma: bool = True) -> tuple[DataFrame, DataFrame]:
+            ma: bool = True, exog: Sequence[str] = tuple(CO2_EXOG)) -> tuple[DataFrame, DataFrame]:
     """K6: y = x.beta + u, u = phi1 u-1 + phi2 u-2 + delta t + e + theta e-1.
 
     Pass A: beta from the Gram of (x, y).  Pass B: u on (u-1, u-2, t) gives
@@ -141,8 +146,8 @@ def fit_co2(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_free:
     theta.  Returns (models, rows) where rows carry u, e and fitted values."""
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("ds")
-    d = co2_exog(feats, keys=keys, leak_free=leak_free).withColumn("t", F.row_number().over(w).cast("double"))
-    a = _solve_pass(d, keys, F.col("x"), F.col("y"), len(CO2_TERMS), [False] + [True] * len(CO2_EXOG), lam)
+    d = co2_exog(feats, keys=keys, leak_free=leak_free, exog=exog).withColumn("t", F.row_number().over(w).cast("double"))
+    a = _solve_pass(d, keys, F.col("x"), F.col("y"), len(exog) + 1, [False] + [True] * len(exog), lam)
     d = d.join(a.select(*keys, F.col("beta").alias("b_x"), F.col("status").alias("status_a"), F.col("dropped").alias("dropped_x")), keys)
     d = d.withColumn("u", F.col("y") - G.dot(F.col("x"), F.col("b_x")))
     d = d.withColumn("u1", F.lag("u", 1).over(w)).withColumn("u2", F.lag("u", 2).over(w))
@@ -181,10 +186,10 @@ def fit_co2(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_free:
     return models, rows
 
 
-def co2_coefficients(models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
+def co2_coefficients(models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, exog: Sequence[str] = tuple(CO2_EXOG)) -> DataFrame:
     """K7: (keys, term, value) rows from the model table."""
     terms = F.create_map(
-        *[x for i, c in enumerate(CO2_EXOG, start=1) for x in (F.lit(c), F.col("beta")[i])],
+        *[x for i, c in enumerate(exog, start=1) for x in (F.lit(c), F.col("beta")[i])],
         F.lit("ar.L1"), F.col("phi1"), F.lit("ar.L2"), F.col("phi2"), F.lit("drift"), F.col("delta"),
         F.lit("ma.L1"), F.col("theta"),
     )

@@ -249,3 +249,25 @@ def test_co2_passes_match_numpy(spark):
     Z = np.column_stack([uu[1:-1], uu[:-2], t[2:]])
     c = np.linalg.solve(Z.T @ Z + 1e-6 * np.eye(3), Z.T @ uu[2:])
     assert np.allclose([r.phi1, r.phi2, r.delta], c, atol=1e-6)
+
+
+def test_route_modes(spark):
+    p = rows(spark, [("weather next week",), ("is this fair?",), ("what is the weather day after tomorrow",)], "prompt string")
+    d = F.lit("2024-01-30").cast("date")
+    ref = [r[0] for r in p.select(X.route(F.col("prompt"), d)).collect()]
+    strict = [r[0] for r in p.select(X.route(F.col("prompt"), d, mode="strict")).collect()]
+    assert ref == ["skip", "climate", "weather"] and strict == ["weather", "general", "weather"]
+    offs = [tuple(r) for r in p.select(X.relative_offset(F.col("prompt")), X.relative_offset(F.col("prompt"), "strict")).collect()]
+    assert offs[2] == (1, 2)
+
+
+def test_old_variant_exog(spark):
+    from aircast.plans import models as M
+    from aircast.plans.daily_tables import feature_table
+
+    f = feature_table(spark, "/root/testdata/sf0.001", sleep_ratio=True)
+    m, _ = M.fit_co2(f, exog=M.CO2_EXOG_OLD)
+    r = m.first()
+    assert len(r.beta) == len(M.CO2_EXOG_OLD) + 1
+    # constant columns (is_holiday in January, sleep_time_ratio) are dropped, not fatal
+    assert M.CO2_EXOG_OLD.index("sleep_time_ratio") + 1 in r.dropped
