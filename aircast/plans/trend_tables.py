@@ -611,14 +611,15 @@ def season_reindex(spark, sf):
 )
 def history_append(spark, sf):
     """Runs appended to a history folder partitioned by run_id (in the
-    shared checkpoint folder); the last run is written again, which replaces
-    only its own partition.  Returns the history as read back."""
+    shared checkpoint folder); the newest run is written again, which
+    replaces only its own partition.  Returns the history as read back."""
     from ..streaming.streams import stream_dir
 
     runs = runs_table(spark, sf)
     path = stream_dir(spark, "history") + "/history"
     H.history_append(runs, path)
-    H.history_append(H.latest_run(runs), path)
+    # a rerun writes the whole newest run (every series of that run_id)
+    H.history_append(runs.where(F.col("run_id") == runs.agg(F.max("run_id")).scalar()), path)
     return spark.read.schema(runs.schema).parquet(path).select(*runs.columns)
 
 
