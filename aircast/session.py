@@ -23,6 +23,18 @@ RUNTIME_CONF = {
 }
 
 
+# Suggested static settings for a large cluster (100 TB of readings); the
+# library never sets these itself, the cluster owner does.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",  # upper bound; AQE coalesces
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.checkpoint.dir": "<shared storage, e.g. an object-store prefix>",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings the operators depend on (idempotent)."""
     for k, v in RUNTIME_CONF.items():

@@ -133,3 +133,21 @@ def apply_changes(changes: DataFrame) -> DataFrame:
     return out.select(
         "id", F.when(newer, F.col("upd_presence")).otherwise(F.col("presence")).alias("presence"), "co2"
     )
+
+
+def write_store(df: DataFrame, path: str, *, mode: str = "append") -> None:
+    """Persist readings partitioned by their UTC ``date`` (from the text
+    timestamp; unparsable stamps land in the NULL-date partition), so
+    day-range reads prune whole folders."""
+    d = F.to_date(F.try_to_timestamp(F.col("ts_raw")).cast("timestamp_ntz"))
+    conform(df).withColumn("date", d).write.mode(mode).partitionBy("date").parquet(path)
+
+
+def read_days(spark, path: str, lo: str, hi: str) -> DataFrame:
+    """Readings of UTC days lo..hi: a predicate on the partition column, so
+    the scan lists only those folders (``PartitionFilters`` in the plan)."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType(list(schemas.MEASUREMENT.fields) + [T.StructField("date", T.DateType())])
+    df = spark.read.schema(schema).parquet(path)
+    return df.where(F.col("date").between(F.lit(lo).cast("date"), F.lit(hi).cast("date")))

@@ -271,3 +271,39 @@ def test_old_variant_exog(spark):
     assert len(r.beta) == len(M.CO2_EXOG_OLD) + 1
     # constant columns (is_holiday in January, sleep_time_ratio) are dropped, not fatal
     assert M.CO2_EXOG_OLD.index("sleep_time_ratio") + 1 in r.dropped
+
+
+def test_store_partition_pruning(spark, tmp_path):
+    from aircast.sources import fixtures as fx
+
+    p = str(tmp_path / "store")
+    store.write_store(fx.measurements(spark, "/root/testdata/sf0.001"), p)
+    df = store.read_days(spark, p, "2024-01-03", "2024-01-04")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "date" in plan
+    full = C.parse_timestamp(fx.measurements(spark, "/root/testdata/sf0.001"))
+    want = full.where(F.to_date(F.col("ts").cast("timestamp_ntz")).between("2024-01-03", "2024-01-04")).count()
+    assert df.count() == want
+
+
+def test_read_store_json_array(spark, tmp_path):
+    import json
+
+    recs = [{"id": 1, "room_id": 0, "ts_raw": "2025-04-22T10:00:00+02:00", "co2": 612, "temperature": 21.5,
+             "humidity": 40.1, "presence": True},
+            {"id": 2, "room_id": 0, "ts_raw": "2025-04-22T10:05:00+02:00", "co2": 640, "temperature": 21.6,
+             "humidity": 40.0, "presence": False}]
+    f = tmp_path / "m.json"
+    f.write_text(json.dumps(recs))
+    df = store.read_store(spark, str(f), fmt="json")
+    assert df.count() == 2 and dict(df.dtypes)["co2"] == "int"
+
+
+def test_forecast_sink_layout(spark, tmp_path):
+    runs = rows(spark, [(1, dt.date(2025, 5, 28), 1, dt.date(2025, 5, 29), 23.1, 19.1, 13.5, 0.4, 89, 21.2, 4.08, False, True, 1010.6, "x")],
+                "room_id long, run_id date, h int, ds date, pred_temp double, outside_temp_max double, outside_temp_min double, "
+                "precipitation double, cloudcover int, wind double, solar_radiation double, is_weekend boolean, is_holiday boolean, "
+                "pred_co2 double, advies string")
+    H.write_forecast(runs, str(tmp_path / "fc"))
+    back = spark.read.json(str(tmp_path / "fc"))
+    assert back.first().ds == "2025-05-29T00:00:00" and len(back.columns) == 13
