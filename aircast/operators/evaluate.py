@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import DEFAULT_KEYS
-from .clean import per_key_bound
 
 
 def context_line(df: DataFrame):
@@ -119,5 +118,3 @@ def histogram(df: DataFrame, col: str, *, bins: int = 15, keys: Sequence[str] =
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 
-
-__all__ = ["per_key_bound"]

@@ -113,12 +113,15 @@ def temp_forecast(scaffold: DataFrame, models: DataFrame, feats: DataFrame, *, k
     [outside max, outside max + mean(indoor - outdoor max)]."""
     keys = list(keys)
     seeds = last_two(feats, "temp_mean", keys=keys)
-    diff = M_avg_diff(feats, keys)
+    diff = avg_temp_diff_of(feats, keys)
     sc = M.weekly_fourier(scaffold).join(models.select(*keys, "first_ds", "beta"), keys)
     x0 = M.temp_vector(F.date_diff(F.col("ds"), F.col("first_ds")), {"temp_lag1": F.lit(0.0), "temp_lag2": F.lit(0.0)})
     sc = sc.withColumn("base", G.dot(x0, F.col("beta")))
-    fut = _collect_future(sc, keys, [F.col("ds"), F.col("base"), F.col("outside_temp_max")])
-    j = fut.join(models.select(*keys, "beta"), keys).join(seeds, keys).join(diff, keys)
+    # the models are joined once; beta rides along with the future rows
+    fut = sc.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("h", "ds", "base", "outside_temp_max"))).alias("fut"), F.first("beta").alias("beta")
+    )
+    j = fut.join(seeds, keys).join(diff, keys)
     expr = temp_fold(
         F.col("fut"), F.col("temp_mean_last"), F.coalesce(F.col("temp_mean_prev"), F.col("temp_mean_last")),
         lambda r: r["base"], F.col("beta")[M.LAG1_IDX], F.col("beta")[M.LAG2_IDX],
@@ -128,7 +131,7 @@ def temp_forecast(scaffold: DataFrame, models: DataFrame, feats: DataFrame, *, k
     return out.select(*keys, "h", "ds", "pred_temp", (F.col("pred_temp") - F.col("low")).alias("temp_diff"))
 
 
-def M_avg_diff(feats: DataFrame, keys) -> DataFrame:
+def avg_temp_diff_of(feats: DataFrame, keys) -> DataFrame:
     return feats.groupBy(*keys).agg(F.avg(F.col("temp_mean") - F.col("outside_temp_max")).alias("avg_temp_diff"))
 
 
@@ -169,7 +172,7 @@ def temp_forecast_fixed(scaffold: DataFrame, feats: DataFrame, *, keys: Sequence
     keys = list(keys)
     a, b, c, d = FIXED_TEMP
     seeds = last_two(feats, "temp_mean", keys=keys)
-    diff = M_avg_diff(feats, keys)
+    diff = avg_temp_diff_of(feats, keys)
     fut = _collect_future(scaffold, keys, [F.col("ds"), F.col("outside_temp_max")])
     j = fut.join(seeds, keys).join(diff, keys)
     expr = temp_fold(

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import DEFAULT_KEYS
+from ..session import materialize
 from . import gram as G
 
 # ------------------------------------------------------------ temperature
@@ -151,13 +152,14 @@ def fit_co2(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_free:
     d = d.join(a.select(*keys, F.col("beta").alias("b_x"), F.col("status").alias("status_a"), F.col("dropped").alias("dropped_x")), keys)
     d = d.withColumn("u", F.col("y") - G.dot(F.col("x"), F.col("b_x")))
     d = d.withColumn("u1", F.lag("u", 1).over(w)).withColumn("u2", F.lag("u", 2).over(w))
+    d = materialize(d)  # each later pass reads these rows; cut the lineage once
     xb = F.array(F.lit(1.0), F.col("u1"), F.col("u2"), F.col("t"))
     rows_b = d.where(F.col("u2").isNotNull())
     b = _solve_pass(rows_b, keys, xb, F.col("u"), 4, [False, True, True, True], lam)
     d = d.join(b.select(*keys, F.col("beta").alias("b_ar")), keys, "left")
     d = d.withColumn("e", F.col("u") - G.dot(xb, F.col("b_ar")))
     if ma:
-        d = d.withColumn("e1", F.lag("e", 1).over(w))
+        d = materialize(d.withColumn("e1", F.lag("e", 1).over(w)))
         xc = F.array(F.lit(1.0), F.col("u1"), F.col("u2"), F.col("t"), F.col("e1"))
         c = _solve_pass(d.where(F.col("e1").isNotNull()), keys, xc, F.col("u"), 5, [False, True, True, True, True], lam)
         d = d.join(c.select(*keys, F.col("beta").alias("b_ma")), keys, "left")
@@ -168,17 +170,17 @@ def fit_co2(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_free:
         coef = F.concat(F.col("b_ar"), F.array(F.lit(0.0)))
     d = d.withColumn("eps", F.col("u") - F.col("ar")).withColumn("yhat", G.dot(F.col("x"), F.col("b_x")) + F.col("ar"))
     d = d.withColumn("coef", coef)
+    # the last row carries everything the forecast needs: u, u-1 (= u1), eps
     last = d.groupBy(*keys).agg(
-        F.max_by(F.struct("u", "eps", "t", "coef", "b_x", "status_a", "dropped_x"), "ds").alias("L"),
+        F.max_by(F.struct("u", "u1", "eps", "t", "coef", "b_x", "status_a", "dropped_x"), "ds").alias("L"),
         F.count(F.lit(1)).alias("n"),
     )
-    prev = d.groupBy(*keys).agg(F.max_by("u1", "ds").alias("u_prev"))
-    models = last.join(prev, keys).select(
+    models = last.select(
         *keys, "n",
         F.col("L.b_x").alias("beta"),
         F.col("L.coef")[1].alias("phi1"), F.col("L.coef")[2].alias("phi2"), F.col("L.coef")[3].alias("delta"),
         F.col("L.coef")[4].alias("theta"),
-        F.col("L.u").alias("u_last"), "u_prev", F.col("L.eps").alias("eps_last"), F.col("L.t").alias("t_last"),
+        F.col("L.u").alias("u_last"), F.col("L.u1").alias("u_prev"), F.col("L.eps").alias("eps_last"), F.col("L.t").alias("t_last"),
         F.when(F.col("L.coef").isNull(), "too_short").otherwise(F.col("L.status_a")).alias("status"),
         F.col("L.dropped_x").alias("dropped"),
     )
