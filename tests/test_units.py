@@ -307,3 +307,10 @@ def test_forecast_sink_layout(spark, tmp_path):
     H.write_forecast(runs, str(tmp_path / "fc"))
     back = spark.read.json(str(tmp_path / "fc"))
     assert back.first().ds == "2025-05-29T00:00:00" and len(back.columns) == 13
+
+
+def test_min_days_guard_strict(spark):
+    d = rows(spark, [(1, dt.date(2025, 1, i + 1)) for i in range(3)], "room_id long, ds date")
+    assert D.min_days_guard(d).first().status == "too_few_days"
+    with pytest.raises(ValueError):
+        D.min_days_guard(d, strict=True)
