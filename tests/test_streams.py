@@ -52,3 +52,29 @@ def test_append_store_idempotent(spark, tmp_path):
     ST.append_store(m, str(tmp_path / "store"), str(tmp_path / "ck")).awaitTermination()
     st = spark.read.parquet(str(tmp_path / "store"))
     assert st.count() == 1000 and st.select("batch_id").distinct().count() == 2
+
+
+def test_ingest_path(spark, tmp_path):
+    """landing JSON files -> validation -> ids -> idempotent store."""
+    m = fx.measurements(spark, SF)
+    body = F.to_json(F.struct(F.col("ts_raw").alias("timestamp"), "co2", "temperature", "humidity", "presence"))
+    pay = m.select(F.col("id").alias("seq"), "room_id", body.alias("payload"))
+    land = tmp_path / "land"
+    pay.where("seq < 500").coalesce(1).write.json(str(land / "p1"))
+    pay.where("seq >= 500").coalesce(1).write.json(str(land / "p2"))
+    import glob
+    import shutil
+
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    for i, d in enumerate(["p1", "p2"]):
+        shutil.copy(glob.glob(str(land / d / "*.json"))[0], feed / f"payload-{i}.json")
+    s = spark.readStream.schema("seq long, room_id long, payload string").option("maxFilesPerTrigger", 1).json(str(feed))
+    ST.ingest(s, str(tmp_path / "store"), str(tmp_path / "quarantine"), str(tmp_path / "ck")).awaitTermination()
+    st = spark.read.parquet(str(tmp_path / "store"))
+    q = spark.read.parquet(str(tmp_path / "quarantine"))
+    n_bad = m.where(F.col("co2").isNull()).count()
+    assert q.count() == n_bad and st.count() == 1000 - n_bad
+    ids = sorted(r.id for r in st.select("id").collect())
+    assert ids == list(range(1, len(ids) + 1))
+    assert st.select("batch_id").distinct().count() == 2
