@@ -90,7 +90,24 @@ def fit_temp(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, lam: float
     d = temp_design(feats, gate, keys=keys)
     p = len(TEMP_TERMS)
     sums = d.groupBy(*keys).agg(*G.gram_exprs(F.col("x"), F.col("y"), p), F.first("use").alias("use"), F.first("first_ds").alias("first_ds"))
-    return G.solve(sums, keys, std=TEMP_STD, pen=TEMP_PEN, lam=lam, use_col="use", carry=["first_ds", "n"])
+    m = G.solve(sums, keys, std=TEMP_STD, pen=TEMP_PEN, lam=lam, use_col="use", carry=["first_ds", "n"])
+    m = m.join(gate.select(*keys, "span_days"), list(keys), "left")
+    return with_status(m, TEMP_TERMS)
+
+
+def with_status(m: DataFrame, terms: Sequence[str], *, min_days: int = 7) -> DataFrame:
+    """Per-series model status (never an exception): too_few_days / the
+    solve's ok or singular; span flags; dropped terms by name."""
+    names = F.array(*[F.lit(t) for t in terms])
+    st = F.when(F.col("n") < min_days, F.lit("too_few_days")).otherwise(F.col("status"))
+    out = m.withColumn("status", st).withColumn("dropped_terms", F.transform("dropped", lambda i: F.element_at(names, i + 1)))
+    if "span_days" in m.columns:
+        out = (
+            out.withColumn("span_lt_14", F.col("span_days") < 14)
+            .withColumn("span_lt_21", F.col("span_days") < 21)
+            .withColumn("span_lt_30", F.col("span_days") < 30)
+        )
+    return out
 
 
 def temp_trend_ols(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
@@ -184,6 +201,7 @@ def fit_co2(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_free:
         F.when(F.col("L.coef").isNull(), "too_short").otherwise(F.col("L.status_a")).alias("status"),
         F.col("L.dropped_x").alias("dropped"),
     )
+    models = with_status(models, ["const", *exog])
     rows = d.select(*keys, "ds", "t", "x", "y", "u", "u1", "u2", "e", "e1", "eps", F.when(F.col("e1").isNotNull() | (~F.lit(ma) & F.col("u2").isNotNull()), F.col("yhat")).alias("yhat"))
     return models, rows
 

@@ -314,3 +314,16 @@ def test_min_days_guard_strict(spark):
     assert D.min_days_guard(d).first().status == "too_few_days"
     with pytest.raises(ValueError):
         D.min_days_guard(d, strict=True)
+
+
+def test_model_status_and_dropped_names(spark):
+    from aircast.plans import models as M
+    from aircast.plans.daily_tables import feature_table
+
+    f = feature_table(spark, "/root/testdata/sf0.001")
+    t = M.fit_temp(f).first()
+    assert t.status in ("ok", "singular") and "is_holiday" in t.dropped_terms and t.span_lt_30 is True
+    c, _ = M.fit_co2(f)
+    assert "is_holiday" in c.first().dropped_terms
+    short = M.fit_temp(f.where(F.col("ds") < "2024-01-05")).first()
+    assert short.status == "too_few_days"
