@@ -46,9 +46,6 @@ cte(
     """SELECT room_id, max(CASE WHEN rn = 1 THEN temp_mean END) AS t_last, max(CASE WHEN rn = 2 THEN temp_mean END) AS t_prev,
        max(CASE WHEN rn = 1 THEN u END) AS u_last, max(CASE WHEN rn = 2 THEN u END) AS u_prev
 FROM (SELECT room_id, temp_mean,
-             co2_mean - (((((0.0 + CAST(presence_ratio AS DOUBLE) * 200.0) + CAST(hum_mean AS DOUBLE) * 8.0)
-               + CAST(is_weekend AS DOUBLE) * 15.0) + CAST(is_holiday AS DOUBLE) * -10.0) + CAST(co2_diff1 AS DOUBLE) * 0.5)
-               - 0.0 + 0.0 AS u0,
              co2_mean - ((((((0.0 + CAST(presence_ratio AS DOUBLE) * 200.0) + CAST(hum_mean AS DOUBLE) * 8.0)
                + CAST(is_weekend AS DOUBLE) * 15.0) + CAST(is_holiday AS DOUBLE) * -10.0) + CAST(co2_diff1 AS DOUBLE) * 0.5)
                + CAST(rapid_rise AS DOUBLE) * 20.0) AS u,
