@@ -280,7 +280,7 @@ def walk_forward_ols(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, st
 
 
 def walk_forward(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, start: float = 0.6, lam: float = 1e-6,
-                 leak_free: bool = False) -> DataFrame:
+                 leak_free: bool = False, exog: Sequence[str] = tuple(CO2_EXOG)) -> DataFrame:
     """CO2 walk-forward with cumulative sums, no refit from raw rows.
 
     Each row carries z = (1, y, x, y-1, x-1, y-2, x-2, t); the sums of z z'
@@ -290,8 +290,8 @@ def walk_forward(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, start:
     per (series, test day); MA is left out here."""
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("ds")
-    d = co2_exog(feats, keys=keys, leak_free=leak_free).withColumn("t", F.row_number().over(w).cast("double"))
-    k = len(CO2_EXOG)
+    d = co2_exog(feats, keys=keys, leak_free=leak_free, exog=exog).withColumn("t", F.row_number().over(w).cast("double"))
+    k = len(exog)
     xe = F.slice("x", 2, k)
     d = d.withColumn("xe", xe).withColumn("y1", F.lag("y", 1).over(w)).withColumn("x1", F.lag("xe", 1).over(w))
     d = d.withColumn("y2", F.lag("y", 2).over(w)).withColumn("x2", F.lag("xe", 2).over(w))
@@ -305,11 +305,10 @@ def walk_forward(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, start:
     # test day i+1 for i >= int(start * n) (1-based rows of the full series)
     sums = sums.where((F.col("t") >= F.floor(F.col("n_rows") * start) + 2) & (F.col("n") >= 3))
     fits = _walk_solve(sums, keys, k, lam)
-    j = fits
     u_prev = F.col("y1") - G.dot(F.col("x1"), F.col("bx"))
     u_prev2 = F.col("y2") - G.dot(F.col("x2"), F.col("bx"))
     pred = G.dot(F.col("xe"), F.col("bx")) + F.col("phi1") * u_prev + F.col("phi2") * u_prev2 + F.col("delta") * F.col("t")
-    return j.select(*keys, F.col("ds").alias("test_ds"), "n", pred.alias("pred"), F.col("y").alias("actual")).withColumn(
+    return fits.select(*keys, F.col("ds").alias("test_ds"), "n", pred.alias("pred"), F.col("y").alias("actual")).withColumn(
         "err", F.col("actual") - F.col("pred")
     )
 
