@@ -327,3 +327,65 @@ def test_model_status_and_dropped_names(spark):
     assert "is_holiday" in c.first().dropped_terms
     short = M.fit_temp(f.where(F.col("ds") < "2024-01-05")).first()
     assert short.status == "too_few_days"
+
+
+def test_walk_forward_equals_refit(spark):
+    """Cumulative sums + one solve per day == refitting both passes on the
+    rows before each test day (numpy)."""
+    from aircast.plans import models as M
+    from aircast.plans.daily_tables import feature_table
+
+    f = feature_table(spark, "/root/testdata/sf0.01").where("room_id = 0")
+    wf = {r.test_ds: r.pred for r in M.walk_forward(f).collect()}
+    pdf = f.orderBy("ds").toPandas()
+    X = np.column_stack([pdf[c].astype(float) for c in M.CO2_EXOG])
+    y = pdf.co2_mean.values.astype(float)
+    n = len(y)
+    t = np.arange(1, n + 1, dtype=float)
+    checked = 0
+    for test in range(int(n * 0.6) + 1, n):
+        rows_ = np.arange(2, test)  # rows with both lags, before the test day
+        A = X[rows_]
+        keep = [j for j in range(A.shape[1]) if A[:, j].std() > 0]
+        b = np.zeros(A.shape[1])
+        b[keep] = np.linalg.solve(A[:, keep].T @ A[:, keep] + 1e-6 * np.eye(len(keep)), A[:, keep].T @ y[rows_])
+        u = y - X @ b
+        Z = np.column_stack([u[rows_ - 1], u[rows_ - 2], t[rows_]])
+        c = np.linalg.solve(Z.T @ Z + 1e-6 * np.eye(3), Z.T @ u[rows_])
+        pred = X[test] @ b + c[0] * u[test - 1] + c[1] * u[test - 2] + c[2] * t[test]
+        assert abs(wf[pdf.ds[test]] - pred) < 1e-6 * max(1.0, abs(pred))
+        checked += 1
+    assert checked >= 5
+
+
+def test_rolling_cv_equals_refit(spark):
+    """K12 from cumulative sums == standardised ridge refitted on the days
+    before each cutoff's test day (numpy)."""
+    from aircast.plans import models as M
+    from aircast.plans.daily_tables import feature_table
+
+    f = feature_table(spark, "/root/testdata/sf0.01").where("room_id = 3")
+    cv = {r.ds: r.yhat for r in M.rolling_cv(f).collect()}
+    d = M.temp_design(f, M.regressor_gate(f)).orderBy("ds").toPandas()
+    X = np.array([list(v) for v in d.x])
+    use = np.array(d.use.iloc[0], dtype=bool)
+    std = np.array(M.TEMP_STD) & use
+    pen = np.array(M.TEMP_PEN)
+    assert cv
+    for ds, yhat in cv.items():
+        i = int(np.where(d.ds == ds)[0][0])
+        A = X[:i][:, use]
+        keep = [j for j in range(A.shape[1]) if j == 0 or A[:, j].std() > 0]
+        A = A[:, keep]
+        s_, p_ = std[use][keep], pen[use][keep]
+        m, sd = A.mean(0), A.std(0)
+        Z = A.copy()
+        for j in range(A.shape[1]):
+            if s_[j]:
+                Z[:, j] = (A[:, j] - m[j]) / sd[j]
+        c = np.linalg.solve(Z.T @ Z + np.diag(np.where(p_, 1.0, 0.0)), Z.T @ d.y.values[:i])
+        z = X[i][use][keep].copy()
+        for j in range(len(z)):
+            if s_[j]:
+                z[j] = (z[j] - m[j]) / sd[j]
+        assert abs(z @ c - yhat) < 1e-6
