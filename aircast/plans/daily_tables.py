@@ -105,7 +105,7 @@ def joined_table(spark, sf):
     ),
 )
 def join_weather(spark, sf):
-    """C1"""
+    """Day table inner-joined with weather on ds (weather broadcast)."""
     return FE.join_weather(daily_table(spark, sf), weather_of(spark, sf)).select(
         "room_id", "ds", "co2_mean", "temp_mean", "hum_mean", "presence_ratio", "outside_temp_max",
         "outside_temp_min", "cloudcover", "wind", "solar_radiation",
@@ -114,7 +114,7 @@ def join_weather(spark, sf):
 
 @query("temp_diff", with_(f"SELECT room_id, ds, {r6('temp_diff', 'temp_diff')} FROM joined", "joined"))
 def temp_diff_q(spark, sf):
-    """B14"""
+    """Indoor mean minus outdoor maximum per day."""
     return joined_table(spark, sf).select("room_id", "ds", "temp_diff")
 
 
@@ -138,14 +138,14 @@ def lag_features(spark, sf):
     ),
 )
 def backfill(spark, sf):
-    """E2"""
+    """Lag columns back-filled with the next non-null value of the series."""
     df = W.backfill(W.lag_features(joined_table(spark, sf)), cols=FE.LAG_COLS)
     return df.select("room_id", "ds", *FE.LAG_COLS)
 
 
 @query("co2_diff", with_(f"SELECT room_id, ds, {r6('co2_diff1', 'co2_diff1')} FROM lagged", "lagged"))
 def co2_diff(spark, sf):
-    """E3"""
+    """Day-on-day change of mean CO2 per room."""
     return W.co2_diff(joined_table(spark, sf)).select("room_id", "ds", "co2_diff1")
 
 
@@ -182,7 +182,7 @@ def calendar_flags(spark, sf):
     ),
 )
 def day_cyclic(spark, sf):
-    """H2"""
+    """H2: sin / cos of 2 pi weekday / 7 per day."""
     return cal.day_cyclic(cal.calendar_flags(daily_table(spark, sf))).select("room_id", "ds", "day_sin", "day_cos")
 
 
@@ -200,13 +200,13 @@ def holiday_dim(spark, sf):
     ),
 )
 def season_of(spark, sf):
-    """H7"""
+    """H7: season name of every reading's local month."""
     return cleaned(spark, sf).select("id", cal.season_of(F.col("local_ts")).alias("season"))
 
 
 @query("feature_matrix", with_(f"SELECT {FEAT_OUT} FROM feats", "feats"))
 def feature_matrix(spark, sf):
-    """K1"""
+    """K1: the day-level feature matrix per room (weather, lags, calendar, holidays), first day dropped."""
     return feature_table(spark, sf)
 
 
@@ -237,7 +237,7 @@ def clip(spark, sf):
     ),
 )
 def round_half_even(spark, sf):
-    """H5"""
+    """H5: half-to-even rounding of day means (CO2 to 0, temperature to 1 decimal)."""
     df = daily_table(spark, sf)
     return df.select(
         "room_id", "ds", S.round_half_even(F.col("co2_mean")).cast("bigint").alias("co2_r"),
@@ -255,7 +255,7 @@ FROM clean""",
     ),
 )
 def format_dates(spark, sf):
-    """H6"""
+    """H6: local times formatted as %Y-%m-%d, %H:%M, %B %d, %Y and ds[:10]."""
     df = cleaned(spark, sf)
     lt = F.col("local_ts")
     return df.select(
@@ -334,7 +334,7 @@ def warning_text(spark, sf):
     ),
 )
 def comfort_bands(spark, sf):
-    """H12"""
+    """Comfort limits (18/25 C, 1000 ppm) beside shifted day means, with in-band flags."""
     df = daily_table(spark, sf)
     return df.select("room_id", "ds", *S.comfort_flags(F.col("temp_mean") + 4, F.col("co2_mean") + 300))
 

@@ -101,7 +101,7 @@ JOIN feats r ON r.room_id = c.room_id AND r.ds > c.cutoff AND r.ds <= c.cutoff +
     ),
 )
 def regressor_gate(spark, sf):
-    """K2"""
+    """K2: per-room span, regressor set size, weekly terms, changepoints and small-data warning."""
     return M.regressor_gate(feature_table(spark, sf)).select(
         "room_id", "span_days", "n_regressors", "weekly", "n_changepoints", "warn_small"
     )
@@ -116,7 +116,7 @@ _FOURIER_SQL = ", ".join(
 
 @query("weekly_fourier", with_(f"SELECT room_id, ds, {_FOURIER_SQL} FROM feats", "feats"))
 def weekly_fourier(spark, sf):
-    """K3"""
+    """K3: weekly Fourier terms (order 3) per day."""
     return M.weekly_fourier(feature_table(spark, sf)).select("room_id", "ds", *M.FOURIER_TERMS)
 
 
@@ -130,7 +130,7 @@ def weekly_fourier(spark, sf):
     ),
 )
 def temp_trend_ols(spark, sf):
-    """K5"""
+    """K5: slope, intercept and r2 of temperature on outdoor maximum per room."""
     return M.temp_trend_ols(feature_table(spark, sf))
 
 
@@ -170,7 +170,7 @@ _SC_OUT = ", ".join(
 
 @query("future_scaffold", with_(f"SELECT {_SC_OUT} FROM sc", "sc"))
 def future_scaffold(spark, sf):
-    """K17"""
+    """The 7 future days per room with weather, calendar and default exogenous values."""
     return FC.future_scaffold(feature_table(spark, sf), weather_of(spark, sf))
 
 
@@ -184,7 +184,7 @@ FROM last2 l JOIN (SELECT room_id, arg_max(hum_mean, ds) AS hum_last FROM feats
     ),
 )
 def last_values(spark, sf):
-    """E9"""
+    """Last humidity and last two temperatures per room."""
     return FC.last_values(feature_table(spark, sf))
 
 
@@ -198,19 +198,19 @@ FROM (SELECT room_id, ds, row_number() OVER (PARTITION BY room_id ORDER BY ds) A
     ),
 )
 def split_80_20(spark, sf):
-    """E7"""
+    """Row number, series length and the last-20 % test flag per day."""
     return M.split_80_20(feature_table(spark, sf)).select("room_id", "ds", "rn", "n_rows", "is_test")
 
 
 @query("cutoffs", with_("SELECT room_id, cutoff, ds FROM cuts", "cuts"))
 def cutoffs(spark, sf):
-    """E10"""
+    """Rolling-origin cutoffs per room and the day each one predicts."""
     return M.cutoffs(feature_table(spark, sf)).select("room_id", "cutoff", "ds")
 
 
 @query("distinct_cutoffs", with_("SELECT room_id, count(DISTINCT cutoff) AS n_cutoffs FROM cuts GROUP BY room_id", "cuts"))
 def distinct_cutoffs(spark, sf):
-    """D19"""
+    """Number of distinct CV cutoffs per room."""
     return M.cutoffs(feature_table(spark, sf)).groupBy("room_id").agg(F.countDistinct("cutoff").alias("n_cutoffs"))
 
 
@@ -247,7 +247,7 @@ WHERE rn >= floor(n_rows * 0.6) + 1 AND test_ds IS NOT NULL""",
     ),
 )
 def expanding_slices(spark, sf):
-    """E11"""
+    """Expanding train / next-day test slices from 60 % of each series."""
     return M.expanding_slices(feature_table(spark, sf))
 
 
@@ -288,21 +288,21 @@ def temp_model(spark, sf):
 
 @query("co2_model")
 def co2_model(spark, sf):
-    """K6"""
+    """K6: CO2 regression with AR(2) errors, drift and MA(1) per room (three least-squares passes)."""
     m, _ = M.fit_co2(shared_features(spark, sf))
     return m
 
 
 @query("co2_coefficients")
 def co2_coefficients(spark, sf):
-    """K7"""
+    """K7: CO2 model coefficients as (room, term, value) rows."""
     m, _ = M.fit_co2(shared_features(spark, sf))
     return M.co2_coefficients(m)
 
 
 @query("model_aic")
 def model_aic(spark, sf):
-    """K8"""
+    """K8: AIC of the CO2 model per room from its residual sums."""
     _, rows = M.fit_co2(shared_features(spark, sf))
     return M.model_aic(rows)
 
@@ -328,7 +328,7 @@ def residuals(spark, sf):
 
 @query("holdout_eval")
 def holdout_eval(spark, sf):
-    """K11"""
+    """CO2 model fitted on the first 80 % of days, MAE / RMSE on the rest, per room."""
     return M.holdout_eval(shared_features(spark, sf))
 
 
@@ -352,7 +352,7 @@ def walk_forward(spark, sf):
 
 @query("co2_forecast")
 def co2_forecast(spark, sf):
-    """K15"""
+    """7-day CO2 forecast (regression part + AR(2)/drift/MA fold) per room."""
     f = shared_features(spark, sf)
     m, _ = M.fit_co2(f)
     return FC.co2_forecast(FC.future_scaffold(f, weather_of(spark, sf)), m)
@@ -360,7 +360,7 @@ def co2_forecast(spark, sf):
 
 @query("temp_forecast")
 def temp_forecast(spark, sf):
-    """K16"""
+    """Recursive 7-day temperature forecast per room, each step clipped and fed back."""
     f = shared_features(spark, sf)
     return FC.temp_forecast(FC.future_scaffold(f, weather_of(spark, sf)), M.fit_temp(f), f)
 
@@ -373,5 +373,5 @@ def forecast_table(spark, sf):
 
 @query("small_data_eval")
 def small_data_eval(spark, sf):
-    """K19"""
+    """Small-data evaluation (span < 14 days) of the temperature model per room."""
     return M.small_data_eval(shared_features(spark, sf))

@@ -127,7 +127,7 @@ def prompts_of(spark, sf):
     ),
 )
 def topic_flags(spark, sf):
-    """I1"""
+    """Climate / forecast / weather flags of every prompt."""
     p = F.col("prompt")
     return fx.prompts(spark, sf).select(
         "prompt_id", X.is_climate(p).alias("is_climate"), X.is_forecast(p).alias("is_forecast"), X.is_weather(p).alias("is_weather")
@@ -136,7 +136,7 @@ def topic_flags(spark, sf):
 
 @query("route_prompt", with_("SELECT prompt_id, intent FROM pr", "pr"))
 def route_prompt(spark, sf):
-    """I2"""
+    """Intent of every prompt (ordered tests, first hit wins)."""
     return prompts_of(spark, sf).select("prompt_id", "intent")
 
 
@@ -185,7 +185,7 @@ _DAYNAME = (
     with_(f"SELECT prompt_id, {_DAYNAME} AS day_name FROM (SELECT prompt_id, prompt, coalesce({fdate_sql('prompt')}, {D}) AS target_date FROM prompts)", "prompts"),
 )
 def day_name(spark, sf):
-    """H8"""
+    """H8: 'today' / 'tomorrow' / weekday name of each prompt's target day."""
     d = F.lit(AS_OF).cast("date")
     p = fx.prompts(spark, sf)
     t = F.coalesce(X.forecast_date(F.col("prompt"), d), d)
@@ -230,7 +230,7 @@ _DAY_ANSWER = (
 
 @query("day_answer", with_(f"SELECT prompt_id, room_id, {_DAY_ANSWER} AS answer FROM lookup", "lookup"))
 def day_answer(spark, sf):
-    """I7"""
+    """One-day forecast answers (or the no-data text) for forecast-day prompts."""
     return P.day_answer(lookup_of(spark, sf)).select("prompt_id", "room_id", "answer")
 
 
@@ -286,7 +286,7 @@ LEFT JOIN (SELECT room_id, max(co2) AS max_co2, first(ts ORDER BY co2 DESC, ts D
     ),
 )
 def climate_context(spark, sf):
-    """I9"""
+    """Climate prompts -> today's hourly rows of the room plus highest and lowest CO2, as one prompt text."""
     p = prompts_of(spark, sf).where(F.col("intent") == "climate")
     return P.climate_context(p, hourly_latest(spark, sf), as_of=AS_OF).select("prompt_id", "room_id", "context")
 
@@ -315,7 +315,7 @@ LEFT JOIN (SELECT room_id, string_agg({_FLINE}, chr(10) ORDER BY ds) AS tbl FROM
     ),
 )
 def forecast_context(spark, sf):
-    """I10"""
+    """Forecast prompts -> the room's latest 7-day forecast as one prompt text."""
     p = prompts_of(spark, sf).where(F.col("intent") == "forecast")
     return P.forecast_context(p, H.latest_run(runs_table(spark, sf))).select("prompt_id", "room_id", "context")
 

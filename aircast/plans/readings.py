@@ -37,6 +37,7 @@ def scan_desc(spark, sf):
 
 @query("parse_timestamp", with_("SELECT id, ts_raw, ts FROM parsed", "parsed"))
 def parse_timestamp(spark, sf):
+    """B1: text timestamps parsed to instants (NULL when unparsable)."""
     return C.parse_timestamp(fx.measurements(spark, sf)).select("id", "ts_raw", "ts")
 
 
@@ -45,12 +46,14 @@ def parse_timestamp(spark, sf):
     with_(f"SELECT id, ts, {LOCAL} AS local_ts FROM parsed WHERE ts IS NOT NULL", "parsed"),
 )
 def to_local_time(spark, sf):
+    """B2: instants converted to Brussels wall time (DST-aware)."""
     df = C.drop_bad_timestamps(C.parse_timestamp(fx.measurements(spark, sf)))
     return C.to_local_time(df).select("id", "ts", "local_ts")
 
 
 @query("drop_bad_timestamps", with_("SELECT id, room_id, ts FROM parsed WHERE ts IS NOT NULL", "parsed"))
 def drop_bad_timestamps(spark, sf):
+    """Readings whose timestamp parsed."""
     return C.drop_bad_timestamps(C.parse_timestamp(fx.measurements(spark, sf))).select("id", "room_id", "ts")
 
 
@@ -59,6 +62,7 @@ def drop_bad_timestamps(spark, sf):
     with_("SELECT id, CAST(co2 AS BIGINT) AS co2 FROM measurements WHERE (co2 > 5000) IS NOT TRUE", "measurements"),
 )
 def co2_outlier_filter(spark, sf):
+    """Readings with co2 > 5000 dropped; NULL co2 kept."""
     return C.co2_outlier_filter(fx.measurements(spark, sf)).select("id", "co2")
 
 
@@ -96,6 +100,7 @@ FROM parsed GROUP BY room_id""",
     ),
 )
 def quality_counts(spark, sf):
+    """Bad timestamps, outliers and kept readings per room, one pass."""
     return C.quality_counts(fx.measurements(spark, sf))
 
 
@@ -128,6 +133,7 @@ AND co2 IS NOT NULL AND temperature IS NOT NULL AND humidity IS NOT NULL AND pre
     ),
 )
 def drop_incomplete(spark, sf):
+    """Readings without a NULL in any column."""
     return C.drop_incomplete(fx.measurements(spark, sf))
 
 
@@ -141,6 +147,7 @@ WHERE c.ts >= m.mx - INTERVAL 7 DAYS""",
     ),
 )
 def last_n_days(spark, sf):
+    """Readings of the last 7 days of each room (event time)."""
     return C.last_n_days(cleaned(spark, sf)).select("id", "room_id", "ts")
 
 
@@ -156,6 +163,7 @@ _DAILY2 = (
 
 @query("since_as_of", with_(f"SELECT {_DAILY2} FROM daily2 WHERE ds >= DATE '{AS_OF}' - 7", "daily2"))
 def since_as_of(spark, sf):
+    """Day rows of the 7 days up to as_of (an argument, not the clock)."""
     return C.since_as_of(daily_table(spark, sf), as_of=AS_OF)
 
 
@@ -164,6 +172,7 @@ def since_as_of(spark, sf):
     with_(f"SELECT id, room_id, ts, local_ts FROM clean WHERE CAST(local_ts AS DATE) = DATE '{AS_OF}'", "clean"),
 )
 def local_today(spark, sf):
+    """Readings of the local day as_of (UTC bounds, pushed to the scan)."""
     return C.local_today(cleaned(spark, sf), as_of=AS_OF).select("id", "room_id", "ts", "local_ts")
 
 
@@ -177,6 +186,7 @@ FROM clean""",
     ),
 )
 def isin_split(spark, sf):
+    """Office-day flag of each reading's local day."""
     df = cleaned(spark, sf).withColumn("day", F.to_date("local_ts"))
     return C.isin_split(df, days=OFFICE_DAYS).select("id", "room_id", "day", "is_office")
 
@@ -186,6 +196,7 @@ def isin_split(spark, sf):
     with_("SELECT id, round(temperature, 2) AS temperature, round(humidity, 2) AS humidity FROM measurements", "measurements"),
 )
 def ingest_round(spark, sf):
+    """Temperature and humidity rounded to 2 decimals."""
     return C.ingest_round(fx.measurements(spark, sf)).select("id", "temperature", "humidity")
 
 
@@ -202,4 +213,5 @@ def daily_agg(spark, sf):
 
 @query("presence_ratio", with_(f"SELECT {_DAILY2} FROM daily2", "daily2"))
 def presence_ratio(spark, sf):
+    """Day table with presence_count = min(count + 8, 24) and presence_ratio."""
     return daily_table(spark, sf)

@@ -88,7 +88,7 @@ def validate_payload(spark, sf):
     ),
 )
 def delete_by_id(spark, sf):
-    """A6"""
+    """The store without the ids deleted by the change feed (left anti join)."""
     ch = fx.changes(spark, sf).where(F.col("op") == "delete")
     return store.conform(store.delete_by_id(fx.measurements(spark, sf), ch))
 
@@ -105,7 +105,7 @@ FROM measurements m LEFT JOIN (
     ),
 )
 def update_presence(spark, sf):
-    """A7"""
+    """The store with presence set by the latest update of each id."""
     ch = fx.changes(spark, sf).where(F.col("op") == "set_presence")
     return store.conform(store.update_presence(fx.measurements(spark, sf), ch))
 

@@ -35,7 +35,7 @@ FROM clean c LEFT JOIN first_on f ON f.room_id = c.room_id AND f.blk = date_trun
     ),
 )
 def presence_latch(spark, sf):
-    """C6"""
+    """Presence of each reading from the radar latch (ON since the last reset at minute 2)."""
     r = cleaned(spark, sf).select("id", "room_id", "ts")
     return JN.presence_latch(r, fx.pings(spark, sf))
 
@@ -53,7 +53,7 @@ def stream_new_readings(spark, sf):
 
 @query("stream_co2_alerts", with_(f"SELECT id, room_id, ts, {alert_sql('co2')} AS alert FROM clean WHERE co2 >= 900", "clean"))
 def stream_co2_alerts(spark, sf):
-    """J2"""
+    """A Structured Streaming alert for every new reading at or over 900 ppm."""
     return ST.run_available_now(ST.co2_alerts(stream_readings(spark, sf)), "co2_alerts")
 
 

@@ -112,13 +112,13 @@ def hourly_profile(spark, sf):
 
 @query("weekend_profile", _prof_sql("is_weekend"))
 def weekend_profile(spark, sf):
-    """D4"""
+    """Mean CO2 / temperature on weekend vs weekdays, last 7 days."""
     return TR.profile(week_rows(spark, sf), "is_weekend")
 
 
 @query("holiday_profile", _prof_sql("is_holiday"))
 def holiday_profile(spark, sf):
-    """D5"""
+    """Mean CO2 / temperature on holidays vs other days, last 7 days."""
     return TR.profile(week_rows(spark, sf), "is_holiday")
 
 
@@ -165,13 +165,13 @@ FROM week GROUP BY room_id, hour(local_ts)""",
     ),
 )
 def office_vs_home(spark, sf):
-    """D8"""
+    """Mean CO2 by local hour on office days vs other days, last 7 days."""
     return TR.office_vs_home(cleaned(spark, sf), office_days=OFFICE_DAYS)
 
 
 @query("distinct_days", with_("SELECT DISTINCT room_id, CAST(local_ts AS DATE) AS day FROM clean ORDER BY 1, 2", "clean"))
 def distinct_days(spark, sf):
-    """D9"""
+    """The local days present per room, sorted."""
     return TR.distinct_days(cleaned(spark, sf))
 
 
@@ -184,7 +184,7 @@ def distinct_days(spark, sf):
     ),
 )
 def span_days(spark, sf):
-    """D10"""
+    """First day, last day, span and number of days per room."""
     return D.span_days(daily_table(spark, sf))
 
 
@@ -206,7 +206,7 @@ _E5 = "room_id, day, CAST(hour AS BIGINT) AS hour, id, ts_raw, CAST(co2 AS BIGIN
 
 @query("latest_per_hour", with_(f"SELECT {_E5} FROM hourly_latest", "hourly_latest"))
 def latest_per_hour(spark, sf):
-    """E5"""
+    """E5: the last reading of every local hour per room."""
     return hourly_latest(spark, sf)
 
 
@@ -248,7 +248,7 @@ def context_table(spark, sf):
 # ---------------------------------------------------------- F: order, top-k
 @query("sort_by_time", with_("SELECT id, room_id, ts FROM clean ORDER BY room_id, ts, id", "clean"))
 def sort_by_time(spark, sf):
-    """F1"""
+    """cleaned readings ordered by room and time."""
     return O.sort_by_time(cleaned(spark, sf)).select("id", "room_id", "ts")
 
 
@@ -270,7 +270,7 @@ def latest_reading(spark, sf):
     with_(f"SELECT {MCOLS} FROM measurements QUALIFY row_number() OVER (PARTITION BY room_id ORDER BY id DESC) = 1", "measurements"),
 )
 def latest_by_id(spark, sf):
-    """F3"""
+    """the reading with the highest id per room."""
     return store.conform(O.latest_by(fx.measurements(spark, sf), ["id"]))
 
 
@@ -286,7 +286,7 @@ FROM clean QUALIFY pos <= 5""",
     ),
 )
 def head_tail(spark, sf):
-    """F4"""
+    """first and last 5 readings per room."""
     return O.head_tail(cleaned(spark, sf).select("room_id", "id", "ts"))
 
 
@@ -322,7 +322,7 @@ def union_runs(spark, sf):
 
 @query("latest_run_per_day", with_(f"SELECT {RUN_OUT} FROM latest_per_day", "latest_per_day"))
 def latest_run_per_day(spark, sf):
-    """G2"""
+    """For every forecast day, the row of the newest run covering it."""
     return O.latest_run_per_day(runs_table(spark, sf))
 
 
@@ -495,7 +495,7 @@ FROM actual_daily a FULL OUTER JOIN pred_daily p ON a.room_id = p.room_id AND a.
     ),
 )
 def daily_actual_vs_pred(spark, sf):
-    """C8"""
+    """Daily actuals full-outer-joined with daily predictions on (room, day)."""
     return EV.actual_vs_pred(D.daily_actuals(cleaned(spark, sf)), D.daily_predictions(runs_table(spark, sf)))
 
 
