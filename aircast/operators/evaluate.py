@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import DEFAULT_KEYS
+from ..keys import kjoin
 
 
 def context_line(df: DataFrame):
@@ -102,7 +103,7 @@ def histogram(df: DataFrame, col: str, *, bins: int = 15, keys: Sequence[str] =
     empty bins are listed with n = 0 (per-series ``explode`` of the bin
     numbers, then a left join of the counts)."""
     b = df.groupBy(*keys).agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    x = df.where(F.col(col).isNotNull()).join(b, list(keys))
+    x = kjoin(df.where(F.col(col).isNotNull()), b, keys)
     width = F.col("hi") - F.col("lo")
     bin_ = F.when(width == 0, F.lit(1)).otherwise(
         F.least(F.floor((F.col(col) - F.col("lo")) / width * bins) + 1, F.lit(bins))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import DEFAULT_KEYS
+from ..keys import kjoin
 from ..functions import calendar as cal
 from ..functions import scalar as S
 from ..schemas import FORECAST_FIELDS, WEATHER_FIELDS
@@ -22,15 +23,15 @@ from .history import horizon_years
 def last_values(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """Last humidity and the last two temperatures per series."""
     hum = feats.groupBy(*keys).agg(F.max_by("hum_mean", "ds").alias("hum_last"))
-    return hum.join(last_two(feats, "temp_mean", keys=keys), list(keys))
+    return kjoin(hum, last_two(feats, "temp_mean", keys=keys), keys)
 
 
 def last_two(feats: DataFrame, col: str, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """Last and second-to-last value of ``col`` per series (top-2 by ds)."""
     g = feats.groupBy(*keys).agg(F.max_by(F.struct("ds", col), "ds").alias("a"))
-    prev = feats.join(g.select(*keys, F.col("a.ds").alias("_mx")), list(keys)).where(F.col("ds") < F.col("_mx"))
+    prev = kjoin(feats, g.select(*keys, F.col("a.ds").alias("_mx")), keys).where(F.col("ds") < F.col("_mx"))
     p = prev.groupBy(*keys).agg(F.max_by(col, "ds").alias(f"{col}_prev"))
-    return g.select(*keys, F.col(f"a.{col}").alias(f"{col}_last")).join(p, list(keys), "left")
+    return kjoin(g.select(*keys, F.col(f"a.{col}").alias(f"{col}_last")), p, keys, "left")
 
 
 def future_scaffold(feats: DataFrame, weather: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, horizon: int = 7) -> DataFrame:
@@ -92,7 +93,7 @@ def co2_fold(rows: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAUL
     keys = list(keys)
     fut = _collect_future(rows.withColumn("t_row", F.col("t").cast("double") if "t_row" not in rows.columns else F.col("t_row")),
                           keys, [F.col("ds"), F.col("t_row"), F.col("x")])
-    j = fut.join(models, keys)
+    j = kjoin(fut, models, keys)
     th = F.coalesce(F.col("theta"), F.lit(0.0))
     expr = co2_fold_expr(
         F.col("fut"), F.col("u_last"), F.col("u_prev"), F.coalesce(F.col("eps_last"), F.lit(0.0)),
@@ -114,14 +115,14 @@ def temp_forecast(scaffold: DataFrame, models: DataFrame, feats: DataFrame, *, k
     keys = list(keys)
     seeds = last_two(feats, "temp_mean", keys=keys)
     diff = avg_temp_diff_of(feats, keys)
-    sc = M.weekly_fourier(scaffold).join(models.select(*keys, "first_ds", "beta"), keys)
+    sc = kjoin(M.weekly_fourier(scaffold), models.select(*keys, "first_ds", "beta"), keys)
     x0 = M.temp_vector(F.date_diff(F.col("ds"), F.col("first_ds")), {"temp_lag1": F.lit(0.0), "temp_lag2": F.lit(0.0)})
     sc = sc.withColumn("base", G.dot(x0, F.col("beta")))
     # the models are joined once; beta rides along with the future rows
     fut = sc.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("h", "ds", "base", "outside_temp_max"))).alias("fut"), F.first("beta").alias("beta")
     )
-    j = fut.join(seeds, keys).join(diff, keys)
+    j = kjoin(kjoin(fut, seeds, keys), diff, keys)
     expr = temp_fold(
         F.col("fut"), F.col("temp_mean_last"), F.coalesce(F.col("temp_mean_prev"), F.col("temp_mean_last")),
         lambda r: r["base"], F.col("beta")[M.LAG1_IDX], F.col("beta")[M.LAG2_IDX],
@@ -174,7 +175,7 @@ def temp_forecast_fixed(scaffold: DataFrame, feats: DataFrame, *, keys: Sequence
     seeds = last_two(feats, "temp_mean", keys=keys)
     diff = avg_temp_diff_of(feats, keys)
     fut = _collect_future(scaffold, keys, [F.col("ds"), F.col("outside_temp_max")])
-    j = fut.join(seeds, keys).join(diff, keys)
+    j = kjoin(kjoin(fut, seeds, keys), diff, keys)
     expr = temp_fold(
         F.col("fut"), F.col("temp_mean_last"), F.col("temp_mean_prev"),
         lambda r: F.lit(a) + F.lit(b) * r["outside_temp_max"], F.lit(c), F.lit(d),
@@ -192,7 +193,7 @@ def co2_forecast_fixed(scaffold: DataFrame, feats: DataFrame, *, keys: Sequence[
     r = feats.withColumn("u", F.col("co2_mean") - G.dot(xf, beta))
     seeds = last_two(r, "u", keys=keys)
     fut = _collect_future(scaffold.withColumn("x", xf), keys, [F.col("ds"), F.col("t_row"), F.col("x")])
-    j = fut.join(seeds, keys)
+    j = kjoin(fut, seeds, keys)
     p1, p2, dl = FIXED_AR
     expr = co2_fold_expr(
         F.col("fut"), F.col("u_last"), F.col("u_prev"), F.lit(0.0), F.lit(p1), F.lit(p2), F.lit(dl), F.lit(0.0),

@@ -101,7 +101,7 @@ def solve(sums: DataFrame, keys: Sequence[str], *, use: Sequence[bool] | None =
     carry = list(carry)
     cols = keys + carry + ["xtx", "xty"] + ([use_col] if use_col else [])
     fields = [f for f in sums.schema.fields if f.name in keys + carry]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + SOLVE_SCHEMA
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [SOLVE_SCHEMA])
 
     def run(batches):
         for pdf in batches:

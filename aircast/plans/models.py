@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import DEFAULT_KEYS
+from ..keys import kjoin
 from ..session import materialize
 from . import gram as G
 
@@ -74,7 +75,7 @@ def temp_vector(t: Column, cols: dict[str, Column] | None = None) -> Column:
 
 
 def temp_design(feats: DataFrame, gate: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    d = weekly_fourier(feats).join(gate.select(*keys, "first_ds", "use"), list(keys))
+    d = kjoin(weekly_fourier(feats), gate.select(*keys, "first_ds", "use"), keys)
     t = F.date_diff(F.col("ds"), F.col("first_ds"))
     return d.withColumn("x", temp_vector(t)).withColumn("y", F.col("temp_mean").cast("double"))
 
@@ -91,7 +92,7 @@ def fit_temp(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, lam: float
     p = len(TEMP_TERMS)
     sums = d.groupBy(*keys).agg(*G.gram_exprs(F.col("x"), F.col("y"), p), F.first("use").alias("use"), F.first("first_ds").alias("first_ds"))
     m = G.solve(sums, keys, std=TEMP_STD, pen=TEMP_PEN, lam=lam, use_col="use", carry=["first_ds", "n"])
-    m = m.join(gate.select(*keys, "span_days"), list(keys), "left")
+    m = kjoin(m, gate.select(*keys, "span_days"), keys, "left")
     return with_status(m, TEMP_TERMS)
 
 
@@ -121,7 +122,7 @@ def temp_trend_ols(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> D
 
 def temp_fitted(feats: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """K9 (temperature): in-sample predictions."""
-    d = weekly_fourier(feats).join(models.select(*keys, "first_ds", "beta"), list(keys))
+    d = kjoin(weekly_fourier(feats), models.select(*keys, "first_ds", "beta"), keys)
     x = temp_vector(F.date_diff(F.col("ds"), F.col("first_ds")))
     return d.select(*keys, "ds", F.col("temp_mean").alias("y"), G.dot(x, F.col("beta")).alias("yhat"))
 
@@ -166,20 +167,20 @@ def fit_co2(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_free:
     w = Window.partitionBy(*keys).orderBy("ds")
     d = co2_exog(feats, keys=keys, leak_free=leak_free, exog=exog).withColumn("t", F.row_number().over(w).cast("double"))
     a = _solve_pass(d, keys, F.col("x"), F.col("y"), len(exog) + 1, [False] + [True] * len(exog), lam)
-    d = d.join(a.select(*keys, F.col("beta").alias("b_x"), F.col("status").alias("status_a"), F.col("dropped").alias("dropped_x")), keys)
+    d = kjoin(d, a.select(*keys, F.col("beta").alias("b_x"), F.col("status").alias("status_a"), F.col("dropped").alias("dropped_x")), keys)
     d = d.withColumn("u", F.col("y") - G.dot(F.col("x"), F.col("b_x")))
     d = d.withColumn("u1", F.lag("u", 1).over(w)).withColumn("u2", F.lag("u", 2).over(w))
     d = materialize(d)  # each later pass reads these rows; cut the lineage once
     xb = F.array(F.lit(1.0), F.col("u1"), F.col("u2"), F.col("t"))
     rows_b = d.where(F.col("u2").isNotNull())
     b = _solve_pass(rows_b, keys, xb, F.col("u"), 4, [False, True, True, True], lam)
-    d = d.join(b.select(*keys, F.col("beta").alias("b_ar")), keys, "left")
+    d = kjoin(d, b.select(*keys, F.col("beta").alias("b_ar")), keys, "left")
     d = d.withColumn("e", F.col("u") - G.dot(xb, F.col("b_ar")))
     if ma:
         d = materialize(d.withColumn("e1", F.lag("e", 1).over(w)))
         xc = F.array(F.lit(1.0), F.col("u1"), F.col("u2"), F.col("t"), F.col("e1"))
         c = _solve_pass(d.where(F.col("e1").isNotNull()), keys, xc, F.col("u"), 5, [False, True, True, True, True], lam)
-        d = d.join(c.select(*keys, F.col("beta").alias("b_ma")), keys, "left")
+        d = kjoin(d, c.select(*keys, F.col("beta").alias("b_ma")), keys, "left")
         d = d.withColumn("ar", G.dot(xc, F.col("b_ma")))
         coef = F.col("b_ma")
     else:
@@ -245,7 +246,7 @@ def cutoffs(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, horizon: in
         *keys, F.explode(F.sequence(F.date_sub("hi", horizon), F.date_add("lo", F.col("initial")), F.expr(f"INTERVAL {-period} DAYS"))).alias("cutoff")
     )
     rows = feats.select(*keys, "ds")
-    j = c.join(rows, list(keys)).where((F.col("ds") > F.col("cutoff")) & (F.col("ds") <= F.date_add("cutoff", horizon)))
+    j = kjoin(c, rows, keys).where((F.col("ds") > F.col("cutoff")) & (F.col("ds") <= F.date_add("cutoff", horizon)))
     return j
 
 
@@ -317,7 +318,7 @@ def _walk_solve(sums: DataFrame, keys, k: int, lam: float) -> DataFrame:
     import numpy as np
 
     fields = [f for f in sums.schema.fields if f.name not in ("xtx", "xty", "yty")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", bx array<double>, phi1 double, phi2 double, delta double"
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["bx array<double>, phi1 double, phi2 double, delta double"])
     p = 3 * k + 5
     names = [f.name for f in fields]
 
@@ -377,7 +378,7 @@ def rolling_cv(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, lam: flo
     before = Window.partitionBy(*keys).orderBy("ds").rowsBetween(Window.unboundedPreceding, -1)
     p = len(TEMP_TERMS)
     s = d.select(*keys, "ds", "x", "y", "use", *G.gram_exprs(F.col("x"), F.col("y"), p, over=before))
-    s = s.join(cut, [*keys, "ds"]).join(gate.select(*keys, "span_days"), keys).where(F.col("span_days") >= min_span)
+    s = kjoin(s.join(cut, [*keys, "ds"]), gate.select(*keys, "span_days"), keys).where(F.col("span_days") >= min_span)
     fits = G.solve(s, keys, std=TEMP_STD, pen=TEMP_PEN, lam=lam, use_col="use", carry=["ds", "cutoff", "x", "y", "n"])
     return fits.select(*keys, "cutoff", "ds", "n", "y", G.dot(F.col("x"), F.col("beta")).alias("yhat"), "status")
 
@@ -413,7 +414,7 @@ def holdout_eval(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_f
         F.count(F.lit(1)).alias("n_test"), F.avg(F.abs("_r")).alias("mae"), F.sqrt(F.avg(F.col("_r") * F.col("_r"))).alias("rmse")
     )
     st = models.select(*keys, F.col("n").alias("n_train"), F.when(F.col("n") < 2, "too_few_train_rows").otherwise(F.col("status")).alias("status"))
-    return st.join(out, keys, "left")
+    return kjoin(st, out, keys, "left")
 
 
 def small_data_eval(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, lam: float = 1.0, max_span: int = 14) -> DataFrame:
@@ -431,10 +432,10 @@ def small_data_eval(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, lam
     tr = des.where(~F.col("is_test"))
     sums = tr.groupBy(*keys).agg(*G.gram_exprs(F.col("x"), F.col("y"), len(TEMP_TERMS)), F.first("use").alias("use"))
     m = G.solve(sums, keys, std=TEMP_STD, pen=TEMP_PEN, lam=lam, use_col="use", carry=["n"])
-    te = des.where(F.col("is_test")).join(m.select(*keys, "beta"), keys)
+    te = kjoin(des.where(F.col("is_test")), m.select(*keys, "beta"), keys)
     te = te.withColumn("_r", F.col("y") - G.dot(F.col("x"), F.col("beta")))
     ev = te.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"), F.avg(F.abs("_r")).alias("mae"))
-    out = gate.select(*keys, "span_days").join(ev, keys, "left")
+    out = kjoin(gate.select(*keys, "span_days"), ev, keys, "left")
     return out.withColumn(
         "status",
         F.when(F.col("span_days") >= max_span, "not_needed").when(F.coalesce(F.col("n_test"), F.lit(0)) < 2, "too_few_test_rows").otherwise("ok"),

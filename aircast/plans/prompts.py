@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import DEFAULT_KEYS
+from ..keys import kjoin
 from ..functions import calendar as cal
 from ..functions import scalar as S
 from ..functions import text as X
@@ -100,7 +101,7 @@ def climate_context(prompts: DataFrame, hourly: DataFrame, *, as_of: str, keys:
         F.max_by(F.struct("co2", "ts"), F.struct("co2", "ts")).alias("hi"),
         F.min_by(F.struct("co2", "ts"), F.struct("co2", newest_first)).alias("lo"),
     )
-    j = prompts.join(ctx, list(keys), "left").join(ext, list(keys), "left")
+    j = kjoin(kjoin(prompts, ctx, keys, "left"), ext, keys, "left")
     text = F.concat(
         F.lit(CLIMATE_HEAD), F.col("table"), F.lit("\n\nImportant data:\nHighest CO₂ level: "),
         F.col("hi.co2").cast("string"), F.lit(" ppm at "), F.date_format("hi.ts", "HH:mm"),
@@ -124,7 +125,7 @@ def forecast_line(df: DataFrame):
 def forecast_context(prompts: DataFrame, forecast: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
     """The series' latest forecast (one run: 7 rows) as one prompt."""
     t = forecast.groupBy(*keys).agg(ordered_text(forecast_line(forecast), F.col("ds")).alias("table"))
-    j = prompts.join(t, list(keys), "left")
+    j = kjoin(prompts, t, keys, "left")
     text = F.concat(
         F.lit(FORECAST_HEAD + "Forecast data:\n"), F.col("table"), F.lit("\n\nUser question: "), F.col("prompt"),
         F.lit("\n" + FORECAST_TAIL),

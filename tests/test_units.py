@@ -389,3 +389,20 @@ def test_rolling_cv_equals_refit(spark):
             if s_[j]:
                 z[j] = (z[j] - m[j]) / sd[j]
         assert abs(z @ c - yhat) < 1e-6
+
+
+def test_single_series_equals_keyed(spark):
+    """keys=[] (the reference's one sensor) gives the keyed result of that room."""
+    from aircast.operators import clean as C2
+    from aircast.plans import features as FE
+    from aircast.plans import forecast as FC
+    from aircast.sources import fixtures as fx
+
+    sf = "/root/testdata/sf0.01"
+    w = fx.weather(spark, sf)
+    c = C2.clean(fx.measurements(spark, sf))
+    keyed = FE.features(D.presence_ratio(D.daily(c)), w)
+    one = FE.features(D.presence_ratio(D.daily(c.where("room_id = 3").drop("room_id"), keys=[])), w, keys=[])
+    a = {r.ds: (round(r.pred_temp, 9), round(r.pred_co2, 9), r.advies) for r in FC.run_forecast(keyed, w).where("room_id = 3").collect()}
+    b = {r.ds: (round(r.pred_temp, 9), round(r.pred_co2, 9), r.advies) for r in FC.run_forecast(one, w, keys=[]).collect()}
+    assert a == b and len(a) == 7
