@@ -141,7 +141,7 @@ def word_count(text):
 
 
 def trim_history(turns: DataFrame, *, max_tokens: int = 16385, buffer: int = 1000, conv: str = "conv_id",
-                 order: str = "turn", block: int = 1024) -> DataFrame:
+                 order: str = "turn", block: int = 1024, pin_system: bool = False) -> DataFrame:
     """Keep the newest turns while their words + buffer fit the budget.
     The running sum (newest first) equals the reference's early break
     because word counts are never negative.
@@ -149,7 +149,8 @@ def trim_history(turns: DataFrame, *, max_tokens: int = 16385, buffer: int = 100
     The sum is computed in blocks of ``block`` turns: block totals (one row
     per block) get a suffix sum per conversation, and the running sum inside
     a block is a window over (conversation, block).  A very long
-    conversation is thus spread over many tasks."""
+    conversation is thus spread over many tasks.  ``pin_system`` keeps
+    system turns whatever the budget (the reference may drop them)."""
     t = turns.withColumn("n_words", word_count(F.col("text")).cast("bigint")).withColumn(
         "_blk", F.floor(F.col(order) / block)
     )
@@ -158,4 +159,7 @@ def trim_history(turns: DataFrame, *, max_tokens: int = 16385, buffer: int = 100
     tot = tot.withColumn("_prior", F.coalesce(F.sum("_bs").over(newer), F.lit(0))).drop("_bs")
     inner = Window.partitionBy(conv, "_blk").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = t.join(tot, [conv, "_blk"]).withColumn("running", F.col("_prior") + F.sum("n_words").over(inner))
-    return out.drop("_blk", "_prior").withColumn("kept", F.col("running") + buffer <= max_tokens)
+    kept = F.col("running") + buffer <= max_tokens
+    if pin_system:
+        kept = kept | (F.col("role") == "system")
+    return out.drop("_blk", "_prior").withColumn("kept", kept)

@@ -406,3 +406,10 @@ def test_single_series_equals_keyed(spark):
     a = {r.ds: (round(r.pred_temp, 9), round(r.pred_co2, 9), r.advies) for r in FC.run_forecast(keyed, w).where("room_id = 3").collect()}
     b = {r.ds: (round(r.pred_temp, 9), round(r.pred_co2, 9), r.advies) for r in FC.run_forecast(one, w, keys=[]).collect()}
     assert a == b and len(a) == 7
+
+
+def test_trim_pin_system(spark):
+    t = rows(spark, [(1, 0, "system", "w " * 9000), (1, 1, "assistant", "w " * 8000), (1, 2, "user", "w " * 10)],
+             "conv_id long, turn long, role string, text string")
+    assert {r.turn: r.kept for r in P.trim_history(t).collect()}[0] is False
+    assert {r.turn: r.kept for r in P.trim_history(t, pin_system=True).collect()}[0] is True
