@@ -413,3 +413,39 @@ def test_trim_pin_system(spark):
              "conv_id long, turn long, role string, text string")
     assert {r.turn: r.kept for r in P.trim_history(t).collect()}[0] is False
     assert {r.turn: r.kept for r in P.trim_history(t, pin_system=True).collect()}[0] is True
+
+
+def test_forecast_folds_match_numpy(spark):
+    """K15 / K16 with fitted coefficients == the recursion replayed in numpy."""
+    from aircast.plans import forecast as FC
+    from aircast.plans import models as M
+    from aircast.plans.daily_tables import feature_table
+    from aircast.sources import fixtures as fx
+
+    sf = "/root/testdata/sf0.01"
+    f = feature_table(spark, sf).where("room_id = 5")
+    w = fx.weather(spark, sf)
+    sc = FC.future_scaffold(f, w)
+    cm, _ = M.fit_co2(f)
+    tm = M.fit_temp(f)
+    co2 = {r.h: r.pred_co2 for r in FC.co2_forecast(sc, cm).collect()}
+    tmp = {r.h: r.pred_temp for r in FC.temp_forecast(sc, tm, f).collect()}
+    s = M.weekly_fourier(sc).orderBy("h").toPandas()
+    m = cm.first()
+    u1, u2 = m.u_last, m.u_prev
+    for i, r in s.iterrows():
+        x = np.array([1.0] + [float(r[c]) for c in M.CO2_EXOG])
+        u = m.phi1 * u1 + m.phi2 * u2 + m.delta * r.t_row + (m.theta * m.eps_last if r.h == 1 else 0.0)
+        assert abs(x @ np.array(m.beta) + u - co2[r.h]) < 1e-6
+        u1, u2 = u, u1
+    t = tm.first()
+    hist = f.orderBy("ds").toPandas()
+    l1, l2 = hist.temp_mean.iloc[-1], hist.temp_mean.iloc[-2]
+    diff = (hist.temp_mean - hist.outside_temp_max).mean()
+    first = hist.ds.iloc[0]
+    for i, r in s.iterrows():
+        vals = {"const": 1.0, "t": float((r.ds - first).days), "temp_lag1": l1, "temp_lag2": l2}
+        x = np.array([vals[c] if c in vals else float(r[c]) for c in M.TEMP_TERMS])
+        y = min(max(x @ np.array(t.beta), r.outside_temp_max), r.outside_temp_max + diff)
+        assert abs(y - tmp[r.h]) < 1e-6
+        l1, l2 = y, l1
