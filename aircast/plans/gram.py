@@ -20,16 +20,17 @@ def upper_pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def gram_exprs(x: Column, y: Column, p: int, over=None) -> list[Column]:
-    """Aggregates (or window aggregates with ``over``) for the sums."""
+def gram_exprs(x: Column, y: Column, p: int, over=None, prefix: str = "") -> list[Column]:
+    """Aggregates (or window aggregates with ``over``) for the sums; output
+    columns n, xtx, xty, yty (with an optional name prefix)."""
     def agg(e):
         s = F.sum(e)
         return s.over(over) if over is not None else s
 
     cnt = F.count(F.lit(1)).over(over) if over is not None else F.count(F.lit(1))
-    xtx = F.array(*[agg(x[i] * x[j]) for i, j in upper_pairs(p)]).alias("xtx")
-    xty = F.array(*[agg(x[i] * y) for i in range(p)]).alias("xty")
-    return [cnt.alias("n"), xtx, xty, agg(y * y).alias("yty")]
+    xtx = F.array(*[agg(x[i] * x[j]) for i, j in upper_pairs(p)]).alias(prefix + "xtx")
+    xty = F.array(*[agg(x[i] * y) for i in range(p)]).alias(prefix + "xty")
+    return [cnt.alias(prefix + "n"), xtx, xty, agg(y * y).alias(prefix + "yty")]
 
 
 def full_gram(upper: np.ndarray, p: int) -> np.ndarray:

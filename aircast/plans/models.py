@@ -284,11 +284,11 @@ def walk_forward(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, start:
                  leak_free: bool = False, exog: Sequence[str] = tuple(CO2_EXOG)) -> DataFrame:
     """CO2 walk-forward with cumulative sums, no refit from raw rows.
 
-    Each row carries z = (1, y, x, y-1, x-1, y-2, x-2, t); the sums of z z'
-    over all earlier rows (window frame up to the previous row) hold
-    everything both passes need: beta from the (x, y) block, then phi and
-    delta from sums of u u-k, which are bilinear in beta.  One small solve
-    per (series, test day); MA is left out here."""
+    Pass A: beta from the sums of (x, y) over all earlier days (window frame
+    up to the previous row).  Pass B: each row with both lags carries
+    z = (1, y, x, y-1, x-1, y-2, x-2, t); sums of u u-k are bilinear in beta,
+    so the sums of z z' over the earlier such rows give phi and delta for
+    any beta.  One small solve per (series, test day); MA is left out."""
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("ds")
     d = co2_exog(feats, keys=keys, leak_free=leak_free, exog=exog).withColumn("t", F.row_number().over(w).cast("double"))
@@ -297,11 +297,14 @@ def walk_forward(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, start:
     d = d.withColumn("xe", xe).withColumn("y1", F.lag("y", 1).over(w)).withColumn("x1", F.lag("xe", 1).over(w))
     d = d.withColumn("y2", F.lag("y", 2).over(w)).withColumn("x2", F.lag("xe", 2).over(w))
     d = d.withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    before = Window.partitionBy(*keys).orderBy("ds").rowsBetween(Window.unboundedPreceding, -1)
+    # pass A sums over every earlier day (as a refit would use)
+    d = d.select("*", *G.gram_exprs(F.col("x"), F.col("y"), k + 1, over=before, prefix="a_"))
     z = F.concat(F.array(F.lit(1.0), F.col("y")), F.col("xe"), F.array(F.col("y1")), F.col("x1"), F.array(F.col("y2")), F.col("x2"), F.array(F.col("t")))
     p = 3 * k + 5
     full = d.where(F.col("y2").isNotNull()).withColumn("z", z)
-    before = Window.partitionBy(*keys).orderBy("ds").rowsBetween(Window.unboundedPreceding, -1)
-    cols = [*keys, "ds", "t", "n_rows", "y", "xe", "y1", "x1", "y2", "x2"]
+    cols = [*keys, "ds", "t", "n_rows", "y", "xe", "y1", "x1", "y2", "x2", "a_xtx", "a_xty"]
+    # pass B sums over the earlier days that have both residual lags
     sums = full.select(*cols, *[c for c in G.gram_exprs(F.col("z"), F.lit(1.0), p, over=before)])
     # test day i+1 for i >= int(start * n) (1-based rows of the full series)
     sums = sums.where((F.col("t") >= F.floor(F.col("n_rows") * start) + 2) & (F.col("n") >= 3))
@@ -317,7 +320,7 @@ def walk_forward(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, start:
 def _walk_solve(sums: DataFrame, keys, k: int, lam: float) -> DataFrame:
     import numpy as np
 
-    fields = [f for f in sums.schema.fields if f.name not in ("xtx", "xty", "yty")]
+    fields = [f for f in sums.schema.fields if f.name not in ("xtx", "xty", "yty", "a_xtx", "a_xty")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["bx array<double>, phi1 double, phi2 double, delta double"])
     p = 3 * k + 5
     names = [f.name for f in fields]
@@ -328,11 +331,9 @@ def _walk_solve(sums: DataFrame, keys, k: int, lam: float) -> DataFrame:
             for _, r in pdf.iterrows():
                 g = G.full_gram(np.asarray(r["xtx"], dtype=float), p)
                 # layout: 0 const, 1 y, 2..k+1 x, k+2 y-1, k+3..2k+2 x-1, 2k+3 y-2, 2k+4..3k+3 x-2, 3k+4 t
-                iy, ix = 1, list(range(2, k + 2))
-                sub = [0] + ix
-                gx = g[np.ix_(sub, sub)]
-                gy = g[sub, iy]
-                beta, _, _ = G.ridge_from_sums(gx, gy, np.array([False] + [True] * k), np.zeros(k + 1, bool), np.ones(k + 1, bool), lam)
+                ga = G.full_gram(np.asarray(r["a_xtx"], dtype=float), k + 1)
+                beta, _, _ = G.ridge_from_sums(ga, np.asarray(r["a_xty"], dtype=float), np.array([False] + [True] * k),
+                                               np.zeros(k + 1, bool), np.ones(k + 1, bool), lam)
                 bx = beta[1:]
 
                 def a_vec(lag):
@@ -377,6 +378,12 @@ def rolling_cv(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, lam: flo
     cut = cutoffs(feats, keys=keys).select(*keys, "cutoff", "ds")
     before = Window.partitionBy(*keys).orderBy("ds").rowsBetween(Window.unboundedPreceding, -1)
     p = len(TEMP_TERMS)
+    w = Window.partitionBy(*keys).orderBy("ds")
+    train_span = F.date_diff(F.lag("ds").over(w), F.col("first_ds"))
+    small_mask = F.array(*[F.lit(t in ("const", "t", *TEMP_SMALL)) for t in TEMP_TERMS])
+    full_mask = F.array(*[F.lit(True) for _ in TEMP_TERMS])
+    # K2 applied to each training window (days before the test day)
+    d = d.withColumn("use", F.when(train_span < 21, small_mask).otherwise(full_mask))
     s = d.select(*keys, "ds", "x", "y", "use", *G.gram_exprs(F.col("x"), F.col("y"), p, over=before))
     s = kjoin(s.join(cut, [*keys, "ds"]), gate.select(*keys, "span_days"), keys).where(F.col("span_days") >= min_span)
     fits = G.solve(s, keys, std=TEMP_STD, pen=TEMP_PEN, lam=lam, use_col="use", carry=["ds", "cutoff", "x", "y", "n"])

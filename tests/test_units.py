@@ -345,10 +345,10 @@ def test_walk_forward_equals_refit(spark):
     checked = 0
     for test in range(int(n * 0.6) + 1, n):
         rows_ = np.arange(2, test)  # rows with both lags, before the test day
-        A = X[rows_]
+        A = X[:test]  # pass A: every day before the test day
         keep = [j for j in range(A.shape[1]) if A[:, j].std() > 0]
         b = np.zeros(A.shape[1])
-        b[keep] = np.linalg.solve(A[:, keep].T @ A[:, keep] + 1e-6 * np.eye(len(keep)), A[:, keep].T @ y[rows_])
+        b[keep] = np.linalg.solve(A[:, keep].T @ A[:, keep] + 1e-6 * np.eye(len(keep)), A[:, keep].T @ y[:test])
         u = y - X @ b
         Z = np.column_stack([u[rows_ - 1], u[rows_ - 2], t[rows_]])
         c = np.linalg.solve(Z.T @ Z + 1e-6 * np.eye(3), Z.T @ u[rows_])
@@ -368,12 +368,13 @@ def test_rolling_cv_equals_refit(spark):
     cv = {r.ds: r.yhat for r in M.rolling_cv(f).collect()}
     d = M.temp_design(f, M.regressor_gate(f)).orderBy("ds").toPandas()
     X = np.array([list(v) for v in d.x])
-    use = np.array(d.use.iloc[0], dtype=bool)
-    std = np.array(M.TEMP_STD) & use
     pen = np.array(M.TEMP_PEN)
     assert cv
     for ds, yhat in cv.items():
         i = int(np.where(d.ds == ds)[0][0])
+        span = (d.ds.iloc[i - 1] - d.ds.iloc[0]).days
+        use = np.array([True] * len(M.TEMP_TERMS)) if span >= 21 else np.array([t in ("const", "t", *M.TEMP_SMALL) for t in M.TEMP_TERMS])
+        std = np.array(M.TEMP_STD) & use
         A = X[:i][:, use]
         keep = [j for j in range(A.shape[1]) if j == 0 or A[:, j].std() > 0]
         A = A[:, keep]
