@@ -119,8 +119,14 @@ def _latch_processor_cls(reset_minute: int):
         every reading."""
 
         def init(self, handle) -> None:
+            self.handle = handle
             self.state = handle.getValueState("latch", "blk timestamp, on_ts timestamp")
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            # the watermark passed the key's day: its blocks are closed
+            self.state.clear()
+            return iter([])
+
         def handleInputRows(self, key, rows, timerValues):
             pdf = pd.concat(list(rows), ignore_index=True)
             blk = (pdf["ts"] - pd.Timedelta(minutes=reset_minute)).dt.floor("h")
@@ -136,6 +142,8 @@ def _latch_processor_cls(reset_minute: int):
             last_blk = blk.max()
             on_last = first[last_blk].to_pydatetime() if last_blk in first.index else None
             self.state.update((last_blk.to_pydatetime(), on_last))
+            day_end = pd.Timestamp(key[-1]) + pd.Timedelta(days=1, minutes=reset_minute)
+            self.handle.registerTimer(int(day_end.value // 1_000_000))
             yield pd.DataFrame({
                 "id": pdf.loc[r, "id"].astype("int64"), "room_id": pdf.loc[r, "room_id"].astype("int64"),
                 "ts": pdf.loc[r, "ts"], "presence_latched": (f.notna() & (f <= pdf.loc[r, "ts"])).astype(bool),
@@ -148,7 +156,7 @@ def _latch_processor_cls(reset_minute: int):
 
 
 def presence_latch_rows(readings: DataFrame, pings: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS,
-                        reset_minute: int = 2) -> DataFrame:
+                        reset_minute: int = 2, delay: str = "10 minutes") -> DataFrame:
     """J5 per reading: readings and radar lines meet in keyed state
     (``transformWithStateInPandas``) keyed by room and the day of the latch
     block, so a busy room is spread over its days; equals the batch C6
@@ -159,8 +167,14 @@ def presence_latch_rows(readings: DataFrame, pings: DataFrame, *, keys: Sequence
     p = pings.select(*keys, "ts", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), ok.alias("is_on"))
     r = readings.where(F.col("ts").isNotNull()).select(*keys, "ts", F.lit(1).alias("kind"), F.col("id"), F.lit(None).cast("boolean").alias("is_on"))
     u = p.unionByName(r).withColumn("blk_day", F.to_date(reset_block(F.col("ts"), reset_minute).cast("timestamp_ntz")))
+    if u.isStreaming:
+        # event-time timers clear a (room, day) key once the watermark passes its day
+        u = u.withWatermark("ts", delay)
+        mode = "EventTime"
+    else:
+        mode = "None"
     return u.groupBy(*keys, "blk_day").transformWithStateInPandas(
-        statefulProcessor=_latch_processor_cls(reset_minute)(), outputStructType=LATCH_OUT, outputMode="Append", timeMode="None"
+        statefulProcessor=_latch_processor_cls(reset_minute)(), outputStructType=LATCH_OUT, outputMode="Append", timeMode=mode
     )
 
 
