@@ -107,10 +107,23 @@ def per_key_bound(df: DataFrame, keys: Sequence[str], expr: Column, name: str) -
     return df.join(df.groupBy(*keys).agg(expr.alias(name)), list(keys), "inner")
 
 
-def last_n_days(df: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, ts: str = "ts", days: int = 7) -> DataFrame:
-    """Rows with ts >= max(ts) - days per series (event time, inclusive)."""
+def last_n_days(df: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, ts: str = "ts", days: int = 7,
+                partition_col: str | None = None) -> DataFrame:
+    """Rows with ts >= max(ts) - days per series (event time, inclusive).
+
+    Rows before the earliest per-series cutoff (min over series of
+    max(ts) - days) are dropped first by a scalar-subquery filter: exact, and
+    it shrinks the join input.  With ``partition_col`` (the store's UTC
+    ``date``) the same bound becomes a runtime partition filter, so the scan
+    lists only the recent partitions."""
+    span = F.expr(f"INTERVAL {days} DAYS")
+    if keys:
+        earliest = df.groupBy(*keys).agg(F.max(ts).alias("_m")).agg(F.min("_m") - span).scalar()
+        df = df.where(F.col(ts) >= earliest)
+        if partition_col:
+            df = df.where(F.col(partition_col) >= F.to_date(earliest.cast("timestamp_ntz")))
     out = per_key_bound(df, keys, F.max(ts), "_mx")
-    return out.where(F.col(ts) >= F.col("_mx") - F.expr(f"INTERVAL {days} DAYS")).drop("_mx")
+    return out.where(F.col(ts) >= F.col("_mx") - span).drop("_mx")
 
 
 def since_as_of(df: DataFrame, *, as_of: str, day: str = "ds", days: int = 7) -> DataFrame:

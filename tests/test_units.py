@@ -450,3 +450,22 @@ def test_forecast_folds_match_numpy(spark):
         y = min(max(x @ np.array(t.beta), r.outside_temp_max), r.outside_temp_max + diff)
         assert abs(y - tmp[r.h]) < 1e-6
         l1, l2 = y, l1
+
+
+def test_last_n_days_prunes_store_partitions(spark, tmp_path):
+    from aircast.sources import fixtures as fx
+
+    p = str(tmp_path / "store")
+    store.write_store(fx.measurements(spark, "/root/testdata/sf0.001"), p)
+    from pyspark.sql import types as T
+
+    from aircast import schemas
+
+    sch = T.StructType(list(schemas.MEASUREMENT.fields) + [T.StructField("date", T.DateType())])
+    st = C.parse_timestamp(spark.read.schema(sch).parquet(p)).where(F.col("ts").isNotNull())
+    q = C.last_n_days(st, partition_col="date")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    main = [seg.split("PushedFilters")[0] for seg in plan.split("PartitionFilters: ")[1:]]
+    assert any("date" in m and "Subquery" in m for m in main)  # runtime partition filter on the store
+    want = {r.id for r in C.last_n_days(st).collect()}
+    assert {r.id for r in q.collect()} == want and len(want) > 0
