@@ -178,31 +178,37 @@ def presence_latch_rows(readings: DataFrame, pings: DataFrame, *, keys: Sequence
     )
 
 
+def ingest_batch(batch: DataFrame, batch_id: int, store_path: str, quarantine_path: str, *,
+                 order: Sequence[str] = ("timestamp", "seq")) -> None:
+    """One micro-batch of the ingestion path (landing files -> A5 -> A3 -> J6).
+
+    Rejects go to the quarantine folder with their reason.  Accepted rows get
+    ids continuing the store's autoincrement: max id of the *earlier*
+    batches + dense numbering in ingest ``order``.  A replayed batch thus
+    reproduces its ids and overwrites only its own ``batch_id`` folder."""
+    from ..sources import store as SS
+
+    spark = batch.sparkSession
+    v = SS.validate_payload(batch)
+    v.where(F.col("status") != "ok").write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
+    ok = v.where(F.col("status") == "ok")
+    try:
+        prior = spark.read.parquet(store_path).where(F.col("batch_id") < batch_id).agg(F.max("id")).first()[0] or 0
+    except Exception:  # empty store
+        prior = 0
+    numbered = SS.dense_number(ok, list(order))
+    rows = numbered.select(
+        (F.lit(prior) + F.col("_n")).cast("long").alias("id"), "room_id", F.col("timestamp").alias("ts_raw"), "co2",
+        "temperature", "humidity", "presence",
+    )
+    rows.write.mode("overwrite").parquet(f"{store_path}/batch_id={batch_id}")
+
+
 def ingest(payloads: DataFrame, store_path: str, quarantine_path: str, checkpoint: str, *,
            order: Sequence[str] = ("timestamp", "seq")):
-    """Ingestion path (landing files -> A5 -> A3 -> J6).
-
-    Each micro-batch is validated against the payload model; rejects go to
-    the quarantine folder with their reason.  Accepted rows get ids
-    continuing the store's autoincrement (max id of the *earlier* batches +
-    dense numbering in ingest ``order``), so a replayed batch reproduces its
-    ids and overwrites only its own ``batch_id`` folder."""
-    from ..sources import store as SS
+    """The ingestion stream: ``ingest_batch`` on every micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        v = SS.validate_payload(batch)
-        v.where(F.col("status") != "ok").write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
-        ok = v.where(F.col("status") == "ok")
-        try:
-            prior = spark.read.parquet(store_path).where(F.col("batch_id") < batch_id).agg(F.max("id")).first()[0] or 0
-        except Exception:  # empty store
-            prior = 0
-        numbered = SS.dense_number(ok, list(order))
-        rows = numbered.select(
-            (F.lit(prior) + F.col("_n")).cast("long").alias("id"), "room_id", F.col("timestamp").alias("ts_raw"), "co2",
-            "temperature", "humidity", "presence",
-        )
-        rows.write.mode("overwrite").parquet(f"{store_path}/batch_id={batch_id}")
+        ingest_batch(batch, batch_id, store_path, quarantine_path, order=order)
 
     return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
