@@ -325,14 +325,27 @@ _CMD = "CASE " + " ".join(
 ) + " END"
 
 
+_CMD_T = _CMD.replace("prompt", "text")
+
+
 @query(
     "wake_and_commands",
-    with_(f"SELECT prompt_id, contains(lower(prompt), '{X.WAKE_PHRASE}') AS wake, {_CMD} AS command FROM prompts", "prompts"),
+    with_(
+        f"""SELECT 'prompt' AS source, prompt_id AS text_id, contains(lower(prompt), '{X.WAKE_PHRASE}') AS wake, {_CMD} AS command
+FROM prompts
+UNION ALL
+SELECT 'turn', conv_id * 1000 + turn, contains(lower(text), '{X.WAKE_PHRASE}'), {_CMD_T} FROM turns""",
+        "prompts",
+        "turns",
+    ),
 )
 def wake_and_commands(spark, sf):
-    """Wake phrase and exact music commands over the prompt texts."""
-    p = F.col("prompt")
-    return fx.prompts(spark, sf).select("prompt_id", X.wake_label(p).alias("wake"), X.command_label(p).alias("command"))
+    """Wake phrase and exact music commands over every prompt and every
+    conversation turn (whole texts)."""
+    p = fx.prompts(spark, sf).select(F.lit("prompt").alias("source"), F.col("prompt_id").alias("text_id"), F.col("prompt").alias("text"))
+    t = fx.turns(spark, sf).select(F.lit("turn").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
+    u = p.unionByName(t)
+    return u.select("source", "text_id", X.wake_label(F.col("text")).alias("wake"), X.command_label(F.col("text")).alias("command"))
 
 
 _WORDS = "CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+')) END"
