@@ -1,9 +1,8 @@
 """Queries: trends (D3-D9, D17, D20), latest rows (E5, F), set operations
-(G) and run-history tables (A13-A15, C2, C3, C7-C9, D12-D16, D18)."""
+(G), run-history tables (A11-A16, C2-C4, C7-C9, D12-D16, D18)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -19,7 +18,6 @@ from . import history as H
 from .daily_tables import advice_sql, feature_table, warning_sql, weather_of
 from .readings import AS_OF, MCOLS, OFFICE_DAYS, cleaned, daily_table
 from .registry import cte, query, r6, with_
-from ..functions import calendar as cal  # noqa: F811
 
 SEASON_LIST = "['Winter', 'Spring', 'Summer', 'Autumn']"
 
