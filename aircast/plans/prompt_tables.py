@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
-from ..functions import scalar as S
 from ..functions import text as X
 from ..sources import fixtures as fx
 from . import history as H
 from . import prompts as P
 from .daily_tables import weather_of
-from .readings import daily_table
 from .registry import cte, query, r6, with_
 from .trend_tables import _LINE_SQL, hourly_latest, runs_table
 

@@ -8,7 +8,7 @@ from ..operators import clean as C
 from ..operators import daily as D
 from ..sources import fixtures as fx
 from ..sources import store
-from .registry import CTE, LOCAL, cte, query, r6, with_
+from .registry import LOCAL, query, r6, with_
 
 AS_OF = "2024-01-30"
 OFFICE_DAYS = ("2024-01-24", "2024-01-26")
