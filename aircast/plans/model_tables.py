@@ -328,8 +328,12 @@ def residuals(spark, sf):
 
 @query("holdout_eval")
 def holdout_eval(spark, sf):
-    """CO2 model fitted on the first 80 % of days, MAE / RMSE on the rest, per room."""
-    return M.holdout_eval(shared_features(spark, sf))
+    """CO2 model fitted on the first 80 % of days, MAE / RMSE on the rest, per room; with the
+    reference's column list and with the target-leaking columns lagged (leak_free)."""
+    f = shared_features(spark, sf)
+    a = M.holdout_eval(f).withColumn("variant", F.lit("default"))
+    b = M.holdout_eval(f, leak_free=True).withColumn("variant", F.lit("leak_free"))
+    return a.unionByName(b)
 
 
 @query("rolling_cv")
@@ -346,8 +350,11 @@ def cv_vs_persistence(spark, sf):
 
 @query("walk_forward")
 def walk_forward(spark, sf):
-    """K14 (CO2, cumulative sums)"""
-    return M.walk_forward(shared_features(spark, sf))
+    """K14 (CO2, cumulative sums), with the reference's column list and leak_free."""
+    f = shared_features(spark, sf)
+    a = M.walk_forward(f).withColumn("variant", F.lit("default"))
+    b = M.walk_forward(f, leak_free=True).withColumn("variant", F.lit("leak_free"))
+    return a.unionByName(b)
 
 
 @query("co2_forecast")
