@@ -469,3 +469,41 @@ def test_last_n_days_prunes_store_partitions(spark, tmp_path):
     assert any("date" in m and "Subquery" in m for m in main)  # runtime partition filter on the store
     want = {r.id for r in C.last_n_days(st).collect()}
     assert {r.id for r in q.collect()} == want and len(want) > 0
+
+
+@pytest.mark.parametrize(
+    "prompt, target, status",
+    [
+        ("weather 25 may", dt.date(2024, 5, 25), "too_far"),
+        ("weather on 05/25/2025", dt.date(2025, 5, 25), "too_far"),
+        ("weather february 30 2024", None, "invalid"),
+        ("weather on 13/25/2025", None, "invalid"),
+        ("weather last week", dt.date(2024, 1, 23), "ok"),
+        ("weather next week", dt.date(2024, 2, 6), "ok"),
+        ("what is the weather day after tomorrow", dt.date(2024, 1, 31), "ok"),  # 'tomorrow' is tested first
+        ("weather feb 2", dt.date(2024, 2, 2), "ok"),
+        ("weather", dt.date(2024, 1, 30), "ok"),
+    ],
+)
+def test_weather_dates(spark, prompt, target, status):
+    d = F.lit("2024-01-30").cast("date")
+    t, s = X.weather_target(F.col("p"), d)
+    r = rows(spark, [(prompt,)], "p string").select(t.alias("t"), s.alias("s")).first()
+    assert r.s == status and (status == "invalid" or r.t == target)
+
+
+@pytest.mark.parametrize(
+    "prompt, target",
+    [
+        ("forecast on jan 31st", dt.date(2024, 1, 31)),
+        ("forecast 2nd february", dt.date(2024, 2, 2)),
+        ("forecast for tomorrow", dt.date(2024, 1, 31)),
+        ("forecast yesterday", dt.date(2024, 1, 29)),
+        ("forecast on feb 30", None),
+        ("give me the forecast", None),
+    ],
+)
+def test_forecast_dates(spark, prompt, target):
+    d = F.lit("2024-01-30").cast("date")
+    r = rows(spark, [(prompt,)], "p string").select(X.forecast_date(F.col("p"), d).alias("t")).first()
+    assert r.t == target
