@@ -184,7 +184,8 @@ def ingest_batch(batch: DataFrame, batch_id: int, store_path: str, quarantine_pa
 
     Rejects go to the quarantine folder with their reason.  Accepted rows get
     ids continuing the store's autoincrement: max id of the *earlier*
-    batches + dense numbering in ingest ``order``.  A replayed batch thus
+    batches (from the high-water-mark table ``<store>_hwm``, one row per
+    batch) + dense numbering in ingest ``order``.  A replayed batch thus
     reproduces its ids and overwrites only its own ``batch_id`` folder."""
     from ..sources import store as SS
 
@@ -192,16 +193,22 @@ def ingest_batch(batch: DataFrame, batch_id: int, store_path: str, quarantine_pa
     v = SS.validate_payload(batch)
     v.where(F.col("status") != "ok").write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
     ok = v.where(F.col("status") == "ok")
+    # the highest id of the earlier batches comes from a one-row-per-batch
+    # high-water-mark table, not from a scan of the whole store
+    hwm_path = f"{store_path}_hwm"
     try:
-        prior = spark.read.parquet(store_path).where(F.col("batch_id") < batch_id).agg(F.max("id")).first()[0] or 0
-    except Exception:  # empty store
+        prior = spark.read.parquet(hwm_path).where(F.col("batch_id") < batch_id).agg(F.max("max_id")).first()[0] or 0
+    except Exception:  # first batch
         prior = 0
     numbered = SS.dense_number(ok, list(order))
     rows = numbered.select(
         (F.lit(prior) + F.col("_n")).cast("long").alias("id"), "room_id", F.col("timestamp").alias("ts_raw"), "co2",
         "temperature", "humidity", "presence",
     )
-    rows.write.mode("overwrite").parquet(f"{store_path}/batch_id={batch_id}")
+    out = f"{store_path}/batch_id={batch_id}"
+    rows.write.mode("overwrite").parquet(out)
+    top = spark.read.parquet(out).agg(F.coalesce(F.max("id"), F.lit(prior)).alias("max_id"))  # this batch only
+    top.write.mode("overwrite").parquet(f"{hwm_path}/batch_id={batch_id}")
 
 
 def ingest(payloads: DataFrame, store_path: str, quarantine_path: str, checkpoint: str, *,
