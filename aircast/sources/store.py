@@ -50,10 +50,13 @@ def dense_number(df: DataFrame, order: list[str], *, out: str = "_n") -> DataFra
     return out_df.withColumn(out, F.col("_off") + F.col("_mono") - F.col("_m0") + 1).drop("_pid", "_mono", "_m0", "_off")
 
 
-def append_with_id(store: DataFrame, batch: DataFrame, *, order: tuple[str, ...] = ("ts_raw", "id")) -> DataFrame:
+def append_with_id(store: DataFrame, batch: DataFrame, *, order: tuple[str, ...] = ("ts_raw", "id"),
+                   start_id=None) -> DataFrame:
     """A3: new rows get ids max(id)+1 ... in ingest ``order`` (autoincrement).
-    Returns the store with the batch appended; ``write_append`` persists it."""
-    top = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
+    Returns the store with the batch appended; ``write_append`` persists it.
+    ``start_id`` (e.g. from the ingestion high-water-mark table) replaces the
+    ``max(id)`` scan of a large store."""
+    top = F.lit(start_id) if start_id is not None else store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
     numbered = dense_number(batch, list(order))
     new = numbered.withColumn("id", top + F.col("_n")).drop("_n")
     return conform(store).unionByName(conform(new))

@@ -507,3 +507,13 @@ def test_forecast_dates(spark, prompt, target):
     d = F.lit("2024-01-30").cast("date")
     r = rows(spark, [(prompt,)], "p string").select(X.forecast_date(F.col("p"), d).alias("t")).first()
     assert r.t == target
+
+
+def test_append_with_known_start(spark):
+    st = rows(spark, [(5, 1, "2025-01-01 00:00:00", 400, 20.0, 40.0, False)], "id long, room_id long, ts_raw string, co2 int, temperature double, humidity double, presence boolean")
+    b = rows(spark, [(0, 1, "2025-01-01 00:10:00", 410, 20.0, 40.0, True), (0, 1, "2025-01-01 00:05:00", 405, 20.0, 40.0, True)],
+             "id long, room_id long, ts_raw string, co2 int, temperature double, humidity double, presence boolean")
+    got = sorted((r.id, r.co2) for r in store.append_with_id(st, b).collect())
+    assert got == [(5, 400), (6, 405), (7, 410)]
+    got2 = sorted((r.id, r.co2) for r in store.append_with_id(st, b, start_id=100).collect())
+    assert got2 == [(5, 400), (101, 405), (102, 410)]
