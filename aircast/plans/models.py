@@ -238,16 +238,22 @@ def split_80_20(df: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, frac: floa
 
 def cutoffs(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, horizon: int = 1, period: int = 1, min_initial: int = 7) -> DataFrame:
     """Rolling-origin cutoffs (initial = max(min_initial, span - 3)
-    days, one day apart) and the rows each one predicts: ds in
-    (cutoff, cutoff + horizon]."""
+    days, ``period`` days apart, from max(ds) - horizon back) and the rows
+    each one predicts: ds in (cutoff, cutoff + horizon].
+
+    Each row proposes only the ``horizon`` cutoffs that could predict it and
+    meets the cutoff table on (keys, cutoff) by equality, so the work is
+    rows x horizon, never cutoffs x rows."""
+    keys = list(keys)
     b = feats.groupBy(*keys).agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
     b = b.withColumn("initial", F.greatest(F.lit(min_initial), F.date_diff("hi", "lo") - 3))
     c = b.where(F.date_add("lo", F.col("initial")) <= F.date_sub("hi", horizon)).select(
         *keys, F.explode(F.sequence(F.date_sub("hi", horizon), F.date_add("lo", F.col("initial")), F.expr(f"INTERVAL {-period} DAYS"))).alias("cutoff")
     )
-    rows = feats.select(*keys, "ds")
-    j = kjoin(c, rows, keys).where((F.col("ds") > F.col("cutoff")) & (F.col("ds") <= F.date_add("cutoff", horizon)))
-    return j
+    rows = feats.select(*keys, "ds").withColumn(
+        "cutoff", F.explode(F.sequence(F.date_sub("ds", horizon), F.date_sub("ds", 1)))
+    )
+    return rows.join(c, [*keys, "cutoff"]).select(*keys, "cutoff", "ds")
 
 
 def expanding_slices(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, start: float = 0.6) -> DataFrame:
