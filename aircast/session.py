@@ -43,7 +43,8 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build_session(master: str | None = None, partitions: int = 8, app: str = "aircast") -> SparkSession:
+def build_session(master: str | None = None, partitions: int = 8, app: str = "aircast",
+                  extra: dict[str, str] | None = None) -> SparkSession:
     """Local session for tests and the bench; clusters bring their own."""
     master = master or os.environ.get("AIRCAST_MASTER", "local[8]")
     b = (
@@ -60,7 +61,7 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "ai
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
     )
-    for k, v in RUNTIME_CONF.items():
+    for k, v in {**RUNTIME_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
