@@ -84,15 +84,28 @@ def holiday_dim(years: DataFrame, *, year: str = "y") -> DataFrame:
     return years.select(F.inline(F.array(*fixed, *movable)))
 
 
+def is_holiday(d: Column) -> Column:
+    """H3 membership as a pure expression of the date itself: fixed
+    (month, day) holidays, or a day offset from its own year's Easter
+    Sunday.  No dimension table, no join, no scan to find the years."""
+    md = F.month(d) * 100 + F.dayofmonth(d)
+    fixed = md.isin([m * 100 + dd for m, dd, _ in FIXED_HOLIDAYS])
+    off = F.date_diff(d, easter_sunday(F.year(d)))
+    return fixed | off.isin([o for o, _ in EASTER_HOLIDAYS])
+
+
 def years_of(df: DataFrame, *, day: str = "ds") -> DataFrame:
     """The calendar years spanned by ``df`` (one bounds row, exploded)."""
     b = df.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
     return b.select(F.explode(F.sequence(F.year("lo"), F.year("hi"))).alias("y"))
 
 
-def with_holiday(df: DataFrame, holidays: DataFrame, *, day: str = "ds", out: str = "is_holiday") -> DataFrame:
-    """Membership test by broadcast left-semi style join (holidays are
-    distinct per day after the ``groupBy``)."""
+def with_holiday(df: DataFrame, holidays: DataFrame | None = None, *, day: str = "ds", out: str = "is_holiday") -> DataFrame:
+    """Holiday flag.  Without a table: the pure expression ``is_holiday``
+    (the default; no join).  With a caller's holiday table (e.g. another
+    country): a broadcast left join -- the table is tiny, distinct per day."""
+    if holidays is None:
+        return df.withColumn(out, is_holiday(F.col(day)))
     h = holidays.groupBy(F.col("ds").alias("_hd")).agg(F.lit(True).alias(out))
     return df.join(F.broadcast(h), F.col(day) == F.col("_hd"), "left").drop("_hd").withColumn(
         out, F.coalesce(F.col(out), F.lit(False))

@@ -14,7 +14,7 @@ from ..functions import calendar as cal
 from .clean import last_n_days
 
 
-def trend_columns(df: DataFrame, holidays: DataFrame) -> DataFrame:
+def trend_columns(df: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     """hour, weekend, holiday and season of each reading (local time)."""
     d = df.withColumn("_day", F.to_date("local_ts"))
     d = cal.with_holiday(d, holidays, day="_day")

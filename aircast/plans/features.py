@@ -41,11 +41,7 @@ def features(daily: DataFrame, weather: DataFrame, holidays: DataFrame | None =
     df = W.co2_diff(df, keys=keys)
     df = W.rapid_rise(df, threshold=rise)
     df = cal.calendar_flags(df)
-    if holidays is None:
-        # every feature day is a weather day (inner join), so the weather
-        # table's years cover them; it is tiny, the daily table is not
-        holidays = cal.holiday_dim(cal.years_of(weather))
-    df = cal.with_holiday(df, holidays)
+    df = cal.with_holiday(df, holidays)  # default: holiday flag as an expression of ds
     df = cal.day_cyclic(df)
     if sleep_ratio:
         df = df.withColumn("sleep_time_ratio", F.lit(8 / 24))
@@ -53,6 +49,6 @@ def features(daily: DataFrame, weather: DataFrame, holidays: DataFrame | None =
     return df.select(*cols).dropna("any")
 
 
-def future_calendar(df: DataFrame, holidays: DataFrame) -> DataFrame:
+def future_calendar(df: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     """Calendar, holiday and cyclic columns for scaffold rows."""
     return cal.day_cyclic(cal.with_holiday(cal.calendar_flags(df), holidays))

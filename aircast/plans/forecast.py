@@ -17,7 +17,6 @@ from ..schemas import FORECAST_FIELDS, WEATHER_FIELDS
 from . import gram as G
 from . import models as M
 from .features import future_calendar
-from .history import horizon_years
 
 
 def last_values(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
@@ -44,8 +43,7 @@ def future_scaffold(feats: DataFrame, weather: DataFrame, *, keys: Sequence[str]
     )
     rows = b.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn("ds", F.date_add("last_ds", F.col("h")))
     rows = rows.join(F.broadcast(weather), "ds", "left")
-    hol = cal.holiday_dim(horizon_years(feats, horizon))
-    rows = future_calendar(rows, hol)
+    rows = future_calendar(rows)
     return rows.select(
         *keys, "h", "ds", *WEATHER_FIELDS, "is_weekend", "is_holiday", "dayofweek", "day_sin", "day_cos",
         F.lit(0.3).alias("presence_ratio"), "hum_mean", F.lit(0.0).alias("temp_diff"), F.lit(0.0).alias("co2_diff1"),

@@ -23,13 +23,12 @@ def horizon_years(daily: DataFrame, horizon: int) -> DataFrame:
 def persistence_runs(daily: DataFrame, weather: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, horizon: int = 7) -> DataFrame:
     """One run per (series, day): ds = run day + 1..horizon.  The fan-out is
     a bounded ``explode`` (horizon rows per day), not a join."""
-    hol = cal.holiday_dim(horizon_years(daily, horizon))
     base = daily.select(*keys, F.col("ds").alias("run_id"), "co2_mean", "temp_mean")
     rows = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn(
         "ds", F.date_add("run_id", F.col("h"))
     )
     rows = rows.join(F.broadcast(weather), "ds", "left")
-    rows = cal.with_holiday(rows, hol)
+    rows = cal.with_holiday(rows)
     rows = rows.withColumn("is_weekend", cal.weekday(F.col("ds")) >= 5)
     rows = rows.withColumn("pred_temp", F.col("temp_mean")).withColumn("pred_co2", F.col("co2_mean"))
     rows = rows.withColumn("advies", S.advice(F.col("pred_co2"), F.col("pred_temp")))

@@ -80,9 +80,7 @@ RUN_OUT = ", ".join(
 
 
 def week_rows(spark, sf):
-    c = cleaned(spark, sf)
-    hol = cal.holiday_dim(cal.years_of(c.select(F.to_date(F.col("ts").cast("timestamp_ntz")).alias("ds"))))
-    return TR.trend_columns(C.last_n_days(c), hol)
+    return TR.trend_columns(C.last_n_days(cleaned(spark, sf)))
 
 
 def runs_table(spark, sf):

@@ -517,3 +517,11 @@ def test_append_with_known_start(spark):
     assert got == [(5, 400), (6, 405), (7, 410)]
     got2 = sorted((r.id, r.co2) for r in store.append_with_id(st, b, start_id=100).collect())
     assert got2 == [(5, 400), (101, 405), (102, 410)]
+
+
+def test_holiday_expression_equals_dimension(spark):
+    days = spark.range(0, 365 * 12).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    years = days.select(F.year("d").alias("y")).distinct()
+    dim = cal.holiday_dim(years).select(F.col("ds").alias("d")).distinct().withColumn("dim", F.lit(True))
+    j = days.join(dim, "d", "left").withColumn("dim", F.coalesce("dim", F.lit(False)))
+    assert j.where(F.col("dim") != cal.is_holiday(F.col("d"))).count() == 0
