@@ -59,3 +59,9 @@ def test_local_day_filter_pushes_to_scan(spark, tmp_path):
     q = C.local_today(spark.read.parquet(p), as_of="2025-04-23")
     pl = q._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in pl and "GreaterThanOrEqual(ts" in pl and q.count() == 1
+
+
+@pytest.mark.parametrize("name", ["feature_matrix", "trend_slices", "future_scaffold"])
+def test_holiday_flag_needs_no_join(spark, name):
+    p = plan(spark, name)
+    assert "_hd" not in p  # the holiday flag is an expression of the date, not a dimension join
