@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard
+from . import decontaminate, exact_dedup, jaccard, secret_sql, secrets
 from .frames import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     # ids are given in order of arrival: the first half is the snapshot, the second the incoming batch
     lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     return exact_dedup.duplicates(docs, F.col("doc_id") <= F.lit(((lo or 0) + (hi or 0)) // 2))
+
+
+@query("op1_secret_scan", secret_sql.sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents", "doc_id", "text")))
