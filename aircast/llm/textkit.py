@@ -91,7 +91,7 @@ def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         first = total[i:j] - total[i]
         at = np.arange(int(total[j] - total[i]))
         pos = at - np.repeat(first, n)
-        letters = raw[at + np.repeat(start[i:j] - first, n)].astype(U) + U(1)
+        letters = raw[at + np.repeat(start[i:j] - first, n)].astype(U) + U(1)  # bytes or code points
         pw = powers(int(n.max()) + 1)
         out[i:j] = np.add.reduceat(letters * pw[pos], first) + n.astype(U) * U(0xD6E8FEB86659FD93)
         i = j
