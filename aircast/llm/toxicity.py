@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import chargrams as cg
 from . import textkit as tk
-from .frames import held_out, scan
+from .frames import held_out, labelled, scan
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -211,21 +211,10 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / wide), float(w[1] - w[0] * mid / wide)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int]) -> DataFrame:
-    """text and label of at most ``per_class`` labelled rows with label 0 and 1, in the
-    order of a hash of doc_id.  Only their ids (a bounded number) are broadcast."""
-    one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    one = one.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).alias("label"))
-    rank = F.xxhash64("doc_id")
-    ids = [one.where(F.col("label") == v).orderBy(rank, "doc_id").limit(per_class[v]) for v in (0, 1)]
-    ids = ids[0].union(ids[1])
-    return docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
     """The model of the labelled rows of ``docs`` (doc_id, text) that aren't held out."""
     labels = labels.select("doc_id", "toxic").where(~held_out() & F.col("toxic").isNotNull())
-    rows = sample(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), labels, "toxic", per_class)
+    rows = labelled(docs.select("doc_id", "text"), labels, "toxic", per_class)
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toPandas()
     share = labels.agg(F.avg("toxic")).first()[0]
     return train([t or "" for t in got["text"]], got["label"].to_numpy(), share)
