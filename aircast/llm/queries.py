@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard, langid, lines, quality, secret_sql, secrets, toxicity
+from . import decontaminate, exact_dedup, jaccard, langid, lines, pieces, quality, secret_sql, secrets, toxicity, urls
 from .frames import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,45 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op2_url_filter", """
+WITH cap AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 400 AS INT) AS fetched_on,
+                    regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1) AS host,
+                    list_filter(string_split(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS seg
+             FROM pages),
+hosts AS (SELECT *, string_split(host, '.') AS lab FROM cap WHERE host <> ''),
+keys AS (
+  SELECT page_id, 'host' AS kind, host AS key FROM hosts
+  UNION SELECT page_id, 'domain', array_to_string(lab[i:], '.') FROM (SELECT *, unnest(range(1, len(lab))) AS i FROM hosts) a
+  UNION SELECT page_id, 'prefix', host || '/' || array_to_string(seg[1:i], '/') FROM (SELECT *, unnest(range(1, len(seg) + 1)) AS i FROM hosts) b),
+hk AS (SELECT DISTINCT kind, key, length(key) * 37 + ascii(substr(key, 1, 1)) * 11 + coalesce(ascii(nullif(substr(key, 5, 1), '')), 0) * 17
+         + coalesce(ascii(nullif(substr(key, 8, 1), '')), 0) * 29 AS h FROM keys),
+feed AS (
+  SELECT kind, key, 1 AS seq, h % 300 AS d, 'add' AS action FROM hk WHERE h % 3 = 0
+  UNION ALL SELECT kind, key, 2, h % 300 + 20 + h % 90, 'remove' FROM hk WHERE h % 3 = 0 AND h % 2 = 0
+  UNION ALL SELECT kind, key, 3, h % 300 + 60 + h % 90, 'add' FROM hk WHERE h % 3 = 0 AND h % 5 = 0),
+iv AS (SELECT kind, key, action, DATE '2024-01-01' + CAST(d AS INT) AS valid_from,
+              lead(DATE '2024-01-01' + CAST(d AS INT)) OVER (PARTITION BY kind, key ORDER BY d, seq) AS valid_to FROM feed),
+hit AS (SELECT c.page_id, count(DISTINCT (k.kind, k.key)) AS n_entries, string_agg(DISTINCT 'list-' || k.kind, ',' ORDER BY 'list-' || k.kind) AS categories
+        FROM cap c JOIN keys k ON k.page_id = c.page_id JOIN iv ON iv.kind = k.kind AND iv.key = k.key
+        WHERE iv.action = 'add' AND iv.valid_from <= c.fetched_on AND (iv.valid_to IS NULL OR c.fetched_on < iv.valid_to) GROUP BY c.page_id)
+SELECT cap.page_id, fetched_on, host, n_entries IS NOT NULL AS blocked, CAST(coalesce(n_entries, 0) AS BIGINT) AS n_entries, coalesce(categories, '') AS categories
+FROM cap LEFT JOIN hit ON hit.page_id = cap.page_id
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    # the pages have no fetch time of their own: one is given to each by its id
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(400)).cast("int"))
+    return urls.judge(pages.withColumn("fetched_on", day), urls.example_entries(pages)).drop("url")
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = pieces.load()
+    coded = pieces.with_pieces(table(spark, sf_dir, "documents", "doc_id", "text"), v)
+    back = pieces.with_text(coded, v, to="decoded")
+    return back.select(
+        "doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
