@@ -20,8 +20,10 @@ TEMP_LOW, TEMP_HIGH, CO2_LIMIT = 18.0, 25.0, 1000.0
 
 
 def clip(x: Column, low: Column, high: Column) -> Column:
-    """H4: bound to [low, high]; when low > high the upper bound wins."""
-    return F.least(F.greatest(x, low), high)
+    """H4: bound to [low, high]; when low > high the upper bound wins.  A missing
+    value stays missing, and so it is with a missing bound."""
+    known = x.isNotNull() & low.isNotNull() & high.isNotNull()
+    return F.when(known, F.least(F.greatest(x, low), high))
 
 
 def round_half_even(x: Column, digits: int = 0) -> Column:
@@ -60,14 +62,16 @@ def int_text(x: Column) -> Column:
 
 def advice(pred_co2: Column, pred_temp: Column, *, co2: float = CO2_LIMIT, low: float = TEMP_LOW, high: float = TEMP_HIGH,
            texts: tuple[str, str, str, str] = (ADVICE_VENTILATE, ADVICE_TOO_WARM, ADVICE_TOO_COLD, ADVICE_ALL_FINE)) -> Column:
-    """H9: strict thresholds; parts joined by ' | '; none -> all fine."""
+    """H9: strict thresholds; parts joined by ' | '; none -> all fine.  Without both
+    predictions there is no advice."""
     vent, warm, cold, fine = texts
     parts = F.concat_ws(
         " | ",
         F.when(pred_co2 > co2, F.lit(vent)),
         F.when(pred_temp > high, F.lit(warm)).when(pred_temp < low, F.lit(cold)),
     )
-    return F.coalesce(F.nullif(parts, F.lit("")), F.lit(fine))
+    text = F.coalesce(F.nullif(parts, F.lit("")), F.lit(fine))
+    return F.when(pred_co2.isNotNull() & pred_temp.isNotNull(), text)
 
 
 def alert_text(co2: Column) -> Column:

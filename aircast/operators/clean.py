@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from .. import DEFAULT_KEYS, ZONE
 
 
+def instant_of(text: Column) -> Column:
+    """The instant of a text that begins with a date (a bare clock time has none)."""
+    dated = F.trim(text).rlike(r"^\d{4}-\d{1,2}-\d{1,2}")
+    return F.when(dated, F.try_to_timestamp(text))
+
+
 def parse_timestamp(df: DataFrame, *, src: str = "ts_raw", out: str = "ts") -> DataFrame:
     """B1: ISO text with or without offset -> instant; unparsable -> NULL.
 
     Naive text is read in the session zone, which ``configure`` pins to UTC.
     """
-    return df.withColumn(out, F.try_to_timestamp(F.col(src)))
+    return df.withColumn(out, instant_of(F.col(src)))
 
 
 def local_time(ts: Column, zone: str = ZONE) -> Column:
@@ -61,7 +67,7 @@ def clean(df: DataFrame, *, zone: str = ZONE, co2_max: int = 5000, keep_null: bo
 
 def quality_counts(raw: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, co2_max: int = 5000) -> DataFrame:
     """Bad timestamps, outliers and kept rows per series, one pass."""
-    ts = F.try_to_timestamp(F.col("ts_raw"))
+    ts = instant_of(F.col("ts_raw"))
     good = ts.isNotNull()
     over = F.coalesce(F.col("co2") > co2_max, F.lit(False))
     return raw.groupBy(*keys).agg(

@@ -19,13 +19,13 @@ def day_of(ts: str = "ts", day_zone: str = "UTC"):
     return F.to_date(local_time(F.col(ts), day_zone))
 
 
-def avg_fixed(col: str, scale: int = 2):
-    """Mean of fixed-point readings (stored with ``scale`` decimals, B13).
+def avg_exact(col, scale: int = 10):
+    """Mean of readings.
 
-    The sum runs in DECIMAL, so it is exact and the mean does not depend on
-    how rows are split over tasks (float sums do)."""
-    c = F.col(col)
-    return F.sum(c.cast(f"decimal(18,{scale})")).cast("double") / F.count(c)
+    The sum runs in DECIMAL with ``scale`` places, which no sensor exceeds, so the
+    mean does not depend on how rows are split over tasks (float sums do)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.sum(c.cast(f"decimal(28,{scale})")).cast("double") / F.count(c)
 
 
 def daily(df: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, day_zone: str = "UTC") -> DataFrame:
@@ -34,8 +34,8 @@ def daily(df: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, day_zone: str =
     map-side, so a hot series costs one small row per task and day."""
     return df.groupBy(*keys, day_of("ts", day_zone).alias("ds")).agg(
         F.avg("co2").alias("co2_mean"),
-        avg_fixed("temperature").alias("temp_mean"),
-        avg_fixed("humidity").alias("hum_mean"),
+        avg_exact("temperature").alias("temp_mean"),
+        avg_exact("humidity").alias("hum_mean"),
         F.sum(F.col("presence").cast("bigint")).alias("presence_count"),
         F.count("co2").alias("total_count"),
     )
@@ -47,7 +47,7 @@ def presence_ratio(df: DataFrame, *, sleep_hours: int = 8, cap: int | None = 24)
     source: it may exceed 1).  ``sleep_hours=0, cap=None`` is the old form."""
     p = F.col("presence_count") + F.lit(sleep_hours)
     if cap is not None:
-        p = F.least(p, F.lit(cap))
+        p = F.when(p.isNotNull(), F.least(p, F.lit(cap)))
     return df.withColumn("presence_count", p.cast("bigint")).withColumn(
         "presence_ratio", F.try_divide(F.col("presence_count").cast("double"), F.col("total_count"))
     )
@@ -77,7 +77,7 @@ def min_days_guard(df: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, min_day
 def daily_actuals(df: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, zone: str = ZONE) -> DataFrame:
     """Per local day: mean co2 and temperature."""
     return df.groupBy(*keys, day_of("ts", zone).alias("day")).agg(
-        F.avg("co2").alias("actual_co2"), avg_fixed("temperature").alias("actual_temp")
+        F.avg("co2").alias("actual_co2"), avg_exact("temperature").alias("actual_temp")
     )
 
 

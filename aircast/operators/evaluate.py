@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from .. import DEFAULT_KEYS
 from ..keys import kjoin
+from .daily import avg_exact
+
+
+def wall_clock(raw):
+    """The date and time that a stored text itself shows (not converted)."""
+    return F.replace(F.substring(raw, 1, 19), F.lit("T"), F.lit(" "))
 
 
 def context_line(df: DataFrame):
     """One reading as the prompt line (Python's text of each value)."""
     return F.concat(
-        F.lit("Timestamp: "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+        F.lit("Timestamp: "), wall_clock(F.col("ts_raw")),
         F.lit(", CO₂: "), F.coalesce(F.col("co2").cast("string"), F.lit("None")),
         F.lit(" ppm, Temperature: "), F.col("temperature").cast("string"),
         F.lit("°C, Humidity: "), F.col("humidity").cast("string"),
@@ -79,7 +85,7 @@ def error_metrics(pairs: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, by: S
     """MAE and RMSE from one pass of sums (n, sum|r|, sum r^2)."""
     p = pairs.where(F.col("y").isNotNull() & F.col("yhat").isNotNull()).withColumn("_r", F.col("y") - F.col("yhat"))
     return p.groupBy(*keys, *by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs("_r")).alias("mae"), F.sqrt(F.avg(F.col("_r") * F.col("_r"))).alias("rmse")
+        F.count(F.lit(1)).alias("n"), avg_exact(F.abs("_r")).alias("mae"), F.sqrt(avg_exact(F.col("_r") * F.col("_r"))).alias("rmse")
     )
 
 

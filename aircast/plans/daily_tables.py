@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import scalar as S
+from ..operators import clean as C
 from ..operators import windows as W
 from ..operators.clean import temp_diff
 from ..sources import fixtures as fx
@@ -214,7 +215,8 @@ def feature_matrix(spark, sf):
     "clip",
     with_(
         "SELECT room_id, ds, {} FROM joined".format(
-            r6("least(greatest(temp_mean, outside_temp_min + 15), outside_temp_max)", "clipped")
+            r6("CASE WHEN temp_mean + outside_temp_min + outside_temp_max IS NOT NULL "
+               "THEN least(greatest(temp_mean, outside_temp_min + 15), outside_temp_max) END", "clipped")
         ),
         "joined",
     ),
@@ -264,7 +266,8 @@ def format_dates(spark, sf):
     )
 
 
-_ADVICE_SQL = """CASE WHEN concat_ws(' | ',
+_ADVICE_SQL = """CASE WHEN {c} IS NULL OR {t} IS NULL THEN NULL
+     WHEN concat_ws(' | ',
          CASE WHEN {c} > 1000 THEN '{v}' END,
          CASE WHEN {t} > 25 THEN '{w}' WHEN {t} < 18 THEN '{k}' END) = '' THEN '{f}'
      ELSE concat_ws(' | ', CASE WHEN {c} > 1000 THEN '{v}' END,
@@ -298,13 +301,14 @@ def alert_sql(c: str) -> str:
 @query(
     "alert_text",
     with_(
-        f"SELECT id, room_id, ts, {alert_sql('co2')} AS alert FROM clean WHERE co2 >= 900",
-        "clean",
+        f"SELECT id, room_id, ts, {alert_sql('co2')} AS alert FROM parsed WHERE co2 >= 900",
+        "parsed",
     ),
 )
 def alert_text(spark, sf):
-    """Readings at or over 900 ppm with their message."""
-    df = cleaned(spark, sf).where(F.col("co2") >= 900)
+    """All readings at or over 900 ppm with their message (the raw ones: what the
+    models leave out as an outlier, or has no readable time, is an alert all the same)."""
+    df = C.parse_timestamp(fx.measurements(spark, sf)).where(F.col("co2") >= 900)
     return df.select("id", "room_id", "ts", S.alert_text(F.col("co2")).alias("alert"))
 
 

@@ -25,7 +25,7 @@ FEATURE_COLUMNS = [
 def join_weather(daily: DataFrame, weather: DataFrame) -> DataFrame:
     """Inner equi join on ds.  Weather has one row per calendar day (a
     proven bound), so it is broadcast and the daily table is not shuffled."""
-    return daily.join(F.broadcast(weather), "ds", "inner")
+    return daily.join(weather, "ds", "inner")
 
 
 def features(daily: DataFrame, weather: DataFrame, holidays: DataFrame | None = None, *,

@@ -42,7 +42,7 @@ def future_scaffold(feats: DataFrame, weather: DataFrame, *, keys: Sequence[str]
         F.max_by("hum_mean", "ds").alias("hum_mean"),
     )
     rows = b.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn("ds", F.date_add("last_ds", F.col("h")))
-    rows = rows.join(F.broadcast(weather), "ds", "left")
+    rows = rows.join(weather, "ds", "left")
     rows = future_calendar(rows)
     return rows.select(
         *keys, "h", "ds", *WEATHER_FIELDS, "is_weekend", "is_holiday", "dayofweek", "day_sin", "day_cos",

@@ -15,9 +15,12 @@ from ..functions import scalar as S
 from ..schemas import WEATHER_FIELDS
 
 
-def horizon_years(daily: DataFrame, horizon: int) -> DataFrame:
-    b = daily.agg(F.min("ds").alias("lo"), F.date_add(F.max("ds"), horizon).alias("hi"))
-    return b.select(F.explode(F.sequence(F.year("lo"), F.year("hi"))).alias("y"))
+#: Columns of ``persistence_runs`` and of the stored history.
+RUN_SCHEMA = (
+    "room_id bigint, run_id date, batch string, h int, ds date, pred_temp double, outside_temp_max double, outside_temp_min double, "
+    "precipitation double, cloudcover int, wind double, solar_radiation double, is_weekend boolean, is_holiday boolean, "
+    "pred_co2 double, advies string"
+)
 
 
 def persistence_runs(daily: DataFrame, weather: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, horizon: int = 7) -> DataFrame:
@@ -27,7 +30,7 @@ def persistence_runs(daily: DataFrame, weather: DataFrame, *, keys: Sequence[str
     rows = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")).withColumn(
         "ds", F.date_add("run_id", F.col("h"))
     )
-    rows = rows.join(F.broadcast(weather), "ds", "left")
+    rows = rows.join(weather, "ds", "left")
     rows = cal.with_holiday(rows)
     rows = rows.withColumn("is_weekend", cal.weekday(F.col("ds")) >= 5)
     rows = rows.withColumn("pred_temp", F.col("temp_mean")).withColumn("pred_co2", F.col("co2_mean"))
@@ -85,21 +88,25 @@ def write_forecast(runs: DataFrame, path: str, *, keys: Sequence[str] = DEFAULT_
     sink_layout(latest_run(runs, keys=keys), keys=keys).write.mode("overwrite").json(path)
 
 
-def history_append(runs: DataFrame, path: str) -> None:
-    """Append runs to the history, partitioned by run_id; a rerun of
-    the same run replaces only its own partition (dynamic overwrite)."""
-    runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+def history_append(runs: DataFrame, path: str, batch: str) -> None:
+    """Append runs to the history, partitioned by (run_id, batch).  A batch
+    that is written again replaces only itself (dynamic overwrite); another
+    batch of the same day, say of other rooms, stays.  One file for each run."""
+    rows = runs.withColumn("batch", F.lit(batch)).repartition("run_id")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch").parquet(path)
 
 
 def read_history(spark, path: str) -> DataFrame:
-    """History in both record shapes: an unreadable/missing history reads
-    as empty; shapes are merged by name (missing fields NULL)."""
-    from ..schemas import FORECAST_FIELDS
+    """History in both record shapes: a missing history reads as empty, an
+    unreadable one fails; shapes are merged by name (missing fields NULL)."""
+    from pyspark.errors import AnalysisException
 
     try:
         return spark.read.option("mergeSchema", "true").parquet(path)
-    except Exception:  # no history yet: start empty
-        return spark.createDataFrame([], "run_id date, " + ", ".join(f"{c} string" for c in FORECAST_FIELDS))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], RUN_SCHEMA)
 
 
 def records_json(runs: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:

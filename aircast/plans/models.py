@@ -416,9 +416,10 @@ def holdout_eval(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_f
     keys = list(keys)
     s = split_80_20(feats, keys=keys)
     train = s.where(~F.col("is_test")).drop("rn", "n_rows", "is_test")
-    test = s.where(F.col("is_test"))
     models, _ = fit_co2(train, keys=keys, leak_free=leak_free)
-    test = co2_exog(test, keys=keys, leak_free=False).withColumn("h", F.col("rn") - (F.col("n_rows") - F.greatest(F.floor(F.col("n_rows") * 0.2), F.lit(1))))
+    # the columns are lagged over all days, then split: test rows see what training saw
+    own = co2_exog(s, keys=keys, leak_free=leak_free).where(F.col("is_test"))
+    test = own.withColumn("h", F.col("rn") - (F.col("n_rows") - F.greatest(F.floor(F.col("n_rows") * 0.2), F.lit(1))))
     test = test.withColumn("t_row", F.col("rn").cast("double"))
     fc = co2_fold(test, models, keys=keys)
     ev = fc.join(test.select(*keys, "ds", "y"), [*keys, "ds"])

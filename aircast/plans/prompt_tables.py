@@ -270,14 +270,14 @@ _GENERAL_SQL = "'The user asked: ' || prompt || chr(10) || 'Respond as Luna, a h
         f"""SELECT q.prompt_id, q.room_id,
        CASE WHEN e.max_co2 IS NULL THEN {_GENERAL_SQL.replace('prompt', 'q.prompt')}
        ELSE {lit(P.CLIMATE_HEAD)} || c.tbl || chr(10) || chr(10) || 'Important data:' || chr(10) ||
-            'Highest CO₂ level: ' || CAST(e.max_co2 AS VARCHAR) || ' ppm at ' || strftime(e.max_ts, '%H:%M') || chr(10) ||
-            'Lowest CO₂ level: ' || CAST(e.min_co2 AS VARCHAR) || ' ppm at ' || strftime(e.min_ts, '%H:%M') || chr(10) || chr(10) ||
+            'Highest CO₂ level: ' || CAST(e.max_co2 AS VARCHAR) || ' ppm at ' || substr(e.max_ts, 12, 5) || chr(10) ||
+            'Lowest CO₂ level: ' || CAST(e.min_co2 AS VARCHAR) || ' ppm at ' || substr(e.min_ts, 12, 5) || chr(10) || chr(10) ||
             'User question: ' || q.prompt || chr(10) || {lit(P.CLIMATE_TAIL)} END AS context
 FROM (SELECT * FROM pr WHERE intent = 'climate') q
 LEFT JOIN (SELECT room_id, string_agg({_LINE_SQL}, chr(10) ORDER BY ts) AS tbl FROM hourly_latest
            WHERE day = {D} GROUP BY room_id) c ON c.room_id = q.room_id
-LEFT JOIN (SELECT room_id, max(co2) AS max_co2, first(ts ORDER BY co2 DESC, ts DESC) AS max_ts,
-                  min(co2) AS min_co2, first(ts ORDER BY co2 ASC, ts DESC) AS min_ts
+LEFT JOIN (SELECT room_id, max(co2) AS max_co2, first(ts_raw ORDER BY co2 DESC, ts DESC) AS max_ts,
+                  min(co2) AS min_co2, first(ts_raw ORDER BY co2 ASC, ts DESC) AS min_ts
            FROM hourly_latest WHERE day = {D} AND co2 IS NOT NULL GROUP BY room_id) e ON e.room_id = q.room_id""",
         "pr",
         "hourly_latest",

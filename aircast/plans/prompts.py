@@ -70,8 +70,8 @@ def weather_answer(prompts: DataFrame, weather: DataFrame, *, as_of: str) -> Dat
     d = F.lit(as_of).cast("date")
     target, status = X.weather_target(F.col("prompt"), d)
     p = prompts.withColumn("target_date", target).withColumn("status", status)
-    w = weather.select(F.col("ds").alias("target_date"), "outside_temp_max", "outside_temp_min", "cloudcover", "wind", "precipitation")
-    j = p.join(F.broadcast(w), "target_date", "left")
+    w = weather.select(F.col("ds").alias("target_date"), "outside_temp_max", "outside_temp_min", "cloudcover", "wind", "precipitation", F.lit(True).alias("_known"))
+    j = p.join(w, "target_date", "left")
     text = F.concat(
         F.lit("📅 Weather forecast for "), F.date_format("target_date", "MMMM dd, yyyy"), F.lit(" in Brussels:\n"),
         F.lit("- 🌡️ Max temp: "), S.py_text(F.col("outside_temp_max")), F.lit("°C\n"),
@@ -83,10 +83,10 @@ def weather_answer(prompts: DataFrame, weather: DataFrame, *, as_of: str) -> Dat
     ans = (
         F.when(F.col("status") == "invalid", DATE_INVALID)
         .when(F.col("status") == "too_far", TOO_FAR)
-        .when(F.col("outside_temp_max").isNull(), NO_WEATHER)
+        .when(F.col("_known").isNull(), NO_WEATHER)
         .otherwise(text)
     )
-    return j.withColumn("answer", ans)
+    return j.withColumn("answer", ans).drop("_known")
 
 
 def climate_context(prompts: DataFrame, hourly: DataFrame, *, as_of: str, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
@@ -98,17 +98,17 @@ def climate_context(prompts: DataFrame, hourly: DataFrame, *, as_of: str, keys:
     newest_first = -F.unix_micros(F.col("ts"))
     ctx = today.groupBy(*keys).agg(ordered_text(context_line(today), F.col("ts")).alias("table"))
     ext = ok.groupBy(*keys).agg(
-        F.max_by(F.struct("co2", "ts"), F.struct("co2", "ts")).alias("hi"),
-        F.min_by(F.struct("co2", "ts"), F.struct("co2", newest_first)).alias("lo"),
+        F.max_by(F.struct("co2", "ts_raw"), F.struct("co2", "ts")).alias("hi"),
+        F.min_by(F.struct("co2", "ts_raw"), F.struct("co2", newest_first)).alias("lo"),
     )
     j = kjoin(kjoin(prompts, ctx, keys, "left"), ext, keys, "left")
     text = F.concat(
         F.lit(CLIMATE_HEAD), F.col("table"), F.lit("\n\nImportant data:\nHighest CO₂ level: "),
-        F.col("hi.co2").cast("string"), F.lit(" ppm at "), F.date_format("hi.ts", "HH:mm"),
-        F.lit("\nLowest CO₂ level: "), F.col("lo.co2").cast("string"), F.lit(" ppm at "), F.date_format("lo.ts", "HH:mm"),
+        F.col("hi.co2").cast("string"), F.lit(" ppm at "), F.substring("hi.ts_raw", 12, 5),
+        F.lit("\nLowest CO₂ level: "), F.col("lo.co2").cast("string"), F.lit(" ppm at "), F.substring("lo.ts_raw", 12, 5),
         F.lit("\n\nUser question: "), F.col("prompt"), F.lit("\n"), F.lit(CLIMATE_TAIL),
     )
-    fallback = F.format_string(GENERAL.replace("%s", "%s"), F.col("prompt"))
+    fallback = F.format_string(GENERAL, F.col("prompt"))
     return j.withColumn("context", F.when(F.col("hi").isNull(), fallback).otherwise(text)).drop("table", "hi", "lo")
 
 

@@ -19,18 +19,9 @@ ORACLE: dict[str, str] = {}
 DIGITS = 6
 
 
-# Canonical output rounding to 6 digits uses the threshold 1/sqrt(3)
-# instead of 1/2: results of fixed-point data are often exact short decimals
-# that sit exactly on a half-way point, where two engines' float sums (added
-# in different orders) fall on different sides.  No short decimal lies on an
-# irrational threshold, so identical-up-to-noise values round identically.
-THRESHOLD = 0.5773502691896258
-
-
 def round6(c):
-    """IEEE-only canonical rounding, identical in Spark and DuckDB."""
-    scaled = c * F.lit(10.0**DIGITS) + F.lit(THRESHOLD)
-    return F.when(F.abs(c) < F.lit(1e12), F.floor(scaled).cast("double") / F.lit(10.0**DIGITS)).otherwise(c)
+    """To the nearest 6 digits (half to even), in IEEE arithmetic: identical in Spark and DuckDB."""
+    return F.rint(c * F.lit(10.0**DIGITS)) / F.lit(10.0**DIGITS)
 
 
 def canon(df: DataFrame) -> DataFrame:
@@ -105,13 +96,13 @@ def with_(body: str, *names: str, recursive: bool = False) -> str:
 def r6(expr: str, alias: str | None = None) -> str:
     """Oracle twin of ``round6``."""
     x = f"CAST({expr} AS DOUBLE)"
-    s = f"(CASE WHEN abs({x}) < 1e12 THEN floor({x} * 1e6 + {THRESHOLD}) / 1e6 ELSE {x} END)"
+    s = f"(round_even({x} * 1e6, 0) / 1e6)"
     return f"{s} AS {alias}" if alias else s
 
 
-def avg_fixed_sql(x: str, scale: int = 2) -> str:
-    """Oracle twin of ``operators.daily.avg_fixed``."""
-    return f"(CAST(sum(CAST({x} AS DECIMAL(18,{scale}))) AS DOUBLE) / count({x}))"
+def avg_exact_sql(x: str, scale: int = 10) -> str:
+    """Oracle twin of ``operators.daily.avg_exact``."""
+    return f"(CAST(sum(CAST({x} AS DECIMAL(28,{scale}))) AS DOUBLE) / count({x}))"
 
 
 cte(
@@ -127,8 +118,8 @@ cte(
 )
 cte(
     "daily",
-    f"""SELECT room_id, CAST(ts AS DATE) AS ds, avg(co2) AS co2_mean, {avg_fixed_sql("temperature")} AS temp_mean,
-       {avg_fixed_sql("humidity")} AS hum_mean, CAST(sum(CAST(presence AS INT)) AS BIGINT) AS presence_count,
+    f"""SELECT room_id, CAST(ts AS DATE) AS ds, avg(co2) AS co2_mean, {avg_exact_sql("temperature")} AS temp_mean,
+       {avg_exact_sql("humidity")} AS hum_mean, CAST(sum(CAST(presence AS INT)) AS BIGINT) AS presence_count,
        count(co2) AS total_count
 FROM clean GROUP BY room_id, CAST(ts AS DATE)""",
     "clean",

@@ -44,6 +44,11 @@ def stream_readings(spark, sf):
     return C.clean(fx.measurements_of(fx.events_stream(spark, sf)))
 
 
+def stream_raw(spark, sf):
+    """Readings as they come: nothing filtered."""
+    return C.parse_timestamp(fx.measurements_of(fx.events_stream(spark, sf)))
+
+
 @query("stream_new_readings", with_("SELECT id, room_id, ts, CAST(co2 AS BIGINT) AS co2 FROM clean", "clean"))
 def stream_new_readings(spark, sf):
     """J1 (stream) == batch dedup."""
@@ -51,10 +56,10 @@ def stream_new_readings(spark, sf):
     return ST.run_available_now(s, "new_readings")
 
 
-@query("stream_co2_alerts", with_(f"SELECT id, room_id, ts, {alert_sql('co2')} AS alert FROM clean WHERE co2 >= 900", "clean"))
+@query("stream_co2_alerts", with_(f"SELECT id, room_id, ts, {alert_sql('co2')} AS alert FROM parsed WHERE co2 >= 900", "parsed"))
 def stream_co2_alerts(spark, sf):
     """A Structured Streaming alert for every new reading at or over 900 ppm."""
-    return ST.run_available_now(ST.co2_alerts(stream_readings(spark, sf)), "co2_alerts")
+    return ST.run_available_now(ST.co2_alerts(stream_raw(spark, sf)), "co2_alerts")
 
 
 def warn_rows(spark, sf):

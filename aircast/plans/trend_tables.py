@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import calendar as cal
 from ..functions import scalar as S
@@ -17,7 +18,7 @@ from ..sources import store
 from . import history as H
 from .daily_tables import advice_sql, feature_table, warning_sql, weather_of
 from .readings import AS_OF, MCOLS, OFFICE_DAYS, cleaned, daily_table
-from .registry import cte, query, r6, with_
+from .registry import LOCAL, avg_exact_sql, cte, query, r6, with_
 
 SEASON_LIST = "['Winter', 'Spring', 'Summer', 'Autumn']"
 
@@ -36,13 +37,14 @@ FROM week w LEFT JOIN (SELECT DISTINCT ds AS hds FROM holidays) hd ON CAST(w.loc
     "week",
     "holidays",
 )
+cte("timed", f"SELECT *, {LOCAL} AS local_ts FROM parsed WHERE ts IS NOT NULL", "parsed")
 cte(
     "hourly_latest",
     """SELECT room_id, CAST(local_ts AS DATE) AS day, hour(local_ts) AS hour, id, ts_raw, co2, temperature, humidity,
        presence, ts, local_ts
-FROM clean
+FROM timed
 QUALIFY row_number() OVER (PARTITION BY room_id, CAST(local_ts AS DATE), hour(local_ts) ORDER BY ts DESC, id DESC) = 1""",
-    "clean",
+    "timed",
 )
 cte(
     "runs",
@@ -88,7 +90,9 @@ def runs_table(spark, sf):
 
 
 def hourly_latest(spark, sf):
-    return TR.latest_per_hour(cleaned(spark, sf))
+    """Hourly rows of all readings that have a time: outliers are shown, not modelled."""
+    r = C.drop_bad_timestamps(C.parse_timestamp(fx.measurements(spark, sf)))
+    return TR.latest_per_hour(C.to_local_time(r))
 
 
 # ----------------------------------------------------------------- trends
@@ -188,13 +192,13 @@ def span_days(spark, sf):
     "min_days_guard",
     with_(
         "SELECT room_id, count(*) AS n_days, CASE WHEN count(*) < 7 THEN 'too_few_days' ELSE 'ok' END AS status "
-        "FROM feats GROUP BY room_id",
-        "feats",
+        "FROM daily2 GROUP BY room_id",
+        "daily2",
     ),
 )
 def min_days_guard(spark, sf):
-    """D11 on the feature rows (per-series status, never an exception)."""
-    return D.min_days_guard(feature_table(spark, sf))
+    """D11 on the day table (per-series status, never an exception)."""
+    return D.min_days_guard(daily_table(spark, sf))
 
 
 _E5 = "room_id, day, CAST(hour AS BIGINT) AS hour, id, ts_raw, CAST(co2 AS BIGINT) AS co2, temperature, humidity, presence, ts, local_ts"
@@ -221,7 +225,7 @@ def co2_extremes(spark, sf):
 
 
 _LINE_SQL = (
-    "'Timestamp: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ', CO₂: ' || coalesce(CAST(co2 AS VARCHAR), 'None') || "
+    "'Timestamp: ' || replace(substr(ts_raw, 1, 19), 'T', ' ') || ', CO₂: ' || coalesce(CAST(co2 AS VARCHAR), 'None') || "
     "' ppm, Temperature: ' || CAST(temperature AS VARCHAR) || '°C, Humidity: ' || CAST(humidity AS VARCHAR) || "
     "'%, Presence: ' || CASE WHEN presence THEN 'True' ELSE 'False' END"
 )
@@ -407,7 +411,7 @@ def join_forecast_parts(spark, sf):
     t = lr.select("room_id", "ds", "pred_temp")
     c = lr.select("room_id", "ds", "pred_co2")
     w = weather_of(spark, sf).select("ds", "outside_temp_max", "cloudcover")
-    return t.join(c, ["room_id", "ds"]).join(F.broadcast(w), "ds")
+    return t.join(c, ["room_id", "ds"]).join(w, "ds")
 
 
 cte(
@@ -522,7 +526,10 @@ CROSS JOIN LATERAL (VALUES ('co2', r.y_co2, r.p_co2), ('temp', r.y_temp, r.p_tem
     "runs",
     "daily2",
 )
-_METRICS = f"count(*) AS n, {r6('avg(abs(y - yhat))', 'mae')}, {r6('sqrt(avg((y - yhat) * (y - yhat)))', 'rmse')}"
+_METRICS = (
+    f"count(*) AS n, {r6(avg_exact_sql('abs(y - yhat)'), 'mae')}, "
+    f"{r6('sqrt(' + avg_exact_sql('(y - yhat) * (y - yhat)') + ')', 'rmse')}"
+)
 
 
 @query(
@@ -606,17 +613,20 @@ def season_reindex(spark, sf):
     with_(f"SELECT {RUN_OUT} FROM runs", "runs"),
 )
 def history_append(spark, sf):
-    """Runs appended to a history folder partitioned by run_id (in the
-    shared checkpoint folder); the newest run is written again, which
-    replaces only its own partition.  Returns the history as read back."""
+    """Runs of two batches of rooms appended to one history folder (in the shared
+    checkpoint folder); the newest run of one batch is written again, which
+    replaces only itself.  Returns the history as read back."""
     from ..streaming.streams import stream_dir
 
     runs = runs_table(spark, sf)
     path = stream_dir(spark, "history") + "/history"
-    H.history_append(runs, path)
-    # a rerun writes the whole newest run (every series of that run_id)
-    H.history_append(runs.where(F.col("run_id") == runs.agg(F.max("run_id")).scalar()), path)
-    return spark.read.schema(runs.schema).parquet(path).select(*runs.columns)
+    even = F.col("room_id") % 2 == 0
+    H.history_append(runs.where(even), path, "even")
+    H.history_append(runs.where(~even), path, "odd")
+    # the newest run of some rooms is written again: theirs is replaced, the others' stays
+    newest = runs.where(even & (F.col("run_id") == runs.agg(F.max("run_id")).scalar()))
+    H.history_append(newest, path, "even")
+    return spark.read.schema(T.StructType([*runs.schema, T.StructField("batch", T.StringType())])).parquet(path).select(*runs.columns)
 
 
 @query(

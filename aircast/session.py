@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -36,13 +37,35 @@ CLUSTER_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings the operators depend on (idempotent)."""
+    """Pin the runtime settings the operators depend on, and send the package to
+    the executors (idempotent)."""
     for k, v in RUNTIME_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Python workers import this package by name, so it goes to them as a zip
+    file (once for each application; workers that have it already use theirs)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="aircast-zip-"), "aircast.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "aircast")):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    sc.addPyFile(path)  # served by the driver; the local copy is only its source
+    _shipped.add(sc.applicationId)
+
+
 def build_session(master: str | None = None, partitions: int = 8, app: str = "aircast",
                   extra: dict[str, str] | None = None) -> SparkSession:
     """Local session for tests and the bench; clusters bring their own."""
@@ -90,7 +113,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="aircast-ckpt-", dir="/tmp")
+        master = sc.master if sc is not None else "remote"
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="aircast-ckpt-", dir="/tmp")  # one machine: tests and the bench
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None:
         if not sc.getCheckpointDir():

@@ -44,6 +44,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Days that the weather table covers.
+WEATHER_DAYS = 40
+
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -66,7 +69,7 @@ def measurements_of(ev: DataFrame) -> DataFrame:
     k = F.expr("CAST(substr(props, 7, length(props) - 7) AS INT)")
     return ev.select(
         eid.alias("id"),
-        (F.col("user_id") % 10).alias("room_id"),
+        F.col("user_id").alias("room_id"),
         F.when(eid % 500 == 499, F.lit("not-a-time"))
         .otherwise(F.col("ts").cast("string"))
         .alias("ts_raw"),
@@ -81,12 +84,14 @@ def measurements_of(ev: DataFrame) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40 days of daily weather from 2024-01-01 (30 observed, 10 ahead)."""
-    o = _read(spark, sf_dir, "orders").where(F.col("o_orderkey") < 40)
-    q = o.select("o_orderkey", F.floor("o_totalprice").cast("bigint").alias("p"))
+    """Daily weather from 2024-01-01 (30 observed days, 10 ahead), summed from all
+    orders: each order reports for one of the days."""
+    o = _read(spark, sf_dir, "orders")
+    day = F.pmod(F.col("o_orderkey"), F.lit(WEATHER_DAYS)).cast("int")
+    q = o.groupBy(day.alias("day")).agg(F.sum(F.floor("o_totalprice").cast("bigint")).alias("p"))
     p = F.col("p")
     return q.select(
-        F.date_add(F.lit("2024-01-01").cast("date"), F.col("o_orderkey").cast("int")).alias("ds"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).alias("ds"),
         ((p % 250).cast("double") / 10).alias("outside_temp_max"),
         ((p % 250).cast("double") / 10 - (p % 70).cast("double") / 10).alias("outside_temp_min"),
         ((p % 90).cast("double") / 10).alias("precipitation"),
@@ -105,7 +110,7 @@ def pings_of(ev: DataFrame) -> DataFrame:
     ev = ev.where(F.col("event_type").isin("view", "error", "signup"))
     return ev.select(
         F.col("event_id").alias("ping_id"),
-        (F.col("user_id") % 10).alias("room_id"),
+        F.col("user_id").alias("room_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "view", F.lit(" ON "))
         .when(F.col("event_type") == "error", F.lit("OFF"))
@@ -139,17 +144,15 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One prompt per user turn of ``conversations``; the asking room is
-    conv_id % 10."""
+    """The texts of all user turns of ``conversations``, and beside each one a prompt
+    from the templates; the asking room is the conversation."""
     c = _read(spark, sf_dir, "conversations").where(F.col("role") == "user")
     t = spark.createDataFrame(PROMPT_TEMPLATES, "n int, prompt string")
-    c = c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"),
-        (F.col("conv_id") % 10).alias("room_id"),
-        ((F.col("conv_id") * 7 + F.col("turn") * 3) % 24).cast("int").alias("n"),
-    )
+    own = (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id")
+    texts = c.select((own + 500).alias("prompt_id"), F.col("conv_id").alias("room_id"), F.col("text").alias("prompt"))
+    c = c.select(own, F.col("conv_id").alias("room_id"), ((F.col("conv_id") * 7 + F.col("turn") * 3) % 24).cast("int").alias("n"))
     # the template table has 24 rows: a fixed, proven size
-    return c.join(F.broadcast(t), "n").select("prompt_id", "room_id", "prompt")
+    return c.join(F.broadcast(t), "n").select("prompt_id", "room_id", "prompt").unionByName(texts)
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +167,7 @@ _PROMPT_VALUES = ",\n  ".join("(%d, '%s')" % (n, p) for n, p in PROMPT_TEMPLATES
 FIXTURE_SQL = {
     "measurements": """
 SELECT event_id AS id,
-       user_id % 10 AS room_id,
+       user_id AS room_id,
        CASE WHEN event_id % 500 = 499 THEN 'not-a-time' ELSE CAST(ts AS VARCHAR(40)) END AS ts_raw,
        CASE WHEN event_id % 1000 = 7 THEN 9999
             WHEN event_id % 400 = 11 THEN NULL
@@ -174,16 +177,16 @@ SELECT event_id AS id,
        event_type IN ('click', 'purchase') AS presence
 FROM events""",
     "weather": """
-SELECT DATE '2024-01-01' + CAST(o_orderkey AS INT) AS ds,
+SELECT DATE '2024-01-01' + CAST(d AS INT) AS ds,
        CAST(p % 250 AS DOUBLE) / 10 AS outside_temp_max,
        CAST(p % 250 AS DOUBLE) / 10 - CAST(p % 70 AS DOUBLE) / 10 AS outside_temp_min,
        CAST(p % 90 AS DOUBLE) / 10 AS precipitation,
        CAST(p % 101 AS INT) AS cloudcover,
        CAST(p % 400 AS DOUBLE) / 10 AS wind,
        CAST(p % 3000 AS DOUBLE) / 100 AS solar_radiation
-FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders WHERE o_orderkey < 40) q""",
+FROM (SELECT o_orderkey % 40 AS d, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS p FROM orders GROUP BY o_orderkey % 40) q""",
     "pings": """
-SELECT event_id AS ping_id, user_id % 10 AS room_id, ts,
+SELECT event_id AS ping_id, user_id AS room_id, ts,
        CASE event_type WHEN 'view' THEN ' ON ' WHEN 'error' THEN 'OFF' ELSE '' END AS line
 FROM events WHERE event_type IN ('view', 'error', 'signup')""",
     "changes": """
@@ -199,12 +202,14 @@ SELECT event_id AS seq,
        CASE WHEN event_id % 10 IN (3, 5, 6) THEN NULL ELSE 400 + CAST(floor(value * 10) AS INT) END AS co2
 FROM events""",
     "prompts": """
-SELECT c.conv_id * 1000 + c.turn AS prompt_id, c.conv_id %% 10 AS room_id, t.prompt
+SELECT c.conv_id * 1000 + c.turn AS prompt_id, c.conv_id AS room_id, t.prompt
 FROM conversations c
 JOIN (VALUES
   %s
 ) AS t(n, prompt) ON (c.conv_id * 7 + c.turn * 3) %% 24 = t.n
-WHERE c.role = 'user'"""
+WHERE c.role = 'user'
+UNION ALL
+SELECT conv_id * 1000 + turn + 500, conv_id, text FROM conversations WHERE role = 'user'"""
     % _PROMPT_VALUES,
     "turns": "SELECT conv_id, turn, role, text FROM conversations",
 }

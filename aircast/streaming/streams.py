@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,11 @@ def new_readings(readings: DataFrame, *, delay: str = "10 minutes", id_col: str
 
 def co2_alerts(readings: DataFrame, *, threshold: int = 900, delay: str = "10 minutes") -> DataFrame:
     """An alert row for every new reading at or over the threshold
-    (the poll of the source only saw the newest id and missed the rest)."""
-    r = new_readings(readings, delay=delay)
-    return r.where(F.col("co2") >= threshold).select("id", "room_id", "ts", S.alert_text(F.col("co2")).alias("alert"))
+    (the poll of the source only saw the newest id and missed the rest).  Readings
+    without a readable time can't be told apart by a watermark; each of them alerts."""
+    high = readings.where(F.col("co2") >= threshold)
+    r = new_readings(high, delay=delay).unionByName(high.where(F.col("ts").isNull()))
+    return r.select("id", "room_id", "ts", S.alert_text(F.col("co2")).alias("alert"))
 
 
 def forecast_warnings(readings: DataFrame, today_rows: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS,
@@ -113,18 +116,18 @@ def _latch_processor_cls(reset_minute: int):
     from pyspark.sql.streaming import StatefulProcessor
 
     class PresenceLatch(StatefulProcessor):
-        """Keyed by (room, day of the latch block): state = (latest block
-        seen, first ON instant in it or NULL).  Each micro-batch of a key is
+        """Keyed by (room, day of the latch block): state = first ON instant of
+        each block of the day.  Each micro-batch of a key is
         one vectorised pandas frame: first ON per block, then a lookup for
         every reading."""
 
         def init(self, handle) -> None:
             self.handle = handle
-            self.state = handle.getValueState("latch", "blk timestamp, on_ts timestamp")
+            self.latch = handle.getMapState("latch", "blk timestamp", "on_ts timestamp")
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             # the watermark passed the key's day: its blocks are closed
-            self.state.clear()
+            self.latch.clear()
             return iter([])
 
         def handleInputRows(self, key, rows, timerValues):
@@ -132,16 +135,15 @@ def _latch_processor_cls(reset_minute: int):
             blk = (pdf["ts"] - pd.Timedelta(minutes=reset_minute)).dt.floor("h")
             on_rows = (pdf["kind"] == 0) & pdf["is_on"].eq(True)
             first = pdf.loc[on_rows, "ts"].groupby(blk[on_rows]).min()
-            if self.state.exists():
-                sb, so = self.state.get()
-                if sb is not None and so is not None:
-                    sb, so = pd.Timestamp(sb), pd.Timestamp(so)
-                    first.loc[sb] = min(so, first.get(sb, so))
+            # rows may come late, so the first ON of every block of the day is kept
+            # (24 at most; the timer clears them)
+            for (sb,), (so,) in self.latch.iterator():
+                sb, so = pd.Timestamp(sb), pd.Timestamp(so)
+                first.loc[sb] = min(so, first.get(sb, so))
+            for b, on in first.items():
+                self.latch.updateValue((b.to_pydatetime(),), (on.to_pydatetime(),))
             r = pdf["kind"] == 1
             f = blk[r].map(first)
-            last_blk = blk.max()
-            on_last = first[last_blk].to_pydatetime() if last_blk in first.index else None
-            self.state.update((last_blk.to_pydatetime(), on_last))
             day_end = pd.Timestamp(key[-1]) + pd.Timedelta(days=1, minutes=reset_minute)
             self.handle.registerTimer(int(day_end.value // 1_000_000))
             yield pd.DataFrame({
@@ -198,7 +200,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, store_path: str, quarantine_pa
     hwm_path = f"{store_path}_hwm"
     try:
         prior = spark.read.parquet(hwm_path).where(F.col("batch_id") < batch_id).agg(F.max("max_id")).first()[0] or 0
-    except Exception:  # first batch
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # else: the first batch
+            raise
         prior = 0
     numbered = SS.dense_number(ok, list(order))
     rows = numbered.select(

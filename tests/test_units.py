@@ -176,9 +176,15 @@ def test_flatten_history(spark):
 def test_history_append_roundtrip(spark, tmp_path):
     runs = rows(spark, [(dt.date(2025, 1, 1), 1, 20.0), (dt.date(2025, 1, 2), 1, 21.0)], "run_id date, room_id long, pred_temp double")
     p = str(tmp_path / "hist")
-    H.history_append(runs, p)
-    H.history_append(runs.where("run_id = '2025-01-02'"), p)  # rerun of one run replaces it
+    H.history_append(runs, p, "a")
+    H.history_append(runs.where("run_id = '2025-01-02'"), p, "a")  # rerun of one run replaces it
     assert H.read_history(spark, p).count() == 2
+    H.history_append(runs.withColumn("room_id", F.lit(2).cast("long")), p, "b")  # other rooms of the same days
+    assert H.read_history(spark, p).groupBy("room_id").count().collect().__len__() == 2
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        H.read_history(spark, str(tmp_path / "bad")).count()
     assert H.read_history(spark, str(tmp_path / "missing")).count() == 0
 
 
