@@ -21,7 +21,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +39,10 @@ DIM = 4
 SHRINK = 10.0
 #: Standard deviations by which a bucket must stand out to start with odds.
 SURE = 5.0
+#: And by which it must stand out to have a vector at all.
+SOME = 2.0
+#: Texts of the sample that are taken apart at once.
+AT_ONCE = 100
 #: Bounds of the training sample: clean and toxic texts.
 PER_CLASS = (3000, 1500)
 EPOCHS = 20
@@ -122,77 +125,92 @@ class Model:
         return sigmoid(a * self.odds(arr) + b)
 
 
-def split_words(texts: list[str]) -> list[list[str]]:
-    points, start, end = cg.letters(pa.array(texts, pa.string()))
-    whole = points.tobytes().decode("utf-32-le")
-    return [whole[a:z].split() for a, z in zip(start.tolist(), end.tolist())]
+def text_grams(texts: list[str]):
+    """For some texts at a time: their number, and (text, bucket, weight) of each
+    bucket that a text holds; weights sum to n / (n + PAD) over its n words."""
+    for a in range(0, len(texts), AT_ONCE):
+        own = texts[a : a + AT_ONCE]
+        w = words_of(pa.array(own, pa.string()))
+        n = np.diff(w.first)
+        word = np.repeat(np.arange(len(w.size)), w.size)
+        text = np.repeat(np.arange(len(own)), n)[word] if len(word) else word
+        key, at = np.unique(text * BUCKETS + w.grams, return_inverse=True)
+        weight = np.bincount(at, 1 / w.size[word] / (n[text] + PAD), len(key))
+        yield len(own), key // BUCKETS, key % BUCKETS, weight
 
 
 def train(texts: list[str], labels: np.ndarray, share: float | None = None, seed: int = SEED) -> Model:
     """Fit vectors and softmax on labelled texts; a fifth of them calibrates.
 
-    The vectors start along the softmax at the shrunken log odds of their bucket
-    (how much more of it toxic texts hold than clean ones), plus noise; then vectors
-    and softmax learn together.  ``share``: of toxic texts among all (the sample
-    holds relatively more of them); by default that of the sample."""
+    A text's mean is linear in the vectors, so each text is one sparse row of bucket
+    weights.  Buckets that occur in toxic texts about as often as in others
+    (within ``SOME`` standard deviations) stay at zero.  The others' vectors start along the
+    softmax at their shrunken log odds, plus noise; then vectors and softmax learn
+    together.  ``share``: of toxic texts among all (the sample holds relatively
+    more of them); by default that of the sample."""
     labels = np.asarray(labels, float)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, (1.0, 0.0), constant=0.0)
     fit = np.arange(len(texts)) % 5 != 0
     fit |= not (set(labels[fit].tolist()) == set(labels[~fit].tolist()) == {0.0, 1.0})
-    words = split_words([t for t, f in zip(texts, fit) if f])
-    length = np.array([len(x) for x in words])
-    has = np.flatnonzero(length)  # texts without words teach nothing
-    y, length = labels[fit][has], length[has]
-    cut = np.cumsum(length) - length
-    text_of_word = np.repeat(np.arange(len(has)), length)
-    # vectors are made once for each distinct word
-    kind, names = pd.factorize(np.array([w for x in words for w in x], object))
-    w = words_of(pa.array(names, pa.string()))
-    kcut = np.cumsum(w.size) - w.size
-    kind_of_gram = np.repeat(np.arange(len(names)), w.size)
+    own, y = [t for t, f in zip(texts, fit) if f], labels[fit]
+
+    held = np.zeros((2, BUCKETS))  # clean and toxic texts that hold a bucket
+    at = 0
+    for n, text, bucket, _ in text_grams(own):
+        for c in (0, 1):
+            held[c] += np.bincount(bucket[y[at + text] == c], minlength=BUCKETS)
+        at += n
+    expected = held.sum(0) * y.mean()
+    apart = np.abs(held[1] - expected) / np.sqrt(expected + 1)
+    odds = np.where(apart >= SURE, np.log((held[1] + SHRINK) / (expected + SHRINK)), 0)
+    some = np.flatnonzero(apart >= SOME)
+    place = np.full(BUCKETS, -1)
+    place[some] = np.arange(len(some))
+
+    rows, cols, values, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], 0
+    for n, text, bucket, weight in text_grams(own):
+        keep = place[bucket] >= 0
+        rows.append(at + text[keep])
+        cols.append(place[bucket[keep]])
+        values.append(weight[keep])
+        at += n
+    row, col, value = (np.concatenate(x) for x in (rows, cols, values))
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
 
-    def spread(to: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(to, x[:, d], n) for d in range(x.shape[1])], 1)
-
-    # texts that hold a word (not its occurrences: a text may repeat one without end)
-    _, once = np.unique(text_of_word * len(names) + kind, return_index=True)
-    held = [np.bincount(kind[once], (y == c)[text_of_word[once]], len(names)) for c in (0, 1)]
-    clean, toxic = (np.bincount(w.grams, x[kind_of_gram], BUCKETS) for x in held)
-    expected = (clean + toxic) * (toxic.sum() / max(clean.sum() + toxic.sum(), 1))
-    odds = np.log((toxic + SHRINK) / (expected + SHRINK))
-    odds[np.abs(toxic - expected) < SURE * np.sqrt(expected + 1)] = 0  # may well be chance
+    def product(to: np.ndarray, other: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        """The sparse matrix (or its transpose) times x."""
+        return np.stack([np.bincount(to, value * x[other, d], n) for d in range(x.shape[1])], 1)
 
     rng = np.random.default_rng(seed)
     way = np.eye(DIM)[0]
-    params = {"E": odds[:, None] * way + rng.normal(0, 0.01, (BUCKETS, DIM)), "W": np.zeros((DIM, 2)), "b": np.zeros(2)}
-    real = (length / (length + PAD))[:, None]
-    s = means(means(params["E"][w.grams], kcut, len(w.grams))[kind], cut, len(kind)) * real
-    slope, offset = calibrate(s[:, 0], y)
+    params = {"E": odds[some][:, None] * way + rng.normal(0, 0.01, (len(some), DIM)), "W": np.zeros((DIM, 2)), "b": np.zeros(2)}
+    slope, offset = calibrate(product(row, col, params["E"], len(y))[:, 0], y)
     params["W"] += np.outer(way, [-slope / 2, slope / 2]) + rng.normal(0, 0.01, (DIM, 2))
     params["b"] += [-offset / 2, offset / 2]
     m1, m2 = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
     rate = {"E": RATE, "W": RATE * max(slope, 1), "b": RATE}
     for epoch in range(EPOCHS):
-        s = means(means(params["E"][w.grams], kcut, len(w.grams))[kind], cut, len(kind)) * real
+        s = product(row, col, params["E"], len(y))
         logits = s @ params["W"] + params["b"]
         dz = weight * (sigmoid(logits[:, 1] - logits[:, 0]) - y)
         dl = np.stack([-dz, dz], 1)
-        dv = spread(kind, ((dl @ params["W"].T) / (length + PAD)[:, None])[text_of_word], len(names))
-        grad = {"E": spread(w.grams, (dv / w.size[:, None])[kind_of_gram], BUCKETS), "W": s.T @ dl, "b": dl.sum(0)}
+        grad = {"E": product(col, row, dl @ params["W"].T, len(some)), "W": s.T @ dl, "b": dl.sum(0)}
         for k, g in grad.items():
             m1[k] = 0.9 * m1[k] + 0.1 * g
             m2[k] = 0.99 * m2[k] + 0.01 * g * g
             step = (m1[k] / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(m2[k] / (1 - 0.99 ** (epoch + 1))) + 1e-7)
             params[k] = params[k] - rate[k] * step
     gap = params["W"][:, 1] - params["W"][:, 0]
-    model = Model((params["E"] @ gap).astype(np.float32), float(params["b"][1] - params["b"][0]), (1.0, 0.0))
-    rest = ~fit if (~fit).any() else fit
-    slope, offset = calibrate(model.odds(pa.array([t for t, r in zip(texts, rest) if r], pa.string())), labels[rest])
+    bucket_weight = np.zeros(BUCKETS, np.float32)
+    bucket_weight[some] = params["E"] @ gap
+    model = Model(bucket_weight, float(params["b"][1] - params["b"][0]), (1.0, 0.0))
+    rest = [t for t, f in zip(texts, fit) if not f] or own
+    truth = labels[~fit] if not fit.all() else y
+    z = np.concatenate([model.odds(pa.array(rest[a : a + AT_ONCE], pa.string())) for a in range(0, len(rest), AT_ONCE)])
+    slope, offset = calibrate(z, truth)
     if share is not None:
-        own = labels[rest].mean()
-        offset += np.log(share / (1 - share)) - np.log(own / (1 - own))
+        offset += np.log(share / (1 - share)) - np.log(truth.mean() / (1 - truth.mean()))
     model.scale = slope, float(offset)
     return model
 
