@@ -451,16 +451,17 @@ def daily_predictions(spark, sf):
     with_(
         f"""SELECT a.room_id, a.day, {r6('a.actual_co2', 'actual_co2')}, {r6('a.actual_temp', 'actual_temp')},
        {r6('t.pred_temp', 'pred_temp')}, {r6('c.pred_co2', 'pred_co2')}
-FROM (SELECT * FROM actual_daily WHERE day >= DATE '{AS_OF}' - 7) a
+FROM (SELECT room_id, ds AS day, co2_mean AS actual_co2, temp_mean AS actual_temp FROM daily WHERE ds >= DATE '{AS_OF}' - 7) a
 LEFT JOIN (SELECT room_id, ds, pred_temp FROM latest_per_day) t ON a.room_id = t.room_id AND a.day = t.ds
 LEFT JOIN (SELECT room_id, ds, pred_co2 FROM latest_per_day) c ON a.room_id = c.room_id AND a.day = c.ds""",
-        "actual_daily",
+        "daily",
         "latest_per_day",
     ),
 )
 def eval_join(spark, sf):
-    """Actual week, left join temperature and CO2 predictions."""
-    a = C.since_as_of(D.daily_actuals(cleaned(spark, sf)), as_of=AS_OF, day="day")
+    """Actual week, left join temperature and CO2 predictions (both by the UTC
+    days that the model is fitted on)."""
+    a = C.since_as_of(D.daily_actuals(cleaned(spark, sf), zone="UTC"), as_of=AS_OF, day="day")
     lp = O.latest_run_per_day(runs_table(spark, sf)).withColumnRenamed("ds", "day")
     return EV.eval_join(a, lp.select("room_id", "day", "pred_temp"), lp.select("room_id", "day", "pred_co2"))
 
