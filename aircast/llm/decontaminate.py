@@ -8,7 +8,7 @@ windows: one slice is the usual case, a larger benchmark takes one scan for each
 Every hash hit is verified by comparing the words themselves.
 
 Defined results: a null or empty text has no words and is never contaminated; a
-null item has no windows; items that repeat an id count once; extra columns
+null item has no windows; a null item_id is the id ""; items that repeat an id count once; extra columns
 of either table are left alone.
 """
 
@@ -45,7 +45,7 @@ def item_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
             out += [(b" ".join(w[j : j + k]).decode(), k, item) for j in range(len(w) - k + 1 if k else 0)]
         return {"words": [x[0] for x in out], "n": [x[1] for x in out], "item_id": [x[2] for x in out]}
 
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     return scan(rows, run, "words string, n int, item_id string").distinct()
 
 

@@ -9,8 +9,8 @@ Texts are equal when identical after deleting white space ``[\\x20\\x09-\\x0D]``
   screened by the filter of its bucket: most new texts end there.
 - Positives join the snapshot's digests of the same bucket.  The bytes of every
   group of two or more rows are compared; the texts that may be needed are found by
-  a filter over the shared digests, broadcast up to ``FILTER_BYTES`` (beyond that
-  all texts go to the join).
+  a screen over the shared digests, broadcast up to ``fuse.BROADCAST_BYTES`` (beyond
+  that all texts go to the join).
 
 Of equal texts the row with the most code points in the original text stays, then
 the smallest doc_id (null last), then the earlier row of the table.  Null counts
@@ -28,15 +28,9 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .frames import Scratch, scan
-from .fuse import BinaryFuse
+from .fuse import BUCKET_KEYS, build_filters, load, screen_of
 
 WHITE = b" \t\n\x0b\x0c\r"
-#: Distinct digests of one bucket, about.
-BUCKET_KEYS = 200_000
-#: Largest filter that is broadcast.
-FILTER_BYTES = 64 << 20
-
-FILTER = "bucket bigint, seed bigint, segment bigint, segments bigint, bits binary"
 
 
 def normalised(arr: pa.Array) -> tuple[list[bytes], np.ndarray]:
@@ -48,9 +42,9 @@ def normalised(arr: pa.Array) -> tuple[list[bytes], np.ndarray]:
     return [whole[a:z].translate(None, WHITE) for a, z in zip(cut[:-1], cut[1:])], np.diff(points)
 
 
-def keys_of(digests: pa.Array) -> np.ndarray:
-    """64 bits of each digest."""
-    return np.frombuffer(b"".join(d[8:16] for d in digests.to_pylist()), np.uint64)
+def keys_of(digests: list[bytes]) -> np.ndarray:
+    """64 bits of each digest, as ``keyed`` has them."""
+    return np.frombuffer(b"".join(d[8:16] for d in digests), ">u8").astype(np.uint64)
 
 
 def digests(docs: DataFrame, in_snapshot: Column) -> DataFrame:
@@ -76,23 +70,13 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.count("*").alias("size"), F.min(order).alias("stay"))
 
 
-def bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("bigint"), F.lit(buckets)))
-
-
-def build_filters(groups: DataFrame) -> DataFrame:
-    """One static filter for each bucket of distinct digests."""
+def keyed(df: DataFrame) -> DataFrame:
+    """With 64 bits of the digest as ``key``."""
+    return df.withColumn("key", F.conv(F.hex(F.substring("digest", 9, 8)), 16, -10).cast("bigint"))
 
-    def build(key: tuple, t: pa.Table) -> pa.Table:
-        f = BinaryFuse.build(np.unique(keys_of(t.column("digest").combine_chunks())))
-        row = {"bucket": key[0].as_py(), "seed": f.seed, "segment": f.segment, "segments": f.segments, "bits": f.table.tobytes()}
-        return pa.Table.from_pylist([row])
 
-    return groups.select("bucket", "digest").groupBy("bucket").applyInArrow(build, FILTER)
-
-
-def load(row: dict) -> BinaryFuse:
-    return BinaryFuse(row["seed"], row["segment"], row["segments"], np.frombuffer(row["bits"], np.uint8))
+def bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    return keyed(df).withColumn("bucket", F.pmod("key", F.lit(buckets)))
 
 
 def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
@@ -100,38 +84,27 @@ def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         d = left.column("digest").combine_chunks()
-        hit = load(right.to_pylist()[0]).test(keys_of(d)) if right.num_rows and len(d) else np.zeros(len(d), bool)
+        keys = np.asarray(left.column("key")).view(np.uint64)
+        hit = load(right.to_pylist()[0]).test(keys) if right.num_rows and len(d) else np.zeros(len(d), bool)
         return pa.table({"digest": d, "maybe": pa.array(hit, pa.bool_())})
 
     return (
-        batch.select("bucket", "digest").groupBy("bucket").cogroup(filters.groupBy("bucket"))
+        batch.select("bucket", "key", "digest").groupBy("bucket").cogroup(filters.groupBy("bucket"))
         .applyInArrow(probe, "digest binary, maybe boolean")
     )
 
 
-def check_bytes(docs: DataFrame, shared: DataFrame, scratch: Scratch) -> None:
+def check_bytes(docs: DataFrame, shared: DataFrame) -> None:
     """Compare the normalised bytes of all rows whose digest is in ``shared``
     (digest); differing ones stop the job."""
     spark = docs.sparkSession
-    n = shared.count()
-    held = None
-    if n * 1.3 + 1000 <= FILTER_BYTES:
-        rows = build_filters(bucketed(shared, max(1, n // BUCKET_KEYS))).collect() if n else []
-        held = spark.sparkContext.broadcast((max(1, n // BUCKET_KEYS), {r.bucket: r.asDict() for r in rows}))
+    held = spark.sparkContext.broadcast(screen_of(keyed(shared).select("key").distinct()))
 
     def run(b: pa.RecordBatch) -> dict:
         texts, _ = normalised(tk.column(b, "text"))
         d = [hashlib.sha256(t).digest() for t in texts]
-        keep = np.ones(len(d), bool)
-        if held is not None:
-            buckets, filters = held.value
-            at = np.array([int.from_bytes(x[:7], "big") % buckets for x in d])
-            keys = keys_of(pa.array(d, pa.binary()))
-            keep[:] = False
-            for i in np.unique(at):
-                if int(i) in filters:
-                    own = np.flatnonzero(at == i)
-                    keep[own] = load(filters[int(i)]).test(keys[own])
+        screen = held.value
+        keep = screen.test(keys_of(d)) if screen else np.ones(len(d), bool)
         once: dict[bytes, bytes] = {}
         for i in np.flatnonzero(keep):
             if once.setdefault(d[i], texts[i]) != texts[i]:
@@ -161,7 +134,7 @@ def duplicates(docs: DataFrame, in_snapshot: Column) -> DataFrame:
         # what the filter or the exact bucket turned away is new
         fresh = new.join(positive.select("digest"), "digest", "left_anti").select(*cols)
         groups = scratch.table(met.union(fresh), "groups")
-        check_bytes(docs, groups.where("size > 1").select("digest"), scratch)
+        check_bytes(docs, groups.where("size > 1").select("digest"))
         return scratch.keep(
             rows.join(groups, "digest").select(
                 "doc_id",

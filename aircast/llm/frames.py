@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 #: Rows in one Arrow batch.  Whole texts travel in a batch, so it is kept small:
 #: 512 texts of 3 kB are 1.5 MB, and 512 texts of 1 MB are still half a gigabyte.
@@ -22,7 +22,9 @@ ArrowFn = Callable[[pa.RecordBatch], "dict | None"]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
+    """Arrow batches of whole texts, and the package on the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    ship_package(spark)
     return spark
 
 

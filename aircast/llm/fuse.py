@@ -10,8 +10,18 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .textkit import U, mix
+from .frames import scan
+from .textkit import U, column, mix
+
+#: Largest filter that is broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Distinct keys of one filter, about.
+BUCKET_KEYS = 200_000
+FILTER = "bucket bigint, seed bigint, segment bigint, segments bigint, bits binary"
 
 
 @dataclass
@@ -90,3 +100,64 @@ class BinaryFuse:
         h = self._hashed(keys)
         s = self._slots(h)
         return (self.table[s[0]] ^ self.table[s[1]] ^ self.table[s[2]]) == self._print(h)
+
+
+def build_filters(keys: DataFrame) -> DataFrame:
+    """One static filter for each bucket of ``keys`` (bucket, key bigint)."""
+
+    def build(key: tuple, t: pa.Table) -> pa.Table:
+        f = BinaryFuse.build(np.unique(np.asarray(t.column("key")).view(U)))
+        return pa.table({
+            "bucket": pa.array([key[0].as_py()], pa.int64()), "seed": pa.array([f.seed], pa.int64()),
+            "segment": pa.array([f.segment], pa.int64()), "segments": pa.array([f.segments], pa.int64()),
+            "bits": pa.array([f.table.tobytes()], pa.binary()),
+        })
+
+    return keys.select("bucket", "key").groupBy("bucket").applyInArrow(build, FILTER)
+
+
+def load(row: dict) -> BinaryFuse:
+    return BinaryFuse(row["seed"], row["segment"], row["segments"], np.frombuffer(row["bits"], np.uint8))
+
+
+class Screen:
+    """Filters over a set of 64-bit keys, small enough to broadcast."""
+
+    def __init__(self, buckets: int, rows: list[dict]):
+        self.buckets, self.rows = buckets, {r["bucket"]: r for r in rows}
+
+    def test(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        at = keys.view(np.int64) % self.buckets
+        for i in np.unique(at).tolist():
+            if i in self.rows:
+                own = np.flatnonzero(at == i)
+                out[own] = load(self.rows[i]).test(keys[own])
+        return out
+
+
+def screen_of(keys: DataFrame, limit: int = BROADCAST_BYTES) -> Screen | None:
+    """A screen over distinct ``keys`` (key bigint), or None where it would be
+    larger than ``limit`` (then the caller joins all its rows)."""
+    n = keys.count()
+    if n * 1.3 + 1000 > limit:
+        return None
+    buckets = max(1, n // BUCKET_KEYS)
+    rows = build_filters(keys.withColumn("bucket", F.pmod("key", F.lit(buckets)))).collect() if n else []
+    return Screen(buckets, [r.asDict() for r in rows])
+
+
+def semi_join(df: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose bigint column ``name`` is among ``keys`` (key): most others
+    are screened out where they are read, and only the rest is shuffled."""
+    screen = screen_of(keys)
+    if screen is not None:
+        held = df.sparkSession.sparkContext.broadcast(screen)
+        names = df.columns
+
+        def run(b: pa.RecordBatch) -> dict:
+            keep = b.filter(pa.array(held.value.test(np.asarray(column(b, name)).view(U))))
+            return {c: column(keep, c) for c in names}
+
+        df = scan(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+    return df.join(keys.withColumnRenamed("key", name), name, "left_semi")

@@ -11,7 +11,8 @@
    at most the sum over the groups of the smaller count.  A tree node holds a
    group of linked classes (built from the first links, ``links.link_components``) with
    the largest count of each coordinate; two nodes whose bound is
-   below the overlap that any two of their members would need are not opened.
+   below the overlap that any two of their members would need are not opened, nor is a
+   point that can't reach the other node's box.
 4. The surviving pairs of points are verified on the full sets.
 
 A tree packed by coordinates alone would compare all leaves of a size band
@@ -25,21 +26,28 @@ row for each input row; the smallest doc_id ignores nulls.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import counts as counting
 from . import textkit as tk
 from .frames import Scratch, scan, scan_state
-from .links import link_components, shared_keys
+from .fuse import semi_join
+from .links import Entries, link_components, shared_keys
 
 WORDS = 5
 #: Groups of the count vectors (the coordinates of a point).
-GROUPS = 128
+GROUPS = 256
 #: Groups whose corpus counts order the shingles (a power of two).
-ORDER_BITS = 15
+ORDER_BITS = 18
 ORDER_GROUPS = 1 << ORDER_BITS
+#: Stands for a null doc_id.
+NO_ID = -(1 << 63)
 
 
 def needed(na, nb):
@@ -47,82 +55,108 @@ def needed(na, nb):
     return -(-3 * (na + nb) // 7)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls (hash of the set), chk (a second one), and for the first
-    row of a class in each task its sorted shingles and count vector."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), "text")
 
-    def make():
-        seen: set[int] = set()
 
-        def fn(b: pa.RecordBatch) -> dict:
-            raw, off = tk.text_bytes(tk.column(b, "text"))
-            h, _, _, first = tk.words(raw, off, tk.NOT_SPACE)
-            sets = tk.window_sets(h, first, WORDS)
-            n = np.array([len(s) for s in sets], np.int64)
-            cut = np.concatenate([[0], np.cumsum(n)])
-            flat = np.concatenate([*sets, np.zeros(1, tk.U)])
-            sums = [np.concatenate([np.zeros(1, tk.U), np.cumsum(tk.mix(flat ^ tk.U(salt)), dtype=tk.U)]) for salt in (1, 2)]
-            cls, chk = (tk.mix((s[cut[1:]] - s[cut[:-1]]) + n.astype(tk.U)).view(np.int64) for s in sums)
-            tokens, counts = [], []
-            for s, c in zip(sets, cls.tolist()):
-                if not len(s) or c in seen:
-                    tokens.append(None)
-                    counts.append(None)
-                else:
-                    seen.add(c)
-                    tokens.append(s.tobytes())
-                    counts.append(np.bincount((s >> tk.U(57)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
-            return {"doc_id": tk.column(b, "doc_id"), "n": n, "cls": cls, "chk": chk, "tokens": tokens, "counts": counts}
-
-        return fn, lambda: None
-
-    return scan_state(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), make, "doc_id bigint, n bigint, cls bigint, chk bigint, tokens binary, counts binary")
-
-
-def group_counts(sets: DataFrame) -> np.ndarray:
-    """Corpus count of each order group; a fixed number of rows comes to the driver."""
+def _sets(b: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted shingles of each text, their numbers, and two hashes of each set."""
+    raw, off = tk.text_bytes(tk.column(b, "text"))
+    h, _, _, first = tk.words(raw, off, tk.NOT_SPACE)
+    sets = tk.window_sets(h, first, WORDS)
+    n = np.array([len(s) for s in sets], np.int64)
+    cut = np.concatenate([[0], np.cumsum(n)])
+    flat = np.concatenate([*sets, np.zeros(1, tk.U)])
+    sums = [np.concatenate([np.zeros(1, tk.U), np.cumsum(tk.mix(flat ^ tk.U(salt)), dtype=tk.U)]) for salt in (1, 2)]
+    cls, chk = (tk.mix((s[cut[1:]] - s[cut[:-1]]) + n.astype(tk.U)).view(np.int64) for s in sums)
+    return sets, n, cls, chk
+
+
+def _new(sets: list[np.ndarray], cls: np.ndarray, seen: set[int]) -> list[int]:
+    """Places of the sets that this task meets for the first time."""
+    out = []
+    for i, c in enumerate(cls.tolist()):
+        if len(sets[i]) and c not in seen:
+            seen.add(c)
+            out.append(i)
+    return out
+
+
+def describe(docs: DataFrame) -> DataFrame:
+    """One row for each text: doc_id, n, cls (hash of its set), chk (a second one)
+    and, for the first text of a class in each task, its count vector.  Then rows of
+    the task's counts in the order groups (block, task, total)."""
 
     def make():
+        seen: set[int] = set()
         total = np.zeros(ORDER_GROUPS, np.int64)
 
-        def fn(b: pa.RecordBatch) -> None:
-            for t in tk.column(b, "tokens"):
-                g = np.frombuffer(t.as_buffer(), tk.U) & tk.U(ORDER_GROUPS - 1)
-                np.add(total, np.bincount(g.astype(np.int64), minlength=ORDER_GROUPS), out=total)
+        def fn(b: pa.RecordBatch) -> dict:
+            sets, n, cls, chk = _sets(b)
+            counts: list = [None] * len(sets)
+            for i in (new := _new(sets, cls, seen)):
+                counts[i] = np.bincount((sets[i] >> tk.U(56)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes()
+            flat = np.concatenate([np.zeros(0, tk.U), *(sets[i] for i in new)])
+            np.add(total, np.bincount((flat & tk.U(ORDER_GROUPS - 1)).astype(np.int64), minlength=ORDER_GROUPS), out=total)
+            none = [None] * len(sets)
+            return {"doc_id": tk.column(b, "doc_id"), "n": n, "cls": cls, "chk": chk, "counts": counts, "block": none, "task": none, "total": none}
 
         def close() -> dict:
-            g = np.flatnonzero(total)
-            return {"g": g, "c": total[g]}
+            own = counting.rows(total)
+            none = [None] * len(own["block"])
+            return {"doc_id": none, "n": none, "cls": none, "chk": none, "counts": none, **own}
 
         return fn, close
 
-    rows = scan_state(sets.select("tokens"), make, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")).toPandas()
-    out = np.zeros(ORDER_GROUPS, np.int64)
-    out[rows["g"]] = rows["c"]
-    return out
+    return scan_state(docs, make, f"doc_id bigint, n bigint, cls bigint, chk bigint, counts binary, {counting.SCHEMA}")
 
 
-def rare_shingles(sets: DataFrame) -> DataFrame:
-    """(key, node, hub): the rarest floor(n/4)+1 shingles of each class that
+def rare_shingles(docs: DataFrame, counts: np.ndarray, entries: int) -> DataFrame:
+    """``links.SHARED`` rows: the rarest floor(n/4)+1 shingles of each class that
     another class has among its rarest too."""
     rank = np.empty(ORDER_GROUPS, tk.U)
-    rank[np.argsort(group_counts(sets), kind="stable")] = np.arange(ORDER_GROUPS, dtype=tk.U)
-    spark = sets.sparkSession
-    ranks = spark.sparkContext.broadcast(rank)
+    rank[np.argsort(counts, kind="stable")] = np.arange(ORDER_GROUPS, dtype=tk.U)
+    ranks = docs.sparkSession.sparkContext.broadcast(rank)
 
-    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        rank, out = ranks.value, []
-        for t in tk.column(b, "tokens"):
-            s = np.frombuffer(t.as_buffer(), tk.U)
-            # the rank of the group stands before the rest of the hash: one-to-one, and sorts by rarity
-            k = (rank[(s & tk.U(ORDER_GROUPS - 1)).astype(np.int64)] << tk.U(64 - ORDER_BITS)) | (s >> tk.U(ORDER_BITS))
-            p = len(k) // 4 + 1
-            out.append(np.partition(k, p - 1)[:p])
-        sizes = [len(k) for k in out]
-        return np.concatenate(out), np.repeat(np.asarray(tk.column(b, "cls")), sizes)
+    def keys() -> Callable[[pa.RecordBatch], Entries]:
+        seen: set[int] = set()
+
+        def fn(b: pa.RecordBatch) -> Entries:
+            sets, n, cls, _ = _sets(b)
+            new, rank, out = _new(sets, cls, seen), ranks.value, [np.zeros(0, tk.U)]
+            for s in (sets[i] for i in new):
+                # the rank of the group stands before the rest of the hash: one-to-one, and sorts by rarity
+                k = (rank[(s & tk.U(ORDER_GROUPS - 1)).astype(np.int64)] << tk.U(64 - ORDER_BITS)) | (s >> tk.U(ORDER_BITS))
+                p = len(k) // 4 + 1
+                out.append(np.sort(np.partition(k, p - 1)[:p]))
+            sizes = np.array([len(k) for k in out[1:]], np.int64)
+            n = np.repeat(n[new], sizes)
+            # no overlap is larger than what is left from the first shared shingle on
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            return np.concatenate(out), np.repeat(cls[new], sizes), n.astype(np.int32), (n - place).astype(np.int32)
+
+        return fn
+
+    return shared_keys(docs.select("text"), keys, entries)
+
+
+def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """cls and all sorted shingles of the classes ``nodes`` (cls, doc), made again
+    from the text of one of their documents."""
+    texts = semi_join(docs, "doc_id", nodes.select(F.col("doc").alias("key")).distinct())
+
+    def run(b: pa.RecordBatch) -> dict:
+        sets, _, cls, _ = _sets(b)
+        return {"cls": cls, "tokens": tk.binary(sets)}
+
+    found = scan(texts, run, "cls bigint, tokens binary")
+    # rows may repeat a doc_id
+    return found.join(nodes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
-    entries = sets.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
-    return shared_keys(sets.select("cls", "tokens"), keys, int(entries))
+
+def may_link(lo1, hi1, room1, lo2, hi2, room2):
+    """Sizes within 3/4 of each other, and room for the overlap that is needed."""
+    return (4 * hi1 >= 3 * lo2) & (4 * hi2 >= 3 * lo1) & (7 * F.least(room1, room2) >= 3 * (lo1 + lo2))
 
 
 def _vectors(col: pa.Array) -> np.ndarray:
@@ -142,11 +176,13 @@ def _bounded(pairs: DataFrame, sizes: tuple[str, str], schema: str) -> DataFrame
     return scan(pairs, run, schema)
 
 
-def _links(points: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _links(points: DataFrame, docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that are links: bound first, then the full sets."""
-    a, b = (points.toDF(x, f"n{i}", f"v{i}") for x, i in (("a", 1), ("b", 2)))
-    near = pairs.join(a, "a").join(b, "b").where("4 * least(n1, n2) >= 3 * greatest(n1, n2)")
-    near = _bounded(near, ("n1", "n2"), "a bigint, b bigint")
+    a, b = (points.select("cls", "n", "counts").toDF(x, f"n{i}", f"v{i}") for x, i in (("a", 1), ("b", 2)))
+    near = pairs.join(a, "a").join(b, "b")
+    near = scratch.table(_bounded(near, ("n1", "n2"), "a bigint, b bigint"), f"near{uuid.uuid4().hex}")
+    nodes = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
+    sets = scratch.table(full_sets(docs, points.select("cls", "doc").join(nodes, "cls")), f"sets{uuid.uuid4().hex}")
     full = near.join(sets.toDF("a", "t1"), "a").join(sets.toDF("b", "t2"), "b")
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -162,56 +198,82 @@ def _links(points: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return scan(full, run, "a bigint, b bigint")
 
 
-def _prune(points: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of tree nodes whose boxes may hold a link."""
+BOX = "comp bigint, lo int, hi int, v binary"
+
+
+def _box(key: tuple, t: pa.Table) -> pa.Table:
+    """The box around points or boxes: sizes, and the largest count of each coordinate."""
+    v = np.zeros(GROUPS, np.int64)
+    for b in t.to_batches():
+        v = np.maximum(v, _vectors(tk.column(b, "v")).max(0)) if b.num_rows else v
+    lo, hi = np.asarray(t.column("lo")).min(), np.asarray(t.column("hi")).max()
+    return pa.table({"comp": pa.array([key[0].as_py()], pa.int64()), "lo": pa.array([lo], pa.int32()), "hi": pa.array([hi], pa.int32()), "v": pa.array([v.astype(np.uint32).tobytes()], pa.binary())})
 
-    def largest(key: tuple, t: pa.Table) -> pa.Table:
-        v = np.zeros(GROUPS, np.int64)
-        for b in t.to_batches():
-            v = np.maximum(v, _vectors(b.column(b.schema.get_field_index("v"))).max(0)) if b.num_rows else v
-        n = np.asarray(t.column("n"))
-        return pa.table({"comp": pa.array([key[0].as_py()], pa.int64()), "lo": pa.array([int(n.min())], pa.int64()), "hi": pa.array([int(n.max())], pa.int64()), "v": pa.array([v.astype(np.uint32).tobytes()], pa.binary())})
 
-    own = points.toDF("node", "n", "v").join(members, "node")
-    # a large group is summed in parts first, so that no task gets all of it
-    schema = "comp bigint, lo bigint, hi bigint, v binary"
-    parts = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).groupBy("comp", "salt").applyInArrow(largest, schema)
+def _boxes(points: DataFrame, members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The boxes (``BOX``) of ``comps`` (comp)."""
+    own = points.select(F.col("cls").alias("node"), F.col("n").alias("lo"), F.col("n").alias("hi"), F.col("counts").alias("v"))
+    sized = members.join(comps, "comp", "left_semi").groupBy("comp").agg(F.count("*").alias("size"))
+    rows = members.join(sized, "comp").join(own, "node")
+    alone = rows.where("size = 1").select("comp", "lo", "hi", "v")
+    # a large group is summed in parts of about 1000 first, so no task gets all of it
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / 1000))
+    parts = rows.where("size > 1").withColumn("part", part).groupBy("comp", "part").applyInArrow(_box, BOX)
+    return alone.union(parts.groupBy("comp").applyInArrow(_box, BOX))
 
-    def join_boxes(key: tuple, t: pa.Table) -> pa.Table:
-        v = _vectors(t.column("v").combine_chunks()).max(0)
-        return pa.table({"comp": pa.array([key[0].as_py()], pa.int64()), "lo": pa.array([min(t.column("lo").to_pylist())], pa.int64()), "hi": pa.array([max(t.column("hi").to_pylist())], pa.int64()), "v": pa.array([v.astype(np.uint32).tobytes()], pa.binary())})
 
-    boxes = parts.groupBy("comp").applyInArrow(join_boxes, schema)
+def _descend(points: DataFrame, pairs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """From pairs of tree nodes (c1, c2) to pairs of points (a, b): first box against box,
+    then the points of either side against the other's box."""
+    wanted = pairs.select(F.col("c1").alias("comp")).union(pairs.select("c2")).distinct()
+    boxes = scratch.table(_boxes(points, members, wanted), "boxes")
     x, y = (boxes.toDF(f"c{i}", f"lo{i}", f"hi{i}", f"v{i}") for i in (1, 2))
-    near = pairs.join(x, "c1").join(y, "c2").where("4 * hi1 >= 3 * lo2 AND 4 * hi2 >= 3 * lo1")
-    return _bounded(near, ("lo1", "lo2"), "c1 bigint, c2 bigint")
+    fits = "4 * hi1 >= 3 * lo2 AND 4 * hi2 >= 3 * lo1"
+    near = _bounded(pairs.join(x, "c1").join(y, "c2").where(fits), ("lo1", "lo2"), "c1 bigint, c2 bigint")
+    near = scratch.table(near, "open")
+    sides = []
+    for own, other in (("c1", "c2"), ("c2", "c1")):
+        rows = near.join(members.toDF("node", own), own).join(points.select(F.col("cls").alias("node"), F.col("n").alias("lo1"), F.col("n").alias("hi1"), F.col("counts").alias("v1")), "node")
+        rows = rows.join(boxes.toDF(other, "lo2", "hi2", "v2"), other).where(fits)
+        found = _bounded(rows, ("lo1", "lo2"), "c1 bigint, c2 bigint, node bigint, lo1 int")
+        sides.append(scratch.table(found, f"side_{own}"))
+    a, b = (s.toDF("c1", "c2", v, f"n{v}") for s, v in zip(sides, "ab"))
+    return a.join(b, ["c1", "c2"]).where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
 
 
 def components_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     with Scratch(spark, "jaccard") as scratch:
-        rows = scratch.table(shingle_sets(docs), "sets")
-        classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.min("chk").alias("c1"), F.max("chk").alias("c2"))
-        classes = scratch.table(
-            classes.select("cls", F.when(F.col("c1") == F.col("c2"), F.col("doc")).otherwise(F.raise_error(F.lit("two shingle sets have one hash")).cast("bigint")).alias("doc")), "classes")
-        own = rows.where("tokens IS NOT NULL")
-        keys = scratch.table(rare_shingles(own.select("cls", "n", "tokens")), "keys")
-        shared = keys.select("node").distinct().withColumnRenamed("node", "cls")
+        texts = _texts(docs)
+        told = scratch.table(describe(texts), "told")
+        rows = told.where("block IS NULL").select("doc_id", "n", "cls")
+        known = told.where("n > 0").groupBy("cls").agg(
+            F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("doc"),
+            F.max("n").cast("int").alias("n"), F.min("chk").alias("c1"), F.max("chk").alias("c2"))
+        doc = F.when(F.col("c1") == F.col("c2"), F.coalesce("doc", F.lit(NO_ID))).otherwise(F.raise_error(F.lit("two shingle sets have one hash")).cast("bigint"))
+        classes = scratch.table(known.select("cls", doc.alias("doc"), "n"), "classes")
+        entries = classes.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
+        counts = counting.add_up(told.where("block IS NOT NULL").select("block", "task", "total"), ORDER_GROUPS)
+        keys = scratch.table(rare_shingles(texts, counts, int(entries)), "keys")
+        shared = keys.select(F.col("node").alias("cls")).distinct()
         # one row for each class that shares a shingle
-        points = scratch.table(own.join(shared, "cls").select("cls", "n", "counts", "tokens").dropDuplicates(["cls"]), "points")
-        vectors, sets = points.select("cls", "n", "counts"), points.select("cls", "tokens")
+        points = told.where("counts IS NOT NULL").select("cls", "counts").join(shared, "cls", "left_semi").dropDuplicates(["cls"])
+        points = scratch.table(points.join(classes, "cls").select("cls", "n", "doc", "counts"), "points")
         linked = link_components(
             keys,
-            verify=lambda pairs: _links(vectors, sets, pairs),
-            prune=lambda pairs, members: _prune(vectors, pairs, members),
+            may=may_link,
+            verify=lambda pairs: _links(points, texts, pairs, scratch),
+            descend=lambda pairs, members: _descend(points, pairs, members, scratch),
             scratch=scratch,
         )
-        root = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc", F.coalesce("comp", "cls").alias("comp"))
+        doc = F.when(F.col("doc") != NO_ID, F.col("doc"))
+        root = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("cls", doc.alias("doc"), F.coalesce("comp", "cls").alias("comp"))
         ids = root.groupBy("comp").agg(F.min("doc").alias("component_id"))
         ids = root.join(ids, "comp").select("cls", "component_id")
+        own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
         return scratch.keep(
-            rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
+            rows.select(own.alias("doc_id"), "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
             .join(ids, "cls", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
         )

@@ -15,100 +15,108 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .frames import Scratch, scan_state
 
 #: (key, node) entries held by a task before they are dealt to buckets.
-FLUSH = 1 << 20
-#: Entries of one bucket (16 bytes each).
-BUCKET = 1_500_000
+FLUSH = 1 << 18
+#: Entries of one bucket (24 bytes each).
+BUCKET = 500_000
 #: A key with so many nodes in one flush is linked where it is found, and only its hub travels.
 HOT = 512
 
-Keys = Callable[[pa.RecordBatch], "tuple[np.ndarray, np.ndarray]"]
+#: What a batch contributes: keys (uint64), nodes (int64), and for each entry the node's
+#: size and its room (int32), an upper bound that the key gives for any overlap.
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_TYPES = (np.uint64, np.int64, np.int32, np.int32)
+#: (n1 least, n1 most, room1, n2 least, n2 most, room2) -> may nodes of such sizes that share the key be linked?
+May = Callable[[Column, Column, Column, Column, Column, Column], Column]
 
+SHARED = "key bigint, node bigint, n int, room int, hub bigint, hub_n int"
 
-def shared_keys(df: DataFrame, keys: Keys, entries: int) -> DataFrame:
-    """(key, node, hub) for keys of two or more nodes.
 
-    ``keys`` gives (uint64 keys, int64 nodes) of a batch; ``entries`` is their
-    total number, from which the number of buckets follows.  Entries travel as
-    packed arrays, one row for each task and bucket.  A hot key's nodes are
-    linked to a local hub within the task and dealt to any bucket, so no
-    task receives all nodes of a key."""
+def shared_keys(df: DataFrame, keys: Callable[[], Callable[[pa.RecordBatch], Entries]], entries: int) -> DataFrame:
+    """``SHARED`` rows for keys of two or more nodes; ``hub`` is the smallest of a key.
+
+    ``keys()`` makes a task's function from batches to entries; ``entries`` is their
+    number in all, from which the number of buckets follows.  Entries travel as packed arrays, one row for each task and
+    bucket, sorted by node (which packs well).  A hot key's nodes are linked
+    to a local hub within the task and dealt to any bucket, so no task
+    receives all nodes of a key."""
     buckets = max(1, -(-entries // BUCKET))
 
     def make():
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held: list[Entries] = []
+        size, of = 0, keys()
 
         def flush() -> dict | None:
             nonlocal size
-            if not held:
+            if not size:
+                held.clear()
                 return None
-            k, v = (np.concatenate(x) for x in zip(*held))
+            k, v, n, room = (np.concatenate(x) for x in zip(*held))
             held.clear()
             size = 0
-            k, v = distinct(k, v)
+            order = np.argsort(k, kind="stable")
+            k, v, n, room = k[order], v[order], n[order], room[order]
             first = heads(k)
             count = np.diff(np.append(first, len(k)))
-            hub = np.repeat(v[first], count)
-            hot = np.repeat(count >= HOT, count)
+            hub = np.repeat(np.minimum.reduceat(v, first), count)
+            near = np.repeat(count >= HOT, count) & (v != hub)  # linked here
             bucket = (tk.mix(k) % tk.U(buckets)).astype(np.int64)
-            near = hot & (v != hub)  # linked here
             bucket[near] = (tk.mix(v[near].view(np.uint64)) % tk.U(buckets)).astype(np.int64)
-            order = np.lexsort((near, bucket))
-            k, v, hub, near, bucket = k[order], v[order], hub[order], near[order], bucket[order]
-            cut = np.append(heads(bucket), len(k))
-            out: dict = {"bucket": bucket[cut[:-1]], "keys": [], "nodes": [], "hubs": []}
+            hub_n = np.zeros(len(k), np.int32)
+            if near.any():
+                own = v == hub
+                hub_n = np.repeat(np.maximum.reduceat(np.where(own, n, 0), first), count).astype(np.int32)
+            order = np.lexsort((v, near, bucket))
+            bucket, near, cols = bucket[order], near[order], [x[order] for x in (k, v, n, room, hub, hub_n)]
+            cut = np.append(heads(bucket), len(k)).tolist()
+            out: dict = {c: [] for c in ("bucket", "k", "v", "n", "room", "hub", "hub_n")}
             for a, z in zip(cut[:-1], cut[1:]):
                 m = a + int(np.searchsorted(near[a:z], True))
-                out["keys"].append(k[a:z].tobytes())
-                out["nodes"].append(v[a:z].tobytes())
-                out["hubs"].append(hub[m:z].tobytes())  # of the last rows
+                out["bucket"].append(int(bucket[a]))
+                for c, x in zip(("k", "v", "n", "room"), cols):
+                    out[c].append(x[a:z].tobytes())
+                for c, x in zip(("hub", "hub_n"), cols[4:]):  # of the last rows, which are linked
+                    out[c].append(x[m:z].tobytes())
             return out
 
         def fn(b: pa.RecordBatch) -> dict | None:
             nonlocal size
-            k, v = keys(b)
-            held.append((k, v))
-            size += len(k)
+            held.append(of(b))
+            size += len(held[-1][0])
             return flush() if size >= FLUSH else None
 
         return fn, flush
 
-    packed = scan_state(df, make, "bucket bigint, keys binary, nodes binary, hubs binary")
+    packed = scan_state(df, make, "bucket bigint, k binary, v binary, n binary, room binary, hub binary, hub_n binary")
 
     def meet(t: pa.Table) -> pa.Table:
-        done: list[tuple] = []
-        rest: list[tuple] = []
-        for r in t.select(["keys", "nodes", "hubs"]).to_batches():
-            for kb, vb, hb in zip(*(r.column(i) for i in range(3))):
-                k, v, h = np.frombuffer(kb.as_buffer(), np.uint64), np.frombuffer(vb.as_buffer(), np.int64), np.frombuffer(hb.as_buffer(), np.int64)
-                m = len(k) - len(h)
-                rest.append((k[:m], v[:m]))
-                done.append((k[m:], v[m:], h))
-        k, v = distinct(*(np.concatenate(x) for x in zip(*rest)))
+        def unpack(c: str, kind: type) -> list[np.ndarray]:
+            return [np.frombuffer(x.as_buffer(), kind) for x in t.column(c)]
+
+        cols = [unpack(c, kind) for c, kind in zip(("k", "v", "n", "room"), _TYPES)]
+        hubs, hub_ns = unpack("hub", np.int64), unpack("hub_n", np.int32)
+        free = [len(k) - len(h) for k, h in zip(cols[0], hubs)]
+        k, v, n, room = (np.concatenate([x[:m] for x, m in zip(c, free)]) for c in cols)
+        order = np.lexsort((v, k))
+        k, v, n, room = k[order], v[order], n[order], room[order]
+        keep = np.ones(len(k), bool)
+        keep[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
+        k, v, n, room = k[keep], v[keep], n[keep], room[keep]
         first = heads(k)
         count = np.diff(np.append(first, len(k)))
         many = np.repeat(count > 1, count)
-        done.append((k[many], v[many], np.repeat(v[first], count)[many]))
-        k, v, h = (np.concatenate(x) for x in zip(*done))
-        return pa.table({"key": k.view(np.int64), "node": v, "hub": h})
-
-    return packed.groupBy("bucket").applyInArrow(meet, "key bigint, node bigint, hub bigint")
-
+        met = [x[many] for x in (k, v, n, room, np.repeat(v[first], count), np.repeat(n[first], count))]
+        linked = [np.concatenate([x[m:] for x, m in zip(c, free)]) for c in cols] + [np.concatenate(hubs), np.concatenate(hub_ns)]
+        k, v, n, room, hub, hub_n = (np.concatenate(x) for x in zip(met, linked))
+        return pa.table({"key": k.view(np.int64), "node": v, "n": n, "room": room, "hub": hub, "hub_n": hub_n})
 
-def distinct(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (key, node) pairs sorted by both."""
-    order = np.lexsort((v, k))
-    k, v = k[order], v[order]
-    keep = np.ones(len(k), bool)
-    keep[1:] = (k[1:] != k[:-1]) | (v[1:] != v[:-1])
-    return k[keep], v[keep]
+    return packed.groupBy("bucket").applyInArrow(meet, SHARED)
 
 
 def heads(k: np.ndarray) -> np.ndarray:
@@ -149,34 +157,38 @@ def _size(e: DataFrame) -> tuple:
 
 def link_components(
     keys: DataFrame,
+    may: May,
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
-    prune: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    descend: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """(node, comp) of nodes with links.  ``keys``: a table (key, node, hub).
-    ``verify``: pairs (a, b) -> the true links among them.  ``prune``:
-    (pairs of components (c1, c2), all (node, comp)) -> pairs that may hold a link."""
-    stars = keys.where("node != hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-    stars = scratch.table(stars, "stars")
+    """(node, comp) of nodes with links.  ``keys``: a table of ``SHARED`` rows.
+    ``verify``: pairs (a, b) -> the true links among them.  ``descend``: (pairs of
+    components (c1, c2) that share a key, all their (node, comp)) -> the pairs
+    of nodes across them that may be linked; without it, those that share a key."""
+    n, hub_n, room = (F.col(c) for c in ("n", "hub_n", "room"))
+    stars = keys.where("node != hub").where(may(n, n, room, hub_n, hub_n, room))
+    stars = scratch.table(stars.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "stars")
     links = scratch.table(verify(stars), "links1")
     comp = scratch.table(components(links), "comp1")
 
-    placed = keys.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    placed = scratch.table(placed.join(split, "key"), "placed")
-    if placed.isEmpty():
+    placed = keys.join(comp, "node", "left").select("key", "node", "n", "room", F.coalesce("comp", "node").alias("comp"))
+    placed = scratch.table(placed, "placed")
+    at = placed.repartition("key").groupBy("key", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"))
+    x, y = at.alias("x"), at.alias("y")
+    sides = [F.col(f"{t}.{c}") for t in "xy" for c in ("lo", "hi", "room")]
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & may(*sides))
+    met = scratch.table(met.select(F.col("x.key").alias("key"), F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")), "met")
+    if met.isEmpty():
         return scratch.keep(comp)
-    at = placed.select("key", "comp").distinct()
-    pairs = at.alias("x").join(at.alias("y"), "key").where("x.comp < y.comp").select(F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")).distinct()
-    if prune:
-        pairs = prune(pairs, placed.select("node", "comp").distinct())
-    pairs = scratch.table(pairs, "pairs")
-    across = (
-        pairs.join(placed.select("key", F.col("node").alias("a"), F.col("comp").alias("c1")), "c1")
-        .join(placed.select("key", F.col("node").alias("b"), F.col("comp").alias("c2")), ["key", "c2"])
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    if descend:
+        pairs = scratch.table(met.select("c1", "c2").distinct(), "pairs")
+        across = descend(pairs, placed.select("node", "comp").distinct())
+    else:
+        a, b = (placed.select("key", F.col("node").alias(v), F.col("comp").alias(c), F.col("n").alias(f"n{v}"), F.col("room").alias(f"r{v}")) for v, c in (("a", "c1"), ("b", "c2")))
+        across = met.join(a, ["key", "c1"]).join(b, ["key", "c2"])
+        across = across.where(may(*(F.col(c) for c in ("na", "na", "ra", "nb", "nb", "rb")))).select("a", "b")
+    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = scratch.table(verify(scratch.table(across, "across")), "links2")
     if more.isEmpty():
         return scratch.keep(comp)
