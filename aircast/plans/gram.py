@@ -34,12 +34,8 @@ def gram_exprs(x: Column, y: Column, p: int, over=None, prefix: str = "") -> lis
 
 def full_gram(upper: np.ndarray, p: int) -> np.ndarray:
     g = np.zeros((p, p))
-    k = 0
-    for i in range(p):
-        for j in range(i, p):
-            g[i, j] = g[j, i] = upper[k]
-            k += 1
-    return g
+    g[np.triu_indices(p)] = upper
+    return g + np.triu(g, 1).T
 
 
 def ridge_from_sums(g: np.ndarray, xty: np.ndarray, use: np.ndarray, std: np.ndarray, pen: np.ndarray, lam: float):
@@ -106,7 +102,7 @@ def solve(sums: DataFrame, keys: Sequence[str], *, use: Sequence[bool] | None =
     def run(batches):
         for pdf in batches:
             out_beta, out_status, out_drop = [], [], []
-            for _, r in pdf.iterrows():
+            for r in pdf.to_dict("records"):
                 xty = np.asarray(r["xty"], dtype=float)
                 p = len(xty)
                 g = full_gram(np.asarray(r["xtx"], dtype=float), p)

@@ -334,7 +334,7 @@ def _walk_solve(sums: DataFrame, keys, k: int, lam: float) -> DataFrame:
     def run(batches):
         for pdf in batches:
             bxs, p1s, p2s, ds_ = [], [], [], []
-            for _, r in pdf.iterrows():
+            for r in pdf.to_dict("records"):
                 g = G.full_gram(np.asarray(r["xtx"], dtype=float), p)
                 # layout: 0 const, 1 y, 2..k+1 x, k+2 y-1, k+3..2k+2 x-1, 2k+3 y-2, 2k+4..3k+3 x-2, 3k+4 t
                 ga = G.full_gram(np.asarray(r["a_xtx"], dtype=float), k + 1)

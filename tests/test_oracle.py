@@ -7,7 +7,8 @@ from __spark_entry__ import oracle_sql, queries
 from tests.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(queries())
+# training-data operators without a SQL form are tested in tests/llm
+NAMES = sorted(n for n in queries() if n in oracle_sql() or not n.startswith(("op", "pipeline")))
 
 
 @pytest.fixture(scope="module")
