@@ -157,6 +157,8 @@ def test_lines_against_brute_force(spark):
 
 
 def test_line_places():
+    y = lines.Lines(pa.array(["a b\n", "one two three four five\n\n", "x\nsix seven eight nine ten"]))
+    assert y.row.tolist() == [1, 2] and y.place.tolist() == [0, 1]
     x = lines.Lines(pa.array(["", "a\n\none two three four five six", None, "seven eight nine ten eleven\nb"]))
     assert x.row.tolist() == [1, 3] and x.place.tolist() == [2, 0]
     assert [x.text(i) for i in range(2)] == ["one two three four five six", "seven eight nine ten eleven"]
