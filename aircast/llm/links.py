@@ -65,13 +65,18 @@ def shared_keys(df: DataFrame, keys: Callable[[], Callable[[pa.RecordBatch], Ent
             first = heads(k)
             count = np.diff(np.append(first, len(k)))
             hub = np.repeat(np.minimum.reduceat(v, first), count)
-            near = np.repeat(count >= HOT, count) & (v != hub)  # linked here
-            bucket = (tk.mix(k) % tk.U(buckets)).astype(np.int64)
-            bucket[near] = (tk.mix(v[near].view(np.uint64)) % tk.U(buckets)).astype(np.int64)
+            hot = np.repeat(count >= HOT, count)
+            # a hub's entry meets other tasks' in the key's bucket; a second one is its own
+            # row, which it must have even if it meets none there
+            own = np.append(np.arange(len(k)), np.flatnonzero(hot & (v == hub)))
+            near = hot & (v != hub)  # linked here
+            near = np.append(near, np.ones(len(own) - len(k), bool))
             hub_n = np.zeros(len(k), np.int32)
             if near.any():
-                own = v == hub
-                hub_n = np.repeat(np.maximum.reduceat(np.where(own, n, 0), first), count).astype(np.int32)
+                hub_n = np.repeat(np.maximum.reduceat(np.where(v == hub, n, 0), first), count).astype(np.int32)
+            k, v, n, room, hub, hub_n = (x[own] for x in (k, v, n, room, hub, hub_n))
+            bucket = (tk.mix(k) % tk.U(buckets)).astype(np.int64)
+            bucket[near] = (tk.mix(v[near].view(np.uint64)) % tk.U(buckets)).astype(np.int64)
             order = np.lexsort((v, near, bucket))
             bucket, near, cols = bucket[order], near[order], [x[order] for x in (k, v, n, room, hub, hub_n)]
             cut = np.append(heads(bucket), len(k)).tolist()

@@ -57,6 +57,13 @@ def test_hot_keys_are_linked_within_tasks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == jaccard_groups(texts)
 
 
+def test_hub_of_hot_keys_keeps_its_row(spark):
+    """One task, one flush, and every shared key of the group is hot."""
+    words = " ".join(f"w{i}" for i in range(200))
+    docs = docs_of(spark, [f"{words} own{i}" for i in range(600)]).coalesce(1)
+    assert {r.component_id for r in jaccard.components_of(docs).collect()} == {0}
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
