@@ -10,10 +10,11 @@ Weights: a BPE model has merge ranks but no probabilities; the weight of a piece
 of Zipf's law for its rank, (rank + 2) ** -alpha.  Larger ``alpha`` comes closer to
 the best segmentation.
 
-Spaces are written as U+2581, which stands in no piece but at its start, and some characters
-(line feeds, say) in no longer piece at all.  There the lattice falls into
-independent units, and equal units of a batch are filtered once.  A unit of more
-than ``UNIT`` characters is cut.  A character without a piece of its own may be
+Spaces are written as U+2581, which follows no other character in any piece (runs of
+them are pieces too), and some characters (line feeds, say) stand in no longer piece at
+all.  There, and nowhere else, the lattice falls into independent units, and equal
+units of a batch are filtered once.  A unit may be as long as its text (there are texts
+without spaces), so its sums are kept as logarithms.  A character without a piece of its own may be
 spelled in byte pieces; U+2581 in the text always is, so decoding gives back
 exactly the text (no prefix is added, nothing is normalised).
 
@@ -38,13 +39,9 @@ from .frames import scan
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 SEED = 1
-UNIT = 64
 SPACE, SPACE_SIGN = 32, 0x2581
 HIDDEN = 0x110000  # stands for U+2581 of the text itself, in no piece; no code point of any text
 SCREEN_BITS = 20
-#: Every weight is multiplied by this to the power of its length, which changes no
-#: probability and keeps the sums of long units away from zero.
-LIFT = np.exp(2.5)
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 
 
@@ -59,7 +56,9 @@ class Vocabulary:
             if kind == "byte":
                 b = int(p[3:5], 16)
                 self.byte_id[b], spelled[i] = i, bytes([b])
-            elif kind == "piece" and "▁" not in p[1:]:  # runs of spaces stay apart
+            elif kind == "piece":
+                if "▁" in p.lstrip("▁"):
+                    raise ValueError("a piece with a space after another character")
                 spelled[i] = p.replace("▁", " ").encode()
                 normal.append((p, i))
         if (self.byte_id < 0).any():
@@ -79,7 +78,7 @@ class Vocabulary:
                 h = h * _BASE + points[:, k]
             order = np.argsort(h)
             ids = np.array([i for _, i in own], np.int32)[order]
-            weight = np.array([(rank[i] + 2.0) ** -alpha for i in ids]) * LIFT**n
+            weight = np.array([(rank[i] + 2.0) ** -alpha for i in ids])
             screen = np.zeros(1 << SCREEN_BITS, bool)
             screen[(h >> np.uint64(64 - SCREEN_BITS)).astype(np.int64)] = True
             if n == 1:
@@ -132,25 +131,32 @@ class Lattice:
                 break
         bare = np.flatnonzero(~alone)  # spelled in bytes
         n_bytes = utf8_size(points[bare])
-        edges.append((bare, np.ones(len(bare), np.int8), np.full(len(bare), -1, np.int32), v.byte_weight**n_bytes * LIFT))
+        edges.append((bare, np.ones(len(bare), np.int8), np.full(len(bare), -1, np.int32), v.byte_weight**n_bytes))
         where, n, ids, weight = (np.concatenate(x) for x in zip(*edges))
         # places between characters: unit u has size[u] + 1 of them, from base[u] on
         base = start + np.arange(len(start))
         self.top = base + size
         tail = where + owner[where]
         head = tail + n
-        depth = (head - base[owner[where]]).astype(np.int16)
-        order = np.argsort(depth, kind="stable")
-        cut = np.searchsorted(depth[order], np.arange(int(size.max(initial=0)) + 2))
-        sums = np.zeros(len(points) + len(start))
-        sums[base] = 1
-        for a, z in zip(cut[1:-1].tolist(), cut[2:].tolist()):
-            e = order[a:z]
-            np.add.at(sums, head[e], sums[tail[e]] * weight[e])
+        weight = np.log(weight)
+        # in the order of heads, those of each depth together; every place but a unit's first is a head
+        depth = head - base[owner[where]]
+        order = np.lexsort((head, depth))
+        by_head = np.flatnonzero(np.concatenate([[True], np.diff(head[order]) != 0]))
+        cut = np.searchsorted(depth[order[by_head]], np.arange(1, int(size.max(initial=0)) + 2)).tolist()
+        by_head = np.append(by_head, len(order))
+        sums = np.zeros(len(points) + len(start))  # logarithms
+        for a, z in zip(cut[:-1], cut[1:]):
+            first = by_head[a : z + 1]
+            e = order[first[0] : first[-1]]
+            x = sums[tail[e]] + weight[e]
+            most = np.maximum.reduceat(x, first[:-1] - first[0])
+            x = np.exp(x - np.repeat(most, np.diff(first)))
+            sums[head[order[first[:-1]]]] = most + np.log(np.add.reduceat(x, first[:-1] - first[0]))
         # edges by their end, with the probability of each among those that end there
         order = np.argsort(head, kind="stable")
         self.tail, self.ids, head = tail[order], ids[order], head[order]
-        share = sums[self.tail] * weight[order] / sums[head]
+        share = np.exp(sums[self.tail] + weight[order] - sums[head])
         self.edge = np.searchsorted(head, np.arange(len(sums) + 1))
         upto = np.concatenate([[0.0], np.cumsum(share)])
         self.before = upto[self.edge[:-1]]
@@ -202,18 +208,16 @@ def encode(v: Vocabulary, arr: pa.Array, keys: np.ndarray, seed: int = SEED) ->
     points[points == SPACE_SIGN] = HIDDEN
     points[points == SPACE] = SPACE_SIGN
     row_at = np.searchsorted(starts, off)  # rows in characters
-    # units begin with a row, a space sign, and on either side of a character that stands alone
+    # units begin with a row, the first of a run of space signs, and on either side of a
+    # character that stands alone
     begin = points == SPACE_SIGN
+    begin[1:] &= ~begin[:-1]
     alone = ~v.joins[points]
     begin |= alone
     begin[1:] |= alone[:-1]
     begin[row_at[:-1][row_at[:-1] < len(points)]] = True
     at = np.flatnonzero(begin)
     size = np.diff(np.append(at, len(points)))
-    if size.max() > UNIT:  # cut
-        more = -(-size // UNIT)
-        at = np.repeat(at, more) + (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)) * UNIT
-        size = np.diff(np.append(at, len(points)))
     name = tk.hash_spans(points, at, at + size)
     _, one, unit = np.unique(name, return_index=True, return_inverse=True)
     n = size[one]

@@ -149,6 +149,32 @@ def test_pieces_round_trip_and_rows_do_not_depend_on_batches(vocabulary):
     assert other.tolist() != ids.tolist()
 
 
+def test_long_units_and_runs_of_spaces_have_their_probabilities(vocabulary):
+    """How often a text without spaces is divided at each place, by plain sums from either end."""
+    v, n = vocabulary, 4000
+    weight = {v.bytes[v.first[i] : v.first[i] + v.size[i]].tobytes().decode(): x for _, ids, w, _ in v.by_length.values() for i, x in zip(ids.tolist(), w.tolist())}
+    for text in ("interesting" * 12, "a" + " " * 9 + "thing"):
+        size = len(text)
+        left, right = [1.0] + [0.0] * size, [0.0] * size + [1.0]
+        edges = [(a, z, weight[text[a:z]]) for a in range(size) for z in range(a + 1, min(a + 20, size) + 1) if text[a:z] in weight]
+        for a, z, w in sorted(edges, key=lambda e: e[1]):
+            left[z] += left[a] * w
+        for a, z, w in sorted(edges, reverse=True):
+            right[a] += right[z] * w
+        ids, off = pieces.encode(v, pa.array([text] * n), np.arange(n))
+        stops = np.cumsum(v.size[ids])  # of all copies, one after the other
+        got = np.bincount(stops % size, minlength=size) / n
+        for k in range(1, size):
+            p = left[k] * right[k] / left[size]
+            assert abs(got[k] - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-3, (text, k)
+
+
+def test_very_long_unit(vocabulary):
+    text = "interesting" * 4000
+    ids, off = pieces.encode(vocabulary, pa.array([text]), np.zeros(1, np.int64))
+    assert pieces.decode(vocabulary, ids, off) == [text.encode()]
+
+
 def test_language_accuracy(spark):
     got = queries.QUERIES["op5_language_id"](spark, SF).join(table(spark, SF, "documents", "doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
     r = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*"), F.min("score"), F.max("score")).first()
