@@ -163,6 +163,32 @@ def test_lines_against_brute_force(spark):
     assert all(rows[d] <= n for d, n in want.items())
 
 
+def shared_lines(a, b, need, bits=10.0):
+    """How many of ``a`` share a key with the line of ``b`` at the same place."""
+    told = np.full(lines.WORD_GROUPS, bits, np.float32)
+    keys = []
+    for texts in (a, b):
+        x = lines.Lines(pa.array(texts))
+        key, line = x.blocks(told, need)
+        keys.append(set(zip(x.row[line].tolist(), key.tolist())))
+    return len({row for row, _ in keys[0] & keys[1]})
+
+
+def retyped(line, r, words):
+    """``line`` with one letter changed in so many words."""
+    w = line.split()
+    for i in r.sample(range(len(w)), words):
+        w[i] = "#" + w[i] if len(w[i]) < 2 else w[i][:-1] + ("q" if w[i][-1] != "q" else "x")
+    return " ".join(w)
+
+
+def test_lines_have_keys_whatever_the_corpus():
+    r = random.Random(6)
+    for n, words, need in ((7, 1, 24), (7, 1, 45), (12, 1, 45), (17, 2, 33), (22, 2, 33)):
+        a = [" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for _ in range(200)]
+        assert shared_lines(a, [retyped(x, r, words) for x in a], need) >= 198, (n, words, need)
+
+
 def test_line_places():
     y = lines.Lines(pa.array(["a b\n", "one two three four five\n\n", "x\nsix seven eight nine ten"]))
     assert y.row.tolist() == [1, 2] and y.place.tolist() == [0, 1]
