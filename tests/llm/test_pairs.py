@@ -196,6 +196,14 @@ def test_blocks_follow_the_length_of_the_line():
         assert shared_lines(a, [retyped(x, r, words) for x in a], 24, bits=14.0) >= 190, (n, words)
 
 
+def test_lines_of_few_words(spark):
+    """Equal short lines are one group; text without spaces is compared by its characters."""
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(40)) + "。" + "".join(chr(0x5000 + 41 * i) for i in range(40))
+    texts = ["Read more here\nonly one", f"read  MORE here!\n{han}", f"{han[:30]}的{han[31:]}\nshort", f"short\n{han[::-1]}"]
+    rows = {r.doc_id: r.text for r in lines.dedup(docs_of(spark, texts)).collect()}
+    assert rows == {0: texts[0], 1: han, 2: "short", 3: texts[3]}
+
+
 def test_line_places():
     y = lines.Lines(pa.array(["a b\n", "one two three four five\n\n", "x\nsix seven eight nine ten"]))
     assert y.row.tolist() == [1, 2] and y.place.tolist() == [0, 1]
