@@ -69,11 +69,11 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     # the last day held, not past the last capture
     until = F.least(F.coalesce(F.date_sub("valid_to", 1), F.col("last")), F.col("last"))
     laid = intervals(entries).crossJoin(F.broadcast(last)).withColumn("until", until).where("until >= valid_from")
-    laid = laid.select("kind", "key", "category", "valid_from", "until", month.alias("month"))
+    laid = laid.select("kind", "key", "category", "valid_from", "valid_to", month.alias("month"))
     asked = once.select("__url", "__at", F.explode(keys_of(F.col("__url"))).alias("k")).select("__url", "__at", "k.*", F.trunc("__at", "MM").alias("month"))
     hits = (
         asked.join(laid, ["kind", "key", "month"])
-        .where("valid_from <= __at AND __at <= until")
+        .where("valid_from <= __at AND (valid_to IS NULL OR __at < valid_to)")
         .groupBy("__url", "__at")
         .agg(F.count_distinct("kind", "key", "category").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
     )

@@ -102,6 +102,13 @@ def test_url_list_is_read_as_of_the_fetch(spark):
     assert {r.page_id: r.categories for r in rows} == {i: c for i, (_, _, c) in enumerate(caps)}
 
 
+def test_url_list_on_the_last_day_by_the_hour(spark):
+    feed = spark.sql("SELECT 'host' kind, 'a.org' key, 'ads' category, stack(2, 1, DATE'2024-01-10', 'add', 2, DATE'2024-01-31', 'remove') AS (seq, on_date, action)")
+    caps = spark.sql("SELECT 'http://a.org/' url, fetched_on FROM VALUES (TIMESTAMP'2024-01-09 23:59:59'), (TIMESTAMP'2024-01-10 00:00:00'), (TIMESTAMP'2024-01-30 23:00:00'), (TIMESTAMP'2024-01-31 00:00:00') AS t(fetched_on)")
+    rows = urls.judge(caps, feed).orderBy("fetched_on").collect()
+    assert [r.blocked for r in rows] == [False, True, True, False]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.load()
