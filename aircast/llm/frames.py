@@ -14,9 +14,10 @@ from pyspark.sql.types import _parse_datatype_string
 
 from ..session import ensure_checkpoint_dir, ship_package
 
-#: Rows in one Arrow batch.  Whole texts travel in a batch, so it is kept small:
-#: 512 texts of 3 kB are 1.5 MB, and 512 texts of 1 MB are still half a gigabyte.
+#: Rows and bytes in one Arrow batch.  Whole texts travel in a batch, so it is kept small:
+#: 512 texts of 3 kB are 1.5 MB; longer ones end a batch by its bytes.
 BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 ArrowFn = Callable[[pa.RecordBatch], "dict | None"]
 
@@ -24,6 +25,7 @@ ArrowFn = Callable[[pa.RecordBatch], "dict | None"]
 def prepare(spark: SparkSession) -> SparkSession:
     """Arrow batches of whole texts, and the package on the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship_package(spark)
     return spark
 
