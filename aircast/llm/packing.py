@@ -13,7 +13,7 @@ the same rule in one task, theirs again, until one window is left; its ids are
 dealt to sequences whose lengths are powers of two.  So no sequence has padding, and
 no task or driver sees more than ``FAN`` windows beside its own documents.
 
-White space separates words for the tokeniser, so equal words of a batch are encoded
+The tokeniser never joins what ``cut`` separates, so equal words of a batch are encoded
 once, and a worker remembers up to ``WORDS`` of them.
 
 Defined results: a null or empty text is the end id alone; rows that repeat an id are
@@ -25,14 +25,15 @@ number there; it is unique, not dense.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +60,55 @@ LEVEL = 1 << 56
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary, part bigint"
 
 
+#: Classes of bytes: white space, letters, other printable characters, digits, and the rest.
+_SPACE, _LETTER, _SIGN, _DIGIT, _REST = range(5)
+_CLASS = np.full(256, _REST, np.uint8)
+_CLASS[0x21:0x7F] = _SIGN
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
+_CLASS[tk.SPACE] = _SPACE
+
+
+def cut(raw: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(pieces, first): the texts, lower-cased in ASCII, without ASCII white space, cut where the tokeniser's pattern
+    always begins a new word: at white space, at digits, and between letters (ASCII and
+    Latin-1) and signs, unless an apostrophe stands before letters.  Pieces of text i are
+    [first[i], first[i + 1])."""
+    kind = _CLASS[raw]
+    latin = np.flatnonzero(raw[:-1] == 0xC3)
+    latin = latin[(raw[latin + 1] != 0x97) & (raw[latin + 1] != 0xB7)]
+    kind[latin] = kind[latin + 1] = _LETTER
+    before, here = kind[:-1], kind[1:]
+    new = (before != here) & (before != _REST) & (here != _REST)
+    new &= ~((raw[:-1] == 0x27) & (here == _LETTER))
+    new |= (before == _DIGIT) & (here == _DIGIT)
+    new |= (before == _SPACE) != (here == _SPACE)
+    marks = np.flatnonzero((raw[:-1] == 0x3C) & (raw[1:] == 0x7C))
+    if len(marks):  # "<|" may begin a special token: such words stay whole
+        edge = np.flatnonzero((before == _SPACE) != (here == _SPACE)) + 1
+        word = np.searchsorted(edge, np.arange(1, len(raw)), "right")
+        whole = np.isin(word, np.searchsorted(edge, marks, "right"))
+        new &= ~whole | ((before == _SPACE) != (here == _SPACE))
+        low = np.where(np.append(whole, whole[-1:]) | np.append(whole[:1], whole), raw, tk.LOWER[raw])
+    else:
+        low = tk.LOWER[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[1:-1] = new
+    if len(raw):
+        edge[off] = edge[0] = edge[-1] = True
+    at = np.flatnonzero(edge)
+    visible = kind[at[:-1]] != _SPACE if len(at) else np.zeros(0, bool)
+    start, size = at[:-1][visible], np.diff(at)[visible]
+    total = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    flat = low[kind != _SPACE]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(total), pa.py_buffer(flat)]), np.searchsorted(start, off)
+
+
 class Tokens:
     """Token ids of whole batches of texts."""
 
     def __init__(self, model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
@@ -72,55 +118,56 @@ class Tokens:
         self.reset()
 
     def reset(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
-        self.first = [0]
-
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word.  A word that could hold a special token stands alone."""
-        odd = [i for i, w in enumerate(words) if "<|" in w or "|>" in w]
-        plain = sorted(set(range(len(words))) - set(odd)) if odd else range(len(words))
-        groups = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
-        out: list = [None] * len(words)
-        for own, e in zip(groups, self.tokenizer.encode_batch_fast([self.between.join([words[i] for i in g]) for g in groups], add_special_tokens=False)):
-            ids = np.asarray(e.ids, np.int32)
-            cut = np.flatnonzero(ids == self.mark)
-            parts = np.split(ids, cut)
-            for k, (i, p) in enumerate(zip(own, parts)):
-                out[i] = p[1:] if k else p
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)):
-            out[i] = np.asarray(e.ids, np.int32)
-        return out
+        self.first = np.zeros(1, np.int64)
 
-    def _codes(self, words: list[str]) -> np.ndarray:
-        if len(self.code) + len(words) > WORDS and self.code:
-            self.reset()
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and how many each has."""
+        texts = [self.between + self.between.join(words[a : a + TOGETHER]) for a in range(0, len(words), TOGETHER)]
+        ids = [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([*ids, np.array([self.mark], np.int32)])
+        mark = flat == self.mark
+        return flat[~mark], np.diff(np.flatnonzero(mark)) - 1
+
+    def _codes(self, words: list[bytes]) -> np.ndarray:
         got = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(got < 0)
+        if len(self.code) + len(new) > WORDS and self.code:
+            self.reset()
+            return self._codes(words)
         if len(new):
-            fresh = self._encode([words[i] for i in new.tolist()])
-            flat = np.concatenate(fresh)
-            have = self.first[-1]
-            while have + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
+            fresh = [words[i] for i in new.tolist()]
+            odd = np.array([b"<|" in w or b"|>" in w for w in fresh])  # may hold a special token: alone
+            order = np.argsort(odd, kind="stable")
+            plain = len(fresh) - int(odd.sum())
+            flat, size = self._encode([fresh[i].decode() for i in order[:plain].tolist()])
+            more = [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast([fresh[i].decode() for i in order[plain:].tolist()], add_special_tokens=False)]
+            flat, size = np.concatenate([flat, *more]), np.append(size, [len(x) for x in more]).astype(np.int64)
+            have = int(self.first[-1])
+            if have + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids[:have], np.zeros(have + 2 * len(flat), np.int32)])
             self.ids[have : have + len(flat)] = flat
-            got[new] = np.arange(len(self.code), len(self.code) + len(new))
-            self.code.update(zip([words[i] for i in new.tolist()], got[new].tolist()))
-            self.first += (have + np.cumsum([len(x) for x in fresh])).tolist()
+            got[new[order]] = np.arange(len(self.code), len(self.code) + len(new))
+            self.first = np.concatenate([self.first, have + np.cumsum(size)])
+            self.code.update(zip(fresh, got[new].tolist()))
         return got
 
     def of(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text i has ids[offsets[i]:offsets[i + 1]]; null counts as empty."""
-        words = pc.ascii_split_whitespace(pc.fill_null(arr.cast(pa.large_string()), ""))
-        row = np.asarray(words.offsets).astype(np.int64)
-        flat = words.values.slice(row[0], row[-1] - row[0])
-        flat = flat.dictionary_encode()
-        code = self._codes(flat.dictionary.to_pylist())[np.asarray(flat.indices)] if len(flat) else np.zeros(0, np.int64)
-        first = np.asarray(self.first)
-        start, size = first[code], first[code + 1] - first[code]
+        words, row = cut(*tk.text_bytes(arr))
+        words = words.dictionary_encode()
+        code = self._codes(words.dictionary.to_pylist())[np.asarray(words.indices)] if len(words) else np.zeros(0, np.int64)
+        start, size = self.first[code], self.first[code + 1] - self.first[code]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[row - row[0]]
+        return ids, total[row]
+
+
+@lru_cache(1)
+def worker_tokens(model: str) -> Tokens:
+    """A worker keeps its words from task to task."""
+    return Tokens(model)
 
 
 class Packer:
@@ -223,7 +270,7 @@ def _encode_and_pack(docs: DataFrame, model: str, size: int, end: int, open_wind
     arrow = _schema()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = Tokens(held.value), Packer(size, open_windows)
+        tokens, packer = worker_tokens(held.value), Packer(size, open_windows)
         task = TaskContext.get().partitionId()
         number = task << 32
         for b in batches:
