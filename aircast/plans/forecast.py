@@ -25,12 +25,21 @@ def last_values(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> Data
     return kjoin(hum, last_two(feats, "temp_mean", keys=keys), keys)
 
 
+#: The column that holds the day before's value, by row.
+LAGGED = {"temp_mean": "temp_lag1", "co2_mean": "co2_lag1"}
+
+
 def last_two(feats: DataFrame, col: str, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    """Last and second-to-last value of ``col`` per series (top-2 by ds)."""
-    g = feats.groupBy(*keys).agg(F.max_by(F.struct("ds", col), "ds").alias("a"))
-    prev = kjoin(feats, g.select(*keys, F.col("a.ds").alias("_mx")), keys).where(F.col("ds") < F.col("_mx"))
-    p = prev.groupBy(*keys).agg(F.max_by(col, "ds").alias(f"{col}_prev"))
-    return kjoin(g.select(*keys, F.col(f"a.{col}").alias(f"{col}_last")), p, keys, "left")
+    """Last and second-to-last value of ``col`` per series, in one aggregate: the last row's lag
+    is the value before it (NULL where the series has one row).  Other columns are lagged here."""
+    from pyspark.sql import Window
+
+    lag = LAGGED.get(col)
+    if lag not in feats.columns:
+        lag = "_lag"
+        feats = feats.withColumn(lag, F.lag(col).over(Window.partitionBy(*keys).orderBy("ds")))
+    g = feats.groupBy(*keys).agg(F.max_by(F.struct(col, lag), "ds").alias("a"), F.count(F.lit(1)).alias("_n"))
+    return g.select(*keys, F.col(f"a.{col}").alias(f"{col}_last"), F.when(F.col("_n") > 1, F.col(f"a.{lag}")).alias(f"{col}_prev"))
 
 
 def future_scaffold(feats: DataFrame, weather: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, horizon: int = 7) -> DataFrame:
@@ -86,77 +95,141 @@ def co2_fold_expr(fut: Column, u1: Column, u2: Column, e: Column, phi1, phi2, de
     return F.aggregate(fut, init, step, lambda acc: acc["out"])
 
 
-def co2_fold(rows: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
+def co2_paths(rows: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
+    """One row per series: its future rows (h, ds, t_row, xb = x.beta) and the model."""
+    rows = rows if "t_row" in rows.columns else rows.withColumn("t_row", F.col("t").cast("double"))
+    fut = _collect_future(rows, list(keys), [F.col("ds"), F.col("t_row"), F.col("x")])
+    j = kjoin(fut, models, list(keys))
+    xb = F.transform("fut", lambda r: F.struct(r["h"].alias("h"), r["ds"].alias("ds"), r["t_row"].alias("t_row"), G.dot(r["x"], F.col("beta")).alias("xb")))
+    return j.withColumn("fut", xb)
+
+
+def co2_fold(rows: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, bounds: bool = False) -> DataFrame:
     """K15 over given future rows (columns h, ds, t_row, x with x[0] = 1)."""
     keys = list(keys)
-    fut = _collect_future(rows.withColumn("t_row", F.col("t").cast("double") if "t_row" not in rows.columns else F.col("t_row")),
-                          keys, [F.col("ds"), F.col("t_row"), F.col("x")])
-    j = kjoin(fut, models, keys)
-    th = F.coalesce(F.col("theta"), F.lit(0.0))
+    j = co2_paths(rows, models, keys=keys)
+    if bounds:
+        from .intervals import co2_bounds
+
+        j = co2_bounds(j, keys=keys)
     expr = co2_fold_expr(
         F.col("fut"), F.col("u_last"), F.col("u_prev"), F.coalesce(F.col("eps_last"), F.lit(0.0)),
-        F.col("phi1"), F.col("phi2"), F.col("delta"), th, lambda r: G.dot(r["x"], F.col("beta")),
+        F.col("phi1"), F.col("phi2"), F.col("delta"), F.coalesce(F.col("theta"), F.lit(0.0)), lambda r: r["xb"],
     )
-    return j.select(*keys, F.inline(expr)).select(*keys, "h", "ds", "pred_co2")
+    own = ["lower", "upper"] if bounds else []
+    at = [F.col(c)[F.col("h") - 1].alias(f"pred_co2_{c}") for c in own]
+    return j.select(*keys, *own, F.inline(expr)).select(*keys, "h", "ds", "pred_co2", *at)
 
 
 def co2_forecast(scaffold: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS,
-                 exog: Sequence[str] = tuple(M.CO2_EXOG)) -> DataFrame:
-    """7 steps ahead with the scaffold's exogenous columns."""
+                 exog: Sequence[str] = tuple(M.CO2_EXOG), bounds: bool = False) -> DataFrame:
+    """7 steps ahead with the scaffold's exogenous columns.  ``bounds``: also
+    pred_co2_lower and pred_co2_upper (``intervals.co2_bounds``)."""
     x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in exog])
-    return co2_fold(scaffold.withColumn("x", x), models, keys=keys)
+    return co2_fold(scaffold.withColumn("x", x), models, keys=keys, bounds=bounds)
 
 
-def temp_forecast(scaffold: DataFrame, models: DataFrame, feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    """Recursive temperature with lags fed back, each step clipped to
-    [outside max, outside max + mean(indoor - outdoor max)]."""
+def temp_paths(scaffold: DataFrame, models: DataFrame, feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
+    """One row per series: its future rows (h, ds, base, bounds), the model and the last two values.
+    ``base`` is the model's value without its lag terms."""
     keys = list(keys)
-    seeds = last_two(feats, "temp_mean", keys=keys)
-    diff = avg_temp_diff_of(feats, keys)
-    sc = kjoin(M.weekly_fourier(scaffold), models.select(*keys, "first_ds", "beta"), keys)
-    x0 = M.temp_vector(F.date_diff(F.col("ds"), F.col("first_ds")), {"temp_lag1": F.lit(0.0), "temp_lag2": F.lit(0.0)})
-    sc = sc.withColumn("base", G.dot(x0, F.col("beta")))
-    # the models are joined once; beta rides along with the future rows
-    fut = sc.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("h", "ds", "base", "outside_temp_max"))).alias("fut"), F.first("beta").alias("beta")
+    seeds = feats.groupBy(*keys).agg(
+        F.max_by(F.struct("temp_mean", "temp_lag1"), "ds").alias("_l"), F.count(F.lit(1)).alias("_n"),
+        F.avg(F.col("temp_mean") - F.col("outside_temp_max")).alias("avg_temp_diff"),
+    ).select(
+        *keys, F.col("_l.temp_mean").alias("l1"),
+        F.when(F.col("_n") > 1, F.col("_l.temp_lag1")).otherwise(F.col("_l.temp_mean")).alias("l2"), "avg_temp_diff",
     )
-    j = kjoin(kjoin(fut, seeds, keys), diff, keys)
+    sc = kjoin(M.weekly_fourier(scaffold), models.select(*keys, "first_ds", "span_days", "bends", "beta", "delta"), keys)
+    t = F.date_diff(F.col("ds"), F.col("first_ds")).cast("double")
+    sc = sc.withColumn("base", M.temp_value(M.temp_vector(t, {"temp_lag1": F.lit(0.0), "temp_lag2": F.lit(0.0)}), t))
+    fut = sc.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("h", "ds", "base", "outside_temp_max"))).alias("fut"))
+    return kjoin(kjoin(fut, seeds, keys), models.drop("first_ds", "dropped", "dropped_terms"), keys)
+
+
+def temp_forecast(scaffold: DataFrame, models: DataFrame, feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS,
+                  bounds: bool = False) -> DataFrame:
+    """Recursive temperature with lags fed back, each step clipped to
+    [outside max, outside max + mean(indoor - outdoor max)].  ``bounds``: also
+    pred_temp_lower and pred_temp_upper (``intervals.temp_bounds``)."""
+    keys = list(keys)
+    j = temp_paths(scaffold, models, feats, keys=keys)
+    if bounds:
+        from .intervals import temp_bounds
+
+        j = temp_bounds(j, keys=keys)
     expr = temp_fold(
-        F.col("fut"), F.col("temp_mean_last"), F.coalesce(F.col("temp_mean_prev"), F.col("temp_mean_last")),
+        F.col("fut"), F.col("l1"), F.col("l2"),
         lambda r: r["base"], F.col("beta")[M.LAG1_IDX], F.col("beta")[M.LAG2_IDX],
         lambda r: r["outside_temp_max"], lambda r: r["outside_temp_max"] + F.col("avg_temp_diff"),
     )
-    out = j.select(*keys, F.inline(expr))
-    return out.select(*keys, "h", "ds", "pred_temp", (F.col("pred_temp") - F.col("low")).alias("temp_diff"))
+    own = ["lower", "upper"] if bounds else []
+    out = j.select(*keys, *own, F.inline(expr))
+    at = [F.col(c)[F.col("h") - 1].alias(f"pred_temp_{c}") for c in own]
+    return out.select(*keys, "h", "ds", "pred_temp", (F.col("pred_temp") - F.col("low")).alias("temp_diff"), *at)
 
 
 def avg_temp_diff_of(feats: DataFrame, keys) -> DataFrame:
     return feats.groupBy(*keys).agg(F.avg(F.col("temp_mean") - F.col("outside_temp_max")).alias("avg_temp_diff"))
 
 
-def forecast_table(scaffold: DataFrame, temp_fc: DataFrame, co2_fc: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
+#: What a forecast row says beside its 12 fields.
+EXTRA_FIELDS = ("pred_temp_lower", "pred_temp_upper", "pred_co2_lower", "pred_co2_upper", "status")
+
+
+def forecast_table(scaffold: DataFrame, temp_fc: DataFrame, co2_fc: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS,
+                   status: DataFrame | None = None) -> DataFrame:
     """C2 (temperature part, CO2 part and future rows on (keys, ds))
-    plus H9 advice -> the 12-field result per series."""
+    plus H9 advice -> the 12-field result per series, the bounds that the parts carry, and with
+    ``status`` (keys, status) why a series has no prediction (it then has none at all)."""
     keys = list(keys)
-    j = temp_fc.select(*keys, "ds", "pred_temp").join(co2_fc.select(*keys, "ds", "pred_co2"), [*keys, "ds"]).join(
+    parts = [c for c in temp_fc.columns + co2_fc.columns if c.startswith("pred_")]
+    j = temp_fc.drop("h", "temp_diff").join(co2_fc.drop("h"), [*keys, "ds"]).join(
         scaffold.select(*keys, "ds", *WEATHER_FIELDS, "is_weekend", "is_holiday"), [*keys, "ds"]
     )
+    if status is not None:
+        j = kjoin(j, status, keys, "left")
+        j = j.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in parts})
     j = j.withColumn("advies", S.advice(F.col("pred_co2"), F.col("pred_temp")))
-    return j.select(*keys, *FORECAST_FIELDS)
+    return j.select(*keys, *FORECAST_FIELDS, *[c for c in EXTRA_FIELDS if c in j.columns])
+
+
+def run_status(temp_models: DataFrame, co2_models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
+    """(keys, status) of a run: the first of the two models' states that isn't ok, with the part's name."""
+    c = kjoin(temp_models.select(*keys, F.col("status").alias("_t")), co2_models.select(*keys, F.col("status").alias("_c")), list(keys))
+    both = F.when(F.col("_t") == F.col("_c"), F.col("_t")).when(F.col("_t") != "ok", F.concat(F.lit("temp: "), "_t"))
+    return c.select(*keys, both.otherwise(F.concat(F.lit("co2: "), "_c")).alias("status"))
 
 
 def run_forecast(feats: DataFrame, weather: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, horizon: int = 7,
-                 lam: float = 1.0, leak_free: bool = False) -> DataFrame:
+                 lam: float = 1.0, leak_free: bool = False, bounds: bool = True) -> DataFrame:
     """Flagship plan: features -> both models -> scaffold -> folds -> table.
-    The feature table feeds six branches, so it is checkpointed once."""
+    The feature table and the (one row per series) models feed several branches, so they are checkpointed once."""
     from ..session import materialize
 
     keys = list(keys)
     feats = materialize(feats)
     sc = future_scaffold(feats, weather, keys=keys, horizon=horizon)
-    tm = M.fit_temp(feats, keys=keys, lam=lam)
-    cm, _ = M.fit_co2(feats, keys=keys, leak_free=leak_free)
-    return forecast_table(sc, temp_forecast(sc, tm, feats, keys=keys), co2_forecast(sc, cm, keys=keys), keys=keys)
+    tm = materialize(M.fit_temp(feats, keys=keys, lam=lam))
+    cm = materialize(M.fit_co2(feats, keys=keys, leak_free=leak_free)[0])
+    temp = temp_forecast(sc, tm, feats, keys=keys, bounds=bounds)
+    return forecast_table(sc, temp, co2_forecast(sc, cm, keys=keys, bounds=bounds), keys=keys, status=run_status(tm, cm, keys=keys))
+
+
+def forecast_runs(feats: DataFrame, weather: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, back: Sequence[int] = (0, 7, 14),
+                  min_days: int = 7, **how) -> DataFrame:
+    """Runs of K18 as they would have been made on several days: ``back`` days before each series'
+    last one.  A run sees only the days up to its own (run_id), and is dropped where those are fewer than ``min_days``.
+    (series, run_id) is the key of a run, so all runs are fitted by the same plan at once."""
+    from ..session import materialize
+
+    keys = list(keys)
+    feats = materialize(feats)
+    last = feats.groupBy(*keys).agg(F.max("ds").alias("_last"), F.min("ds").alias("_first"))
+    runs = last.select(*keys, "_first", F.explode(F.array(*[F.date_sub("_last", n) for n in back])).alias("run_id"))
+    runs = runs.where(F.date_diff("run_id", "_first") >= min_days - 1).drop("_first")
+    own = kjoin(feats, runs, keys).where(F.col("ds") <= F.col("run_id"))
+    return run_forecast(own, weather, keys=[*keys, "run_id"], **how).withColumn("h", F.date_diff("ds", "run_id"))
 
 
 # ----------------------------------------------- fixed-coefficient folds
