@@ -18,7 +18,7 @@ slices are added up.
 
 Both tokenizers begin a new token at a space that follows a visible character, so texts are cut there,
 equal pieces of a batch are encoded once, and a worker remembers up to
-``MEMORY`` of them with their alignment.  Words in ASCII and Latin-1 letters are encoded
+``MEMORY`` of them with their alignment.  Pieces in ASCII and Latin-1 letters are encoded together
 by ranks, others by the A file itself (the same vocabulary and merges).
 
 Defined results: a text that is null or empty, or whose tokens of either side don't spell
@@ -32,9 +32,11 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -53,7 +55,9 @@ A_MODEL, A_RANKS, B_MODEL = (f"/opt/tokenizers/{x}" for x in ("byte_bpe_50k.json
 #: Fixed value: the public pattern that splits a text for the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of text that a worker remembers (about 200 bytes each).
-MEMORY = 200_000
+MEMORY = 300_000
+#: Pieces that are encoded as one text.
+TOGETHER = 512
 #: Distinct pairs that a task holds before it writes them down.
 HELD = 2_000_000
 #: Pairs of a bucket, about; buckets in which tasks deal out their pairs.
@@ -81,7 +85,7 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) << 32 | b.astype(np.int64)
 
 
-@dataclass
+@dataclass(frozen=True)
 class Models:
     """The files' contents, as they are sent to the executors."""
 
@@ -103,8 +107,25 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+class Spelled:
+    """What the ids of a vocabulary stand for, in bytes, and their decimal texts."""
+
+    def __init__(self, tokens: list[bytes], last: bytes):
+        """``last``: what stands after the last id of a group's side."""
+        self.tokens = tokens
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.texts = pa.array([b"%d%s" % (i, end) for end in (b",", last) for i in range(len(tokens))], pa.large_binary())
+
+    def text(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        return self.flat[np.repeat(self.first[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
 class Tokenizers:
     def __init__(self, m: Models):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         import tiktoken
         from tokenizers import Tokenizer
@@ -115,33 +136,56 @@ class Tokenizers:
         self.by_rank = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         letters = _byte_letters()
         vocabulary = json.loads(m.a)["model"]["vocab"]
-        self.a_bytes = {i: bytes(letters[c] for c in w) for w, i in vocabulary.items() if all(c in letters for c in w)}
+        spelled = [b""] * (max(vocabulary.values()) + 1)
+        for w, i in vocabulary.items():
+            if all(c in letters for c in w):
+                spelled[i] = bytes(letters[c] for c in w)
+        self.of_a = Spelled(spelled, b"|")
         self.b = sentencepiece.SentencePieceProcessor(model_proto=m.b)
-        spelled = []
-        for i in range(self.b.get_piece_size()):
-            p = self.b.id_to_piece(i)
-            spelled.append(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode())
-        self.b_bytes = spelled
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.of_b = Spelled([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)], b";")
         self.space = self.b.piece_to_id("▁")
-        self.simple = re.compile(r"[\x20-\x7e\n\t\xc0-\xd6\xd8-\xf6\xf8-\xff]*\Z")
-
-    def encode_a(self, pieces: list[str]) -> list[list[int]]:
-        out: list = [None] * len(pieces)
-        odd = []
-        for i, p in enumerate(pieces):
-            if self.simple.match(p):
-                out[i] = self.by_rank.encode_ordinary(p)
-            else:
-                odd.append(i)
-        if odd:
-            for i, e in zip(odd, self.a.encode_batch([pieces[i] for i in odd], add_special_tokens=False)):
-                out[i] = e.ids
-        return out
-
-    def encode_b(self, pieces: list[str]) -> list[list[int]]:
-        """Of pieces that begin with the space that B puts first; a space alone ends a text."""
-        out = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return [[self.space] if p == " " else ids for p, ids in zip(pieces, out)]
+        # a space, then ASCII and Latin-1 letters that begin and end with a visible character
+        self.simple = re.compile(r" (?![ \n\t])[ \n\t\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?<![ \n\t])\Z")
+
+    def encode(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Order of the pieces, their ids of A and how many each has, the same of B.  A piece
+        that either side doesn't spell has no ids."""
+        simple = [i for i, p in enumerate(pieces) if self.simple.match(p)]
+        rest = sorted(set(range(len(pieces))) - set(simple)) if len(simple) < len(pieces) else []
+        a, n_a, b, n_b, done = [], [], [], [], []
+        for k in range(0, len(simple), TOGETHER):
+            # one after the other: both sides begin anew at each piece
+            own = [pieces[i] for i in simple[k : k + TOGETHER]]
+            text = "".join(own)
+            ids_a, ids_b = (np.array(x, np.int64) for x in (self.by_rank.encode_ordinary(text), self.b.encode(text[1:])))
+            end = np.cumsum([len(p.encode()) for p in own])
+            raw = np.frombuffer(text.encode(), np.uint8)
+            cuts = [np.searchsorted(np.cumsum(of.size[ids]), end) + 1 for of, ids in ((self.of_a, ids_a), (self.of_b, ids_b))]
+            if not all(
+                np.array_equal(of.text(ids), raw) and np.array_equal(np.cumsum(of.size[ids])[cut - 1], end)
+                for of, ids, cut in ((self.of_a, ids_a, cuts[0]), (self.of_b, ids_b, cuts[1]))
+            ):
+                rest = [*rest, *simple[k : k + TOGETHER]]  # one by one
+                continue
+            done += simple[k : k + TOGETHER]
+            a.append(ids_a)
+            b.append(ids_b)
+            n_a.append(np.diff(cuts[0], prepend=0))
+            n_b.append(np.diff(cuts[1], prepend=0))
+        odd_a = self.a.encode_batch([pieces[i] for i in rest], add_special_tokens=False) if rest else []
+        odd_b = self.b.encode([pieces[i][1:] for i in rest], num_threads=1) if rest else []
+        for i, x, y in zip(rest, odd_a, odd_b):
+            # the space that B puts first is the piece's own; alone it ends a text
+            x, y = np.array(x.ids, np.int64), np.array([self.space] if pieces[i] == " " else y, np.int64)
+            raw = pieces[i].encode()
+            if self.of_a.text(x).tobytes() != raw or self.of_b.text(y).tobytes() != raw:
+                x = y = np.zeros(0, np.int64)
+            a.append(x)
+            b.append(y)
+            n_a.append([len(x)])
+            n_b.append([len(y)])
+        return [*done, *rest], *(np.concatenate(x).astype(np.int64) for x in (a, n_a, b, n_b))
 
 
 class Rows:
@@ -181,68 +225,73 @@ class Aligner:
     def __init__(self, models: Models, texts: bool):
         """``texts``: whether the groups are written out."""
         self.t, self.texts = Tokenizers(models), texts
+        self.words = pa.concat_arrays([self.t.of_a.texts, self.t.of_b.texts])
         self.reset()
 
     def reset(self) -> None:
-        self.code: dict[str, int] = {}
-        self.n_a, self.n_b, self.n_groups, self.bad = (np.zeros(0, np.int64) for _ in range(4))
-        self.pairs = Rows(np.int64)
-        self.groups: list[bytes] = []
+        self.code: dict[bytes, int] = {}
+        self.n_a, self.n_b, self.n_groups = (np.zeros(0, np.int64) for _ in range(3))
+        self.pairs, self.groups = Rows(np.int64), Rows(np.uint8)
 
-    def codes(self, pieces: list[str]) -> np.ndarray:
-        if self.code and len(self.code) + len(pieces) > MEMORY:
-            self.reset()
+    def codes(self, pieces: list[bytes]) -> np.ndarray:
         got = np.fromiter(map(self.code.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(got < 0)
+        if self.code and len(self.code) + len(new) > MEMORY:
+            self.reset()
+            return self.codes(pieces)
         if len(new):
-            fresh = [pieces[i] for i in new.tolist()]
-            got[new] = np.arange(len(self.code), len(self.code) + len(new))
-            self.code.update(zip(fresh, got[new].tolist()))
-            self._align(fresh)
+            order = self._align([pieces[i].decode() for i in new.tolist()])
+            got[new[order]] = np.arange(len(self.code), len(self.code) + len(new))
+            self.code.update(zip([pieces[i] for i in new.tolist()], got[new].tolist()))
         return got
 
-    def _align(self, pieces: list[str]) -> None:
-        a, b = self.t.encode_a(pieces), self.t.encode_b(pieces)
-        bad = np.zeros(len(pieces), bool)
-        for i, p in enumerate(pieces):
-            raw = p.encode()
-            if b"".join(map(self.t.b_bytes.__getitem__, b[i])) != raw or b"".join([self.t.a_bytes.get(x, b"") for x in a[i]]) != raw:
-                bad[i], a[i], b[i] = True, [], []
-        n_a, n_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
-        ids_a, ids_b = (np.array([i for x in y for i in x], np.int64) for y in (a, b))
+    def _align(self, pieces: list[str]) -> list[int]:
+        """Append the pieces' alignments, in the order that is returned."""
+        order, ids_a, n_a, ids_b, n_b = self.t.encode(pieces)
         # pieces stand one after the other and both sides end with each of them
-        end_a = np.cumsum([len(self.t.a_bytes[i]) for i in ids_a.tolist()]).astype(np.int64)
-        end_b = np.cumsum([len(self.t.b_bytes[i]) for i in ids_b.tolist()]).astype(np.int64)
+        end_a, end_b = np.cumsum(self.t.of_a.size[ids_a]), np.cumsum(self.t.of_b.size[ids_b])
         la, lb = links(end_a, end_b)
         of_a = np.repeat(np.arange(len(pieces)), n_a)
         self.pairs.add(pair_keys(ids_a[la], ids_b[lb]), np.bincount(of_a[la], minlength=len(pieces)))
-        both = np.isin(end_a, end_b)
-        n_groups = np.bincount(of_a[both], minlength=len(pieces))
-        if self.texts:
-            cut_a = np.flatnonzero(both) + 1
-            cut_b = np.searchsorted(end_b, end_a[both]) + 1
-            word_a, word_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-            spelled, x, y = [], 0, 0
-            for p, q in zip(cut_a.tolist(), cut_b.tolist()):
-                spelled.append(",".join(word_a[x:p]) + "|" + ",".join(word_b[y:q]))
-                x, y = p, q
-            at = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-            self.groups += [";".join(spelled[p:q]).encode() for p, q in zip(at[:-1], at[1:])]
-        for name, x in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("bad", bad)):
-            setattr(self, name, np.append(getattr(self, name), x.astype(np.int64)))
+        both_a = np.isin(end_a, end_b)
+        if self.texts and len(ids_a):
+            both_b = np.isin(end_b, end_a)
+            # tokens of A, then of B, group after group
+            cut_a, cut_b = np.flatnonzero(both_a) + 1, np.flatnonzero(both_b) + 1
+            group_a = np.cumsum(both_a) - both_a
+            group_b = np.cumsum(both_b) - both_b
+            at_a = np.arange(len(ids_a)) + np.append(0, cut_b)[group_a]
+            at_b = np.arange(len(ids_b)) + cut_a[group_b]
+            word = np.empty(len(ids_a) + len(ids_b), np.int64)
+            top = len(self.t.of_a.texts)
+            word[at_a] = ids_a + both_a * len(self.t.of_a.tokens)
+            word[at_b] = top + ids_b + both_b * len(self.t.of_b.tokens)
+            raw, off = tk.text_bytes(self.words.take(pa.array(word)), pa.large_binary())
+            self.groups.add(raw, np.diff(off[np.concatenate([[0], np.cumsum(n_a + n_b)])]))
+        elif self.texts:
+            self.groups.add(np.zeros(0, np.uint8), np.zeros(len(pieces), np.int64))
+        for name, x in (("n_a", n_a), ("n_b", n_b), ("n_groups", np.bincount(of_a[both_a], minlength=len(pieces)))):
+            setattr(self, name, np.append(getattr(self, name), x))
+        return order
 
     def batch(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(codes, offsets) of the pieces of each text; none for a text without tokens."""
         pieces, first = cut(arr)
         coded = pieces.dictionary_encode()
-        code = self.codes(coded.dictionary.cast(pa.large_string()).to_pylist())[np.asarray(coded.indices)] if len(pieces) else np.zeros(0, np.int64)
+        code = self.codes(coded.dictionary.to_pylist())[np.asarray(coded.indices)] if len(pieces) else np.zeros(0, np.int64)
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        lost = np.bincount(row[self.bad[code] > 0], minlength=len(first) - 1) > 0 if len(code) else np.zeros(len(first) - 1, bool)
+        lost = np.bincount(row[self.n_a[code] == 0], minlength=len(first) - 1) > 0 if len(code) else np.zeros(len(first) - 1, bool)
         keep = ~lost[row]
         size = np.where(lost, 0, np.diff(first))
         return code[keep], np.concatenate([[0], np.cumsum(size)])
 
 
+@lru_cache(1)
+def worker_aligner(models: Models, texts: bool) -> Aligner:
+    """A worker keeps its pieces from task to task."""
+    return Aligner(models, texts)
+
+
 def cut(arr: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(pieces, first): space + text of all texts, cut at each space after a visible character."""
     arr = pc.fill_null(arr.cast(pa.large_string()), "")
@@ -267,7 +316,7 @@ def local_counts(docs: DataFrame, models) -> DataFrame:
     """(part, pairs, counts): what each task counts, sorted pairs packed."""
 
     def make():
-        aligner = Aligner(models.value, texts=False)
+        aligner = worker_aligner(models.value, False)
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def flush() -> dict | None:
@@ -286,11 +335,11 @@ def local_counts(docs: DataFrame, models) -> DataFrame:
             # pieces of a document once, then their pairs once
             top = int(code.max()) + 1
             row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-            once = np.unique(row * top + code)
+            once = tk.distinct(row * top + code)
             pair = aligner.pairs.take(once % top)
             distinct, at = np.unique(pair, return_inverse=True)
             row = np.repeat(once // top, aligner.pairs.size(once % top))
-            at = np.unique(row * len(distinct) + at) % max(len(distinct), 1)
+            at = tk.distinct(row * len(distinct) + at) % max(len(distinct), 1)
             keys, n = _add(keys, n, distinct, np.bincount(at, minlength=len(distinct)))
             return flush() if len(keys) > HELD else None
 
@@ -452,7 +501,7 @@ def look_up(rows: DataFrame, models, counted, slices: int, first: bool) -> DataF
     the columns that don't depend on counts only in the ``first`` slice."""
 
     def make():
-        aligner = Aligner(models.value, texts=first)
+        aligner = worker_aligner(models.value, first)
 
         def fn(b: pa.RecordBatch) -> dict:
             code, off = aligner.batch(tk.column(b, "text"))
@@ -478,9 +527,9 @@ def look_up(rows: DataFrame, models, counted, slices: int, first: bool) -> DataF
             out = {"row": tk.column(b, "row"), "doc_id": tk.column(b, "doc_id"), "n_best": summed(best), "count_sum": summed(count)}
             if not first:
                 return out | dict.fromkeys(("n_a", "n_b", "n_groups", "n_links"), np.zeros(b.num_rows, np.int64)) | {"groups": [None] * b.num_rows}
-            groups = aligner.groups
-            cuts = off.tolist()
-            spelled = [b";".join([groups[c] for c in code[x:y].tolist()]).decode() for x, y in zip(cuts[:-1], cuts[1:])]
+            text = aligner.groups.take(code).tobytes()
+            cuts = np.concatenate([[0], np.cumsum(aligner.groups.size(code))])[off].tolist()
+            spelled = [text[x : max(y - 1, x)].decode() for x, y in zip(cuts[:-1], cuts[1:])]  # without the last semicolon
             for name in ("n_a", "n_b", "n_groups"):
                 out[name] = per_doc(getattr(aligner, name)[distinct])
             return out | {"n_links": per_doc(aligner.pairs.size(distinct)), "groups": spelled}

@@ -10,11 +10,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
-STEP = 4 << 20  # bytes hashed at once
 
-_BASE = 0x9E3779B97F4A7C55  # odd, so that no position is lost modulo 2^64
+_BASE = 0x9E3779B97F4A7C55
+#: The lowest 0 to 8 bytes.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -30,9 +32,9 @@ def column(b: pa.RecordBatch, name: str) -> pa.Array:
     return b.column(b.schema.get_field_index(name))
 
 
-def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
-    arr = pc.fill_null(arr.cast(pa.large_string()), "")
+def text_bytes(arr: pa.Array, kind: pa.DataType = pa.large_string()) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string (or, by ``kind``, binary) column; null counts as empty."""
+    arr = pc.fill_null(arr.cast(kind), "" if kind == pa.large_string() else b"")
     if not len(arr):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = arr.buffers()
@@ -52,16 +54,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_powers = np.ones(1, U)
-
-
-def powers(n: int) -> np.ndarray:
-    """1, P, P^2, ... modulo 2^64."""
-    global _powers
-    while len(_powers) < n:
-        last = _powers[-1:] * U(_BASE)
-        _powers = np.concatenate([_powers, _powers * last])
-    return _powers
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting, which is faster here than NumPy's table)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def spans(raw: np.ndarray, off: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,23 +75,33 @@ def spans(raw: np.ndarray, off: np.ndarray, klass: np.ndarray) -> tuple[np.ndarr
     return start[keep], end[keep]
 
 
-def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span, in steps of STEP bytes of spans."""
-    out = np.empty(len(start), U)
-    size = end - start
-    total = np.concatenate([[0], np.cumsum(size)])
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(total, total[i] + STEP, "right")) - 1)
-        n = size[i:j]
-        first = total[i:j] - total[i]
-        at = np.arange(int(total[j] - total[i]))
-        pos = at - np.repeat(first, n)
-        letters = raw[at + np.repeat(start[i:j] - first, n)].astype(U) + U(1)  # bytes or code points
-        pw = powers(int(n.max()) + 1)
-        out[i:j] = np.add.reduceat(letters * pw[pos], first) + n.astype(U) * U(0xD6E8FEB86659FD93)
-        i = j
-    return mix(out)
+#: Spans of at most so many 8-byte steps are hashed side by side, longer ones one by one.
+SHORT_STEPS = 64
+
+
+def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span of bytes or code points; ``seed`` gives independent ones.
+
+    Eight bytes at a time go through ``mix``, which is not linear, so spans don't
+    collide for their structure."""
+    wide = raw.dtype.itemsize
+    flat = np.zeros(len(raw) * wide + 8, np.uint8)
+    flat[:-8] = np.ascontiguousarray(raw).view(np.uint8)
+    eights = np.ndarray((len(flat) - 7,), "<u8", flat, 0, (1,))
+    at, size = start * wide, (end - start) * wide
+    h = mix(size.astype(U) * U(_BASE) + mix(np.full(1, seed + 1, U)))
+    steps = -(-size // 8)
+    for i in np.flatnonzero(steps > SHORT_STEPS).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(flat[at[i] : at[i] + size[i]].tobytes(), int(h[i]))
+    left = np.flatnonzero((steps > 0) & (steps <= SHORT_STEPS))
+    k = 0
+    while len(left):
+        rest = size[left] - 8 * k
+        eight = eights[at[left] + 8 * k] & _MASKS[np.minimum(rest, 8)]
+        h[left] = mix(h[left] ^ eight) + U(k)
+        left = left[rest > 8]
+        k += 1
+    return mix(h)
 
 
 def words(raw: np.ndarray, off: np.ndarray, klass: np.ndarray):
