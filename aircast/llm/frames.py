@@ -118,9 +118,13 @@ def held_out(doc_id: str = "doc_id"):
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int]) -> DataFrame:
     """Rows of ``docs`` with a ``label``: at most ``per_class`` labelled doc_ids of label 0
-    and 1, in the order of a hash of doc_id.  Only these ids (a bounded number)
+    and 1, in the order of a hash of doc_id, and one row of each (the one with the smallest
+    hash).  Only these ids (a bounded number)
     are broadcast.  A doc_id with several labels has the largest; null ones don't count."""
     one = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     one = one.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).alias("label"))
     ids = [one.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[v]) for v in (0, 1)]
-    return docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(F.broadcast(ids[0].union(ids[1])), "doc_id")
+    cols = [c for c in docs.columns if c != "doc_id"]
+    rows = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(F.broadcast(ids[0].union(ids[1])), "doc_id")
+    first = rows.groupBy("doc_id", "label").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("row"))
+    return first.select("doc_id", "row.*", "label")

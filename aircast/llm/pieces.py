@@ -42,6 +42,8 @@ SEED = 1
 SPACE, SPACE_SIGN = 32, 0x2581
 HIDDEN = 0x110000  # stands for U+2581 of the text itself, in no piece; no code point of any text
 SCREEN_BITS = 20
+#: Characters of distinct units in one lattice (a longer unit has one of its own): about 25 MB.
+CHARACTERS = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 
 
@@ -155,14 +157,15 @@ class Lattice:
             sums[head[order[first[:-1]]]] = most + np.log(np.add.reduceat(x, first[:-1] - first[0]))
         # edges by their end, with the probability of each among those that end there
         order = np.argsort(head, kind="stable")
-        self.tail, self.ids, head = tail[order], ids[order], head[order]
-        share = np.exp(sums[self.tail] + weight[order] - sums[head])
-        self.edge = np.searchsorted(head, np.arange(len(sums) + 1))
-        upto = np.concatenate([[0.0], np.cumsum(share)])
-        self.before = upto[self.edge[:-1]]
-        self.mass = upto[self.edge[1:]] - self.before
-        self.upto = upto[1:]
-        self.point_of_tail = self.tail - np.searchsorted(self.top, self.tail)  # back to a place in ``points``
+        self.tail, self.ids, head = tail[order].astype(np.int32), ids[order], head[order]
+        self.edge = np.searchsorted(head, np.arange(len(sums) + 1)).astype(np.int32)
+        # summed up place by place, so a draw doesn't depend on what else is in the lattice
+        self.upto = np.exp(sums[self.tail] + weight[order] - sums[head])
+        number = np.diff(self.edge)
+        for k in range(1, int(number.max(initial=0))):
+            e = self.edge[:-1][number > k] + k
+            self.upto[e] += self.upto[e - 1]
+        self.point_of_tail = self.tail - np.searchsorted(self.top, self.tail).astype(np.int32)  # back to a place in ``points``
 
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(edges, first, number): the edges of each occurrence ``unit`` in order."""
@@ -172,10 +175,15 @@ class Lattice:
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         number = np.zeros(len(unit), np.int64)
         while len(live):
-            u = uniform(key[live], len(drawn))
             p = place[live]
-            e = np.searchsorted(self.upto, self.before[p] + u * self.mass[p], "right")
-            e = np.minimum(np.maximum(e, self.edge[p]), self.edge[p + 1] - 1)
+            # the first edge of the place whose sum is beyond the draw, by halving
+            e, last = self.edge[p], self.edge[p + 1] - 1
+            u = uniform(key[live], len(drawn)) * self.upto[last]
+            for _ in range(int((last - e).max()).bit_length()):
+                mid = (e + last) >> 1
+                beyond = self.upto[mid] > u
+                last = np.where(beyond, mid, last)
+                e = np.where(beyond, e, np.minimum(mid + 1, last))
             drawn.append((live, e))
             number[live] += 1
             place[live] = self.tail[e]
@@ -217,34 +225,48 @@ def encode(v: Vocabulary, arr: pa.Array, keys: np.ndarray, seed: int = SEED) ->
     begin[1:] |= alone[:-1]
     begin[row_at[:-1][row_at[:-1] < len(points)]] = True
     at = np.flatnonzero(begin)
-    size = np.diff(np.append(at, len(points)))
-    name = tk.hash_spans(points, at, at + size)
-    _, one, unit = np.unique(name, return_index=True, return_inverse=True)
-    n = size[one]
-    first = np.cumsum(n) - n
-    distinct = points[np.repeat(at[one] - first, n) + np.arange(n.sum())]
-    lattice = Lattice(v, distinct, first, first + n)
+    # equal units once; compared by their characters, not by a hash
+    cut = np.append(at, len(points)).astype(np.int64) * 4
+    units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(cut), pa.py_buffer(points)]).dictionary_encode()
+    unit = np.asarray(units.indices)
+    raw_units, unit_off = tk.text_bytes(units.dictionary.cast(pa.large_binary()), pa.large_binary())
+    distinct, first = raw_units.view(np.uint32), unit_off // 4
     row = np.searchsorted(row_at, at, "right") - 1
     rank = np.arange(len(at)) - np.searchsorted(at, row_at[row])
     key = tk.mix(tk.mix(keys[row].astype(np.int64).view(np.uint64) + np.uint64(seed * int(_BASE) & (2**64 - 1))) ^ rank.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    edges, begin_at, number = lattice.sample(unit, key)
+    by_unit = np.argsort(unit, kind="stable")
+    begin_of = np.searchsorted(unit[by_unit], np.arange(len(first)))
+    number, parts, a = np.zeros(len(at), np.int64), [], 0
+    while a < len(first) - 1:  # a lattice of so many characters at a time
+        z = max(a + 1, int(np.searchsorted(first, first[a] + CHARACTERS, "right")) - 1)
+        occurrences = by_unit[begin_of[a] : begin_of[z]]
+        lattice = Lattice(v, distinct[first[a] : first[z]], first[a:z] - first[a], first[a + 1 : z + 1] - first[a])
+        ids, count = _drawn(v, lattice, distinct[first[a] : first[z]], unit[occurrences] - a, key[occurrences])
+        number[occurrences] = count
+        parts.append((occurrences, ids, count))
+        a = z
+    total = np.concatenate([[0], np.cumsum(number)])
+    out = np.empty(total[-1], np.int32)
+    for occurrences, ids, count in parts:
+        out[np.repeat(total[occurrences] - (np.cumsum(count) - count), count) + np.arange(len(ids))] = ids
+    return out, total[np.searchsorted(at, row_at)]
+
+
+def _drawn(v: Vocabulary, lattice: Lattice, points: np.ndarray, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids) of some occurrences of a lattice's units."""
+    edges, begin_at, count = lattice.sample(unit, key)
     ids = lattice.ids[edges]
     bare = np.flatnonzero(ids < 0)
-    count = np.add.reduceat(np.ones(len(ids), np.int64), begin_at)
     if len(bare):
         # a character in bytes becomes as many pieces
-        points_of = distinct[lattice.point_of_tail[edges[bare]]]
-        spell = utf8_size(points_of)
+        points_of = points[lattice.point_of_tail[edges[bare]]]
         wide = np.ones(len(ids), np.int64)
-        wide[bare] = spell
-        out = np.repeat(ids, wide)
-        spots = np.flatnonzero(out < 0)
+        wide[bare] = utf8_size(points_of)
+        ids = np.repeat(ids, wide)
         letters = spoken(points_of).astype(np.uint32).tobytes().decode("utf-32-le").encode()
-        out[spots] = v.byte_id[np.frombuffer(letters, np.uint8)]
+        ids[np.flatnonzero(ids < 0)] = v.byte_id[np.frombuffer(letters, np.uint8)]
         count = np.add.reduceat(wide, begin_at)
-        ids = out
-    total = np.concatenate([[0], np.cumsum(count)])
-    return ids, total[np.searchsorted(at, row_at)]
+    return ids, count
 
 
 def decode(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:

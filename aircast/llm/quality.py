@@ -38,15 +38,26 @@ ROUNDS = 4
 #: Pseudo-labels that a view hands over in a round, for each class, and how sure it must be.
 HANDED = 100
 SURE = 0.95
+#: Rows of a class that a quarter of the labelled ones must hold to calibrate alone.
+CALIBRATE = 30
 SOURCES, LANGS = 32, 16
+#: Features of the content view.
+CONTENT = 264
+#: Visible ASCII characters beyond letters, digits and the usual marks of prose.
+_SIGN = np.zeros(256, bool)
+_SIGN[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in ".,;:!?'\"()-"]] = True
 
 
 def content(arr: pa.Array) -> np.ndarray:
-    """(texts, 260): shares of bytes (square roots, so that rare ones count), distinct
-    words and lines, word length, and the share of the most frequent word."""
+    """(texts, CONTENT): shares of bytes (square roots, so that rare ones count), distinct
+    words and lines, word length, the share of the most frequent word, and the shares of rare signs,
+    of signs that repeat the one before, of digits and of words that repeat the one before."""
     raw, off = tk.text_bytes(arr)
     size = np.diff(off)
-    out = np.zeros((len(size), 260), np.float32)
+    out = np.zeros((len(size), CONTENT), np.float32)
+    sign = _SIGN[raw]
+    twice = np.append(False, sign[1:] & (raw[1:] == raw[:-1])) if len(raw) else sign
+    digit = (raw >= 0x30) & (raw <= 0x39)
     h, start, end, first = tk.words(raw, off, tk.NOT_SPACE)
     for i, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
         if z == a:
@@ -57,7 +68,9 @@ def content(arr: pa.Array) -> np.ndarray:
             _, n = np.unique(own, return_counts=True)
             lines = raw[a:z].tobytes().split(b"\n")
             # distinct words among up to about 100 are the rule, and fewer the longer the text is
-            out[i, 256:] = len(n) / len(own) ** 0.8, len(set(lines)) / len(lines), np.log1p((end - start)[first[i] : first[i + 1]].mean()), n.max() / len(own)
+            out[i, 256:260] = len(n) / len(own) ** 0.8, len(set(lines)) / len(lines), np.log1p((end - start)[first[i] : first[i + 1]].mean()), n.max() / len(own)
+            out[i, 263] = np.sqrt((own[1:] == own[:-1]).sum() / len(own))
+        out[i, 260:263] = np.sqrt([sign[a:z].mean(), twice[a:z].mean(), digit[a:z].mean()])
     return out
 
 
@@ -80,7 +93,7 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3e-2) -> np.ndarray:
     """Weights (the last one is the offset), by Newton's method with classes of equal weight."""
     x = np.hstack([x, np.ones((len(x), 1))]).astype(float)
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
@@ -132,30 +145,23 @@ class Model:
 
 
 def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights with the classes as they are, lightly held."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    pull = np.full(x.shape[1], 1e-1)
+    """Logistic weights with the classes as they are, lightly held whatever the scale of x."""
+    wide = np.maximum(x.std(0), 1e-6)
+    x = np.hstack([x / wide, np.ones((len(x), 1))])
+    pull = np.full(x.shape[1], 1e-2)
     pull[-1] = 1e-4
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = sigmoid(x @ w)
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (p - y) + pull * w)
-    return w
+    return np.append(w[:-1] / wide, w[-1])
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], share: float | None = None, rounds: int = ROUNDS) -> Model:
-    """``labelled`` and ``pool``: the two views' features.  ``share``: of good documents
-    among all labelled ones, where the sample is balanced otherwise."""
-    y = np.asarray(y, float)
-    rest = np.arange(len(y)) % 4 == 0  # calibrates
-    if not (set(y[rest].tolist()) == set(y[~rest].tolist()) == {0.0, 1.0}):
-        rest = np.zeros(len(y), bool)
-    if len(set(y.tolist())) < 2:
-        return Model(None, None)
-    train = [[x[~rest]] for x in labelled]
-    target = [[y[~rest]], [y[~rest]]]
+def exchange(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> list[View]:
+    """The two views after so many rounds in which each labels the other's rows."""
+    train, target = [[x] for x in labelled], [[y], [y]]
     free = [np.ones(len(pool[0]), bool) for _ in pool]  # not yet handed to this view
-    views = [fit_view(t[0], z[0]) for t, z in zip(train, target)]
+    views = [fit_view(x, y) for x in labelled]
     for _ in range(rounds):
         for teacher, pupil in ((0, 1), (1, 0)):
             p = sigmoid(views[teacher].odds(pool[teacher])) if len(pool[0]) else np.zeros(0)
@@ -166,17 +172,41 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray],
                 train[pupil].append(pool[pupil][best])
                 target[pupil].append(np.full(len(best), cls))
         views = [fit_view(np.concatenate(t), np.concatenate(z)) for t, z in zip(train, target)]
-    held, truth = ([x[rest] for x in labelled], y[rest]) if rest.any() else (labelled, y)
-    for v, x in zip(views, held):
-        a, b = curve(v.odds(x)[:, None], truth)
+    return views
+
+
+def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], share: float | None = None, rounds: int = ROUNDS) -> Model:
+    """``labelled`` and ``pool``: the two views' features.  ``share``: of good documents
+    among all labelled ones, where the sample is balanced otherwise.
+
+    A quarter of the rows isn't trained on and calibrates; where that is fewer than
+    ``CALIBRATE`` rows of a class, each quarter is scored by views trained on the others, and all
+    rows calibrate views trained on all."""
+    y = np.asarray(y, float)
+    if len(set(y.tolist())) < 2:
+        return Model(None, None)
+    quarter = np.arange(len(y)) % 4
+    rest = quarter == 0
+    few = min((y[rest] == c).sum() for c in (0, 1)) < CALIBRATE
+    if not few:
+        views = exchange([x[~rest] for x in labelled], y[~rest], pool, rounds)
+        z, truth = np.stack([v.odds(x[rest]) for v, x in zip(views, labelled)], 1), y[rest]
+    else:
+        # the quarters hold rows of both classes as far as there are any
+        quarter[np.argsort(y, kind="stable")] = np.arange(len(y)) % 4
+        views, z, truth = exchange(labelled, y, pool, rounds), np.zeros((len(y), 2)), y
+        for k in range(4):
+            own = quarter == k
+            others = views if len(set(y[~own].tolist())) < 2 else exchange([x[~own] for x in labelled], y[~own], pool, rounds)
+            z[own] = np.stack([v.odds(x[own]) for v, x in zip(others, labelled)], 1)
+    for i, v in enumerate(views):
+        a, b = curve(z[:, i : i + 1], truth)
         v.scale = float(max(a, 0.0)), float(b)
-    model = Model(views, None)
-    z = model.odds(held)
+        z[:, i] = v.scale[0] * z[:, i] + v.scale[1]
     mix = curve(z, truth)
     if share is not None:
         mix[-1] += np.log(share / (1 - share)) - np.log(truth.mean() / (1 - truth.mean()))
-    model.mix = mix
-    return model
+    return Model(views, mix)
 
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -209,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLA
     share = known.agg(F.avg("quality")).first()[0]
 
     def arrays(f: pd.DataFrame) -> list[np.ndarray]:
-        widths = (260, LANGS + SOURCES + 5)
+        widths = (CONTENT, LANGS + SOURCES + 5)
         return [np.frombuffer(b"".join(f[c]), np.float32).reshape(-1, w) for c, w in zip(("x0", "x1"), widths)]
 
     return co_train(arrays(own), own["label"].to_numpy(), arrays(spare), share)

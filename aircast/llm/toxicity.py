@@ -8,7 +8,7 @@ trained jointly (Adam, full batches, in NumPy); a fifth of the sample isn't
 trained on and calibrates the score.
 
 Training takes a bounded sample of labelled rows: at most ``PER_CLASS`` texts of
-the two classes, in the order of a hash of their id.  Every row is scored on its whole text:
+the two classes, in the order of a hash of their id, of at most ``MAX_CHARS`` characters.  Every row is scored on its whole text:
 once trained, a bucket needs only its dot product with the softmax, one number.
 
 Defined results: conflicting labels of a doc_id count as toxic; null labels don't
@@ -18,6 +18,7 @@ any evidence; with one class only there is nothing to learn and every score is 0
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,9 +46,12 @@ SOME = 2.0
 AT_ONCE = 100
 #: Bounds of the training sample: clean and toxic texts.
 PER_CLASS = (3000, 1500)
+#: And the longest text that is trained on (longer ones are scored like all others).
+MAX_CHARS = 20_000
 EPOCHS = 20
 RATE = 0.02
 SEED = 7
+LONGER_WORD = re.compile(r"[^\W\d_]{4,}")
 
 
 @dataclass
@@ -139,9 +143,23 @@ def text_grams(texts: list[str]):
         yield len(own), key // BUCKETS, key % BUCKETS, weight
 
 
+def misspelt(text: str, rng: np.random.Generator) -> str:
+    """The text with one letter of each longer word doubled, left out or swapped with the one before."""
+
+    def one(m: re.Match) -> str:
+        w = m.group()
+        k = int(rng.integers(1, len(w)))
+        return (w[:k] + w[k - 1 :], w[:k] + w[k + 1 :], w[: k - 1] + w[k] + w[k - 1] + w[k + 1 :])[rng.integers(3)]
+
+    return LONGER_WORD.sub(one, text)
+
+
 def train(texts: list[str], labels: np.ndarray, share: float | None = None, seed: int = SEED) -> Model:
     """Fit vectors and softmax on labelled texts; a fifth of them calibrates.
 
+    Every text is there twice, once with misspelt words, so that the odds of a
+    word also come to rest on the n-grams that a misspelling leaves.
+
     A text's mean is linear in the vectors, so each text is one sparse row of bucket
     weights.  Buckets that occur in toxic texts about as often as in others
     (within ``SOME`` standard deviations) stay at zero.  The others' vectors start along the
@@ -153,6 +171,9 @@ def train(texts: list[str], labels: np.ndarray, share: float | None = None, seed
         return Model(np.zeros(BUCKETS, np.float32), 0.0, (1.0, 0.0), constant=0.0)
     fit = np.arange(len(texts)) % 5 != 0
     fit |= not (set(labels[fit].tolist()) == set(labels[~fit].tolist()) == {0.0, 1.0})
+    rng = np.random.default_rng(seed)
+    texts = [*texts, *(misspelt(t, rng) for t in texts)]
+    labels, fit = np.tile(labels, 2), np.tile(fit, 2)
     own, y = [t for t, f in zip(texts, fit) if f], labels[fit]
 
     held = np.zeros((2, BUCKETS))  # clean and toxic texts that hold a bucket
@@ -232,7 +253,8 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Model:
     """The model of the labelled rows of ``docs`` (doc_id, text) that aren't held out."""
     labels = labels.select("doc_id", "toxic").where(~held_out() & F.col("toxic").isNotNull())
-    rows = labelled(docs.select("doc_id", "text"), labels, "toxic", per_class)
+    short = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= MAX_CHARS)
+    rows = labelled(short, labels, "toxic", per_class)
     got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toPandas()
     share = labels.agg(F.avg("toxic")).first()[0]
     return train([t or "" for t in got["text"]], got["label"].to_numpy(), share)
