@@ -81,11 +81,13 @@ def forecast_pairs(runs: DataFrame, daily: DataFrame, *, keys: Sequence[str] = D
     return j.select(*keys, "h", u.alias("p")).select(*keys, "h", "p.*")
 
 
-def error_metrics(pairs: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, by: Sequence[str] = ("model",)) -> DataFrame:
-    """MAE and RMSE from one pass of sums (n, sum|r|, sum r^2)."""
+def error_metrics(pairs: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, by: Sequence[str] = ("model",), exact: bool = True) -> DataFrame:
+    """MAE and RMSE from one pass of sums (n, sum|r|, sum r^2).  ``exact``: decimal sums, for errors
+    of the size of readings (a model's may be any size)."""
+    mean = avg_exact if exact else F.avg
     p = pairs.where(F.col("y").isNotNull() & F.col("yhat").isNotNull()).withColumn("_r", F.col("y") - F.col("yhat"))
     return p.groupBy(*keys, *by).agg(
-        F.count(F.lit(1)).alias("n"), avg_exact(F.abs("_r")).alias("mae"), F.sqrt(avg_exact(F.col("_r") * F.col("_r"))).alias("rmse")
+        F.count(F.lit(1)).alias("n"), mean(F.abs("_r")).alias("mae"), F.sqrt(mean(F.col("_r") * F.col("_r"))).alias("rmse")
     )
 
 

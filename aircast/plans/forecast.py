@@ -181,24 +181,32 @@ def forecast_table(scaffold: DataFrame, temp_fc: DataFrame, co2_fc: DataFrame, *
                    status: DataFrame | None = None) -> DataFrame:
     """C2 (temperature part, CO2 part and future rows on (keys, ds))
     plus H9 advice -> the 12-field result per series, the bounds that the parts carry, and with
-    ``status`` (keys, status) why a series has no prediction (it then has none at all)."""
+    ``status`` (``run_status``) why a series has no prediction (it then has none at all)."""
     keys = list(keys)
     parts = [c for c in temp_fc.columns + co2_fc.columns if c.startswith("pred_")]
     j = temp_fc.drop("h", "temp_diff").join(co2_fc.drop("h"), [*keys, "ds"]).join(
         scaffold.select(*keys, "ds", *WEATHER_FIELDS, "is_weekend", "is_holiday"), [*keys, "ds"]
     )
     if status is not None:
-        j = kjoin(j, status, keys, "left")
-        j = j.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in parts})
+        j = kjoin(j, status, keys, "left").withColumns({c: F.when(F.col("usable"), F.col(c)) for c in parts})
     j = j.withColumn("advies", S.advice(F.col("pred_co2"), F.col("pred_temp")))
     return j.select(*keys, *FORECAST_FIELDS, *[c for c in EXTRA_FIELDS if c in j.columns])
 
 
 def run_status(temp_models: DataFrame, co2_models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    """(keys, status) of a run: the first of the two models' states that isn't ok, with the part's name."""
-    c = kjoin(temp_models.select(*keys, F.col("status").alias("_t")), co2_models.select(*keys, F.col("status").alias("_c")), list(keys))
-    both = F.when(F.col("_t") == F.col("_c"), F.col("_t")).when(F.col("_t") != "ok", F.concat(F.lit("temp: "), "_t"))
-    return c.select(*keys, both.otherwise(F.concat(F.lit("co2: "), "_c")).alias("status"))
+    """(keys, status, usable) of a run.  A model that could not be fitted names its part and makes the
+    run unusable; one whose CO2 errors grow without bound is served and says so."""
+    c = kjoin(
+        temp_models.select(*keys, F.col("status").alias("_t")),
+        co2_models.select(*keys, F.col("status").alias("_c"), F.coalesce("explosive", F.lit(False)).alias("_x")), list(keys),
+    )
+    usable = (F.col("_t") == "ok") & (F.col("_c") == "ok")
+    text = (
+        F.when(usable, F.when(F.col("_x"), "co2: explosive").otherwise("ok"))
+        .when(F.col("_t") == F.col("_c"), F.col("_t"))
+        .otherwise(F.concat_ws("; ", F.when(F.col("_t") != "ok", F.concat(F.lit("temp: "), "_t")), F.when(F.col("_c") != "ok", F.concat(F.lit("co2: "), "_c"))))
+    )
+    return c.select(*keys, text.alias("status"), usable.alias("usable"))
 
 
 def run_forecast(feats: DataFrame, weather: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, horizon: int = 7,

@@ -139,9 +139,13 @@ def temp_solver(lam: float, prior: float | None):
             delta[ok] = G.lasso(q[ok], r[ok], weight[ok])
             beta = np.einsum("spq,sq->sp", project, xty[:, :p] - np.einsum("sph,sh->sp", gh, delta))
             whole = np.hstack([beta, delta])
+        # the noise per degree of freedom: a penalised weight takes less than one
+        kept = np.einsum("sii->si", inverse) > 0
+        held = lam * (np.einsum("sii->si", inverse) * np.array(TEMP_PEN)).sum(1)
+        free = np.maximum(n - kept.sum(1) + held - (delta != 0).sum(1), 1)
         return {
-            "beta": beta, "status": list(status), "dropped": dropped, "delta": delta,
-            "sigma": np.sqrt(squares(whole) / n), "n_bends": (delta != 0).sum(1),
+            "beta": beta, "status": list(status), "dropped": dropped, "delta": delta + 0.0,
+            "sigma": np.sqrt(squares(whole) / free), "n_bends": (delta != 0).sum(1),
         }
 
     return run
@@ -272,7 +276,8 @@ def co2_system(lay: Layout, g: np.ndarray, heads: np.ndarray, lam: float, ma: bo
     use = np.array([False] + [True] * lay.k)
     beta, status, dropped, _, inverse = G.ridge(ga, g[:, lay.x, 1], use, np.zeros(lay.k + 1, bool), np.ones(lay.k + 1, bool), lam)
     rss = g[:, 1, 1] - 2 * np.einsum("si,si->s", beta, g[:, lay.x, 1]) + np.einsum("si,sij,sj->s", beta, ga, beta)
-    free = np.maximum(n - [lay.k - len(d) for d in dropped], 1)
+    used = np.array([lay.k - len(d) for d in dropped])
+    free = np.maximum(n - used, 1)
     se = np.sqrt(np.maximum(rss, 0)[:, None] / free[:, None] * np.einsum("sii->si", inverse))
     u = [lay.residual(beta[:, 1:], lag) for lag in range(4)]
     time = np.zeros((s, lay.p))
@@ -290,7 +295,7 @@ def co2_system(lay: Layout, g: np.ndarray, heads: np.ndarray, lam: float, ma: bo
         spread = np.maximum(left, 0)
         errors = np.sqrt(spread[:, None] / np.maximum(days - len(forms), 1)[:, None] * np.einsum("sii->si", inv))
         c, errors = (np.where(days[:, None] > 0, v, np.nan) for v in (c, errors))
-        return c, errors, np.sqrt(spread / np.maximum(days, 1))
+        return c, errors, np.sqrt(spread / np.maximum(days - len(forms) - used, 1))
 
     first, errors, sigma = regress([u[1], u[2], time], gb, n - 2)
     out = {"beta": beta, "status": status, "dropped": dropped, "se": se, "first": first, "forms": u}
@@ -336,6 +341,11 @@ def co2_solver(lay: Layout, lam: float, ma: bool):
     return run
 
 
+def explosive(phi1: Column, phi2: Column) -> Column:
+    """Whether u = phi1 u-1 + phi2 u-2 grows without bound (the source doesn't enforce stationarity)."""
+    return ~((F.abs(phi2) < 1) & (phi1 + phi2 < 1) & (phi2 - phi1 < 1))
+
+
 def fit_co2(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_free: bool = False, lam: float = 1e-6,
             ma: bool = True, exog: Sequence[str] = tuple(CO2_EXOG)) -> tuple[DataFrame, DataFrame]:
     """K6: y = x.beta + u, u = phi1 u-1 + phi2 u-2 + delta t + e + theta e-1.
@@ -347,7 +357,7 @@ def fit_co2(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, leak_free:
     keys, lay = list(keys), Layout(len(exog))
     d = co2_lags(feats, keys=keys, leak_free=leak_free, exog=exog)
     m = G.fit(d.withColumn("z", lay.columns()), keys, co2_solver(lay, lam, ma), CO2_FIT, x="z")
-    models = with_status(m, ["const", *exog])
+    models = with_status(m, ["const", *exog]).withColumn("explosive", explosive(F.col("phi1"), F.col("phi2")))
     j = kjoin(d, m.select(*keys, F.slice("beta", 2, len(exog)).alias("bx"), "phi1", "phi2", "delta", "theta", F.col("first").alias("f")), keys)
     j = j.withColumns({n: F.col(y) - G.dot(F.col(x), F.col("bx")) for n, y, x in (("u", "y", "xe"), ("u1", "y1", "x1"), ("u2", "y2", "x2"), ("u3", "y3", "x3"))})
     f = F.nanvl(F.col("f")[1], F.lit(None)), F.nanvl(F.col("f")[2], F.lit(None)), F.nanvl(F.col("f")[3], F.lit(None))
