@@ -11,10 +11,11 @@ from ..operators import clean as C
 from ..operators import joins as JN
 from ..operators import order as O
 from ..sources import fixtures as fx
+from ..streaming import live as LV
 from ..streaming import streams as ST
 from .daily_tables import alert_sql, warning_sql
 from .readings import cleaned
-from .registry import cte, query, with_
+from .registry import avg_exact_sql, cte, query, r6, with_
 from .trend_tables import runs_table
 
 cte(
@@ -114,3 +115,59 @@ def stream_presence_latch_rows(spark, sf):
     p = fx.pings_of(fx.events_stream(spark, sf))
     s = ST.presence_latch_rows(stream_readings(spark, sf), p)
     return ST.run_available_now(s, "presence_latch_rows")
+
+
+cte(
+    "alive",
+    """SELECT i.id, CASE WHEN u.upd_seq > i.ins_seq THEN u.upd_presence ELSE i.presence END AS presence
+FROM (SELECT id, max(seq) AS ins_seq, arg_max(presence, seq) AS presence FROM changes WHERE op = 'insert' GROUP BY id) i
+LEFT JOIN (SELECT id, max(seq) AS del_seq FROM changes WHERE op = 'delete' GROUP BY id) d ON i.id = d.id
+LEFT JOIN (SELECT id, max(seq) AS upd_seq, arg_max(presence, seq) AS upd_presence
+           FROM changes WHERE op = 'set_presence' GROUP BY id) u ON i.id = u.id
+WHERE d.del_seq IS NULL OR d.del_seq < i.ins_seq""",
+    "changes",
+)
+
+
+@query(
+    "stream_daily",
+    with_(
+        f"""SELECT c.room_id, CAST(c.ts AS DATE) AS ds, {r6('avg(c.co2)', 'co2_mean')}, {r6(avg_exact_sql('c.temperature'), 'temp_mean')},
+       {r6(avg_exact_sql('c.humidity'), 'hum_mean')}, CAST(sum(CAST(a.presence AS INT)) AS BIGINT) AS presence_count, count(c.co2) AS total_count
+FROM clean c JOIN alive a ON a.id = c.id GROUP BY c.room_id, CAST(c.ts AS DATE)""",
+        "clean",
+        "alive",
+    ),
+)
+def stream_daily(spark, sf):
+    """D1 kept up to date from the change feed (inserts, deletes, presence updates) batch by batch."""
+    base = ST.stream_dir(spark, "daily")
+    feed = C.parse_timestamp(fx.change_feed_of(fx.events_stream(spark, sf)))
+    LV.keep_daily(feed, f"{base}/kept", f"{base}/_checkpoint").awaitTermination()
+    return LV.kept_daily(spark, f"{base}/kept")
+
+
+@query(
+    "stream_presence_join",
+    with_(
+        """SELECT c.id, c.room_id, c.ts, coalesce(c.ts >= f.first_on, false) AS presence_latched
+FROM clean c LEFT JOIN first_on f ON f.room_id = c.room_id AND f.blk = date_trunc('hour', c.ts - INTERVAL 2 MINUTE)
+WHERE date_trunc('hour', c.ts - INTERVAL 2 MINUTE) + INTERVAL 62 MINUTE <=
+      least((SELECT max(ts) FROM clean), (SELECT max(ts) FROM pings WHERE contains(line, 'ON') AND minute(ts) <> 2)) - INTERVAL 10 MINUTE""",
+        "clean",
+        "first_on",
+    ),
+)
+def stream_presence_join(spark, sf):
+    """C6 as a join of two streams: the readings of all latch blocks that the watermark has closed."""
+    events = fx.events_stream(spark, sf)
+    s = LV.presence_join(stream_readings(spark, sf).select("id", "room_id", "ts"), fx.pings_of(events))
+    got = ST.run_available_now(s, "presence_join")
+    # a reading with an ON line comes out at once, one without when its block is closed: only closed blocks are whole
+    return closed_blocks(spark, sf, got)
+
+
+def closed_blocks(spark, sf, rows, delay="10 minutes"):
+    on = fx.pings(spark, sf).where(F.col("line").contains("ON") & (F.minute("ts") != 2)).agg(F.max("ts").alias("ts"))
+    seen = cleaned(spark, sf).agg(F.max("ts").alias("ts")).union(on).agg((F.min("ts") - F.expr(f"INTERVAL {delay}")).alias("mark"))
+    return rows.where(JN.reset_block(F.col("ts"), 2) + F.expr("INTERVAL 62 MINUTES") <= seen.select("mark").scalar())

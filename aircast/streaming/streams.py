@@ -66,7 +66,7 @@ def hourly(readings: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, delay: st
 
 
 def presence_blocks(pings: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, reset_minute: int = 2,
-                    delay: str = "10 minutes") -> DataFrame:
+                    delay: str = "10 minutes", window: bool = False) -> DataFrame:
     """Per series and latch block (hourly tumbling window starting at
     minute ``reset_minute``) the first ON line; the block's readings are
     present from that instant on (see ``operators.joins.presence_latch``)."""
@@ -76,7 +76,8 @@ def presence_blocks(pings: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, res
     g = p.groupBy(*keys, F.window("ts", "1 hour", "1 hour", f"{reset_minute} minutes").alias("w")).agg(
         F.min("ts").alias("first_on"), F.count(F.lit(1)).alias("n_on")
     )
-    return g.select(*keys, F.col("w.start").alias("block_start"), "first_on", "n_on")
+    block = F.col("w") if window else F.col("w.start").alias("block_start")  # the window itself, for joins
+    return g.select(*keys, block, "first_on", "n_on")
 
 
 def stream_dir(spark: SparkSession, name: str) -> str:
