@@ -26,11 +26,6 @@ def clip(x: Column, low: Column, high: Column) -> Column:
     return F.when(known, F.least(F.greatest(x, low), high))
 
 
-def round_half_even(x: Column, digits: int = 0) -> Column:
-    """H5: Python's round() on numbers: half to even."""
-    return F.bround(x, digits)
-
-
 def round_ieee(x: Column, digits: int) -> Column:
     """Round half up in binary floating point: floor(x * 10^d + 0.5) / 10^d.
     The result depends only on the double itself, so every engine gives
@@ -39,15 +34,33 @@ def round_ieee(x: Column, digits: int) -> Column:
     return F.floor(x * F.lit(k) + F.lit(0.5)).cast("double") / F.lit(k)
 
 
+def product_error(x: Column, k: float, product: Column) -> Column:
+    """x * k - product, exactly, where ``product`` is x * k rounded (Dekker's splitting of x)."""
+    wide = F.lit(134217729.0) * x  # 2^27 + 1
+    high = wide - (wide - x)
+    return (high * F.lit(k) - product) + (x - high) * F.lit(k)
+
+
 def half_even(x: Column, digits: int = 0) -> Column:
-    """Python's round(x, d): half to even, evaluated on x * 10^d in binary
-    floating point (identical in every IEEE engine)."""
-    k = F.lit(float(10**digits))
-    r = x * k
+    """H5: Python's round(x, d), by the exact value of the double: half to even where x is a tie, else to the
+    nearest.  x * 10^d may round to a tie that x isn't (0.35, 1.15); the product's error tells."""
+    k = float(10**digits)
+    r = x * F.lit(k)
     f = F.floor(r)
     diff = r - f
-    up = (diff > 0.5) | ((diff == 0.5) & (F.abs(f % 2) == 1))
-    return (f + F.when(up, 1).otherwise(0)).cast("double") / k
+    odd = F.abs(f % 2) == 1
+    if digits:
+        e = product_error(x, k, r)
+        tie_up = (e > 0) | ((e == 0) & odd)
+    else:
+        tie_up = odd
+    up = (diff > 0.5) | ((diff == 0.5) & tie_up)
+    # from 2^52 on there is nothing left to round
+    return F.when(F.abs(r) >= float(1 << 52), x).otherwise((f + F.when(up, 1).otherwise(0)).cast("double") / F.lit(k))
+
+
+#: H5 by its other name.
+round_half_even = half_even
 
 
 def py_text(x: Column) -> Column:
@@ -57,7 +70,7 @@ def py_text(x: Column) -> Column:
 
 def int_text(x: Column) -> Column:
     """Text of round(x) as Python prints an int."""
-    return F.bround(x, 0).cast("bigint").cast("string")
+    return half_even(x).cast("bigint").cast("string")
 
 
 def advice(pred_co2: Column, pred_temp: Column, *, co2: float = CO2_LIMIT, low: float = TEMP_LOW, high: float = TEMP_HIGH,

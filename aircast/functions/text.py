@@ -101,21 +101,26 @@ def _valid_date(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", y.cast("string"), m.cast("string"), d.cast("string")), "yyyy-M-d")
 
 
+def _first_valid(p: Column, pattern: str, month: int, day: int, year: Column) -> Column:
+    """The first match of a day-and-month pattern that is a date (all matches are tried in order)."""
+    parts = F.arrays_zip(F.regexp_extract_all(p, F.lit(pattern), F.lit(month)).alias("m"), F.regexp_extract_all(p, F.lit(pattern), F.lit(day)).alias("d"))
+    dates = F.transform(parts, lambda x: _valid_date(year, _month_number(x["m"]), x["d"].try_cast("int")))
+    return F.get(F.filter(dates, lambda d: d.isNotNull()), 0)
+
+
 def forecast_date(prompt: Column, as_of: Column) -> Column:
     """The date a forecast question asks for, NULL if none is named.
-    Patterns in order; the first one giving a valid date wins."""
+    Patterns in order, every match of each; the first valid date wins."""
     p = F.lower(prompt)
     year = F.year(as_of)
-    md = FORECAST_DATE_PATTERNS[0]
-    dm = FORECAST_DATE_PATTERNS[1]
-    cands = [
-        F.when(p.rlike(md), _valid_date(year, _month_number(F.regexp_extract(p, md, 1)), F.regexp_extract(p, md, 2).try_cast("int"))),
-        F.when(p.rlike(dm), _valid_date(year, _month_number(F.regexp_extract(p, dm, 2)), F.regexp_extract(p, dm, 1).try_cast("int"))),
-        F.when(p.rlike(FORECAST_DATE_PATTERNS[2]), F.date_add(as_of, 1)),
-        F.when(p.rlike(FORECAST_DATE_PATTERNS[3]), as_of),
-        F.when(p.rlike(FORECAST_DATE_PATTERNS[4]), F.date_sub(as_of, 1)),
-    ]
-    return F.coalesce(*cands)
+    md, dm, tomorrow, today, yesterday = FORECAST_DATE_PATTERNS
+    return F.coalesce(
+        _first_valid(p, md, 1, 2, year),
+        _first_valid(p, dm, 2, 1, year),
+        F.when(p.rlike(tomorrow), F.date_add(as_of, 1)),
+        F.when(p.rlike(today), as_of),
+        F.when(p.rlike(yesterday), F.date_sub(as_of, 1)),
+    )
 
 
 def route(prompt: Column, as_of: Column, mode: str = "reference") -> Column:

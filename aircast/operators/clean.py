@@ -116,19 +116,28 @@ def last_n_days(df: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, ts: str =
                 partition_col: str | None = None) -> DataFrame:
     """Rows with ts >= max(ts) - days per series (event time, inclusive).
 
-    Rows before the earliest per-series cutoff (min over series of
-    max(ts) - days) are dropped first by a scalar-subquery filter: exact, and
-    it shrinks the join input.  With ``partition_col`` (the store's UTC
-    ``date``) the same bound becomes a runtime partition filter, so the scan
-    lists only the recent partitions."""
+    The readings are read twice: once for each series' last instant (a column-pruned aggregate, one row per
+    series), once for the rows.  The bound is laid out as the series' own days (days + 1 rows per
+    series), so rows meet it on (series, day): a busy series is dealt by its days, and a silent
+    one costs the others nothing.  With ``partition_col`` (the store's UTC ``date``) the earliest
+    bound becomes a runtime partition filter too, so the scan lists only the recent partitions."""
     span = F.expr(f"INTERVAL {days} DAYS")
-    if keys:
-        earliest = df.groupBy(*keys).agg(F.max(ts).alias("_m")).agg(F.min("_m") - span).scalar()
-        df = df.where(F.col(ts) >= earliest)
-        if partition_col:
-            df = df.where(F.col(partition_col) >= F.to_date(earliest.cast("timestamp_ntz")))
-    out = per_key_bound(df, keys, F.max(ts), "_mx")
-    return out.where(F.col(ts) >= F.col("_mx") - span).drop("_mx")
+    if not keys:
+        # one global value: a scalar subquery, planned once
+        return df.where(F.col(ts) >= df.agg(F.max(ts)).scalar() - span)
+    last = df.groupBy(*keys).agg(F.max(ts).alias("_mx"))
+
+    def day(c: Column) -> Column:
+        return F.to_date(c.cast("timestamp_ntz"))
+
+    if partition_col:
+        earliest = last.agg(F.min("_mx") - span).scalar()
+        df = df.where(F.col(partition_col) >= day(earliest))
+    bound = last.where(F.col("_mx").isNotNull()).select(
+        *keys, (F.col("_mx") - span).alias("_from"), F.explode(F.sequence(day(F.col("_mx") - span), day(F.col("_mx")))).alias("_day")
+    )
+    rows = df.withColumn("_day", day(F.col(ts))).join(bound, [*keys, "_day"])
+    return rows.where(F.col(ts) >= F.col("_from")).select(*df.columns)
 
 
 def since_as_of(df: DataFrame, *, as_of: str, day: str = "ds", days: int = 7) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import DEFAULT_KEYS
 from ..functions import calendar as cal
 from .clean import last_n_days
+from .daily import avg_exact
 
 
 def trend_columns(df: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
@@ -27,7 +28,7 @@ def trend_columns(df: DataFrame, holidays: DataFrame | None = None) -> DataFrame
 
 
 def _means(metrics: Sequence[str]):
-    return [F.avg(m).alias(f"{m}_mean") for m in metrics]
+    return [avg_exact(m).alias(f"{m}_mean") for m in metrics]
 
 
 def profile(df: DataFrame, by: str, *, keys: Sequence[str] = DEFAULT_KEYS, metrics=("co2", "temperature")) -> DataFrame:

@@ -8,3 +8,4 @@ from . import prompt_tables  # noqa: F401,E402
 from . import model_tables  # noqa: F401,E402
 from . import stream_tables  # noqa: F401,E402
 from . import served_tables  # noqa: F401,E402
+from . import branch_tables  # noqa: F401,E402

@@ -93,6 +93,20 @@ def joined_table(spark, sf):
     return temp_diff(FE.join_weather(daily_table(spark, sf), weather_of(spark, sf)))
 
 
+def half_even_sql(x: str, digits: int = 0) -> str:
+    """Oracle twin of ``scalar.half_even``."""
+    k = f"CAST({10 ** digits} AS DOUBLE)"
+    x = f"CAST({x} AS DOUBLE)"
+    r = f"({x} * {k})"
+    f = f"floor({r})"
+    odd = f"abs(CAST({f} AS BIGINT) % 2) = 1"
+    if digits:
+        high = f"(134217729.0::DOUBLE * {x} - (134217729.0::DOUBLE * {x} - {x}))"
+        e = f"(({high} * {k} - {r}) + ({x} - {high}) * {k})"
+        odd = f"({e} > 0 OR ({e} = 0 AND {odd}))"
+    return f"(({f} + CASE WHEN {r} - {f} > 0.5 OR ({r} - {f} = 0.5 AND {odd}) THEN 1 ELSE 0 END) / {k})"
+
+
 # --------------------------------------------------------------------- queries
 @query(
     "join_weather",
@@ -233,7 +247,7 @@ def clip(spark, sf):
     "round_half_even",
     with_(
         "SELECT room_id, ds, CAST(round_even(co2_mean, 0) AS BIGINT) AS co2_r, {} FROM daily2".format(
-            r6("round_even(temp_mean, 1)", "temp_r")
+            r6(half_even_sql("temp_mean", 1), "temp_r")
         ),
         "daily2",
     ),

@@ -91,8 +91,9 @@ def write_forecast(runs: DataFrame, path: str, *, keys: Sequence[str] = DEFAULT_
 def history_append(runs: DataFrame, path: str, batch: str) -> None:
     """Append runs to the history, partitioned by (run_id, batch).  A batch
     that is written again replaces only itself (dynamic overwrite); another
-    batch of the same day, say of other rooms, stays.  One file for each run."""
-    rows = runs.withColumn("batch", F.lit(batch)).repartition("run_id")
+    batch of the same day, say of other rooms, stays."""
+    # Spark splits a large run over tasks (and files) and joins small ones
+    rows = runs.withColumn("batch", F.lit(batch)).hint("rebalance", "run_id")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch").parquet(path)
 
 

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..sources import fixtures as fx
 from . import history as H
 from . import prompts as P
-from .daily_tables import weather_of
+from .daily_tables import half_even_sql, weather_of
 from .registry import cte, query, r6, with_
 from .trend_tables import _LINE_SQL, hourly_latest, runs_table
 
@@ -41,12 +41,15 @@ def valid_sql(y: str, m: str, d: str) -> str:
 def fdate_sql(p: str) -> str:
     lp = f"lower({p})"
     md, dm, tm, td, ys = X.FORECAST_DATE_PATTERNS
-    ex = lambda pat, g: f"regexp_extract({lp}, {lit(pat)}, {g})"
+    all_ = lambda pat, g: f"regexp_extract_all({lp}, {lit(pat)}, {g})"
     y = f"CAST(year({D}) AS INT)"
+
+    def first(pat: str, month: int, day: int) -> str:
+        dates = f"list_transform(list_zip({all_(pat, month)}, {all_(pat, day)}), lambda t: {valid_sql(y, month_sql('t[1]'), 'TRY_CAST(t[2] AS INT)')})"
+        return f"list_extract(list_filter({dates}, lambda d: d IS NOT NULL), 1)"
+
     return (
-        "coalesce("
-        f"CASE WHEN regexp_matches({lp}, {lit(md)}) THEN {valid_sql(y, month_sql(ex(md, 1)), f'TRY_CAST({ex(md, 2)} AS INT)')} END, "
-        f"CASE WHEN regexp_matches({lp}, {lit(dm)}) THEN {valid_sql(y, month_sql(ex(dm, 2)), f'TRY_CAST({ex(dm, 1)} AS INT)')} END, "
+        f"coalesce({first(md, 1, 2)}, {first(dm, 2, 1)}, "
         f"CASE WHEN regexp_matches({lp}, {lit(tm)}) THEN CAST({D} + 1 AS DATE) END, "
         f"CASE WHEN regexp_matches({lp}, {lit(td)}) THEN {D} END, "
         f"CASE WHEN regexp_matches({lp}, {lit(ys)}) THEN CAST({D} - 1 AS DATE) END)"
@@ -89,13 +92,6 @@ def absdate_sql(p: str) -> tuple[str, str]:
     return d, matched
 
 
-def half_even_sql(x: str, digits: int = 0) -> str:
-    k = f"{float(10 ** digits)}"
-    r = f"(({x}) * {k})"
-    f = f"floor({r})"
-    return f"(({f} + CASE WHEN {r} - {f} > 0.5 OR ({r} - {f} = 0.5 AND abs(CAST({f} AS BIGINT) % 2) = 1) THEN 1 ELSE 0 END) / {k})"
-
-
 def pytext_sql(x: str) -> str:
     return f"coalesce(CAST({x} AS VARCHAR), 'None')"
 

@@ -50,10 +50,10 @@ def stream_raw(spark, sf):
     return C.parse_timestamp(fx.measurements_of(fx.events_stream(spark, sf)))
 
 
-@query("stream_new_readings", with_("SELECT id, room_id, ts, CAST(co2 AS BIGINT) AS co2 FROM clean", "clean"))
+@query("stream_new_readings", with_("SELECT id, room_id, ts, CAST(co2 AS BIGINT) AS co2 FROM parsed", "parsed"))
 def stream_new_readings(spark, sf):
-    """J1 (stream) == batch dedup."""
-    s = ST.new_readings(stream_readings(spark, sf)).select("id", "room_id", "ts", "co2")
+    """J1 (stream) on the raw feed == batch dedup."""
+    s = ST.new_readings(stream_raw(spark, sf)).select("id", "room_id", "ts", "co2")
     return ST.run_available_now(s, "new_readings")
 
 
@@ -84,15 +84,34 @@ def stream_forecast_warnings(spark, sf):
     return ST.run_available_now(s, "forecast_warnings")
 
 
-@query("stream_hourly")
+@query(
+    "stream_hourly",
+    with_(
+        f"""SELECT room_id, date_trunc('hour', ts) AS window_start, CAST(last(co2 ORDER BY ts, id) AS BIGINT) AS latest_co2,
+       max_by(id, (ts, id)) AS latest_id, {r6('avg(co2)', 'co2_mean')}, count(*) AS n
+FROM parsed WHERE ts IS NOT NULL AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM parsed) - INTERVAL 10 MINUTE
+GROUP BY room_id, date_trunc('hour', ts)""",
+        "parsed",
+    ),
+)
 def stream_hourly(spark, sf):
-    """J4 (append mode: the still-open last window per series is not emitted)."""
-    return ST.run_available_now(ST.hourly(stream_readings(spark, sf)), "hourly")
+    """J4 on the raw feed (append mode: the windows that the watermark has closed)."""
+    return ST.run_available_now(ST.hourly(stream_raw(spark, sf)), "hourly")
 
 
-@query("stream_presence_latch")
+@query(
+    "stream_presence_latch",
+    with_(
+        """SELECT room_id, date_trunc('hour', ts - INTERVAL 2 MINUTE) + INTERVAL 2 MINUTE AS block_start, min(ts) AS first_on, count(*) AS n_on
+FROM pings WHERE contains(line, 'ON') AND minute(ts) <> 2
+  AND date_trunc('hour', ts - INTERVAL 2 MINUTE) + INTERVAL 62 MINUTE <=
+      (SELECT max(ts) FROM pings WHERE contains(line, 'ON') AND minute(ts) <> 2) - INTERVAL 10 MINUTE
+GROUP BY room_id, date_trunc('hour', ts - INTERVAL 2 MINUTE)""",
+        "pings",
+    ),
+)
 def stream_presence_latch(spark, sf):
-    """First ON line per latch block, live."""
+    """First ON line per latch block, live (the blocks that the watermark has closed)."""
     p = fx.pings_of(fx.events_stream(spark, sf))
     return ST.run_available_now(ST.presence_blocks(p), "presence_blocks")
 

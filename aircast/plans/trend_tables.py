@@ -98,7 +98,7 @@ def hourly_latest(spark, sf):
 # ----------------------------------------------------------------- trends
 def _prof_sql(by: str) -> str:
     return with_(
-        f"SELECT room_id, {by}, {r6('avg(co2)', 'co2_mean')}, {r6('avg(temperature)', 'temperature_mean')} "
+        f"SELECT room_id, {by}, {r6('avg(co2)', 'co2_mean')}, {r6(avg_exact_sql('temperature'), 'temperature_mean')} "
         f"FROM trendrows GROUP BY room_id, {by}",
         "trendrows",
     )
@@ -127,7 +127,7 @@ def holiday_profile(spark, sf):
     with_(
         f"""SELECT k.room_id, k.season, {r6('a.co2_mean', 'co2_mean')}, {r6('a.temperature_mean', 'temperature_mean')}
 FROM (SELECT DISTINCT room_id, unnest({SEASON_LIST}) AS season FROM trendrows) k
-LEFT JOIN (SELECT room_id, season, avg(co2) AS co2_mean, avg(temperature) AS temperature_mean
+LEFT JOIN (SELECT room_id, season, avg(co2) AS co2_mean, {avg_exact_sql('temperature')} AS temperature_mean
            FROM trendrows GROUP BY room_id, season) a ON k.room_id = a.room_id AND k.season = a.season""",
         "trendrows",
     ),
@@ -141,7 +141,7 @@ def season_profile(spark, sf):
     "trend_slices",
     with_(
         f"""SELECT room_id, CAST(hour AS BIGINT) AS hour, is_weekend, is_holiday, season,
-       {r6('avg(co2)', 'co2_mean')}, {r6('avg(temperature)', 'temperature_mean')},
+       {r6('avg(co2)', 'co2_mean')}, {r6(avg_exact_sql('temperature'), 'temperature_mean')},
        CASE WHEN grouping(hour) = 0 THEN 'hour' WHEN grouping(is_weekend) = 0 THEN 'weekend'
             WHEN grouping(is_holiday) = 0 THEN 'holiday' ELSE 'season' END AS slice
 FROM trendrows
@@ -416,7 +416,7 @@ def join_forecast_parts(spark, sf):
 
 cte(
     "actual_daily",
-    f"SELECT room_id, CAST(local_ts AS DATE) AS day, avg(co2) AS actual_co2, {'(CAST(sum(CAST(temperature AS DECIMAL(18,2))) AS DOUBLE) / count(temperature))'} AS actual_temp FROM clean GROUP BY room_id, CAST(local_ts AS DATE)",
+    f"SELECT room_id, CAST(local_ts AS DATE) AS day, avg(co2) AS actual_co2, {avg_exact_sql('temperature')} AS actual_temp FROM clean GROUP BY room_id, CAST(local_ts AS DATE)",
     "clean",
 )
 

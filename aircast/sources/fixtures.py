@@ -83,11 +83,34 @@ def measurements_of(ev: DataFrame) -> DataFrame:
     )
 
 
-def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: What becomes of the varied rooms' time (room_id modulo 6 -> days that their month is squeezed to, days that it is put off).
+VARIED = {0: (6, 0), 1: (7, 0), 2: (13, 0), 3: (20, 0), 4: (30, 35), 5: (30, 65)}
+VARIED_WEATHER_DAYS = 110
+_FIRST_US = 1_704_067_200_000_000  # 2024-01-01
+
+
+def varied_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of all rooms with their time squeezed or put off by room, and the stamps of every 50th one written with an offset."""
+    ev = _read(spark, sf_dir, "events")
+    room = F.pmod("user_id", F.lit(len(VARIED)))
+    moved = F.lit(None).cast("bigint")
+    for k, (days, off) in VARIED.items():
+        squeezed = F.expr(f"(unix_micros(CAST(ts AS TIMESTAMP)) - {_FIRST_US}) * {days} DIV 30")
+        moved = F.when(room == k, squeezed + off * 86_400_000_000).otherwise(moved)
+    return _with_offsets(measurements_of(ev.withColumn("ts", F.timestamp_micros(moved + _FIRST_US).cast("timestamp_ntz"))))
+
+
+def _with_offsets(m: DataFrame) -> DataFrame:
+    ts = F.try_to_timestamp("ts_raw").cast("timestamp_ntz")
+    later = F.concat(F.date_format(ts + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd HH:mm:ss"), F.lit("+02:00"))
+    return m.withColumn("ts_raw", F.when((F.col("id") % 50 == 17) & ts.isNotNull(), later).otherwise(F.col("ts_raw")))
+
+
+def weather(spark: SparkSession, sf_dir: str, days: int = WEATHER_DAYS) -> DataFrame:
     """Daily weather from 2024-01-01 (30 observed days, 10 ahead), summed from all
     orders: each order reports for one of the days."""
     o = _read(spark, sf_dir, "orders")
-    day = F.pmod(F.col("o_orderkey"), F.lit(WEATHER_DAYS)).cast("int")
+    day = F.pmod(F.col("o_orderkey"), F.lit(days)).cast("int")
     q = o.groupBy(day.alias("day")).agg(F.sum(F.floor("o_totalprice").cast("bigint")).alias("p"))
     p = F.col("p")
     return q.select(
@@ -224,3 +247,21 @@ SELECT conv_id * 1000 + turn + 500, conv_id, text FROM conversations WHERE role
     % _PROMPT_VALUES,
     "turns": "SELECT conv_id, turn, role, text FROM conversations",
 }
+
+
+_MOVED = "CASE user_id % 6 " + " ".join(
+    f"WHEN {k} THEN make_timestamp({_FIRST_US} + (epoch_us(ts) - {_FIRST_US}) * {days} // 30 + {off * 86_400_000_000})" for k, (days, off) in VARIED.items()
+) + " END"
+_VARIED_MEASUREMENTS = f"""
+SELECT id, room_id, CASE WHEN id % 50 = 17 AND try_cast(ts_raw AS TIMESTAMP) IS NOT NULL
+                         THEN strftime(CAST(ts_raw AS TIMESTAMP) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') || '+02:00' ELSE ts_raw END AS ts_raw,
+       co2, temperature, humidity, presence
+FROM ({FIXTURE_SQL["measurements"].replace("FROM events", f"FROM (SELECT * REPLACE ({_MOVED} AS ts) FROM events) e")}) m"""
+
+
+def varied_sql(sql: str) -> str:
+    """An oracle's text with the varied rooms' readings and the longer weather, and stamps with an offset read as such."""
+    sql = sql.replace(FIXTURE_SQL["measurements"].strip(), _VARIED_MEASUREMENTS.strip()).replace(FIXTURE_SQL["measurements"], _VARIED_MEASUREMENTS)
+    sql = sql.replace("o_orderkey % 40", f"o_orderkey % {VARIED_WEATHER_DAYS}")
+    stamp = "try_cast(regexp_replace(ts_raw, '[+-][0-9]{2}:[0-9]{2}$', '') AS TIMESTAMP)"
+    return sql.replace("try_cast(ts_raw AS TIMESTAMP) AS ts", f"CASE WHEN ts_raw LIKE '%+02:00' THEN {stamp} - INTERVAL 2 HOUR ELSE try_cast(ts_raw AS TIMESTAMP) END AS ts")

@@ -79,25 +79,47 @@ def add_column_default(old: DataFrame, new: DataFrame, *, column: str = "presenc
 CORRUPT = "_corrupt_record"
 
 
+#: The texts that count as booleans.
+TRUE_TEXTS, FALSE_TEXTS = ("1", "true", "t", "yes", "y", "on"), ("0", "false", "f", "no", "n", "off")
+
+
+def typed(text, kind: str):
+    """A field's text as its type, or NULL: numbers may come as text, integers as whole floats."""
+    t = F.trim(text)
+    if kind == "string":
+        return text
+    if kind == "boolean":
+        low = F.lower(t)
+        return F.when(low.isin(*TRUE_TEXTS), True).when(low.isin(*FALSE_TEXTS), False)
+    if kind == "int":
+        x = t.try_cast("double")
+        return F.when(x == F.floor(x), x.try_cast("int"))
+    return t.try_cast(kind)
+
+
 def validate_payload(raw: DataFrame, *, text: str = "payload", schema=schemas.PAYLOAD) -> DataFrame:
     """A5: parse JSON payloads with the fixed schema; every field required.
 
     Returns all rows with ``status`` ``ok`` / ``quarantine`` and a
-    ``reason`` (malformed JSON or the first missing field)."""
+    ``reason``: malformed JSON, the first missing field, or the first field of the wrong type
+    (a number as text, such as "612", is of the right one)."""
     from pyspark.sql import types as T
 
-    full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(CORRUPT, T.StringType())])
     p = raw.withColumn(
         "_p",
-        F.from_json(F.col(text), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}),
+        F.from_json(F.col(text), texts, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}),
     )
+    values = {f.name: typed(F.col(f"_p.{f.name}"), f.dataType.simpleString()) for f in schema.fields}
     reason = F.when(F.col(f"_p.{CORRUPT}").isNotNull() | F.col("_p").isNull(), F.lit("malformed"))
     for f in schema.fields:
         reason = reason.when(F.col(f"_p.{f.name}").isNull(), F.lit(f"missing {f.name}"))
+    for f in schema.fields:
+        reason = reason.when(values[f.name].isNull(), F.lit(f"invalid {f.name}"))
     p = p.withColumn("reason", reason)
     return p.select(
         *[c for c in raw.columns if c != text],
-        *[F.col(f"_p.{f.name}").alias(f.name) for f in schema.fields],
+        *[v.alias(name) for name, v in values.items()],
         F.when(F.col("reason").isNull(), "ok").otherwise("quarantine").alias("status"),
         "reason",
     )

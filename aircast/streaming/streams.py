@@ -18,19 +18,18 @@ from ..session import ensure_checkpoint_dir
 
 def new_readings(readings: DataFrame, *, delay: str = "10 minutes", id_col: str = "id") -> DataFrame:
     """Each id handled once.  The watermark bounds the dedup state (the
-    reference's seen-id set grows for ever)."""
-    r = readings.where(F.col("ts").isNotNull())
+    reference's seen-id set grows for ever).  Readings without a readable time can't be placed against a
+    watermark; each of them passes."""
+    timed, rest = readings.where(F.col("ts").isNotNull()), readings.where(F.col("ts").isNull())
     if readings.isStreaming:
-        return r.withWatermark("ts", delay).dropDuplicatesWithinWatermark([id_col])
-    return r.dropDuplicates([id_col])
+        return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark([id_col]).unionByName(rest)
+    return timed.dropDuplicates([id_col]).unionByName(rest)
 
 
 def co2_alerts(readings: DataFrame, *, threshold: int = 900, delay: str = "10 minutes") -> DataFrame:
     """An alert row for every new reading at or over the threshold
-    (the poll of the source only saw the newest id and missed the rest).  Readings
-    without a readable time can't be told apart by a watermark; each of them alerts."""
-    high = readings.where(F.col("co2") >= threshold)
-    r = new_readings(high, delay=delay).unionByName(high.where(F.col("ts").isNull()))
+    (the poll of the source only saw the newest id and missed the rest)."""
+    r = new_readings(readings.where(F.col("co2") >= threshold), delay=delay)
     return r.select("id", "room_id", "ts", S.alert_text(F.col("co2")).alias("alert"))
 
 

@@ -108,3 +108,54 @@ def test_unreadable_mark_stops_the_ingestion(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2025-01-02T10:00:00", 600, 20.0, 40.0, True, 1)], "room_id bigint, timestamp string, co2 int, temperature double, humidity double, presence boolean, seq int")
     with pytest.raises(Exception):
         ST.ingest_batch(rows, 3, str(store), str(tmp_path / "q"))
+
+
+def test_rounding_is_pythons(spark):
+    values = [0.35, 1.15, 0.25, 0.75, 2.675, 21.05, 21.15, 21.25, -0.35, -1.15, -0.25, 1e15 + 0.5, 0.05, 19.949999999999999, 123.45, 0.0, 5.55, 1005.5, 1006.5]
+    import random
+
+    r = random.Random(1)
+    values += [round(r.uniform(-50, 50), 2) for _ in range(3000)] + [r.uniform(0, 3000) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 2):
+        got = [x[0] for x in rows.select(S.half_even(F.col("x"), digits)).collect()]
+        assert got == [round(v, digits) + 0.0 for v in values]
+    assert S.round_half_even is S.half_even
+    assert one(spark, S.half_even(F.lit(None).cast("double"), 1))[0] is None
+
+
+def test_payload_numbers_may_be_text(spark):
+    from aircast.sources import store
+
+    body = '{{"timestamp": "2025-01-01", "co2": {}, "temperature": {}, "humidity": 40, "presence": {}}}'
+    cases = {
+        ("612", "21.5", "true"): ("ok", None), ('"612"', '"21.5"', '"yes"'): ("ok", None), ("612.0", "21", "1"): ("ok", None), ('" 612 "', "2e1", '"off"'): ("ok", None),
+        ("612.5", "21.5", "true"): ("quarantine", "invalid co2"), ('"many"', "21.5", "true"): ("quarantine", "invalid co2"), ("612", '"warm"', "true"): ("quarantine", "invalid temperature"),
+        ("612", "21.5", "2"): ("quarantine", "invalid presence"), ("null", '"warm"', "true"): ("quarantine", "missing co2"), ("[1]", "1", "true"): ("quarantine", "invalid co2"),
+    }
+    raw = spark.createDataFrame([(i, body.format(*c)) for i, c in enumerate(cases)] + [(99, "[]"), (98, "no json"), (97, None)], "id int, payload string")
+    got = {r.id: r for r in store.validate_payload(raw).collect()}
+    for i, want in enumerate(cases.values()):
+        assert (got[i].status, got[i].reason) == want, i
+    assert [got[i].co2 for i in range(4)] == [612] * 4 and [got[i].presence for i in range(4)] == [True, True, True, False]
+    assert got[1].temperature == 21.5 and all(got[i].status == "quarantine" for i in (97, 98, 99))
+
+
+def test_every_named_day_is_tried(spark):
+    from aircast.functions import text as X
+
+    prompts = ["forecast for feb 31 or mar 2", "forecast 31 feb, 5 mar and 6 mar", "on may 99 or tomorrow", "jun 31", "feb 31 and 5 mar"]
+    rows = spark.createDataFrame([(p,) for p in prompts], "p string")
+    got = [r[0] for r in rows.select(X.forecast_date(F.col("p"), F.lit("2025-01-30").cast("date"))).collect()]
+    assert got == [dt.date(2025, 3, 2), dt.date(2025, 3, 5), dt.date(2025, 1, 31), None, dt.date(2025, 3, 5)]
+
+
+def test_last_days_by_series(spark):
+    t0 = dt.datetime(2025, 1, 20, 12)
+    rows = [(1, t0), (1, t0 - dt.timedelta(days=7)), (1, t0 - dt.timedelta(days=7, microseconds=1)), (2, t0 - dt.timedelta(days=300)), (2, t0 - dt.timedelta(days=304)), (3, None), (None, t0)]
+    df = spark.createDataFrame(rows, "room_id int, ts timestamp").withColumn("_day", F.lit("mine"))
+    got = sorted((r.room_id or 0, r.ts) for r in C.last_n_days(df.drop("_day")).collect())
+    assert got == [(1, t0 - dt.timedelta(days=7)), (1, t0), (2, t0 - dt.timedelta(days=304)), (2, t0 - dt.timedelta(days=300))]
+    assert C.last_n_days(df.drop("_day", "room_id"), keys=[]).count() == 3
+    plan = C.last_n_days(df.drop("_day"))._jdf.queryExecution().analyzed().toString()
+    assert "_day" in plan and "Window" not in plan
