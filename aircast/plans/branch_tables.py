@@ -12,6 +12,7 @@ from ..session import materialize
 from ..sources import fixtures as fx
 from . import features as FE
 from . import models as M
+from .daily_tables import feature_table
 from .registry import ORACLE, query
 
 
@@ -72,6 +73,22 @@ def regressor_gate(spark, sf):
     return M.regressor_gate(varied_features(spark, sf)).select("room_id", "span_days", "n_regressors", "weekly", "n_changepoints", "warn_small")
 
 
+#: Days of a block in the queries below: short, so that the month has borders.
+BLOCK_DAYS = 8
+
+
+@query("feature_matrix_blocks", ORACLE["feature_matrix"])
+def feature_matrix_blocks(spark, sf):
+    """K1 (E1-E4) by blocks of days with a carry table: no window over a whole series."""
+    return feature_table(spark, sf, block_days=BLOCK_DAYS)
+
+
+@query("expanding_slices_blocks", ORACLE["expanding_slices"])
+def expanding_slices_blocks(spark, sf):
+    """E11 by blocks of days."""
+    return M.expanding_slices(feature_table(spark, sf), block_days=BLOCK_DAYS)
+
+
 @query("small_data_eval_varied")
 def small_data_eval(spark, sf):
     """K19 where the span is short enough to need it."""

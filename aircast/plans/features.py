@@ -30,15 +30,20 @@ def join_weather(daily: DataFrame, weather: DataFrame) -> DataFrame:
 
 def features(daily: DataFrame, weather: DataFrame, holidays: DataFrame | None = None, *,
              keys: Sequence[str] = DEFAULT_KEYS, rise: float = 100, backfill: bool = True,
-             sleep_ratio: bool = False) -> DataFrame:
+             sleep_ratio: bool = False, block_days: int | None = None) -> DataFrame:
     """K1: C1, B14, E1-E4, H1-H3 and B8 in one plan over one (keys, ds)
     window spec.  Loses exactly the first day of each series (its
-    co2_diff1 is unknown); with ``backfill=False`` (old variant) two."""
+    co2_diff1 is unknown); with ``backfill=False`` (old variant) two.  ``block_days``: no window over a
+    whole series, but over blocks of so many days (``windows.neighbours``)."""
     df = temp_diff(join_weather(daily, weather))
-    df = W.lag_features(df, keys=keys)
+    df = W.lag_features(df, keys=keys, block_days=block_days)
+    if block_days:
+        # before the gaps are filled, the first lag is the day before
+        df = df.withColumn("co2_diff1", F.col("co2_mean") - F.col("co2_lag1"))
     if backfill:
-        df = W.backfill(df, cols=LAG_COLS, keys=keys)
-    df = W.co2_diff(df, keys=keys)
+        df = W.backfill(df, cols=LAG_COLS, keys=keys, block_days=block_days)
+    if not block_days:
+        df = W.co2_diff(df, keys=keys)
     df = W.rapid_rise(df, threshold=rise)
     df = cal.calendar_flags(df)
     df = cal.with_holiday(df, holidays)  # default: holiday flag as an expression of ds

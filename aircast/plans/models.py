@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import DEFAULT_KEYS
 from ..keys import kjoin
+from ..operators.windows import neighbours
 from . import gram as G
 from .series import each_series
 
@@ -420,12 +421,15 @@ def cutoffs(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, horizon: in
     return rows.join(c, [*keys, "cutoff"]).select(*keys, "cutoff", "ds")
 
 
-def expanding_slices(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, start: float = 0.6) -> DataFrame:
+def expanding_slices(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, start: float = 0.6, block_days: int | None = None) -> DataFrame:
     """For i from int(start n): train rows <= day i, test day i+1
-    (``lead``, no self join)."""
-    w = Window.partitionBy(*keys).orderBy("ds")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    d = feats.select(*keys, "ds", F.row_number().over(w).alias("rn"), n.alias("n_rows"), F.lead("ds").over(w).alias("test_ds"))
+    (``lead``, no self join).  ``block_days``: without a window over a whole series."""
+    if block_days:
+        d = neighbours(feats.select(*keys, "ds"), keys=keys, number="rn", count="n_rows", leads={"test_ds": "ds"}, block_days=block_days)
+    else:
+        w = Window.partitionBy(*keys).orderBy("ds")
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        d = feats.select(*keys, "ds", F.row_number().over(w).alias("rn"), n.alias("n_rows"), F.lead("ds").over(w).alias("test_ds"))
     i0 = F.floor(F.col("n_rows") * start)
     return d.where((F.col("rn") >= i0 + 1) & F.col("test_ds").isNotNull()).select(
         *keys, F.col("ds").alias("cutoff"), "test_ds", F.col("rn").alias("n_train")
