@@ -390,6 +390,42 @@ def model_aic(rows: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, k: int = 1
                     (F.col("n") * F.log(F.col("rss") / F.col("n")) + 2 * k).alias("aic"))
 
 
+def temp_optimality(feats: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, lam: float = 1.0) -> DataFrame:
+    """(keys, term, gradient): K4's normal equations, from the rows: what is left of z'(y - fit) - lam c for each
+    term in use, relative to the size of its sums.  Zero where the fit is optimal (for the hinges the
+    L1 weight decides, see the tests)."""
+    keys = list(keys)
+    m = models.select(*keys, "first_ds", "span_days", "bends", "beta", "delta")
+    d = kjoin(weekly_fourier(feats), m, keys)
+    t = F.date_diff(F.col("ds"), F.col("first_ds")).cast("double")
+    d = d.withColumn("x", temp_vector(t))
+    d = d.withColumn("r", F.col("temp_mean") - temp_value(F.col("x"), t))
+    flags = [F.struct(F.lit(n).alias("term"), F.lit(s).alias("std"), F.lit(p).alias("pen")) for n, s, p in zip(TEMP_TERMS, TEMP_STD, TEMP_PEN)]
+    rows = d.select(*keys, "r", F.inline(F.arrays_zip(F.array(*flags).alias("f"), F.col("x"), F.col("beta"))))
+    g = rows.groupBy(*keys, "f").agg(
+        F.count(F.lit(1)).alias("n"), F.first("beta").alias("b"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
+        F.sum("r").alias("sr"), F.sum(F.col("x") * F.col("r")).alias("sxr"), F.sum(F.abs(F.col("x") * F.col("r"))).alias("size"),
+    )
+    mean = F.when(F.col("f.std"), F.col("sx") / F.col("n")).otherwise(F.lit(0.0))
+    wide = F.when(F.col("f.std"), F.sqrt(F.greatest(F.col("sxx") / F.col("n") - mean * mean, F.lit(0.0)))).otherwise(F.lit(1.0))
+    left = (F.col("sxr") - mean * F.col("sr")) / wide - F.when(F.col("f.pen"), lam * F.col("b") * wide).otherwise(F.lit(0.0))
+    used = g.where((F.col("b") != 0) & (wide > 0))
+    return used.select(*keys, "f.term", (left / (1 + F.col("size") / wide)).alias("gradient"))
+
+
+def co2_optimality(rows: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, lam: float = 1e-6,
+                   exog: Sequence[str] = tuple(CO2_EXOG)) -> DataFrame:
+    """(keys, term, gradient): the same for the passes A (x on y) and C (u's lags, t, e-1 on u) of K6."""
+    keys = list(keys)
+    j = kjoin(rows, models.select(*keys, "beta", "phi1", "phi2", "delta", "theta"), keys)
+    a = [F.struct(F.lit(c).alias("term"), F.col("x")[i].alias("v"), F.col("u").alias("r"), F.col("beta")[i].alias("b")) for i, c in enumerate(exog, 1)]
+    own = (("ar.L1", "u1", "phi1"), ("ar.L2", "u2", "phi2"), ("drift", "t", "delta"), ("ma.L1", "e1", "theta"))
+    c = [F.when(F.col("e1").isNotNull(), F.struct(F.lit(n).alias("term"), F.col(v).alias("v"), F.col("eps").alias("r"), F.col(b).alias("b"))) for n, v, b in own]
+    x = j.select(*keys, F.inline(F.filter(F.array(*a, *c), lambda s: s.isNotNull())))
+    g = x.groupBy(*keys, "term").agg(F.first("b").alias("b"), F.sum(F.col("v") * F.col("r")).alias("s"), F.sum(F.abs(F.col("v") * F.col("r"))).alias("size"))
+    return g.where("b != 0").select(*keys, "term", ((F.col("s") - lam * F.col("b")) / (1 + F.col("size"))).alias("gradient"))
+
+
 # ------------------------------------------------------- evaluation plans
 def split_80_20(df: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, frac: float = 0.2) -> DataFrame:
     """The last max(int(frac n), 1) rows of each series are test."""

@@ -22,7 +22,7 @@ from .daily_tables import feature_table, weather_of
 from .model_tables import shared_features
 from .prompt_tables import prompts_of
 from .readings import AS_OF, cleaned, daily_table
-from .registry import query
+from .registry import query, r6, with_
 
 
 def model_runs_of(spark, sf):
@@ -154,3 +154,71 @@ def interval_coverage(spark, sf):
     r = j.select("room_id", F.inline(rows)).where("y IS NOT NULL AND lower IS NOT NULL")
     inside = F.col("y").between(F.col("lower"), F.col("upper"))
     return r.groupBy("room_id", "model").agg(F.count(F.lit(1)).alias("n"), F.sum(inside.cast("bigint")).alias("n_inside"))
+
+
+_ALL_OPTIMAL = with_("SELECT room_id, TRUE AS optimal FROM feats GROUP BY room_id", "feats")
+
+
+def _optimal(gradients):
+    return gradients.groupBy("room_id").agg(F.max(F.abs("gradient")).alias("g")).select("room_id", (F.col("g") < 1e-7).alias("optimal"))
+
+
+@query("temp_model_optimal", _ALL_OPTIMAL)
+def temp_model_optimal(spark, sf):
+    """K4: whether the fit of each room fulfils its normal equations, checked on the rows."""
+    f = shared_features(spark, sf)
+    return _optimal(M.temp_optimality(f, materialize(M.fit_temp(f))))
+
+
+@query("co2_model_optimal", _ALL_OPTIMAL)
+def co2_model_optimal(spark, sf):
+    """K6: the same for the first and the last pass."""
+    f = shared_features(spark, sf)
+    m, rows = M.fit_co2(f)
+    return _optimal(M.co2_optimality(rows, m))
+
+
+_OLS_WALK = """SELECT room_id, ds AS cutoff, lead(ds) OVER w AS ds, lead(temp_mean) OVER w AS y,
+       regr_intercept(temp_mean, outside_temp_max) OVER u + regr_slope(temp_mean, outside_temp_max) OVER u * lead(outside_temp_max) OVER w AS yhat,
+       row_number() OVER w AS rn, count(*) OVER (PARTITION BY room_id) AS n_rows, regr_count(temp_mean, outside_temp_max) OVER u AS n_fit
+FROM feats WINDOW w AS (PARTITION BY room_id ORDER BY ds), u AS (PARTITION BY room_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def ols_walk(spark, sf):
+    """The one-regressor walk-forward as a table of (room_id, cutoff, ds, y, yhat)."""
+    w = M.walk_forward_ols(feature_table(spark, sf))
+    return w.select("room_id", F.date_sub("test_ds", 1).alias("cutoff"), F.col("test_ds").alias("ds"), F.col("actual").alias("y"), F.col("pred").alias("yhat"))
+
+
+@query(
+    "cv_vs_persistence_ols",
+    with_(
+        f"""SELECT room_id, {r6('mae', 'mae')}, {r6('rmse', 'rmse')}, n_cutoffs, {r6('persistence_mae', 'persistence_mae')},
+       mae > persistence_mae * 1.5 AS worse_than_persistence
+FROM (SELECT room_id, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) * (y - yhat))) AS rmse, count(DISTINCT ds - 1) AS n_cutoffs, avg(pd) AS persistence_mae
+      FROM (SELECT *, abs(y - lag(y) OVER (PARTITION BY room_id ORDER BY ds)) AS pd FROM ({_OLS_WALK}) a
+            WHERE rn >= floor(n_rows * 0.6) + 1 AND ds IS NOT NULL AND n_fit >= 3) b GROUP BY room_id) c""",
+        "feats",
+    ),
+)
+def cv_vs_persistence_ols(spark, sf):
+    """K13 on a CV table that SQL can make: the one-regressor walk-forward against persistence."""
+    return M.cv_metrics(ols_walk(spark, sf))
+
+
+@query(
+    "model_aic_ols",
+    with_(
+        f"""SELECT room_id, 'ols' AS model, n, {r6('rss', 'rss')}, {r6('n * ln(rss / n) + 6', 'aic')}
+FROM (SELECT f.room_id, count(*) AS n, sum((f.temp_mean - (m.a + m.b * f.outside_temp_max)) * (f.temp_mean - (m.a + m.b * f.outside_temp_max))) AS rss
+      FROM feats f JOIN (SELECT room_id, regr_intercept(temp_mean, outside_temp_max) AS a, regr_slope(temp_mean, outside_temp_max) AS b FROM feats GROUP BY room_id) m
+        ON m.room_id = f.room_id GROUP BY f.room_id) r""",
+        "feats",
+    ),
+)
+def model_aic_ols(spark, sf):
+    """K8 on the residuals of the one-regressor model."""
+    f = feature_table(spark, sf)
+    j = f.join(M.temp_trend_ols(f), "room_id")
+    rows = j.select("room_id", F.col("temp_mean").alias("y"), (F.col("intercept") + F.col("slope") * F.col("outside_temp_max")).alias("yhat"))
+    return M.model_aic(rows, k=3, model="ols")

@@ -13,6 +13,7 @@ from ..operators import order as O
 from ..sources import fixtures as fx
 from ..streaming import live as LV
 from ..streaming import streams as ST
+from . import history as H
 from .daily_tables import alert_sql, warning_sql
 from .readings import cleaned
 from .registry import avg_exact_sql, cte, query, r6, with_
@@ -190,3 +191,21 @@ def closed_blocks(spark, sf, rows, delay="10 minutes"):
     on = fx.pings(spark, sf).where(F.col("line").contains("ON") & (F.minute("ts") != 2)).agg(F.max("ts").alias("ts"))
     seen = cleaned(spark, sf).agg(F.max("ts").alias("ts")).union(on).agg((F.min("ts") - F.expr(f"INTERVAL {delay}")).alias("mark"))
     return rows.where(JN.reset_block(F.col("ts"), 2) + F.expr("INTERVAL 62 MINUTES") <= seen.select("mark").scalar())
+
+
+@query(
+    "stream_live_warnings",
+    with_(
+        f"""SELECT DISTINCT c.room_id, CAST(c.local_ts AS DATE) AS day, l.run_id, {warning_sql('l.pred_co2', 'l.pred_temp')} AS warning
+FROM clean c JOIN latest_per_day l ON l.room_id = c.room_id AND l.ds = CAST(c.local_ts AS DATE)
+WHERE {warning_sql('l.pred_co2', 'l.pred_temp')} IS NOT NULL""",
+        "clean",
+        "latest_per_day",
+    ),
+)
+def stream_live_warnings(spark, sf):
+    """J3 against the run history as it is read anew in every micro-batch."""
+    base = ST.stream_dir(spark, "live-warnings")
+    H.history_append(runs_table(spark, sf), f"{base}/history", "weekly")
+    LV.live_warnings(stream_readings(spark, sf), f"{base}/history", f"{base}/out", f"{base}/_checkpoint").awaitTermination()
+    return spark.read.schema("room_id bigint, day date, run_id date, warning string").parquet(f"{base}/out/batch_id=*")
