@@ -103,11 +103,11 @@ def years_of(df: DataFrame, *, day: str = "ds") -> DataFrame:
 def with_holiday(df: DataFrame, holidays: DataFrame | None = None, *, day: str = "ds", out: str = "is_holiday") -> DataFrame:
     """Holiday flag.  Without a table: the pure expression ``is_holiday``
     (the default; no join).  With a caller's holiday table (e.g. another
-    country): a broadcast left join -- the table is tiny, distinct per day."""
+    country): a left join with its distinct days, which Spark broadcasts where their measured size allows."""
     if holidays is None:
         return df.withColumn(out, is_holiday(F.col(day)))
     h = holidays.groupBy(F.col("ds").alias("_hd")).agg(F.lit(True).alias(out))
-    return df.join(F.broadcast(h), F.col(day) == F.col("_hd"), "left").drop("_hd").withColumn(
+    return df.join(h, F.col(day) == F.col("_hd"), "left").drop("_hd").withColumn(
         out, F.coalesce(F.col(out), F.lit(False))
     )
 

@@ -69,12 +69,12 @@ def _collect_future(rows: DataFrame, keys, fields: list[Column]) -> DataFrame:
 def temp_fold(fut: Column, lag1: Column, lag2: Column, base, b1: Column, b2: Column, low, high) -> Column:
     """yhat(h) = clip(base(r) + b1*lag1 + b2*lag2, low(r), high(r)); the
     clipped value becomes lag1 of the next step."""
-    out_t = "array<struct<h:int,ds:date,pred_temp:double,low:double>>"
+    out_t = "array<struct<h:int,ds:date,pred_temp:double,low:double,temp_lag1:double,temp_lag2:double>>"
     init = F.struct(lag1.cast("double").alias("l1"), lag2.cast("double").alias("l2"), F.lit(None).cast(out_t).alias("out"))
 
     def step(acc, r):
         y = S.clip(base(r) + b1 * acc["l1"] + b2 * acc["l2"], low(r), high(r))
-        item = F.struct(r["h"].cast("int").alias("h"), r["ds"].alias("ds"), y.alias("pred_temp"), low(r).cast("double").alias("low"))
+        item = F.struct(r["h"].cast("int").alias("h"), r["ds"].alias("ds"), y.alias("pred_temp"), low(r).cast("double").alias("low"), acc["l1"].alias("temp_lag1"), acc["l2"].alias("temp_lag2"))
         return F.struct(y.alias("l1"), acc["l1"].alias("l2"), F.concat(F.coalesce(acc["out"], F.array().cast(out_t)), F.array(item)).alias("out"))
 
     return F.aggregate(fut, init, step, lambda acc: acc["out"])
@@ -129,7 +129,7 @@ def co2_forecast(scaffold: DataFrame, models: DataFrame, *, keys: Sequence[str]
     return co2_fold(scaffold.withColumn("x", x), models, keys=keys, bounds=bounds)
 
 
-def temp_paths(scaffold: DataFrame, models: DataFrame, feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
+def temp_paths(scaffold: DataFrame, models: DataFrame, feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, yearly: int = 0) -> DataFrame:
     """One row per series: its future rows (h, ds, base, bounds), the model and the last two values.
     ``base`` is the model's value without its lag terms."""
     keys = list(keys)
@@ -140,20 +140,20 @@ def temp_paths(scaffold: DataFrame, models: DataFrame, feats: DataFrame, *, keys
         *keys, F.col("_l.temp_mean").alias("l1"),
         F.when(F.col("_n") > 1, F.col("_l.temp_lag1")).otherwise(F.col("_l.temp_mean")).alias("l2"), "avg_temp_diff",
     )
-    sc = kjoin(M.weekly_fourier(scaffold), models.select(*keys, "first_ds", "span_days", "bends", "beta", "delta"), keys)
+    sc = kjoin(M.weekly_fourier(scaffold, yearly=yearly), models.select(*keys, "first_ds", "span_days", "bends", "beta", "delta"), keys)
     t = F.date_diff(F.col("ds"), F.col("first_ds")).cast("double")
-    sc = sc.withColumn("base", M.temp_value(M.temp_vector(t, {"temp_lag1": F.lit(0.0), "temp_lag2": F.lit(0.0)}), t))
+    sc = sc.withColumn("base", M.temp_value(M.temp_vector(t, {"temp_lag1": F.lit(0.0), "temp_lag2": F.lit(0.0)}, yearly), t))
     fut = sc.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("h", "ds", "base", "outside_temp_max"))).alias("fut"))
     return kjoin(kjoin(fut, seeds, keys), models.drop("first_ds", "dropped", "dropped_terms"), keys)
 
 
 def temp_forecast(scaffold: DataFrame, models: DataFrame, feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS,
-                  bounds: bool = False) -> DataFrame:
+                  bounds: bool = False, yearly: int = 0) -> DataFrame:
     """Recursive temperature with lags fed back, each step clipped to
     [outside max, outside max + mean(indoor - outdoor max)].  ``bounds``: also
     pred_temp_lower and pred_temp_upper (``intervals.temp_bounds``)."""
     keys = list(keys)
-    j = temp_paths(scaffold, models, feats, keys=keys)
+    j = temp_paths(scaffold, models, feats, keys=keys, yearly=yearly)
     if bounds:
         from .intervals import temp_bounds
 
@@ -166,7 +166,7 @@ def temp_forecast(scaffold: DataFrame, models: DataFrame, feats: DataFrame, *, k
     own = ["lower", "upper"] if bounds else []
     out = j.select(*keys, *own, F.inline(expr))
     at = [F.col(c)[F.col("h") - 1].alias(f"pred_temp_{c}") for c in own]
-    return out.select(*keys, "h", "ds", "pred_temp", (F.col("pred_temp") - F.col("low")).alias("temp_diff"), *at)
+    return out.select(*keys, "h", "ds", "pred_temp", (F.col("pred_temp") - F.col("low")).alias("temp_diff"), "temp_lag1", "temp_lag2", *at)
 
 
 def avg_temp_diff_of(feats: DataFrame, keys) -> DataFrame:
@@ -184,7 +184,7 @@ def forecast_table(scaffold: DataFrame, temp_fc: DataFrame, co2_fc: DataFrame, *
     ``status`` (``run_status``) why a series has no prediction (it then has none at all)."""
     keys = list(keys)
     parts = [c for c in temp_fc.columns + co2_fc.columns if c.startswith("pred_")]
-    j = temp_fc.drop("h", "temp_diff").join(co2_fc.drop("h"), [*keys, "ds"]).join(
+    j = temp_fc.drop("h", "temp_diff", "temp_lag1", "temp_lag2").join(co2_fc.drop("h"), [*keys, "ds"]).join(
         scaffold.select(*keys, "ds", *WEATHER_FIELDS, "is_weekend", "is_holiday"), [*keys, "ds"]
     )
     if status is not None:
@@ -240,6 +240,36 @@ def forecast_runs(feats: DataFrame, weather: DataFrame, *, keys: Sequence[str] =
     return run_forecast(own, weather, keys=[*keys, "run_id"], **how).withColumn("h", F.date_diff("ds", "run_id"))
 
 
+# The older variant's record, its seasonal order, changepoints and priors.
+OLD_FIELDS = [
+    "ds", "pred_temp", "outside_temp_max", "outside_temp_min", "precipitation", "cloudcover", "wind", "solar_radiation",
+    "is_weekend", "is_holiday", "sleep_time_ratio", "temp_lag1", "temp_lag2", "day_sin", "day_cos", "pred_co2",
+    "presence_ratio", "hum_mean", "temp_diff", "co2_diff1", "rapid_rise",
+]
+OLD_YEARLY, OLD_BENDS, OLD_PRIOR, OLD_LAMBDA = 10, 25, 0.05, 0.01
+
+
+def run_forecast_old(feats: DataFrame, weather: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, horizon: int = 7) -> DataFrame:
+    """K18 of the older variant, on ``features(backfill=False, sleep_ratio=True)``: yearly and weekly terms and
+    all regressors whatever the span, nine exogenous columns for CO2 (among them the temperature's own forecast, less the outdoor
+    maximum), and the 21-field record."""
+    from ..session import materialize
+
+    keys = list(keys)
+    feats = materialize(feats)
+    sleep = F.lit(8 / 24)
+    sc = materialize(future_scaffold(feats, weather, keys=keys, horizon=horizon).withColumn("sleep_time_ratio", sleep))
+    gate = M.regressor_gate(feats, keys=keys, yearly=OLD_YEARLY, bends=OLD_BENDS, full_span=0)
+    tm = materialize(M.fit_temp(feats, keys=keys, lam=OLD_LAMBDA, prior=OLD_PRIOR, gate=gate, yearly=OLD_YEARLY))
+    temp = materialize(temp_forecast(sc, tm, feats, keys=keys, yearly=OLD_YEARLY))
+    cm = materialize(M.fit_co2(feats, keys=keys, exog=M.CO2_EXOG_OLD)[0])
+    rows = sc.drop("temp_diff").join(temp.drop("h"), [*keys, "ds"])
+    co2 = co2_forecast(rows, cm, keys=keys, exog=M.CO2_EXOG_OLD)
+    out = kjoin(rows.join(co2.drop("h"), [*keys, "ds"]), run_status(tm, cm, keys=keys), keys, "left")
+    out = out.withColumns({c: F.when(F.col("usable"), F.col(c)) for c in ("pred_temp", "pred_co2")})
+    return out.select(*keys, *OLD_FIELDS, "status")
+
+
 # ----------------------------------------------- fixed-coefficient folds
 # Fixed values (test coefficients for the exact-oracle folds).
 FIXED_TEMP = (2.0, 0.1, 0.6, 0.2)  # intercept, outside_temp_max, lag1, lag2

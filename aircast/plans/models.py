@@ -42,39 +42,51 @@ LAG1_IDX = TEMP_TERMS.index("temp_lag1")
 LAG2_IDX = TEMP_TERMS.index("temp_lag2")
 
 
-def weekly_fourier(df: DataFrame, *, day: str = "ds", order: int = FOURIER_ORDER) -> DataFrame:
-    """K3: sin / cos(2 pi k t / 7), t in days since 1970-01-01, k = 1..order."""
+#: Fixed value: days of a year in the yearly terms.
+YEAR = 365.25
+
+
+def weekly_fourier(df: DataFrame, *, day: str = "ds", order: int = FOURIER_ORDER, yearly: int = 0) -> DataFrame:
+    """K3: sin / cos(2 pi k t / 7), t in days since 1970-01-01, k = 1..order; and the same by the
+    year, up to the order ``yearly`` (the older variant has 10)."""
     t = F.date_diff(F.col(day), F.lit("1970-01-01").cast("date")).cast("double")
-    for k in range(1, order + 1):
-        a = F.lit(2 * math.pi * k) * t / F.lit(7.0)
-        df = df.withColumn(f"wk_sin{k}", F.sin(a)).withColumn(f"wk_cos{k}", F.cos(a))
+    for name, period, last in (("wk", 7.0, order), ("yr", YEAR, yearly)):
+        for k in range(1, last + 1):
+            a = F.lit(2 * math.pi * k) * t / F.lit(period)
+            df = df.withColumn(f"{name}_sin{k}", F.sin(a)).withColumn(f"{name}_cos{k}", F.cos(a))
     return df
 
 
-def gate_columns(span: Column) -> dict[str, Column]:
+def temp_terms(yearly: int = 0) -> list[str]:
+    """The terms of the temperature design."""
+    return TEMP_TERMS + [f"yr_{f}{k}" for k in range(1, yearly + 1) for f in ("sin", "cos")]
+
+
+def gate_columns(span: Column, *, yearly: int = 0, bends: int = CHANGEPOINTS, full_span: int = FULL_SPAN) -> dict[str, Column]:
     """K2 by the span of the days that are fitted: the regressors in use, and the days (from the first
     one) where the trend may bend: evenly over the first 80 % of the days."""
-    small = span < FULL_SPAN
-    masks = [[t in ("const", "t", *TEMP_SMALL) for t in TEMP_TERMS], [True] * len(TEMP_TERMS)]
+    small = span < full_span
+    terms = temp_terms(yearly)
+    masks = [[t in ("const", "t", *TEMP_SMALL) for t in terms], [True] * len(terms)]
     small_use, full_use = (F.array(*[F.lit(b) for b in m]) for m in masks)
     last = F.floor((span + 1) * CHANGEPOINT_RANGE) - 1
-    bends = F.array(*[F.rint(last * F.lit(j / CHANGEPOINTS)) for j in range(1, CHANGEPOINTS + 1)])
-    none = F.array(*[F.lit(None).cast("double")] * CHANGEPOINTS)
+    places = F.array(*[F.rint(last * F.lit(j / bends)) for j in range(1, bends + 1)])
+    none = F.array(*[F.lit(None).cast("double")] * bends)
     return {
         "n_regressors": F.when(small, len(TEMP_SMALL)).otherwise(len(TEMP_REGRESSORS)).cast("bigint"),
         "weekly": ~small,
-        "n_changepoints": F.when(small, 0).otherwise(CHANGEPOINTS).cast("bigint"),
+        "n_changepoints": F.when(small, 0).otherwise(bends).cast("bigint"),
         "warn_small": span < 30,
         "use": F.when(small, small_use).otherwise(full_use),
-        "bends": F.when(small, none).otherwise(bends),
+        "bends": F.when(small, none).otherwise(places),
     }
 
 
-def regressor_gate(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    """K2: per series span -> regressor set, weekly terms, changepoints."""
+def regressor_gate(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, **how) -> DataFrame:
+    """K2: per series span -> regressor set, weekly terms, changepoints (``how``: see ``gate_columns``)."""
     span = F.date_diff(F.max("ds"), F.min("ds"))
     g = feats.groupBy(*keys).agg(span.cast("bigint").alias("span_days"), F.min("ds").alias("first_ds"))
-    cols = gate_columns(F.col("span_days"))
+    cols = gate_columns(F.col("span_days"), **how)
     return g.select(*keys, "span_days", "first_ds", *[c.alias(n) for n, c in cols.items()])
 
 
@@ -84,11 +96,11 @@ def hinges(t: Column, bends: Column, span: Column) -> Column:
     return F.transform(bends, lambda s: F.coalesce(F.greatest(t.cast("double") - s, F.lit(0.0)) / wide, F.lit(0.0)))
 
 
-def temp_vector(t: Column, cols: dict[str, Column] | None = None) -> Column:
-    """Design vector in TEMP_TERMS order from current-row columns."""
+def temp_vector(t: Column, cols: dict[str, Column] | None = None, yearly: int = 0) -> Column:
+    """Design vector in the order of ``temp_terms`` from current-row columns."""
     cols = cols or {}
     parts = []
-    for term in TEMP_TERMS:
+    for term in temp_terms(yearly):
         if term == "const":
             parts.append(F.lit(1.0))
         elif term == "t":
@@ -98,11 +110,11 @@ def temp_vector(t: Column, cols: dict[str, Column] | None = None) -> Column:
     return F.array(*parts)
 
 
-def temp_design(feats: DataFrame, gate: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
-    """y, x (``TEMP_TERMS``), t (days from the first one) and xh (x and the changepoints' hinges)."""
-    d = kjoin(weekly_fourier(feats), gate.select(*keys, "first_ds", "span_days", "use", "bends"), keys)
+def temp_design(feats: DataFrame, gate: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, yearly: int = 0) -> DataFrame:
+    """y, x (``temp_terms``), t (days from the first one) and xh (x and the changepoints' hinges)."""
+    d = kjoin(weekly_fourier(feats, yearly=yearly), gate.select(*keys, "first_ds", "span_days", "use", "bends"), keys)
     d = d.withColumn("t", F.date_diff(F.col("ds"), F.col("first_ds")).cast("double"))
-    d = d.withColumn("x", temp_vector(F.col("t"))).withColumn("y", F.col("temp_mean").cast("double"))
+    d = d.withColumn("x", temp_vector(F.col("t"), yearly=yearly)).withColumn("y", F.col("temp_mean").cast("double"))
     return d.withColumn("xh", F.concat("x", hinges(F.col("t"), F.col("bends"), F.col("span_days"))))
 
 
@@ -111,18 +123,19 @@ TEMP_PEN = [t not in ("const", "t") for t in TEMP_TERMS]
 TEMP_FIT = "beta array<double>, status string, dropped array<int>, delta array<double>, sigma double, n_bends bigint"
 
 
-def temp_solver(lam: float, prior: float | None):
+def temp_solver(lam: float, prior: float | None, yearly: int = 0):
     """Ridge on the regressors and L1 on the hinges, from the sums alone.
 
     For given hinges the ridge part has a closed form; put into the objective it leaves a
     problem in the few hinge weights, which coordinate descent solves.  The L1 weight is that of
     a Laplace prior of scale ``prior`` on the trend in units of the largest |y|, with the ridge
     fit's noise; None: no hinges."""
-    p = len(TEMP_TERMS)
+    p = len(TEMP_TERMS) + 2 * yearly
+    std, pen = (np.array(f + [True] * (2 * yearly)) for f in (TEMP_STD, TEMP_PEN))
 
     def run(cols: dict, g: np.ndarray, xty: np.ndarray, yty: np.ndarray) -> dict:
         use = G.matrix(cols["use"]) > 0
-        beta, status, dropped, a, inverse = G.ridge(g[:, :p, :p], xty[:, :p], use, np.array(TEMP_STD), np.array(TEMP_PEN), lam)
+        beta, status, dropped, a, inverse = G.ridge(g[:, :p, :p], xty[:, :p], use, std, pen, lam)
         n = np.maximum(cols["n"], 1)
 
         def squares(w: np.ndarray) -> np.ndarray:
@@ -142,7 +155,7 @@ def temp_solver(lam: float, prior: float | None):
             whole = np.hstack([beta, delta])
         # the noise per degree of freedom: a penalised weight takes less than one
         kept = np.einsum("sii->si", inverse) > 0
-        held = lam * (np.einsum("sii->si", inverse) * np.array(TEMP_PEN)).sum(1)
+        held = lam * (np.einsum("sii->si", inverse) * pen).sum(1)
         free = np.maximum(n - kept.sum(1) + held - (delta != 0).sum(1), 1)
         return {
             "beta": beta, "status": list(status), "dropped": dropped, "delta": delta + 0.0,
@@ -153,13 +166,14 @@ def temp_solver(lam: float, prior: float | None):
 
 
 def fit_temp(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, lam: float = 1.0, gate: DataFrame | None = None,
-             prior: float | None = CHANGEPOINT_PRIOR) -> DataFrame:
+             prior: float | None = CHANGEPOINT_PRIOR, yearly: int = 0) -> DataFrame:
     """K4: ridge per series on the K2-gated design (standardised columns,
-    penalty lam on every term but intercept and trend) with changepoints of the trend."""
-    gate = gate if gate is not None else regressor_gate(feats, keys=keys)
-    d = temp_design(feats, gate, keys=keys)
-    m = G.fit(d, keys, temp_solver(lam, prior), TEMP_FIT, x="xh", carry=["first_ds", "span_days", "use", "bends"], greatest=["y"])
-    return with_status(m.drop("use"), TEMP_TERMS)
+    penalty lam on every term but intercept and trend) with changepoints of the trend.  ``yearly``: the order
+    of yearly seasonal terms (``gate`` must be made with the same)."""
+    gate = gate if gate is not None else regressor_gate(feats, keys=keys, yearly=yearly)
+    d = temp_design(feats, gate, keys=keys, yearly=yearly)
+    m = G.fit(d, keys, temp_solver(lam, prior, yearly), TEMP_FIT, x="xh", carry=["first_ds", "span_days", "use", "bends"], greatest=["y"])
+    return with_status(m.drop("use"), temp_terms(yearly))
 
 
 def temp_value(x: Column, t: Column, *, bends: str = "bends", span: str = "span_days") -> Column:
@@ -191,11 +205,11 @@ def temp_trend_ols(feats: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> D
     )
 
 
-def temp_fitted(feats: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS) -> DataFrame:
+def temp_fitted(feats: DataFrame, models: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS, yearly: int = 0) -> DataFrame:
     """K9 (temperature): in-sample predictions."""
-    d = kjoin(weekly_fourier(feats), models.select(*keys, "first_ds", "span_days", "bends", "beta", "delta"), keys)
+    d = kjoin(weekly_fourier(feats, yearly=yearly), models.select(*keys, "first_ds", "span_days", "bends", "beta", "delta"), keys)
     t = F.date_diff(F.col("ds"), F.col("first_ds")).cast("double")
-    return d.select(*keys, "ds", F.col("temp_mean").alias("y"), temp_value(temp_vector(t), t).alias("yhat"))
+    return d.select(*keys, "ds", F.col("temp_mean").alias("y"), temp_value(temp_vector(t, yearly=yearly), t).alias("yhat"))
 
 
 # -------------------------------------------------------------------- CO2

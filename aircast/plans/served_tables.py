@@ -222,3 +222,9 @@ def model_aic_ols(spark, sf):
     j = f.join(M.temp_trend_ols(f), "room_id")
     rows = j.select("room_id", F.col("temp_mean").alias("y"), (F.col("intercept") + F.col("slope") * F.col("outside_temp_max")).alias("yhat"))
     return M.model_aic(rows, k=3, model="ols")
+
+
+@query("forecast_table_old")
+def forecast_table_old(spark, sf):
+    """K18 of the older variant: yearly terms, nine exogenous columns, 21 fields."""
+    return FC.run_forecast_old(feature_table(spark, sf, backfill=False, sleep_ratio=True), weather_of(spark, sf))

@@ -147,3 +147,54 @@ def weather_explode(spark, sf):
 def weather_range(spark, sf):
     """A10: weather for the sensor table's day range."""
     return WX.weather_range(weather_of(spark, sf), daily_table(spark, sf))
+
+
+@query(
+    "ingest_stream",
+    with_(
+        f"""SELECT row_number() OVER (ORDER BY ts_raw, id) AS id, room_id, ts_raw, CAST(co2 AS BIGINT) AS co2, temperature, humidity, presence
+FROM measurements WHERE id % {_PAYLOAD_BAD} <> 5 AND co2 IS NOT NULL""",
+        "measurements",
+    ),
+)
+def ingest_stream(spark, sf):
+    """A5 + A3 + J6: the payload feed as a stream into the store: validated, numbered in ingest order, rejects in quarantine."""
+    from ..streaming import streams as ST
+
+    base = ST.stream_dir(spark, "ingest")
+    payloads(spark, sf).withColumnRenamed("id", "seq").write.json(f"{base}/landing")
+    feed = spark.readStream.schema("seq bigint, room_id bigint, payload string").json(f"{base}/landing")
+    ST.ingest(feed, f"{base}/store", f"{base}/quarantine", f"{base}/_checkpoint").awaitTermination()
+    return spark.read.schema(STORED).parquet(f"{base}/store").select("id", "room_id", "ts_raw", "co2", "temperature", "humidity", "presence")
+
+
+STORED = "id bigint, room_id bigint, ts_raw string, co2 int, temperature double, humidity double, presence boolean, batch_id bigint"
+#: The days of ``read_days``.
+STORE_DAYS = ("2024-01-29", "2024-01-31")
+
+
+@query(
+    "read_days",
+    with_(
+        f"SELECT {MCOLS} FROM parsed WHERE CAST(ts AS DATE) BETWEEN DATE '{STORE_DAYS[0]}' AND DATE '{STORE_DAYS[1]}'",
+        "parsed",
+    ),
+)
+def read_days(spark, sf):
+    """A1 on the partitioned store: written by day, read by partition (only those folders are listed)."""
+    from ..streaming import streams as ST
+
+    path = ST.stream_dir(spark, "store") + "/days"
+    store.write_store(fx.measurements(spark, sf), path)
+    return store.read_days(spark, path, *STORE_DAYS).drop("date")
+
+
+@query("read_store", with_(f"SELECT {MCOLS} FROM measurements WHERE id % {_PAYLOAD_BAD} <> 5 AND co2 IS NOT NULL", "measurements"))
+def read_store(spark, sf):
+    """A1: records written as JSON lines and read back with the fixed schema."""
+    from ..streaming import streams as ST
+
+    path = ST.stream_dir(spark, "json") + "/records"
+    m = fx.measurements(spark, sf).where((F.col("id") % _PAYLOAD_BAD != 5) & F.col("co2").isNotNull())
+    store.conform(m).write.json(path)
+    return store.read_store(spark, path, fmt="json", multiline=False)
