@@ -185,15 +185,14 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray],
     y = np.asarray(y, float)
     if len(set(y.tolist())) < 2:
         return Model(None, None)
-    quarter = np.arange(len(y)) % 4
+    quarter = np.empty(len(y), np.int64)  # each with its share of either class
+    quarter[np.argsort(y, kind="stable")] = np.arange(len(y)) % 4
     rest = quarter == 0
     few = min((y[rest] == c).sum() for c in (0, 1)) < CALIBRATE
     if not few:
         views = exchange([x[~rest] for x in labelled], y[~rest], pool, rounds)
         z, truth = np.stack([v.odds(x[rest]) for v, x in zip(views, labelled)], 1), y[rest]
     else:
-        # the quarters hold rows of both classes as far as there are any
-        quarter[np.argsort(y, kind="stable")] = np.arange(len(y)) % 4
         views, z, truth = exchange(labelled, y, pool, rounds), np.zeros((len(y), 2)), y
         for k in range(4):
             own = quarter == k
