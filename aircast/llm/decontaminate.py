@@ -14,13 +14,16 @@ of either table are left alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from . import textkit as tk
-from .frames import prepare, scan
+from .frames import prepare, scan, spare
 
 #: Window length in words.
 WINDOW = 10
@@ -115,40 +118,37 @@ def merge(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def slices(items: DataFrame, n: int, slice_windows: int) -> list[list]:
-    """Windows dealt to slices by hash; the rows of one slice come to the driver."""
+def slices(items: DataFrame, n: int, slice_windows: int) -> Iterator[Slice]:
+    """Windows dealt to slices by hash; one slice at a time is in the driver."""
     w = item_windows(items, n)
     count = w.count()
     if count <= slice_windows:
-        return [w.collect()]
+        yield Slice(w.collect())
+        return
     # half-filled on average, so that an uneven deal stays within the bound
     k = -(-2 * count // slice_windows)
-    w = w.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(k)))
-    return [w.where(F.col("part") == i).drop("part").collect() for i in range(k)]
+    w = materialize(w.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(k))))
+    for i in range(k):
+        yield Slice(w.where(F.col("part") == i).drop("part").collect())
 
 
 def find(docs: DataFrame, items: DataFrame, n: int = WINDOW, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
     """``docs`` (with a ``text`` column) plus n_words, spans (word intervals
-    [first, last) that are hit, merged) and items (ids with occurring windows)."""
+    [first, last) that are hit, merged) and items (ids with occurring windows), which
+    replace columns of these names."""
     prepare(docs.sparkSession)
-    names = docs.columns
-    if clash := {"n_words", "spans", "items"} & set(names):
-        docs = docs.withColumnsRenamed({c: f"__in_{c}" for c in clash})
+    docs = docs.select(*[c for c in docs.columns if c not in ("n_words", "spans", "items")])
+    spans, found = spare(docs, "spans_"), spare(docs, "items_")
     out = None
-    for rows in slices(items, n, slice_windows):
+    for s in slices(items, n, slice_windows):
         if out is None:
-            out = _scan_slice(docs, Slice(rows))
+            out = _scan_slice(docs, s)
         else:
-            out = _scan_slice(
-                out.withColumnsRenamed({"spans": "__spans", "items": "__items"}).drop("n_words"), Slice(rows)
-            ).select(
+            out = _scan_slice(out.withColumnsRenamed({"spans": spans, "items": found}).drop("n_words"), s).select(
                 *docs.columns, "n_words",
-                _union_spans(F.concat("__spans", "spans")).alias("spans"),
-                F.array_sort(F.array_union("__items", "items")).alias("items"),
+                _union_spans(F.concat(spans, "spans")).alias("spans"),
+                F.array_sort(F.array_union(found, "items")).alias("items"),
             )
-    if clash:
-        # the input's own columns of these names give way to the results
-        out = out.drop(*(f"__in_{c}" for c in clash))
     return out
 
 
@@ -185,20 +185,32 @@ def remove_spans(texts: list[str | None], spans: list[list[dict]]) -> list[str |
     return out
 
 
+def _kept(docs: DataFrame, items: DataFrame, n: int, slice_windows: int) -> tuple[DataFrame, str]:
+    """``docs`` with all its own columns and the spans under a name of their own."""
+    names, aside = docs.columns, {}
+    for c in ("n_words", "spans", "items"):
+        if c in names:
+            aside[c] = spare(docs, c + "_")
+    hit = spare(docs.withColumnsRenamed(aside), "hit_")
+    rows = find(docs.withColumnsRenamed(aside), items, n, slice_windows).withColumnRenamed("spans", hit).drop("n_words", "items")
+    return rows.withColumnsRenamed({v: k for k, v in aside.items()}).select(*names, hit), hit
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n: int = WINDOW,
                   slice_windows: int = SLICE_WINDOWS) -> DataFrame:
     """``mode="documents"``: contaminated rows go.  ``mode="spans"``: the hit
     words are cut out and the rest of the text stays."""
     names = docs.columns
     if mode == "documents":
-        return find(docs, items, n, slice_windows).where(F.size("spans") == 0).select(*names)
+        rows, hit = _kept(docs, items, n, slice_windows)
+        return rows.where(F.size(hit) == 0).drop(hit)
     if mode != "spans":
         raise ValueError(f"mode is 'documents' or 'spans', not {mode!r}")
-    hit = find(docs, items, n, slice_windows).select(*names, "spans")
+    hit, spans = _kept(docs, items, n, slice_windows)
 
     def run(b: pa.RecordBatch) -> dict:
         out = {c: tk.column(b, c) for c in names}
-        out["text"] = remove_spans(tk.column(b, "text").to_pylist(), tk.column(b, "spans").to_pylist())
+        out["text"] = remove_spans(tk.column(b, "text").to_pylist(), tk.column(b, spans).to_pylist())
         return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

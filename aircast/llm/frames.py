@@ -3,6 +3,7 @@ the shared folder, row columns with names of their own."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -86,15 +87,32 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark)}/aircast-{name}-{uuid.uuid4().hex}"
+        self.brief: list[str] = []
 
     def __enter__(self) -> "Scratch":
         return self
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, brief: bool = False) -> DataFrame:
+        """``df`` written and read back.  ``brief``: ``forget`` deletes it."""
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        if brief:
+            self.brief.append(name)
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self) -> None:
+        """Delete the tables that were made for the step that is over."""
+        for name in self.brief:
+            self.drop(name)
+        self.brief.clear()
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of jobs whose results are written: it does so when the
+        driver's garbage is collected, which a driver with much memory seldom does by itself."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def keep(self, df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
 
@@ -107,6 +125,14 @@ class Scratch:
         self.drop()
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(c: str = "text"):
     return F.coalesce(F.col(c), F.lit(""))
 

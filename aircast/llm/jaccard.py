@@ -180,9 +180,9 @@ def _links(points: DataFrame, docs: DataFrame, pairs: DataFrame, scratch: Scratc
     """The pairs (a, b) that are links: bound first, then the full sets."""
     a, b = (points.select("cls", "n", "counts").toDF(x, f"n{i}", f"v{i}") for x, i in (("a", 1), ("b", 2)))
     near = pairs.join(a, "a").join(b, "b")
-    near = scratch.table(_bounded(near, ("n1", "n2"), "a bigint, b bigint"), f"near{uuid.uuid4().hex}")
+    near = scratch.table(_bounded(near, ("n1", "n2"), "a bigint, b bigint"), f"near{uuid.uuid4().hex}", brief=True)
     nodes = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
-    sets = scratch.table(full_sets(docs, points.select("cls", "doc").join(nodes, "cls")), f"sets{uuid.uuid4().hex}")
+    sets = scratch.table(full_sets(docs, points.select("cls", "doc").join(nodes, "cls")), f"sets{uuid.uuid4().hex}", brief=True)
     full = near.join(sets.toDF("a", "t1"), "a").join(sets.toDF("b", "t2"), "b")
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -226,17 +226,17 @@ def _descend(points: DataFrame, pairs: DataFrame, members: DataFrame, scratch: S
     """From pairs of tree nodes (c1, c2) to pairs of points (a, b): first box against box,
     then the points of either side against the other's box."""
     wanted = pairs.select(F.col("c1").alias("comp")).union(pairs.select("c2")).distinct()
-    boxes = scratch.table(_boxes(points, members, wanted), "boxes")
+    boxes = scratch.table(_boxes(points, members, wanted), "boxes", brief=True)
     x, y = (boxes.toDF(f"c{i}", f"lo{i}", f"hi{i}", f"v{i}") for i in (1, 2))
     fits = "4 * hi1 >= 3 * lo2 AND 4 * hi2 >= 3 * lo1"
     near = _bounded(pairs.join(x, "c1").join(y, "c2").where(fits), ("lo1", "lo2"), "c1 bigint, c2 bigint")
-    near = scratch.table(near, "open")
+    near = scratch.table(near, "open", brief=True)
     sides = []
     for own, other in (("c1", "c2"), ("c2", "c1")):
         rows = near.join(members.toDF("node", own), own).join(points.select(F.col("cls").alias("node"), F.col("n").alias("lo1"), F.col("n").alias("hi1"), F.col("counts").alias("v1")), "node")
         rows = rows.join(boxes.toDF(other, "lo2", "hi2", "v2"), other).where(fits)
         found = _bounded(rows, ("lo1", "lo2"), "c1 bigint, c2 bigint, node bigint, lo1 int")
-        sides.append(scratch.table(found, f"side_{own}"))
+        sides.append(scratch.table(found, f"side_{own}", brief=True))
     a, b = (s.toDF("c1", "c2", v, f"n{v}") for s, v in zip(sides, "ab"))
     return a.join(b, ["c1", "c2"]).where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
 
@@ -260,6 +260,8 @@ def components_of(docs: DataFrame) -> DataFrame:
         # one row for each class that shares a shingle
         points = told.where("counts IS NOT NULL").select("cls", "counts").join(shared, "cls", "left_semi").dropDuplicates(["cls"])
         points = scratch.table(points.join(classes, "cls").select("cls", "n", "doc", "counts"), "points")
+        rows = scratch.table(rows, "rows")
+        scratch.drop("told")
         linked = link_components(
             keys,
             may=may_link,

@@ -1,12 +1,13 @@
 """Connected groups of nodes that share keys, without listing all pairs of a key.
 
 ``shared_keys`` finds the (key, node) rows of keys that two or more nodes have.
-``link_components`` then works in two rounds.  Round 1 tests each node against
+``link_components`` then works in rounds.  Round 1 tests each node against
 the hub (smallest node) of its key and joins the true links into
-components.  Round 2 looks only at keys whose nodes are still in different
+components.  The next ones do the same with other hubs, for nodes that are not in their hub's component.  The last one
+looks only at keys whose nodes are still in different
 components, and tests the pairs across them.  So every pair that shares
 a key is linked, tested, or already connected; a key shared by one large group of
-similar nodes costs one test for each node.
+similar nodes costs a few tests for each node.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ BUCKET = 500_000
 #: A key with so many nodes in one flush is linked where it is found, and only its hub travels.
 HOT = 512
 
+#: Rounds with another hub for each key, before the pairs that are left.
+MORE_HUBS = 2
+
 #: What a batch contributes: keys (uint64), nodes (int64), and for each entry the node's
 #: size and its room (int32), an upper bound that the key gives for any overlap.
 Entries = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -160,6 +164,12 @@ def _size(e: DataFrame) -> tuple:
     return r[0], r[1]
 
 
+def _placed(keys: DataFrame, comp: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """The entries with their components so far."""
+    rows = keys.join(comp, "node", "left").select("key", "node", "n", "room", F.coalesce("comp", "node").alias("comp"))
+    return scratch.table(rows, f"placed{k}")
+
+
 def link_components(
     keys: DataFrame,
     may: May,
@@ -173,12 +183,27 @@ def link_components(
     of nodes across them that may be linked; without it, those that share a key."""
     n, hub_n, room = (F.col(c) for c in ("n", "hub_n", "room"))
     stars = keys.where("node != hub").where(may(n, n, room, hub_n, hub_n, room))
-    stars = scratch.table(stars.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), "stars")
-    links = scratch.table(verify(stars), "links1")
-    comp = scratch.table(components(links), "comp1")
+    stars = scratch.table(_oriented(stars.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "stars")
+    tested, edges = stars, scratch.table(verify(stars), "links1")
+    scratch.forget()
+    comp = scratch.table(components(edges), "comp1")
+    placed = _placed(keys, comp, scratch, 1)
+    for k in range(2, 2 + MORE_HUBS):
+        # another hub for each key: the node that a hash of the nodes puts first, the same one in all keys that it has
+        hubs = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "room", "comp"), F.xxhash64("node", F.lit(k))).alias("h"))
+        met = placed.join(hubs, "key").where(F.col("comp") != F.col("h.comp")).where(may(n, n, room, F.col("h.n"), F.col("h.n"), F.col("h.room")))
+        pairs = _oriented(met.select(F.col("node").alias("a"), F.col("h.node").alias("b"))).join(tested, ["a", "b"], "left_anti")
+        pairs = scratch.table(pairs, f"stars{k}")
+        if pairs.isEmpty():
+            break
+        tested, found = tested.union(pairs), scratch.table(verify(pairs), f"links{k}")
+        scratch.forget()
+        if not found.isEmpty():
+            # components so far are stars already
+            comp = scratch.table(components(found.union(comp.select("node", "comp").where("node != comp").toDF("a", "b"))), f"comp{k}")
+            scratch.drop(f"placed{k - 1}")
+            placed = _placed(keys, comp, scratch, k)
 
-    placed = keys.join(comp, "node", "left").select("key", "node", "n", "room", F.coalesce("comp", "node").alias("comp"))
-    placed = scratch.table(placed, "placed")
     at = placed.repartition("key").groupBy("key", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"))
     x, y = at.alias("x"), at.alias("y")
     sides = [F.col(f"{t}.{c}") for t in "xy" for c in ("lo", "hi", "room")]
@@ -193,8 +218,9 @@ def link_components(
         a, b = (placed.select("key", F.col("node").alias(v), F.col("comp").alias(c), F.col("n").alias(f"n{v}"), F.col("room").alias(f"r{v}")) for v, c in (("a", "c1"), ("b", "c2")))
         across = met.join(a, ["key", "c1"]).join(b, ["key", "c2"])
         across = across.where(may(*(F.col(c) for c in ("na", "na", "ra", "nb", "nb", "rb")))).select("a", "b")
-    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.table(verify(scratch.table(across, "across")), "links2")
+    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    more = scratch.table(verify(scratch.table(across, "across")), "links_across")
+    scratch.forget()
     if more.isEmpty():
         return scratch.keep(comp)
     # components of the first round are stars already

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .frames import scan
+from .frames import scan, spare
 
 #: Where the vocabulary is; read on the driver, and broadcast (under 20 MB).
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -288,11 +288,12 @@ def with_pieces(docs: DataFrame, v: Vocabulary, key: str = "doc_id", seed: int =
     replaces a column of this name."""
     names, rows, schema = _keep(docs, "pieces")
     held = docs.sparkSession.sparkContext.broadcast(v)
-    rows = rows.withColumn("__key", F.coalesce(F.col(key).cast("bigint"), F.lit(0)))
+    seeded = spare(rows, "key_")
+    rows = rows.withColumn(seeded, F.coalesce(docs[key].cast("bigint"), F.lit(0)))
 
     def run(b: pa.RecordBatch) -> dict:
         text = tk.column(b, "text")
-        ids, off = encode(held.value, text, np.asarray(tk.column(b, "__key")), seed)
+        ids, off = encode(held.value, text, np.asarray(tk.column(b, seeded)), seed)
         lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()), mask=pc.is_null(text))
         return {c: tk.column(b, c) for c in names} | {"pieces": lists}
 

@@ -11,6 +11,9 @@ the months that it covers up to the last capture, so a key that goes on and off
 list for years meets only the intervals of the capture's own month.  Equal captures
 (url, time) are joined once, and the judgement is joined back.
 
+URLs are compared without white space around them, with percent-encoding, dot segments, a trailing
+dot of the host and the case undone; two leading slashes count as http.  (Internationalised hosts are compared as they are written.)
+
 Defined results: a null or unparsable URL has no host and is never blocked; a null fetch
 time meets no interval; entries of one key and date count in the order of seq, so the last one
 holds and an interval of no length is none; null keys or dates are no entries; repeated
@@ -23,36 +26,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .frames import spare
+
 # The host and the path of a lower-cased URL.
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#]*)"
 PATH = r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
+def plain(url: Column) -> Column:
+    """The URL as it is compared: lower case, without white space and control characters around it, and with
+    a scheme where it begins with two slashes."""
+    text = F.lower(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
+    return F.when(F.startswith(text, F.lit("//")), F.concat(F.lit("http:"), text)).otherwise(text)
+
+
+def decoded(text: Column) -> Column:
+    """Percent-encoded characters as themselves (a slash stays encoded); malformed ones stay."""
+    safe = F.replace(F.replace(text, F.lit("%2f"), F.lit("%252f")), F.lit("+"), F.lit("%2b"))
+    return F.when(F.contains(text, F.lit("%")), F.lower(F.coalesce(F.try_url_decode(safe), text))).otherwise(text)
+
+
 def host_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(F.lower(url), HOST, 1), F.lit(""))
+    host = decoded(F.regexp_extract(plain(url), HOST, 1))
+    return F.coalesce(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
 
 
-def keys_of(url: Column) -> Column:
-    """All (kind, key) that a list may have for a URL."""
+def segments_of(url: Column) -> Column:
+    """Path segments, decoded, without empty and dot segments."""
+    raw = F.transform(F.split(F.regexp_extract(plain(url), PATH, 1), "/"), decoded)
+    segments = F.filter(raw, lambda s: ~s.isin("", "."))
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
+
+    climbed = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.when(F.exists(segments, lambda s: s == ".."), climbed).otherwise(segments)
+
+
+def keys_of(url: Column, labels_deep: Column | None = None, segments_deep: Column | None = None) -> Column:
+    """All (kind, key) that a list may have for a URL: with bounds, only domains of at most so many labels
+    and prefixes of at most so many segments (a list has none beyond its own longest key)."""
     host = host_of(url)
     labels = F.split(host, r"\.")
-    segments = F.filter(F.split(F.regexp_extract(F.lower(url), PATH, 1), "/"), lambda s: s != "")
+    segments = segments_of(url)
 
     def entry(kind: str, key: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
 
-    def upto(n: Column) -> Column:
-        return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    def between(first: Column, last: Column) -> Column:
+        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
-    domains = F.transform(upto(F.size(labels) - 1), lambda i: entry("domain", F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    prefixes = F.transform(upto(F.size(segments)), lambda i: entry("prefix", F.concat_ws("/", host, F.array_join(F.slice(segments, 1, i), "/"))))
+    one, n = F.lit(1), F.size(labels)
+    begin = one if labels_deep is None else F.greatest(one, n - labels_deep + 1)
+    deep = F.size(segments) if segments_deep is None else F.least(F.size(segments), segments_deep)
+    domains = F.transform(between(begin, n - 1), lambda i: entry("domain", F.array_join(F.slice(labels, i, n), ".")))
+    prefixes = F.transform(between(one, deep), lambda i: entry("prefix", F.concat_ws("/", host, F.array_join(F.slice(segments, one, i), "/"))))
     found = F.array_distinct(F.concat(F.array(entry("host", host)), domains, prefixes))
     return F.when(host != "", found).otherwise(F.slice(found, 1, 0))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """kind, key, category, valid_from, valid_to (null: still on the list)."""
-    known = entries.where("key IS NOT NULL AND on_date IS NOT NULL")
+    key = F.lower(F.trim("key"))
+    key = F.when(F.col("kind") == "prefix", key).otherwise(F.regexp_replace(key, r"\.+$", ""))
+    known = entries.where("key IS NOT NULL AND on_date IS NOT NULL").withColumn("key", key)
     w = W.partitionBy("kind", "key", "category").orderBy("on_date", "seq", "action")
     rows = known.withColumn("valid_to", F.lead("on_date").over(w)).where("action = 'add'")
     return rows.where("valid_to IS NULL OR valid_to > on_date").select("kind", "key", "category", F.col("on_date").alias("valid_from"), "valid_to").distinct()
@@ -63,24 +100,33 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "
     these names."""
     names = [c for c in captures.columns if c not in ("host", "blocked", "n_entries", "categories")]
     captures = captures.select(*names)
-    once = captures.select(F.col(url).alias("__url"), F.col(at).alias("__at")).distinct()
-    last = once.agg(F.max("__at").alias("last"))  # one row
-    month = F.explode(F.sequence(F.trunc("valid_from", "MM"), F.trunc(F.col("until"), "MM"), F.expr("INTERVAL 1 MONTH")))
+    u, t = spare(captures, "url_"), spare(captures, "at_")
+    once = captures.select(F.col(url).alias(u), F.col(at).alias(t)).distinct()
     # the last day held, not past the last capture
-    until = F.least(F.coalesce(F.date_sub("valid_to", 1), F.col("last")), F.col("last"))
-    laid = intervals(entries).crossJoin(F.broadcast(last)).withColumn("until", until).where("until >= valid_from")
+    last = once.agg(F.max(t)).scalar()
+    until = F.least(F.coalesce(F.date_sub("valid_to", 1), last), last)
+    month = F.explode(F.sequence(F.trunc("valid_from", "MM"), F.trunc(F.col("until"), "MM"), F.expr("INTERVAL 1 MONTH")))
+    held = intervals(entries)
+    laid = held.withColumn("until", until).where("until >= valid_from")
     laid = laid.select("kind", "key", "category", "valid_from", "valid_to", month.alias("month"))
-    asked = once.select("__url", "__at", F.explode(keys_of(F.col("__url"))).alias("k")).select("__url", "__at", "k.*", F.trunc("__at", "MM").alias("month"))
+    # no longer keys are made than the list has (a URL may have thousands of segments)
+    deep = held.agg(
+        F.max(F.when(F.col("kind") == "domain", F.size(F.split("key", r"\.")))).alias("labels"),
+        F.max(F.when(F.col("kind") == "prefix", F.size(F.split("key", "/")) - 1)).alias("segments"),
+    ).first()
+    labels, segments = (F.lit(x or 0) for x in deep)
+    asked = once.select(u, t, F.explode(keys_of(F.col(u), labels, segments)).alias("k")).select(u, t, "k.*", F.trunc(t, "MM").alias("month"))
     hits = (
         asked.join(laid, ["kind", "key", "month"])
-        .where("valid_from <= __at AND (valid_to IS NULL OR __at < valid_to)")
-        .groupBy("__url", "__at")
-        .agg(F.count_distinct("kind", "key", "category").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+        .where((F.col("valid_from") <= F.col(t)) & (F.col("valid_to").isNull() | (F.col(t) < F.col("valid_to"))))
+        .groupBy(u, t)
+        .agg(F.count_distinct("kind", "key", "category").alias(spare(captures, "n_")), F.array_join(F.array_sort(F.collect_set("category")), ",").alias(spare(captures, "c_")))
     )
-    met = captures.join(hits, (F.col(url) == F.col("__url")) & (F.col(at) == F.col("__at")), "left")
+    n, c = F.col(spare(captures, "n_")), F.col(spare(captures, "c_"))
+    met = captures.join(hits, (F.col(url) == F.col(u)) & (F.col(at) == F.col(t)), "left")
     return met.select(
-        *names, host_of(F.col(url)).alias("host"), F.col("n_entries").isNotNull().alias("blocked"),
-        F.coalesce("n_entries", F.lit(0)).alias("n_entries"), F.coalesce("categories", F.lit("")).alias("categories"),
+        *names, host_of(F.col(url)).alias("host"), n.isNotNull().alias("blocked"),
+        F.coalesce(n, F.lit(0)).alias("n_entries"), F.coalesce(c, F.lit("")).alias("categories"),
     )
 
 

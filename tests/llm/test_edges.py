@@ -105,3 +105,57 @@ def test_quality_edges(spark, edge):
 
 def test_docs_helper(spark):
     assert docs_of(spark, ["a", None]).count() == 2
+
+
+def test_internal_names_may_be_taken(spark):
+    """Columns with the names that operators use inside keep their values."""
+    names = ("id_", "row_", "lines_", "_id_", "key_", "_key_", "hit_", "spans_", "items_", "url_", "at_", "_url_", "n_", "c_", "__drop", "__id", "__row", "__key", "__in_spans", "__spans", "__items")
+    df = spark.createDataFrame([(1, "a line of some five words", "a line of some five words"), (2, "a line of some five words", "x")], "doc_id bigint, text string, spans string")
+    df = df.withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+
+    def same(out, *but):
+        for r in out.collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in names if n not in but)
+        return out
+
+    assert same(lines.dedup(df)).where("n_dropped = 1").count() == 1
+    same(pieces.with_text(pieces.with_pieces(df, pieces.load()), pieces.load()))
+    items = items_of(spark, [(1, "some five words"), (2, "a line of"), (3, "of some")])
+    same(decontaminate.find(df, items))
+    same(decontaminate.find(df, items, slice_windows=1))
+    kept = same(decontaminate.decontaminate(df, items, mode="spans"))
+    assert kept.columns == df.columns and {r.spans for r in kept.collect()} == {"a line of some five words", "x"}
+    assert decontaminate.decontaminate(df, items).count() == 0
+    caps = df.withColumns({"url": F.lit("http://a.b/c"), "fetched_on": F.lit("2024-01-05").cast("date")})
+    feed = spark.createDataFrame([("host", "a.b", "l", 1, "2024-01-01", "add")], "kind string, key string, category string, seq int, on_date string, action string")
+    assert same(urls.judge(caps, feed.withColumn("on_date", F.col("on_date").cast("date")))).where("blocked").count() == 2
+
+
+URLS = [
+    ("http://bad.com/x", "bad.com", True), ("http://bad.com./x", "bad.com", True), ("http://b%61d.com/x", "bad.com", True), (" \thttp://bad.com/x\n", "bad.com", True),
+    ("//bad.com/x", "bad.com", True), ("HTTP://user:pw@BAD.com:80/x", "bad.com", True), ("http://a@b@bad.com/", "bad.com", True), ("http://[2001:db8::1]:80/a", "[2001:db8::1]", True),
+    ("http://ok.com/a/../x/y", "ok.com", True), ("http://ok.com/./%78", "ok.com", True), ("http://ok.com//x//", "ok.com", True), ("http://ok.com/a/x", "ok.com", False),
+    ("http://ok.com/%2fx", "ok.com", False), ("http://ok.com/%zz/x", "ok.com", False), ("http://ok.com/../../x", "ok.com", True), ("http://notbad.com/x", "notbad.com", False),
+    ("http://sub.bad.com/", "sub.bad.com", False), ("http://deep.evil.org/", "deep.evil.org", True), ("bad.com/x", "", False), ("http://ok.com/a+b", "ok.com", True),
+]
+
+
+def test_url_forms(spark):
+    feed = [("host", "bad.com."), ("host", "[2001:db8::1]"), ("prefix", "ok.com/x"), ("domain", "Evil.org"), ("prefix", "ok.com/a+b")]
+    feed = spark.createDataFrame([(k, v, "l", 1, "add") for k, v in feed], "kind string, key string, category string, seq int, action string").withColumn("on_date", F.lit("2024-01-01").cast("date"))
+    caps = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(URLS)], "page_id int, url string").withColumn("fetched_on", F.lit("2024-02-01").cast("date"))
+    for r in urls.judge(caps, feed).collect():
+        assert (r.host, r.blocked) == URLS[r.page_id][1:], r.url
+
+
+def test_very_long_urls(spark):
+    """Prefixes and domains are made only as deep as the list's own keys."""
+    import time
+
+    rows = [(1, "http://ok.com/" + "a/" * 200_000), (2, "http://" + "a." * 100_000 + "evil.org/"), (3, "http://ok.com/" + "../" * 50_000 + "x")]
+    feed = spark.createDataFrame([("prefix", "ok.com/a/a", "l", 1, "add"), ("domain", "evil.org", "l", 1, "add"), ("prefix", "ok.com/x", "l", 1, "add")], "kind string, key string, category string, seq int, action string")
+    feed = feed.withColumn("on_date", F.lit("2024-01-01").cast("date"))
+    caps = spark.createDataFrame(rows, "page_id int, url string").withColumn("fetched_on", F.lit("2024-02-01").cast("date"))
+    began = time.time()
+    assert all(r.blocked and r.n_entries == 1 for r in urls.judge(caps, feed).select("page_id", "blocked", "n_entries").collect())
+    assert time.time() - began < 60
