@@ -31,7 +31,7 @@ def main() -> None:
         lines.append(f"| {i} | `{k}` | {'O' if k in o else ('R' if fn else '—')} | {doc} |")
         seen.add(k)
     extra = sorted(set(q) - seen)
-    lines += ["", "Additional registered queries (exact twins and stream forms):", "", "| Query key | Check | What |", "| --- | --- | --- |"]
+    lines += ["", "Additional registered queries (exact twins, stream forms, rooms that reach every branch, what the models' runs serve, training data):", "", "| Query key | Check | What |", "| --- | --- | --- |"]
     for k in extra:
         doc = (q[k].__doc__ or "").strip().split("\n")[0]
         lines.append(f"| `{k}` | {'O' if k in o else 'R'} | {doc} |")
