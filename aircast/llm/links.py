@@ -1,9 +1,9 @@
 """Connected groups of nodes that share keys, without listing all pairs of a key.
 
 ``shared_keys`` finds the (key, node) rows of keys that two or more nodes have.
-``link_components`` then works in rounds.  Round 1 tests each node against
-the hub (smallest node) of its key and joins the true links into
-components.  The next ones do the same with other hubs, for nodes that are not in their hub's component.  The last one
+``link_components`` then works in rounds.  The first test each node against
+the hubs (smallest nodes) of its keys and join the true links into
+components: the smallest hub of all, then the others that it hasn't joined.  ``MORE_HUBS`` rounds may do the same with other hubs.  The last one
 looks only at keys whose nodes are still in different
 components, and tests the pairs across them.  So every pair that shares
 a key is linked, tested, or already connected; a key shared by one large group of
@@ -23,14 +23,14 @@ from . import textkit as tk
 from .frames import Scratch, scan_state
 
 #: (key, node) entries held by a task before they are dealt to buckets.
-FLUSH = 1 << 18
+FLUSH = 1 << 17
 #: Entries of one bucket (24 bytes each).
-BUCKET = 500_000
+BUCKET = 250_000
 #: A key with so many nodes in one flush is linked where it is found, and only its hub travels.
 HOT = 512
 
-#: Rounds with another hub for each key, before the pairs that are left.
-MORE_HUBS = 2
+#: Rounds with another hub for each key, before the pairs that are left (each costs one more pass).
+MORE_HUBS = 1
 
 #: What a batch contributes: keys (uint64), nodes (int64), and for each entry the node's
 #: size and its room (int32), an upper bound that the key gives for any overlap.
@@ -170,6 +170,16 @@ def _placed(keys: DataFrame, comp: DataFrame, scratch: Scratch, k: int) -> DataF
     return scratch.table(rows, f"placed{k}")
 
 
+def _more(comp: DataFrame, verify: Callable[[DataFrame], DataFrame], pairs: DataFrame, scratch: Scratch, step: int) -> DataFrame:
+    """The components after the true links among ``pairs``."""
+    found = scratch.table(verify(pairs), f"links{step}")
+    scratch.forget()
+    if found.isEmpty():
+        return comp
+    # components so far are stars already
+    return scratch.table(components(found.union(comp.select("node", "comp").where("node != comp").toDF("a", "b"))), f"comp{step}")
+
+
 def link_components(
     keys: DataFrame,
     may: May,
@@ -184,25 +194,29 @@ def link_components(
     n, hub_n, room = (F.col(c) for c in ("n", "hub_n", "room"))
     stars = keys.where("node != hub").where(may(n, n, room, hub_n, hub_n, room))
     stars = scratch.table(_oriented(stars.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "stars")
-    tested, edges = stars, scratch.table(verify(stars), "links1")
+    # a node's keys may have many hubs: the smallest first, the others only where that one hasn't joined them
+    first = stars.groupBy("a").agg(F.min("b").alias("b"))
+    edges = scratch.table(verify(first), "links0")
     scratch.forget()
-    comp = scratch.table(components(edges), "comp1")
-    placed = _placed(keys, comp, scratch, 1)
-    for k in range(2, 2 + MORE_HUBS):
+    comp = scratch.table(components(edges), "comp0")
+    of_a, of_b = (comp.select(F.col("node").alias(v), F.col("comp").alias(f"c{v}")) for v in "ab")
+    rest = stars.join(first, ["a", "b"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
+    rest = scratch.table(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
+    tested, step = stars, 1
+    comp = _more(comp, verify, rest, scratch, step)
+    placed = _placed(keys, comp, scratch, step)
+    for k in range(MORE_HUBS):
         # another hub for each key: the node that a hash of the nodes puts first, the same one in all keys that it has
         hubs = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "room", "comp"), F.xxhash64("node", F.lit(k))).alias("h"))
         met = placed.join(hubs, "key").where(F.col("comp") != F.col("h.comp")).where(may(n, n, room, F.col("h.n"), F.col("h.n"), F.col("h.room")))
         pairs = _oriented(met.select(F.col("node").alias("a"), F.col("h.node").alias("b"))).join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"stars{k}")
+        pairs = scratch.table(pairs, f"hubs{k}")
         if pairs.isEmpty():
             break
-        tested, found = tested.union(pairs), scratch.table(verify(pairs), f"links{k}")
-        scratch.forget()
-        if not found.isEmpty():
-            # components so far are stars already
-            comp = scratch.table(components(found.union(comp.select("node", "comp").where("node != comp").toDF("a", "b"))), f"comp{k}")
-            scratch.drop(f"placed{k - 1}")
-            placed = _placed(keys, comp, scratch, k)
+        tested, step = tested.union(pairs), step + 1
+        comp = _more(comp, verify, pairs, scratch, step)
+        scratch.drop(f"placed{step - 1}")
+        placed = _placed(keys, comp, scratch, step)
 
     at = placed.repartition("key").groupBy("key", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("room").alias("room"))
     x, y = at.alias("x"), at.alias("y")
