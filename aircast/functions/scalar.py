@@ -69,8 +69,16 @@ def py_text(x: Column) -> Column:
 
 
 def int_text(x: Column) -> Column:
-    """Text of round(x) as Python prints an int."""
-    return half_even(x).cast("bigint").cast("string")
+    """Text of round(x) as Python prints an int: all its digits to 2^126, from there on the 17 that tell doubles
+    apart and zeros.  A prediction of a model whose errors grow without bound may pass the range of
+    bigint; infinite and missing numbers, which have no int, are named."""
+    r = half_even(x)
+    unit, size = float(1 << 63), F.abs(r)
+    high = F.floor(size / F.lit(unit))  # exact, as is the rest: both are parts of the double's own bits
+    low = (size - high.cast("double") * F.lit(unit)).try_cast("bigint")
+    high, low = (F.when(size < unit * unit, v).cast("decimal(19,0)") for v in (high, low))
+    whole = F.concat(F.when(r < 0, "-").otherwise(""), (high * F.lit(1 << 62).cast("decimal(19,0)") * F.lit(2) + low).cast("string"))
+    return F.when(size < unit, r.try_cast("bigint").cast("string")).when(size < unit * unit, whole).when(size >= unit * unit, F.format_string("%.0f", r))
 
 
 def advice(pred_co2: Column, pred_temp: Column, *, co2: float = CO2_LIMIT, low: float = TEMP_LOW, high: float = TEMP_HIGH,
