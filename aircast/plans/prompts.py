@@ -57,7 +57,7 @@ def day_answer(lookup: DataFrame) -> DataFrame:
     name = cal.day_name(F.col("prompt"), F.col("target_date"))
     text = F.concat(
         F.lit("Forecast for "), name, F.lit(" ("), day, F.lit("):\nPredicted CO₂: "),
-        S.half_even(F.col("pred_co2")).cast("bigint").cast("string"),
+        S.int_text(F.col("pred_co2")),
         F.lit(" ppm\nPredicted Temperature: "), S.half_even(F.col("pred_temp"), 1).cast("string"),
         F.lit("°C\nAdvice: "), F.coalesce(F.col("advies"), F.lit("No specific advice available")),
     )
@@ -114,7 +114,7 @@ def climate_context(prompts: DataFrame, hourly: DataFrame, *, as_of: str, keys:
 
 def forecast_line(df: DataFrame):
     return F.concat(
-        F.date_format("ds", "yyyy-MM-dd"), F.lit(" → Predicted CO2: "), S.half_even(F.col("pred_co2")).cast("bigint").cast("string"),
+        F.date_format("ds", "yyyy-MM-dd"), F.lit(" → Predicted CO2: "), S.int_text(F.col("pred_co2")),
         F.lit(" ppm, Predicted Temp: "), S.half_even(F.col("pred_temp"), 1).cast("string"),
         F.lit("°C, Outside max: "), S.py_text(F.col("outside_temp_max")), F.lit("°C, Solar: "), S.py_text(F.col("solar_radiation")),
         F.lit(", Rain: "), S.py_text(F.col("precipitation")), F.lit(" mm, Wind: "), S.py_text(F.col("wind")),

@@ -1,10 +1,14 @@
 """Numbers and tables larger than the usual ones."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from aircast.functions import scalar as S
+from aircast.plans import prompts as P
 
 HUGE = 1.8106230517939356e20
+DAY = dt.date(2024, 1, 31)
 
 
 def test_int_text_beyond_bigint(spark):
@@ -20,3 +24,19 @@ def test_warning_of_an_explosive_model(spark):
     got = [r[0] for r in df.select(S.warning_text(F.col("c"), F.col("t"))).collect()]
     assert got[0].startswith("The CO₂ is expected to reach 181062305179393556480 ppm today")
     assert got[1].startswith("The indoor temperature may rise to 26 degrees")
+
+
+def _forecast(spark):
+    return spark.createDataFrame(
+        [(1, DAY, HUGE, 21.25, 3.0, 1.0, 0.0, 2.0, 5, "x")],
+        "room_id bigint, ds date, pred_co2 double, pred_temp double, outside_temp_max double, solar_radiation double, "
+        "precipitation double, wind double, cloudcover int, advies string",
+    )
+
+
+def test_context_and_answer_of_an_explosive_model(spark):
+    p = spark.createDataFrame([(7, 1, "give me the forecast")], "prompt_id bigint, room_id bigint, prompt string")
+    text = P.forecast_context(p, _forecast(spark)).first()["context"]
+    assert "2024-01-31 → Predicted CO2: 181062305179393556480 ppm, Predicted Temp: 21.2°C" in text
+    looked = P.forecast_lookup(p, _forecast(spark), as_of=str(DAY))
+    assert "Predicted CO₂: 181062305179393556480 ppm" in P.day_answer(looked).first()["answer"]
