@@ -111,44 +111,47 @@ def append_store(stream: DataFrame, path: str, checkpoint: str):
 LATCH_OUT = "id long, room_id long, ts timestamp, presence_latched boolean"
 
 
+#: Keys that the series of one latch block are dealt to.
+LATCH_BUCKETS = 16
+
+
 def _latch_processor_cls(reset_minute: int):
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
     class PresenceLatch(StatefulProcessor):
-        """Keyed by (room, day of the latch block): state = first ON instant of
-        each block of the day.  Each micro-batch of a key is
-        one vectorised pandas frame: first ON per block, then a lookup for
+        """Keyed by (latch block, bucket of series): state = first ON instant of each
+        series of the bucket, two arrays in one value.  Each micro-batch of a key is
+        one vectorised pandas frame: first ON per series, then a lookup for
         every reading."""
 
         def init(self, handle) -> None:
             self.handle = handle
-            self.latch = handle.getMapState("latch", "blk timestamp", "on_ts timestamp")
+            self.latch = handle.getValueState("latch", "series array<string>, on_us array<bigint>")
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            # the watermark passed the key's day: its blocks are closed
+            # the watermark passed the key's block: it is closed
             self.latch.clear()
             return iter([])
 
         def handleInputRows(self, key, rows, timerValues):
             pdf = pd.concat(list(rows), ignore_index=True)
-            blk = (pdf["ts"] - pd.Timedelta(minutes=reset_minute)).dt.floor("h")
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
             on_rows = (pdf["kind"] == 0) & pdf["is_on"].eq(True)
-            first = pdf.loc[on_rows, "ts"].groupby(blk[on_rows]).min()
-            # rows may come late, so the first ON of every block of the day is kept
-            # (24 at most; the timer clears them)
-            for (sb,), (so,) in self.latch.iterator():
-                sb, so = pd.Timestamp(sb), pd.Timestamp(so)
-                first.loc[sb] = min(so, first.get(sb, so))
-            for b, on in first.items():
-                self.latch.updateValue((b.to_pydatetime(),), (on.to_pydatetime(),))
+            first = us[on_rows].groupby(pdf.loc[on_rows, "series"]).min()
+            # rows may come late, so the first ON of every series is kept until the timer clears it
+            kept = self.latch.get()
+            if kept is not None:
+                first = pd.concat([pd.Series(list(kept[1]), index=list(kept[0]), dtype="int64"), first]).groupby(level=0).min()
+            if on_rows.any():
+                self.latch.update((first.index.tolist(), first.tolist()))
+            self.handle.registerTimer((int(key[0]) + 3600 + 60 * reset_minute) * 1000)
             r = pdf["kind"] == 1
-            f = blk[r].map(first)
-            day_end = pd.Timestamp(key[-1]) + pd.Timedelta(days=1, minutes=reset_minute)
-            self.handle.registerTimer(int(day_end.value // 1_000_000))
+            series = pdf.loc[r, "series"]
+            f = series.map(first)
             yield pd.DataFrame({
-                "id": pdf.loc[r, "id"].astype("int64"), "room_id": pdf.loc[r, "room_id"].astype("int64"),
-                "ts": pdf.loc[r, "ts"], "presence_latched": (f.notna() & (f <= pdf.loc[r, "ts"])).astype(bool),
+                "id": pdf.loc[r, "id"].astype("int64"), "room_id": pdf.loc[r, "room_id"].astype("Int64").mask(series.isna()),
+                "ts": pdf.loc[r, "ts"], "presence_latched": f.notna() & (f <= us[r]),
             })
 
         def close(self) -> None:
@@ -158,24 +161,28 @@ def _latch_processor_cls(reset_minute: int):
 
 
 def presence_latch_rows(readings: DataFrame, pings: DataFrame, *, keys: Sequence[str] = DEFAULT_KEYS,
-                        reset_minute: int = 2, delay: str = "10 minutes") -> DataFrame:
+                        reset_minute: int = 2, delay: str = "10 minutes", buckets: int = LATCH_BUCKETS) -> DataFrame:
     """J5 per reading: readings and radar lines meet in keyed state
-    (``transformWithStateInPandas``) keyed by room and the day of the latch
-    block, so a busy room is spread over its days; equals the batch C6
-    result when rows arrive in event-time order.  (Per-block keys would
-    spread it further but cost one state round trip per hour and room.)"""
+    (``transformWithStateInPandas``) keyed by latch block and a bucket of
+    series, so a key costs a few state round trips however many series there
+    are, and the work of an hour is spread over ``buckets`` keys; equals the batch C6
+    result when rows arrive in event-time order (a reading without a series has no ON line)."""
     keys = list(keys)
     ok = F.col("line").contains("ON") & (F.minute("ts") != reset_minute)
-    p = pings.select(*keys, "ts", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), ok.alias("is_on"))
+    p = pings.where(F.col("ts").isNotNull()).select(*keys, "ts", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), ok.alias("is_on"))
     r = readings.where(F.col("ts").isNotNull()).select(*keys, "ts", F.lit(1).alias("kind"), F.col("id"), F.lit(None).cast("boolean").alias("is_on"))
-    u = p.unionByName(r).withColumn("blk_day", F.to_date(reset_block(F.col("ts"), reset_minute).cast("timestamp_ntz")))
+    series = F.concat(*[x for k in keys for x in (F.lit("\x1f"), F.col(k).cast("string"))])
+    u = p.unionByName(r).withColumns({
+        "block": F.unix_seconds(reset_block(F.col("ts"), reset_minute)), "bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets)), "series": series,
+    })
+    u = u.withColumn("room_id", F.coalesce("room_id", F.lit(0)))  # its null is that of ``series``: pandas' integers have none
     if u.isStreaming:
-        # event-time timers clear a (room, day) key once the watermark passes its day
+        # event-time timers clear a key once the watermark passes its block
         u = u.withWatermark("ts", delay)
         mode = "EventTime"
     else:
         mode = "None"
-    return u.groupBy(*keys, "blk_day").transformWithStateInPandas(
+    return u.groupBy("block", "bucket").transformWithStateInPandas(
         statefulProcessor=_latch_processor_cls(reset_minute)(), outputStructType=LATCH_OUT, outputMode="Append", timeMode=mode
     )
 

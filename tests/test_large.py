@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from aircast.functions import scalar as S
 from aircast.plans import prompts as P
+from aircast.streaming import streams as ST
 
 HUGE = 1.8106230517939356e20
 DAY = dt.date(2024, 1, 31)
@@ -40,3 +41,34 @@ def test_context_and_answer_of_an_explosive_model(spark):
     assert "2024-01-31 → Predicted CO2: 181062305179393556480 ppm, Predicted Temp: 21.2°C" in text
     looked = P.forecast_lookup(p, _forecast(spark), as_of=str(DAY))
     assert "Predicted CO₂: 181062305179393556480 ppm" in P.day_answer(looked).first()["answer"]
+
+
+def test_latch_stream_by_blocks(spark, tmp_path):
+    """Several rooms in one bucket, an unknown room, late lines and a block that goes on in the next batch."""
+    at = lambda h, m: dt.datetime(2024, 1, 5, h, m)
+    # kind, id, room, ts
+    first = [("p", 0, 1, at(10, 5)), ("p", 1, 2, at(10, 30)), ("r", 2, 1, at(10, 4)), ("r", 3, 1, at(10, 5)), ("r", 4, 2, at(10, 20)),
+             ("r", 5, None, at(10, 40)), ("p", 6, None, at(10, 6)), ("r", 7, 2**53 + 1, at(10, 41))]
+    second = [("r", 8, 2, at(10, 50)), ("r", 9, 1, at(11, 1)), ("r", 10, 1, at(11, 3)), ("p", 11, 1, at(10, 45)), ("r", 12, 3, at(11, 4)), ("p", 13, 3, at(11, 3))]
+    schema = "kind string, id bigint, room_id bigint, ts timestamp"
+    feed = tmp_path / "feed"
+    for i, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(feed / f"n={i}"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{feed}/n=*")
+    pings = s.where("kind = 'p'").select("room_id", "ts", F.lit(" ON ").alias("line"))
+    out = ST.presence_latch_rows(s.where("kind = 'r'").select("id", "room_id", "ts"), pings, buckets=1)
+    got = {r.id: (r.room_id, r.presence_latched) for r in ST.run_available_now(out, "t_latch_blocks").collect()}
+    assert got == {2: (1, False), 3: (1, True), 4: (2, False), 5: (None, False), 7: (2**53 + 1, False), 8: (2, True),
+                   9: (1, True), 10: (1, False), 12: (3, True)}
+
+
+def test_latch_keys_do_not_grow_with_the_rooms(spark, tmp_path):
+    """A key costs state round trips: the rooms of a block share a few of them."""
+    rows = spark.range(3000).select("id", F.col("id").alias("room_id"), F.lit("2024-01-05 10:05:00").cast("timestamp").alias("ts"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "feed"))
+    s = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "feed"))
+    out = ST.presence_latch_rows(s, s.select("room_id", "ts", F.lit(" ON ").alias("line")))
+    q = out.writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    kept = max(int(o["numRowsTotal"]) for p in q.recentProgress for o in p["stateOperators"])
+    assert 0 < kept <= 10 * ST.LATCH_BUCKETS  # states and timers; one for each room before
