@@ -3,9 +3,9 @@
 A design vector ``x`` (ARRAY<DOUBLE>, x[0] = 1) and a target ``y`` are
 reduced to X'X, X'y and y'y.  ``fit`` adds up whole matrices: each Arrow batch
 gives one packed matrix for every series in it, wherever its rows are (a long
-series is spread over many tasks), and only these meet by series, where all of a
-partition's systems are solved at once.  ``gram_exprs`` states the same sums as SQL
-aggregates."""
+series is spread over many tasks), and only these meet by series, sorted by Spark: a task
+adds up and solves ``NUMBERS`` worth of systems at once, and holds no more of its partition.
+``gram_exprs`` states the same sums as SQL aggregates."""
 
 from __future__ import annotations
 
@@ -21,7 +21,9 @@ from pyspark.sql.types import _parse_datatype_string
 from ..session import ship_package
 
 #: Rows whose products are formed at once.
-STEP = 4096
+STEP = 1024
+#: Numbers of the square matrices that are held at once (8 bytes each): so many series are added up or solved together.
+NUMBERS = 1 << 20
 
 
 def upper_pairs(p: int) -> list[tuple[int, int]]:
@@ -174,34 +176,60 @@ def fit(df: DataFrame, keys: Sequence[str], solver: Solver, schema: str, *, x: s
                 continue
             first, code = codes([b.column(c) for c in keys], b.num_rows)
             z = np.column_stack([matrix(b.column(x)), np.asarray(b.column(y), dtype=float)])
-            sums = outer_sums(z, code, len(first))
-            top = np.zeros((len(first), len(greatest)))
-            for i, c in enumerate(greatest):
-                np.maximum.at(top[:, i], code, np.abs(np.asarray(b.column(c), dtype=float)))
-            cols = {c: b.column(c).take(pa.array(first)) for c in keys + carry}
-            yield record(cols | {"n": np.bincount(code), "p": np.full(len(first), z.shape[1]), "top": top, "sums": [s.tobytes() for s in sums]}, part_arrow)
+            most = np.column_stack([np.zeros(b.num_rows), *[np.abs(np.asarray(b.column(c), dtype=float)) for c in greatest]])[:, 1:]
+            order, some = np.argsort(code, kind="stable"), at_once(z.shape[1])
+            for lo in range(0, len(first), some):
+                own = first[lo : lo + some]
+                at = order[slice(*np.searchsorted(code[order], [lo, lo + len(own)]))]
+                sums = outer_sums(z[at], code[at] - lo, len(own))
+                top = np.zeros((len(own), len(greatest)))
+                np.maximum.at(top, code[at] - lo, most[at])
+                cols = {c: b.column(c).take(pa.array(own)) for c in keys + carry}
+                counts = np.bincount(code[at] - lo)
+                yield record(cols | {"n": counts, "p": np.full(len(own), z.shape[1]), "top": top, "sums": [s.tobytes() for s in sums]}, part_arrow)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
-        first, code = codes([t.column(c).combine_chunks() for c in keys], t.num_rows)
-        p = t.column("p")[0].as_py()
-        sums = np.frombuffer(b"".join(t.column("sums").to_pylist())).reshape(t.num_rows, -1)
-        g = unpacked(group_sums(sums, code, len(first)), p)
-        n, top = np.bincount(code, np.asarray(t.column("n"))).astype(np.int64), np.zeros((len(first), len(greatest)))
-        if greatest:
-            np.maximum.at(top, code, matrix(t.column("top").combine_chunks()))
-        cols = {c: t.column(c).combine_chunks().take(pa.array(first)) for c in keys + carry}
-        yield record(cols | {"n": n} | solver(cols | {"n": n, "top": top}, g[:, :-1, :-1], g[:, :-1, -1], g[:, -1, -1]), out_arrow)
+        held = None  # the sums so far of the last series, which may go on
+
+        def added(t: pa.RecordBatch) -> tuple[dict, np.ndarray, int, int]:
+            """(columns, sums, number of the series that ends the rows, p) of the series in some rows."""
+            first, code = codes([t.column(c) for c in keys], t.num_rows)
+            sums = group_sums(np.frombuffer(b"".join(t.column("sums").to_pylist())).reshape(t.num_rows, -1), code, len(first))
+            n, top = np.bincount(code, np.asarray(t.column("n"))).astype(np.int64), np.zeros((len(first), len(greatest)))
+            if greatest:
+                np.maximum.at(top, code, matrix(t.column("top")))
+            return {c: t.column(c).take(pa.array(first)) for c in keys + carry} | {"n": n, "top": top}, sums, int(code[-1]), t.column("p")[0].as_py()
+
+        def solved(cols: dict, sums: np.ndarray, p: int) -> pa.RecordBatch:
+            g = unpacked(sums, p)
+            return record({c: cols[c] for c in (*keys, *carry, "n")} | solver(cols, g[:, :-1, :-1], g[:, :-1, -1], g[:, -1, -1]), out_arrow)
+
+        for b in batches:
+            some = at_once(b.column("p")[0].as_py()) if b.num_rows else 1
+            for a in range(0, b.num_rows, some):
+                t = b.slice(a, some)
+                t = t if held is None else pa.Table.from_batches([held, t]).combine_chunks().to_batches()[0]
+                cols, sums, last, p = added(t)
+                done = np.flatnonzero(np.arange(len(sums)) != last)
+                if len(done):
+                    yield solved({c: v.take(pa.array(done)) if isinstance(v, pa.Array) else v[done] for c, v in cols.items()}, sums[done], p)
+                own = {c: v.slice(last, 1) if isinstance(v, pa.Array) else v[last : last + 1] for c, v in cols.items()}
+                held = record(own | {"p": np.array([p]), "sums": [sums[last].tobytes()]}, part_arrow)
+        if held is not None:
+            cols, sums, _, p = added(held)
+            yield solved(cols, sums, p)
 
     rows = df.select(*dict.fromkeys([*keys, *carry, x, y, *greatest]))
     parts = rows.mapInArrow(part, part_schema)
-    parts = parts.repartition(*keys) if keys else parts.repartition(1)
+    parts = parts.repartition(*keys).sortWithinPartitions(*keys) if keys else parts.repartition(1)
     return parts.mapInArrow(whole, out_schema)
 
 
+def at_once(p: int) -> int:
+    """Series with matrices of p x p that are held at once."""
+    return max(1, NUMBERS // (p * p))
+
+
 def ridge(g: np.ndarray, xty: np.ndarray, use: np.ndarray, std: np.ndarray, pen: np.ndarray, lam: float):
     """``ridge_from_sums`` for many systems: (beta, status, dropped, A, M), where beta = A' c and
     M = (Z'Z + lam D)^-1 for the standardised columns Z = X A' (rows and columns that aren't used are zero)."""

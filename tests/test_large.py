@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from aircast.functions import scalar as S
+from aircast.plans import gram as G
 from aircast.plans import prompts as P
 from aircast.streaming import streams as ST
 
@@ -72,3 +74,25 @@ def test_latch_keys_do_not_grow_with_the_rooms(spark, tmp_path):
     q.awaitTermination()
     kept = max(int(o["numRowsTotal"]) for p in q.recentProgress for o in p["stateOperators"])
     assert 0 < kept <= 10 * ST.LATCH_BUCKETS  # states and timers; one for each room before
+
+
+def test_sums_are_solved_a_bounded_number_at_once(spark):
+    """A task holds so many matrices, not those of its whole partition."""
+    wide, rooms = 63, 3000
+    x = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda i: F.when(i == 0, 1.0).otherwise(((F.col("room_id") * 31 + F.col("day") * 7 + i * i) % 11).cast("double")))
+    df = spark.range(rooms * 2).select((F.col("id") % rooms).alias("room_id"), F.floor(F.col("id") / rooms).alias("day"))
+    df = df.withColumn("x", x).withColumn("y", (F.col("room_id") % 5 - F.col("day")).cast("double")).repartition(3, "day")
+
+    def solver(cols, g, xty, yty):
+        return {"together": np.full(len(g), len(g)), "xx": g[:, 1, 2], "xy": xty[:, 3], "yy": yty, "top": cols["top"][:, 0]}
+
+    schema = "together bigint, xx double, xy double, yy double, top double"
+    got = G.fit(df, ["room_id"], solver, schema, greatest=["y"])
+    want = df.groupBy("room_id").agg(
+        F.count("*").alias("n"), F.sum(F.col("x")[1] * F.col("x")[2]).alias("xx"), F.sum(F.col("x")[3] * F.col("y")).alias("xy"),
+        F.sum(F.col("y") * F.col("y")).alias("yy"), F.max(F.abs("y")).alias("top"),
+    )
+    assert got.agg(F.max("together")).first()[0] <= G.NUMBERS // (wide + 1) ** 2
+    assert got.count() == rooms and got.drop("together").exceptAll(want.select("room_id", "n", "xx", "xy", "yy", "top")).isEmpty()
+    one = G.fit(df, [], solver, schema, greatest=["y"]).collect()
+    assert [(r.n, r.together, r.top) for r in one] == [(rooms * 2, 1, 4.0)]
