@@ -111,8 +111,9 @@ def append_store(stream: DataFrame, path: str, checkpoint: str):
 LATCH_OUT = "id long, room_id long, ts timestamp, presence_latched boolean"
 
 
-#: Keys that the series of one latch block are dealt to.
+#: Keys that the rooms of one latch block are dealt to.
 LATCH_BUCKETS = 16
+HOUR_US = 3_600_000_000
 
 
 def _latch_processor_cls(reset_minute: int):
@@ -120,14 +121,14 @@ def _latch_processor_cls(reset_minute: int):
     from pyspark.sql.streaming import StatefulProcessor
 
     class PresenceLatch(StatefulProcessor):
-        """Keyed by (latch block, bucket of series): state = first ON instant of each
-        series of the bucket, two arrays in one value.  Each micro-batch of a key is
-        one vectorised pandas frame: first ON per series, then a lookup for
-        every reading."""
+        """Keyed by (latch block, bucket of rooms): state = first ON instant of each
+        room of the bucket, two arrays for each block that a key has.  Each micro-batch of a key is
+        one vectorised pandas frame: first ON per room, then a lookup for
+        every reading (kind 1, and 2 where the room is unknown)."""
 
         def init(self, handle) -> None:
             self.handle = handle
-            self.latch = handle.getValueState("latch", "series array<string>, on_us array<bigint>")
+            self.latch = handle.getMapState("latch", "blk bigint", "rooms array<bigint>, on_us array<bigint>")
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             # the watermark passed the key's block: it is closed
@@ -137,21 +138,24 @@ def _latch_processor_cls(reset_minute: int):
         def handleInputRows(self, key, rows, timerValues):
             pdf = pd.concat(list(rows), ignore_index=True)
             us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            blk = (us - reset_minute * 60_000_000) // HOUR_US
             on_rows = (pdf["kind"] == 0) & pdf["is_on"].eq(True)
-            first = us[on_rows].groupby(pdf.loc[on_rows, "series"]).min()
-            # rows may come late, so the first ON of every series is kept until the timer clears it
-            kept = self.latch.get()
-            if kept is not None:
-                first = pd.concat([pd.Series(list(kept[1]), index=list(kept[0]), dtype="int64"), first]).groupby(level=0).min()
-            if on_rows.any():
-                self.latch.update((first.index.tolist(), first.tolist()))
-            self.handle.registerTimer((int(key[0]) + 3600 + 60 * reset_minute) * 1000)
-            r = pdf["kind"] == 1
-            series = pdf.loc[r, "series"]
-            f = series.map(first)
+            # rows may come late, so the first ON of every room is kept until the timer clears it
+            kept = [(b, room, on) for (b,), (rooms, ons) in self.latch.iterator() for room, on in zip(rooms, ons)]
+            new = pd.DataFrame({"blk": blk, "room": pdf["room_id"], "on": us})[on_rows]
+            seen = pd.concat([pd.DataFrame(kept, columns=["blk", "room", "on"], dtype="int64"), new.astype("int64")])
+            first = seen.groupby(["blk", "room"])["on"].min()
+            for b in new["blk"].unique().tolist():
+                own = first.loc[b]
+                self.latch.updateValue((b,), (own.index.tolist(), own.tolist()))
+            self.handle.registerTimer(int((blk.max() + 1) * HOUR_US // 1000 + reset_minute * 60_000))
+            r, unknown = pdf["kind"] > 0, pdf["kind"] == 2
+            f = pd.Series(float("nan"), index=pdf.index[r])
+            if len(first):
+                f[:] = first.reindex(pd.MultiIndex.from_arrays([blk[r], pdf.loc[r, "room_id"]])).to_numpy()
             yield pd.DataFrame({
-                "id": pdf.loc[r, "id"].astype("int64"), "room_id": pdf.loc[r, "room_id"].astype("Int64").mask(series.isna()),
-                "ts": pdf.loc[r, "ts"], "presence_latched": f.notna() & (f <= us[r]),
+                "id": pdf.loc[r, "id"].astype("int64"), "room_id": pdf.loc[r, "room_id"].astype("Int64").mask(unknown[r]),
+                "ts": pdf.loc[r, "ts"], "presence_latched": (f <= us[r]) & ~unknown[r],
             })
 
         def close(self) -> None:
@@ -164,25 +168,25 @@ def presence_latch_rows(readings: DataFrame, pings: DataFrame, *, keys: Sequence
                         reset_minute: int = 2, delay: str = "10 minutes", buckets: int = LATCH_BUCKETS) -> DataFrame:
     """J5 per reading: readings and radar lines meet in keyed state
     (``transformWithStateInPandas``) keyed by latch block and a bucket of
-    series, so a key costs a few state round trips however many series there
+    rooms, so a key costs a few state round trips however many rooms there
     are, and the work of an hour is spread over ``buckets`` keys; equals the batch C6
-    result when rows arrive in event-time order (a reading without a series has no ON line)."""
-    keys = list(keys)
+    result when rows arrive in event-time order (a reading of an unknown room has no ON line)."""
+    others = [k for k in keys if k != "room_id"]
+    room, ts = F.coalesce("room_id", F.lit(0)).alias("room_id"), F.col("ts").isNotNull()  # pandas' integers have no null
     ok = F.col("line").contains("ON") & (F.minute("ts") != reset_minute)
-    p = pings.where(F.col("ts").isNotNull()).select(*keys, "ts", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), ok.alias("is_on"))
-    r = readings.where(F.col("ts").isNotNull()).select(*keys, "ts", F.lit(1).alias("kind"), F.col("id"), F.lit(None).cast("boolean").alias("is_on"))
-    series = F.concat(*[x for k in keys for x in (F.lit("\x1f"), F.col(k).cast("string"))])
+    p = pings.where(ts).select(*others, room, "ts", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("id"), (ok & F.col("room_id").isNotNull()).alias("is_on"))
+    kind = F.when(F.col("room_id").isNull(), 2).otherwise(1).alias("kind")
+    r = readings.where(ts).select(*others, room, "ts", kind, F.col("id"), F.lit(None).cast("boolean").alias("is_on"))
     u = p.unionByName(r).withColumns({
-        "block": F.unix_seconds(reset_block(F.col("ts"), reset_minute)), "bucket": F.pmod(F.xxhash64(*keys), F.lit(buckets)), "series": series,
+        "block": F.unix_seconds(reset_block(F.col("ts"), reset_minute)), "bucket": F.pmod(F.xxhash64("room_id"), F.lit(buckets)),
     })
-    u = u.withColumn("room_id", F.coalesce("room_id", F.lit(0)))  # its null is that of ``series``: pandas' integers have none
     if u.isStreaming:
         # event-time timers clear a key once the watermark passes its block
         u = u.withWatermark("ts", delay)
         mode = "EventTime"
     else:
         mode = "None"
-    return u.groupBy("block", "bucket").transformWithStateInPandas(
+    return u.groupBy(*others, "block", "bucket").transformWithStateInPandas(
         statefulProcessor=_latch_processor_cls(reset_minute)(), outputStructType=LATCH_OUT, outputMode="Append", timeMode=mode
     )
 
