@@ -220,3 +220,69 @@ def test_scratch_is_removed(spark, tmp_path):
         root = s.root.replace("file:", "")
         assert os.path.isdir(root)
     assert not os.path.exists(root)
+
+
+def edited(line, r, edits):
+    """``line`` with so many letters replaced, inserted or deleted at places all over it."""
+    out = list(line)
+    for k in sorted(r.sample(range(1, len(line) - 1), edits), reverse=True):
+        how = r.choice("rid")
+        if line[k] == " ":
+            how = "r" if line[k - 1] != " " != line[k + 1] else "i"
+        out[k : k + 1] = {"r": [r.choice("abcdefgh")], "i": [line[k], r.choice("abcdefgh")] if line[k] != " " else [" ", "q"], "d": []}[how]
+    return " ".join("".join(out).split())
+
+
+def line_groups(texts):
+    g = Groups(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if lines.alike(texts[i], texts[j]):
+            g.join(i, j)
+    return [g.find(i) for i in range(len(texts))]
+
+
+def test_lines_whose_edits_touch_all_blocks(spark):
+    """As many edits as are allowed, in different words."""
+    r = random.Random(8)
+    texts = []
+    for n in (2, 6, 10, 20, 40, 80) * 5:
+        a = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 8))) for _ in range(n))
+        texts += [a, edited(a, r, max(0, len(a) // 10 - 1)), edited(a, r, len(a) // 10)]
+    texts = list(dict.fromkeys(texts))
+    want = line_groups(texts)
+    got = {x.doc_id: x.n_dropped for x in lines.dedup(docs_of(spark, texts)).collect()}
+    assert sum(g != i for i, g in enumerate(want)) > 50
+    assert got == {i: int(g != i) for i, g in enumerate(want)}
+
+
+@pytest.mark.parametrize("common", [(2, 4, 8, 16, 32, 64, 128), ()])
+def test_pairs_of_blocks_against_brute_force(spark, monkeypatch, common):
+    """Small blocks, many rounds; texts of few letters, so that runs are common; text without spaces; each link once."""
+    from aircast.llm import line_pairs
+
+    monkeypatch.setattr(line_pairs, "LETTERS", 1500)
+    monkeypatch.setattr(line_pairs, "ROUND", 1)
+    monkeypatch.setattr(line_pairs, "HITS", 200)
+    monkeypatch.setattr(line_pairs, "COMMON", common)
+    r = random.Random(9)
+    texts = []
+    for n in (9, 10, 11, 19, 20, 29, 30, 39, 40, 59, 60, 61, 100, 140) * 4:
+        base = "".join(r.choices("ab" if n % 2 else "abcé語", k=n))
+        texts += [base] + ["".join(c if r.random() > 0.06 else r.choice("abx") for c in base) for _ in range(4)] + [base[: n - n // 10]]
+    texts = list(dict.fromkeys(t for t in texts if len(t) >= 6))
+    with Scratch(spark, "test") as scratch:
+        rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node bigint, comp bigint, words string")
+        found = line_pairs.all_links(rows, lines.alike, scratch)
+        assert len(found) > 3
+        got = sorted(tuple(sorted(x)) for t in found for x in t.collect())
+    assert got == [p for p in itertools.combinations(range(len(texts)), 2) if lines.alike(texts[p[0]], texts[p[1]])]
+
+
+def test_pairs_within_a_component_are_not_tested(spark):
+    from aircast.llm import line_pairs
+
+    a = "one line of many words that others are like"
+    rows = spark.createDataFrame([(1, 1, a), (2, 1, a + "s"), (3, 3, a[1:])], "node bigint, comp bigint, words string")
+    with Scratch(spark, "test") as scratch:
+        found = [tuple(sorted(x)) for t in line_pairs.all_links(rows, lines.alike, scratch) for x in t.collect()]
+    assert sorted(found) == [(1, 3), (2, 3)]
