@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -23,7 +23,9 @@ from ..session import ship_package
 #: Rows whose products are formed at once.
 STEP = 1024
 #: Numbers of the square matrices that are held at once (8 bytes each): so many series are added up or solved together.
-NUMBERS = 1 << 20
+NUMBERS = 1 << 18
+#: Bytes of an Arrow batch: a packed matrix has up to 18 kB, so 10,000 rows (Spark's bound) would be 180 MB of a worker.
+BATCH_BYTES = 4 << 20
 
 
 def upper_pairs(p: int) -> list[tuple[int, int]]:
@@ -143,6 +145,12 @@ def unpacked(upper: np.ndarray, p: int) -> np.ndarray:
 Solver = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray], "dict[str, object]"]
 
 
+def prepare(spark: SparkSession) -> None:
+    """Arrow batches bounded by their bytes, and the package on the executors."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    ship_package(spark)
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     """On the driver: it asks the session."""
     return pa.schema([(f.name, f.type) for f in to_arrow_schema(_parse_datatype_string(schema))])
@@ -164,7 +172,7 @@ def fit(df: DataFrame, keys: Sequence[str], solver: Solver, schema: str, *, x: s
     ``solver`` makes of (carried columns, X'X, X'y, y'y) of many series at once
     (columns of ``schema``).  ``greatest``: columns whose largest absolute values come as ``top``."""
     keys, carry, greatest = list(keys), list(carry), list(greatest)
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
     kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     own = "".join(f"`{c}` {kind[c]}, " for c in keys + carry)
     part_schema, out_schema = own + "n bigint, p int, top array<double>, sums binary", own + "n bigint, " + schema
@@ -299,7 +307,7 @@ def solve(sums: DataFrame, keys: Sequence[str], *, use: Sequence[bool] | None =
     ``use`` / ``std`` / ``pen`` are per-column flags (fixed), ``use_col`` an
     optional per-row ARRAY<BOOLEAN> mask (e.g. the regressor gate)."""
     keys, carry = list(keys), list(carry)
-    ship_package(sums.sparkSession)
+    prepare(sums.sparkSession)
     cols = keys + carry + ["xtx", "xty"] + ([use_col] if use_col else [])
     fields = [f for f in sums.schema.fields if f.name in keys + carry]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [SOLVE_SCHEMA])

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import DEFAULT_KEYS
-from ..session import ship_package
 from . import gram as G
 from . import models as M
 
@@ -25,7 +24,7 @@ from . import models as M
 WIDTH = 0.80
 PATHS = 1000
 #: Series whose trajectories are held at once (8 bytes x PATHS x horizon each).
-SERIES = 256
+SERIES = 64
 
 
 def normals(seeds: np.ndarray, salt: int, paths: int, steps: int) -> np.ndarray:
@@ -73,7 +72,7 @@ def co2_trajectories(xb, t_row, u1, u2, eps, phi1, phi2, drift, theta, sigma, no
 
 def _bounds(j: DataFrame, keys: Sequence[str], make: Callable[[pa.Table, np.ndarray, int], np.ndarray], width: float, paths: int) -> DataFrame:
     """``j`` (one row per series with ``fut``) plus lower and upper, arrays by step."""
-    ship_package(j.sparkSession)
+    G.prepare(j.sparkSession)
     names = j.columns
     j = j.withColumn("_seed", F.xxhash64(*keys) if keys else F.lit(0).cast("bigint"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in j.schema.fields if f.name in names) + ", lower array<double>, upper array<double>"

@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import ship_package
 from . import gram as G
 
 #: (the columns of complete series, first row of each and the end) -> columns of the result.
@@ -32,7 +31,7 @@ def _starts(t: pa.Table, keys: Sequence[str]) -> np.ndarray:
 
 def each_series(df: DataFrame, keys: Sequence[str], order: str, fn: SeriesFn, schema: str) -> DataFrame:
     keys = list(keys)
-    ship_package(df.sparkSession)
+    G.prepare(df.sparkSession)
     rows = df.repartition(*keys) if keys else df.repartition(1)
     rows = rows.sortWithinPartitions(*keys, order)
     arrow = G.arrow_schema(schema)

@@ -3,11 +3,13 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from aircast.functions import scalar as S
 from aircast.plans import gram as G
 from aircast.plans import prompts as P
+from aircast.plans.series import each_series
 from aircast.streaming import streams as ST
 
 HUGE = 1.8106230517939356e20
@@ -96,3 +98,15 @@ def test_sums_are_solved_a_bounded_number_at_once(spark):
     assert got.count() == rooms and got.drop("together").exceptAll(want.select("room_id", "n", "xx", "xy", "yy", "top")).isEmpty()
     one = G.fit(df, [], solver, schema, greatest=["y"]).collect()
     assert [(r.n, r.together, r.top) for r in one] == [(rooms * 2, 1, 4.0)]
+
+
+def test_fits_get_batches_bounded_by_their_bytes(spark):
+    """Wide rows: a worker holds few of them at once, however many a partition has."""
+    rows = spark.range(100_000).select(F.floor(F.col("id") / 10).alias("room_id"), "id", F.repeat(F.lit("x"), F.lit(1000)).alias("wide"))
+
+    def fn(t, first):
+        return {"room_id": t.column("room_id").combine_chunks().take(pa.array(first[:-1])), "held": np.full(len(first) - 1, t.nbytes)}
+
+    got = each_series(rows, ["room_id"], "id", fn, "room_id bigint, held bigint").agg(F.countDistinct("room_id"), F.count("*"), F.max("held")).first()
+    assert got[:2] == (10_000, 10_000)
+    assert got[2] < 1.1 * G.BATCH_BYTES
