@@ -75,6 +75,18 @@ def test_components(spark):
     assert {r.node: r.comp for r in got} == {x: g.find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_joined_components_are_walked_once(spark, monkeypatch):
+    """Many links between two components are one edge, and their members are not walked again."""
+    comp = [(i, 0) for i in range(40)] + [(100 + i, 100) for i in range(40)] + [(200, 200), (201, 200)]
+    more = [(100 + i, j) for i in range(40) for j in range(40)] + [(7, 8), (500, 201), (600, 601), (601, 602)]
+    seen, plain = [], links.components
+    monkeypatch.setattr(links, "components", lambda e: seen.append(links._oriented(e).count()) or plain(e))
+    got = links.joined(spark.createDataFrame(comp, "node bigint, comp bigint"), spark.createDataFrame(more, "a bigint, b bigint")).collect()
+    want = {n: 0 for n, _ in comp[:80]} | {200: 200, 201: 200, 500: 200, 600: 600, 601: 600, 602: 600}
+    assert sorted((r.node, r.comp) for r in got) == sorted(want.items())
+    assert seen == [4]
+
+
 def test_fuse_filter():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 7, 1000, 40_000):
