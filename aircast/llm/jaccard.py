@@ -12,8 +12,9 @@
    group of linked classes (built from the first links, ``links.link_components``) with
    the largest count of each coordinate; two nodes whose bound is
    below the overlap that any two of their members would need are not opened, nor is a
-   point that can't reach the other node's box.
-4. The surviving pairs of points are verified on the full sets.
+   point that can't reach the other node's box.  The points of opened nodes are compared block by block.
+4. The surviving pairs of points are verified on the full sets: of two nodes the pair with the most
+   overlap to spare first, the others only where that one doesn't link them.
 
 A tree packed by coordinates alone would compare all leaves of a size band
 with each other (count vectors of unrelated texts overlap in every coordinate), which
@@ -38,7 +39,7 @@ from . import counts as counting
 from . import textkit as tk
 from .frames import Scratch, scan, scan_state
 from .fuse import semi_join
-from .links import Entries, link_components, shared_keys
+from .links import ACROSS, Entries, link_components, shared_keys
 
 WORDS = 5
 #: Groups of the count vectors (the coordinates of a point).
@@ -46,6 +47,9 @@ GROUPS = 256
 #: Groups whose corpus counts order the shingles (a power of two).
 ORDER_BITS = 18
 ORDER_GROUPS = 1 << ORDER_BITS
+#: Points of a group that make a block, and points of other groups that meet a block at once.
+PART = 256
+MEET = 1024
 #: Stands for a null doc_id.
 NO_ID = -(1 << 63)
 
@@ -222,23 +226,60 @@ def _boxes(points: DataFrame, members: DataFrame, comps: DataFrame) -> DataFrame
     return alone.union(parts.groupBy("comp").applyInArrow(_box, BOX))
 
 
+def _meet(t: pa.Table) -> pa.Table:
+    """The pairs of points of each block whose summed coordinate minima reach the overlap they need, and what they have to spare."""
+    many, part, chunk, node, n = (np.asarray(t.column(c)) for c in ("many", "part", "chunk", "node", "n"))
+    few, alone = t.column("few").combine_chunks(), np.asarray(t.column("few").is_valid())
+    v = _vectors(t.column("v"))
+    order = np.lexsort((chunk, part, many))
+    new = np.any([x[order][1:] != x[order][:-1] for x in (many, part, chunk)], axis=0)
+    cut = np.concatenate([[0], np.flatnonzero(new) + 1, [len(order)]]).tolist()
+    own, other, spare = ([np.zeros(0, np.int64)] for _ in range(3))
+    for a, z in zip(cut[:-1], cut[1:]):
+        rows = order[a:z]
+        points = rows[~alone[rows]]
+        held, sizes = v[points], n[points]
+        for i in rows[alone[rows]].tolist():
+            left = np.minimum(held, v[i]).sum(1) - needed(sizes, n[i])
+            keep = np.flatnonzero(left >= 0)
+            own.append(np.full(len(keep), i))
+            other.append(points[keep])
+            spare.append(left[keep])
+    own, other, spare = (np.concatenate(x) for x in (own, other, spare))
+    return pa.table({"c1": few.take(pa.array(own)), "c2": many[other], "a": node[own], "b": node[other], "spare": spare})
+
+
 def _descend(points: DataFrame, pairs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """From pairs of tree nodes (c1, c2) to pairs of points (a, b): first box against box,
-    then the points of either side against the other's box."""
+    """From pairs of tree nodes (c1, c2) to pairs of points (``links.ACROSS``): first box against box,
+    then the points of the smaller group against the other's box, then against its points.  These stay in blocks of about ``PART``, and
+    about ``MEET`` points of smaller groups come to a block at once, so that no row is made for a pair that the bound excludes."""
     wanted = pairs.select(F.col("c1").alias("comp")).union(pairs.select("c2")).distinct()
     boxes = scratch.table(_boxes(points, members, wanted), "boxes", brief=True)
     x, y = (boxes.toDF(f"c{i}", f"lo{i}", f"hi{i}", f"v{i}") for i in (1, 2))
     fits = "4 * hi1 >= 3 * lo2 AND 4 * hi2 >= 3 * lo1"
     near = _bounded(pairs.join(x, "c1").join(y, "c2").where(fits), ("lo1", "lo2"), "c1 bigint, c2 bigint")
     near = scratch.table(near, "open", brief=True)
-    sides = []
-    for own, other in (("c1", "c2"), ("c2", "c1")):
-        rows = near.join(members.toDF("node", own), own).join(points.select(F.col("cls").alias("node"), F.col("n").alias("lo1"), F.col("n").alias("hi1"), F.col("counts").alias("v1")), "node")
-        rows = rows.join(boxes.toDF(other, "lo2", "hi2", "v2"), other).where(fits)
-        found = _bounded(rows, ("lo1", "lo2"), "c1 bigint, c2 bigint, node bigint, lo1 int")
-        sides.append(scratch.table(found, f"side_{own}", brief=True))
-    a, b = (s.toDF("c1", "c2", v, f"n{v}") for s, v in zip(sides, "ab"))
-    return a.join(b, ["c1", "c2"]).where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
+    sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
+    near = near.join(sizes.toDF("c1", "s1"), "c1").join(sizes.toDF("c2", "s2"), "c2")
+    first = F.col("s1") <= F.col("s2")
+    near = near.select(F.when(first, F.col("c1")).otherwise(F.col("c2")).alias("few"), F.when(first, F.col("c2")).otherwise(F.col("c1")).alias("many"), F.greatest("s1", "s2").alias("size"))
+    own = points.select(F.col("cls").alias("node"), "n", F.col("counts").alias("v"))
+    rows = near.join(members.toDF("node", "few"), "few").join(own.select("node", F.col("n").alias("lo1"), F.col("n").alias("hi1"), F.col("v").alias("v1")), "node")
+    rows = rows.join(boxes.toDF("many", "lo2", "hi2", "v2"), "many").where(fits)
+    some = _bounded(rows, ("lo1", "lo2"), "few bigint, many bigint, size bigint, node bigint, lo1 int, v1 binary")
+    some = scratch.table(some, "some", brief=True)
+    blocks = some.groupBy("many").agg(F.count("*").alias("met"), F.ceil(F.max("size") / PART).alias("parts"), F.ceil(F.count("*") / MEET).alias("chunks"), F.max("size").alias("size"))
+    blocks = scratch.table(blocks, "blocks", brief=True)
+    rows = blocks.agg(F.sum(F.col("met") * F.col("parts") + F.col("size") * F.col("chunks"))).first()[0] or 0
+    blocks = blocks.select("many", "parts", "chunks")
+    part, chunk = (F.pmod(F.xxhash64("node"), c) for c in ("parts", "chunks"))
+    each_part, each_chunk = (F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)) for c in ("parts", "chunks"))
+    guests = some.select("few", "many", "node", F.col("lo1").alias("n"), F.col("v1").alias("v")).join(blocks, "many").withColumn("chunk", chunk).withColumn("part", each_part)
+    hosts = members.toDF("node", "many").join(blocks, "many").join(own, "node").withColumn("few", F.lit(None).cast("bigint")).withColumn("part", part).withColumn("chunk", each_chunk)
+    cols = ("many", "part", "chunk", "few", "node", "n", "v")
+    both = guests.select(*cols).union(hosts.select(*cols))
+    task = F.pmod(F.xxhash64("many", "part", "chunk"), F.lit(1 + int(rows) // (2 * MEET)))
+    return both.withColumn("task", task).groupBy("task").applyInArrow(_meet, ACROSS)
 
 
 def components_of(docs: DataFrame) -> DataFrame:

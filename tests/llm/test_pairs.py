@@ -40,6 +40,26 @@ def test_jaccard_against_brute_force(spark, seed):
     assert [got[i] for i in range(len(texts))] == jaccard_groups(texts)
 
 
+@pytest.mark.parametrize("part, meet", [(256, 1024), (7, 4)])
+def test_groups_are_not_expanded_into_pairs(spark, monkeypatch, part, meet):
+    """Texts that are linked with a few of a group, none of them its hub: the likeliest pair joins them, the others aren't tested."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+
+    def copy(k, own):  # k words replaced, none beside another
+        at = {30 * i + r.randrange(20) for i in r.sample(range(10), k)}
+        return " ".join(f"{own}x{i}" if i in at else w for i, w in enumerate(base))
+
+    texts = [copy(k, f"d{n}") for n, k in enumerate([4] * 50 + [3] * 4 + [5] * 30)]
+    tested, plain = [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda points, docs, pairs, scratch: tested.append(pairs.count()) or plain(points, docs, pairs, scratch))
+    monkeypatch.setattr(jaccard, "PART", part, raising=False)
+    monkeypatch.setattr(jaccard, "MEET", meet, raising=False)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == jaccard_groups(texts)
+    assert sum(tested) < 2 * len(texts)
+
+
 def test_jaccard_chain_through_round_two(spark):
     """A chain whose links mostly miss the hub of their keys."""
     words = [f"c{i}" for i in range(90)]
