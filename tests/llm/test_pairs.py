@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -318,3 +320,22 @@ def test_pairs_within_a_component_are_not_tested(spark):
     with Scratch(spark, "test") as scratch:
         found = [tuple(sorted(x)) for t in line_pairs.all_links(rows, lines.alike, scratch) for x in t.collect()]
     assert sorted(found) == [(1, 3), (2, 3)]
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark, monkeypatch):
+    """They go when a table is written, whenever the driver's garbage is collected; the session's setting stays as it was."""
+    monkeypatch.setattr(Scratch, "release", lambda self: None)
+    dirs = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {p.name for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+
+    before = files()
+    with Scratch(spark, "test") as scratch:
+        rows = scratch.table(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "rows")
+        end = time.time() + 20
+        while files() - before and time.time() < end:
+            time.sleep(0.2)
+        assert not files() - before
+        assert sorted(r.k for r in rows.collect()) == list(range(7))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
